@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, token_store
+from . import bpe, decontaminate, prefix_join, token_store
 from .textkit import shared_dir
 
 
@@ -30,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(docs, benchmark))
 
 
+def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-store")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, word_bpe(), end_id=1)
@@ -39,6 +43,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_prefix_join": op6_prefix_join,
     "op7_token_store": op7_token_store,
 }
 
