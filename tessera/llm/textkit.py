@@ -67,9 +67,10 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends) of the runs of bytes other than ASCII white space; A-Z count as a-z."""
-    raw = np.frombuffer(data.lower(), np.uint8)
+def word_hashes(data: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the runs of bytes other than ASCII white space; with `fold` A-Z
+    count as a-z."""
+    raw = np.frombuffer(data.lower() if fold else data, np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _IS_SPACE[raw], [True])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
@@ -107,11 +108,11 @@ def batches_of(texts: list[bytes | None], limit: int = 1 << 22):
         yield start, len(texts)
 
 
-def words_by_row(texts: list[bytes | None]):
+def words_by_row(texts: list[bytes | None], fold: bool = True):
     """Yields (row, word hashes) for every row, hashing some megabytes at a time."""
     for lo, hi in batches_of(texts):
         part = [t or b"" for t in texts[lo:hi]]
-        hashes, starts, _ = word_hashes(b"\n".join(part))
+        hashes, starts, _ = word_hashes(b"\n".join(part), fold)
         offsets = np.cumsum([0] + [len(t) + 1 for t in part])
         cuts = np.searchsorted(starts, offsets)
         for i in range(hi - lo):
