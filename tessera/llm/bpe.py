@@ -15,6 +15,7 @@ so repeated rows and ties give repeated results; an empty table gives an empty r
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 
 from .textkit import batches_of, texts_of, type_name
 
-_CHUNKS = 600_000  # entries of the memo from white-space-free chunks to ids
+_CHUNKS = 900_000  # entries of the memo from white-space-free chunks to ids
 _PIECES = 600_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 # Unicode White_Space, written out so that every regex engine agrees.
-_WHITE = r"\u0009-\u000d \u0085   -     　"
+_WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE}\p{{L}}\p{{N}}]+")
 
 
@@ -277,12 +278,21 @@ class ChunkEncoder:
         self.pieces: dict[str, bytes] = {}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def split(self, raw: bytes) -> list[str | int]:
+    def split(self, text: str) -> list[str | int]:
         """Pre-tokens of a chunk; special tokens as their ids."""
-        if raw.isalpha():
-            return [raw.decode().lower()]
-        text, out = raw.decode("utf-8"), []
-        for k, part in enumerate(self.marks.split(text) if self.marks and b"<|" in raw else (text,)):
+        if not text.isascii():
+            if "Σ" in text or not unicodedata.is_normalized("NFC", text):
+                return self._split(text)
+        low = text.lower()  # which may add marks, so it is what must be letters
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in ".,;:!?)":
+            return [low[:-1], low[-1]]
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str | int]:
+        out: list[str | int] = []
+        for k, part in enumerate(self.marks.split(text) if self.marks and "<|" in text else (text,)):
             if k % 2:
                 out.append(self.special[part])
             else:
@@ -290,20 +300,26 @@ class ChunkEncoder:
         return out
 
     def learn(self, chunks: set[bytes]) -> None:
-        parts = {raw: self.split(raw) for raw in chunks}
-        new = {p for part in parts.values() for p in part if type(p) is str} - self.pieces.keys()
+        raws = list(chunks)
+        parts = [self.split(raw.decode()) for raw in raws]
+        new = {p for part in parts for p in part if type(p) is str} - self.pieces.keys()
         if len(self.pieces) + len(new) > _PIECES:
             self.pieces.clear()
-            new = {p for part in parts.values() for p in part if type(p) is str}
+            new = {p for part in parts for p in part if type(p) is str}
         ordered = list(new)
         self.pieces.update(zip(ordered, self.encode_pieces(ordered)))
-        known = self.pieces
-        for raw, part in parts.items():
-            self.chunks[raw] = b"".join([known[p] if type(p) is str else p.to_bytes(4, "little") for p in part])
+        known, out = self.pieces, self.chunks
+        for raw, part in zip(raws, parts):
+            if len(part) == 1 and type(part[0]) is str:
+                out[raw] = known[part[0]]
+            else:
+                out[raw] = b"".join([known[p] if type(p) is str else p.to_bytes(4, "little") for p in part])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         out: list[bytes] = []
-        for lo, hi in batches_of(texts):
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and passes over the memos are long
+        for lo, hi in batches_of(texts, 1 << 23):
             rows = [(text or b"").split() for text in texts[lo:hi]]
             seen = set().union(*rows)
             new = seen - self.chunks.keys()
@@ -313,6 +329,8 @@ class ChunkEncoder:
             self.learn(new)
             ids = self.chunks.__getitem__
             out += [b"".join(map(ids, row)) for row in rows]
+        if collecting:
+            gc.enable()
         return out
 
 

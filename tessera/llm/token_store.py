@@ -2,7 +2,8 @@
 
 `write_tokens` range-partitions documents by id, encodes each with the tokenizers library's BPE
 model, appends the end id and writes per partition
-  <shard>.bin  ids of its documents, little-endian u32, in ascending id order;
+  <shard>.bin  ids of its documents, little-endian, of 16 bits where the vocabulary allows it and
+               32 otherwise, in ascending id order;
   <shard>.idx  a minimal perfect hash over the document keys with, per slot, a 32-bit fingerprint,
                the first id's offset and the number of ids, and the keys in file order;
 and a manifest table with one row per shard, which names only files of committed attempts. Lookups
@@ -18,6 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -86,11 +88,11 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class ShardIndex:
     """The contents of an .idx file."""
 
-    def __init__(self, hashing: MinimalPerfectHash, prints: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: list[bytes], ids: pa.Array):
-        self.hashing, self.prints, self.offsets, self.counts, self.keys, self.ids = hashing, prints, offsets, counts, keys, ids
+    def __init__(self, hashing: MinimalPerfectHash, prints: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: list[bytes], ids: pa.Array, unit: int):
+        self.hashing, self.prints, self.offsets, self.counts, self.keys, self.ids, self.unit = hashing, prints, offsets, counts, keys, ids, unit
 
     @classmethod
-    def build(cls, ids: list, counts: np.ndarray, kind: pa.DataType) -> ShardIndex:
+    def build(cls, ids: list, counts: np.ndarray, kind: pa.DataType, unit: int) -> ShardIndex:
         """ids ascending; counts[k] ids of the k-th document."""
         keys, before, occurrence = [], object(), 0
         for doc_id in ids:
@@ -103,7 +105,7 @@ class ShardIndex:
         by_slot = [np.empty(len(keys), x.dtype) for x in (prints, offsets, counts)]
         for held, values in zip(by_slot, (prints, offsets, counts)):
             held[slots] = values
-        return cls(hashing, *by_slot, keys, pa.array(ids, kind))
+        return cls(hashing, *by_slot, keys, pa.array(ids, kind), unit)
 
     def find(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and counts of keys; -1 where the shard has no such key."""
@@ -112,6 +114,10 @@ class ShardIndex:
         known = (slots >= 0) & (self.prints[slots] == prints) if len(self.prints) else np.zeros(len(keys), bool)
         return np.where(known, self.offsets[slots], -1), np.where(known, self.counts[slots], -1)
 
+    def read(self, data, at: int, n: int) -> np.ndarray:
+        """n ids of an open payload file, from the at-th on."""
+        return np.frombuffer(data.read_at(self.unit * n, self.unit * at), f"<u{self.unit}").astype("<u4")
+
     def dump(self) -> bytes:
         sink = pa.BufferOutputStream()
         batch = pa.RecordBatch.from_arrays([self.ids, pa.array(self.keys, pa.binary())], ["id", "key"])
@@ -119,7 +125,7 @@ class ShardIndex:
             writer.write_batch(batch)
         levels = [np.packbits(x, bitorder="little").tobytes() for x in self.hashing.levels]
         blobs = [self.prints.astype("<u4").tobytes(), self.offsets.astype("<i8").tobytes(), self.counts.astype("<i8").tobytes(), sink.getvalue().to_pybytes(), *levels]
-        head = json.dumps({"sizes": [len(x) for x in blobs], "bits": [len(x) for x in self.hashing.levels]}).encode()
+        head = json.dumps({"sizes": [len(x) for x in blobs], "bits": [len(x) for x in self.hashing.levels], "unit": self.unit}).encode()
         return _MAGIC + len(head).to_bytes(8, "little") + head + b"".join(blobs)
 
     @classmethod
@@ -135,12 +141,13 @@ class ShardIndex:
         with pa.ipc.open_stream(table) as reader:
             rows = reader.read_all()
         bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=m, bitorder="little").astype(bool) for x, m in zip(levels, head["bits"])]
-        return cls(MinimalPerfectHash(bits), np.frombuffer(prints, "<u4"), np.frombuffer(offsets, "<i8"), np.frombuffer(counts, "<i8"), rows["key"].to_pylist(), rows["id"].combine_chunks())
+        return cls(MinimalPerfectHash(bits), np.frombuffer(prints, "<u4"), np.frombuffer(offsets, "<i8"), np.frombuffer(counts, "<i8"), rows["key"].to_pylist(), rows["id"].combine_chunks(), head["unit"])
 
 
 @lru_cache(2)
-def library_encoder(path: str) -> ChunkEncoder:
-    """Chunk memo over the library's own BPE model; pre-tokens are what its pre-tokenizer makes."""
+def library_encoder(path: str) -> tuple[ChunkEncoder, int]:
+    """Chunk memo over the library's own BPE model (pre-tokens are what its pre-tokenizer makes),
+    and the vocabulary's size."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -153,10 +160,10 @@ def library_encoder(path: str) -> ChunkEncoder:
         out = []
         for text in texts:
             shown = text if text.isascii() else text.encode().decode("latin-1").translate(letters)
-            out.append(b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(shown)]))
+            out.append(array("I", [t.id for t in model.tokenize(shown)]).tobytes())
         return out
 
-    return ChunkEncoder(special, pieces)
+    return ChunkEncoder(special, pieces), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -168,10 +175,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     spark = docs.sparkSession
     kind = type_name(docs, id_col)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder, shard = library_encoder(tokenizer), TaskContext.get().partitionId()
+        (encoder, vocabulary), shard = library_encoder(tokenizer), TaskContext.get().partitionId()
+        unit = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
+        end = end_id.to_bytes(unit, "little")
         fs, folder = _open(path)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"  # an attempt that fails leaves files that no manifest names
         out, ids, counts = None, [], []
@@ -183,12 +191,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
                 out = fs.open_output_stream(f"{folder}/{name}.bin")
             ids += batch.column(0).to_pylist()
             for data in encoder.encode(texts_of(batch.column(1))):
-                out.write(data + end)
+                out.write(np.frombuffer(data, "<u4").astype(f"<u{unit}").tobytes() + end)
                 counts.append(len(data) // 4 + 1)
         if out is None:
             return
         out.close()
-        index = ShardIndex.build(ids, np.array(counts, np.int64), batch.column(0).type)
+        index = ShardIndex.build(ids, np.array(counts, np.int64), batch.column(0).type, unit)
         with fs.open_output_stream(f"{folder}/{name}.idx") as out:
             out.write(index.dump())
         known = [x for x in ids if x is not None]
@@ -222,7 +230,7 @@ def read_tokens(spark: SparkSession, path: str, *, id_col: str = "doc_id", paylo
                     raise ValueError(f"{name}: the index lost a key")
                 with fs.open_input_file(f"{folder}/{name}.bin") as data:
                     for lo in range(0, len(counts), 1024):
-                        raw = [data.read_at(4 * n, 4 * at) for at, n in zip(offsets[lo : lo + 1024].tolist(), counts[lo : lo + 1024].tolist())]
+                        raw = [index.read(data, at, n).tobytes() for at, n in zip(offsets[lo : lo + 1024].tolist(), counts[lo : lo + 1024].tolist())]
                         columns = [index.ids.slice(lo, 1024), pa.array(base + offsets[lo : lo + 1024]), pa.array(counts[lo : lo + 1024]), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if payload else []), [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * payload)
 
@@ -249,5 +257,5 @@ class TokenStore:
             offsets, counts = self.indexes[row.file].find([key_text(doc_id, occurrence)])
             if counts[0] >= 0:
                 with fs.open_input_file(f"{folder}/{row.file}.bin") as data:
-                    return np.frombuffer(data.read_at(4 * int(counts[0]), 4 * int(offsets[0])), "<u4")
+                    return self.indexes[row.file].read(data, int(offsets[0]), int(counts[0]))
         return None
