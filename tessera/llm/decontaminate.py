@@ -150,13 +150,13 @@ def united(a: list[int], b: list[int]) -> list[int]:
     return flat
 
 
+def judged(found: DataFrame) -> DataFrame:
+    """Add n_hit and the verdict: contaminated where a twentieth or more of the words are hit."""
+    n_hit = "if(size(spans) = 0, 0L, aggregate(sequence(0, size(spans) div 2 - 1), 0L, (s, i) -> s + spans[2 * i + 1] - spans[2 * i]))"
+    return found.withColumn("n_hit", F.expr(n_hit)).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and verdict: contaminated where a twentieth or more of the words are hit."""
-    n_hit = F.expr("aggregate(sequence(0, size(spans) div 2 - 1), 0L, (s, i) -> s + spans[2 * i + 1] - spans[2 * i])")
-    return found.select(
-        id_col,
-        "n_words",
-        F.when(F.size("spans") == 0, F.lit(0).cast("bigint")).otherwise(n_hit).alias("n_hit"),
-        F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    """Counts, a digest of the items and the verdict."""
+    items = F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return judged(found).select(id_col, "n_words", "n_hit", *items, "contaminated")

@@ -175,18 +175,18 @@ def _parser(items: tuple[tuple[str, bytes], ...]) -> CrossParser:
 
 def identify(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
     """Per row: id, carried columns, lang_pred, score."""
-    carry = carry or []
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples(labelled, **options).items())))
-    schema = ", ".join(f"`{c}` {type_name(docs, c)}" for c in [id_col, *carry])
+    kept = [id_col, *(carry or [])]
+    read = list(dict.fromkeys([*kept, text_col]))
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples(labelled, id_col=id_col, text_col=text_col, **options).items())))
+    schema = ", ".join(f"`{c}` {type_name(docs, c)}" for c in kept)
 
     def run(batches):
         parser = _parser(sent.value)
         for batch in batches:
-            langs, scores = parser.predict(texts_of(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, *carry, "lang_pred", "score"])
+            langs, scores = parser.predict(texts_of(batch.column(read.index(text_col))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
-    text = F.col(text_col).alias("__text")
-    return docs.select(text, id_col, *carry).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*read).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

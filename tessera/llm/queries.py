@@ -76,9 +76,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc)
+    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, pipeline)
 }
 
 ORACLES: dict[str, str] = {}
