@@ -1,10 +1,667 @@
-"""Registered queries of the analytics library and their SQL equivalents."""
+"""Registered queries of the analytics library and their SQL equivalents.
+
+Inputs are views of the test tables: LI is lineitem as a labelled data set (label: returned or not;
+features quantity, price, discount, tax), EM the embeddings, OR lineitem as (order, part, quantity)
+ratings, DOC the documents as tokens. Every query runs over its whole tables. SQL is for DuckDB.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import losses, metrics, vectors as V
+from ..operators import bayes, factorization as mf, linear, neighbors, sparse, state, stats, topics, trees
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r4(c: Column, name: str) -> Column:
+    return F.round(c, 4).alias(name)
+
+
+# Views ---------------------------------------------------------------------------------------
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LI = "li as (select ((l_orderkey * 20000 + l_partkey) * 1000 + l_suppkey) * 10 + l_linenumber as row_id, case when l_returnflag = 'R' then 1.0e0 else 0.0e0 end as y, l_quantity as x0, l_extendedprice as x1, l_discount as x2, l_tax as x3 from lineitem)"
+LONG = LI + ", lo as (select row_id, y, 0 as fid, x0 as value from li union all select row_id, y, 1, x1 from li union all select row_id, y, 2, x2 from li union all select row_id, y, 3, x3 from li)"
+EM = "em as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings)"
+EL = EM + ", el as (select vec_id, label, (i - 1)::int as fid, e[i] as value from em, unnest(generate_series(1, 64)) as t(i))"
+
+
+def li(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, label, features)"""
+    y = F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)
+    key = ((F.col("l_orderkey") * 20000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(key.alias("row_id"), y.alias("label"), F.array(*FEATURES).alias("features"))
+
+
+def li_long(spark: SparkSession, d: str) -> DataFrame:
+    return li(spark, d).select("row_id", "label", F.posexplode("features").alias("fid", "value"))
+
+
+def scaled(spark: SparkSession, d: str) -> DataFrame:
+    """LI with features near one, as the learners want them."""
+    x = F.array(F.col("features")[0] / 50, F.col("features")[1] / 100000, F.col("features")[2] * 10, F.col("features")[3] * 10)
+    return li(spark, d).withColumn("features", x)
+
+
+def em(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+def em_long(spark: SparkSession, d: str) -> DataFrame:
+    return em(spark, d).select("row_id", "label", F.posexplode("features").alias("fid", "value"))
+
+
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_quantity").alias("r"))
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, pos, word): runs of a-z of the lower-cased text."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("pos", "word"))
+
+
+TOK = "tk as (select doc_id, unnest(w) as word, unnest(generate_series(0, len(w) - 1)) as pos from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents) where len(w) > 0)"
+
+# A plain linear model and factors made by formula, so that both engines have them.
+W = [0.02, -0.00001, 3.0, -2.0]
+LIN = "(0.02e0 * x0 - 0.00001e0 * x1 + 3.0e0 * x2 - 2.0e0 * x3 - 0.25e0)"
+
+
+def linear_score(features: str = "features") -> Column:
+    return V.dot(features, V.literal(W)) - 0.25
+
+
+# Nearest neighbours --------------------------------------------------------------------------
+
+PAIRS = EM + ", ds as (select a.vec_id as q, b.vec_id as b, b.label, list_sum(list_transform(generate_series(1, 64), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) as dist from em a, em b where a.vec_id <> b.vec_id), nn as (select * from (select *, row_number() over (partition by q order by dist, b) as k from ds) where k <= 5), vc as (select q, label, count(*) as n from nn group by q, label)"
+
+
+def _nn(spark: SparkSession, d: str) -> DataFrame:
+    points = em(spark, d)
+    return neighbors.nearest(points, points, 5, skip_self=True)
+
+
+@query(f"with {PAIRS} select q as query, label, n as votes from vc")
+def knn_vote(spark, d):
+    return _nn(spark, d).groupBy("query", "label").agg(F.count("*").alias("votes"))
+
+
+@query(f"with {PAIRS} select q as query, round(dist, 4) as dist, k as rank, label from nn")
+def knn_neighbours(spark, d):
+    return _nn(spark, d).select("query", r4(F.col("dist"), "dist"), F.col("rank").cast("bigint").alias("rank"), "label")
+
+
+@query(f"with {PAIRS}, qs as (select distinct q from nn), fx as (select qs.q, t.c, coalesce(vc.n, 0) / 10.0e0 as raw from qs cross join unnest(generate_series(0, 9)) as t(c) left join vc on vc.q = qs.q and vc.label = t.c) select q as query, c::int as label, round(exp(raw) / sum(exp(raw)) over (partition by q), 4) as score from fx")
+def knn_softmax_score(spark, d):
+    scored = neighbors.vote(_nn(spark, d), 10)
+    return scored.select("query", F.posexplode("score").alias("label", "s")).select("query", "label", r4(F.col("s"), "score"))
+
+
+# Statistics ----------------------------------------------------------------------------------
+
+
+@query(f"with {LI} select 'li' as source, y::int as label, count(*) as n from li group by 2 union all select 'em', label::int, count(*) from embeddings group by 2")
+def label_count(spark, d):
+    a = stats.label_counts(stats.check_labels(li(spark, d), 2)).select(F.lit("li").alias("source"), "label", "n")
+    return a.union(stats.label_counts(em(spark, d)).select(F.lit("em"), "label", "n"))
+
+
+MOMENTS = LONG + ", nc as (select y, count(*) as n from li group by y), mo as (select lo.y, fid, sum(value) / max(n) as mean, sum(value * value) / max(n) - (sum(value) / max(n)) * (sum(value) / max(n)) as var, max(n) / (select count(*) from li)::double as prior from lo join nc on lo.y = nc.y group by lo.y, fid)"
+
+
+def _moments(spark: SparkSession, d: str) -> DataFrame:
+    return stats.class_moments(li_long(spark, d), li(spark, d).groupBy("label").agg(F.count("*").alias("n")))
+
+
+@query(f"with {MOMENTS} select y::int as label, fid, round(mean, 4) as mean, round(var, 2) as var, round(prior, 6) as prior from mo")
+def nb_moments(spark, d):
+    m = _moments(spark, d)
+    return m.select(F.col("label").cast("int").alias("label"), "fid", r4(F.col("mean"), "mean"), F.round("var", 2).alias("var"), F.round("prior", 6).alias("prior"))
+
+
+@query(f"with {MOMENTS} select row_id, mo.y::int as label, round(sum(greatest(-0.5e0 * (value - mean) * (value - mean) / var - 0.5e0 * ln(6.28318e0 * var), ln(1e-8))) + ln(max(prior)), 4) as log_score from lo join mo using (fid) group by row_id, mo.y")
+def nb_log_score(spark, d):
+    long = li_long(spark, d).drop("label")
+    scores = bayes.log_scores(long, _moments(spark, d), ["row_id"])
+    return scores.select("row_id", F.col("label").cast("int").alias("label"), r4(F.col("log_score"), "log_score"))
+
+
+@query("with x as (select l_returnflag, l_linestatus, l_quantity from lineitem) select l_returnflag, l_linestatus, count(*) as n, round(avg(l_quantity), 4) as mean, round(var_pop(l_quantity), 4) as var from x group by cube (l_returnflag, l_linestatus)")
+def moments_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r4(F.avg("l_quantity"), "mean"), r4(F.var_pop("l_quantity"), "var"))
+
+
+@query(f"with {LONG}, q as (select fid, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as qs, list_sort(list_distinct(list(value))) as ds from lo group by fid), e as (select fid, case when len(ds) <= 10 then ds else qs end as e from q), z as (select fid, case when len(e) = 1 then case when e[1] > 0 then [e[1] - 0.5, e[1]] when e[1] < 0 then [e[1], e[1] + 0.5] else [e[1] - 0.5, e[1], e[1] + 0.5] end else list_concat(case when e[1] = 0 then [-0.5e0] else [] end, e, case when e[len(e)] = 0 then [0.5e0] else [] end) end as e from e) select fid, i - 1 as pos, round(e[i], 4) as edge from z, unnest(generate_series(1, len(e))) as t(i)")
+def quantile_splits(spark, d):
+    s = stats.candidate_splits(li_long(spark, d), 10)
+    return s.select("fid", F.posexplode("edges").alias("pos", "e")).select("fid", F.col("pos").cast("bigint").alias("pos"), r4(F.col("e"), "edge"))
+
+
+# Fixed edges, so that the tree queries have the same bins in both engines.
+EDGES = [[1.0, 10.0, 20.0, 30.0, 40.0], [0.0, 20000.0, 40000.0, 60000.0], [-0.5, 0.0, 0.03, 0.06], [-0.5, 0.0, 0.02, 0.05]]
+BIN = "case fid " + " ".join(f"when {f} then greatest(0, " + " + ".join(f"(value >= {e:e})::int" for e in edges) + " - 1)" for f, edges in enumerate(EDGES)) + " end"
+BINNED = LONG + f", bi as (select row_id, y, fid, value, {BIN} as bin from lo)"
+
+
+def _edges(spark: SparkSession) -> DataFrame:
+    rows = [(f, e) for f, e in enumerate(EDGES)]
+    return spark.createDataFrame(rows, "fid int, edges array<double>").withColumn("default_bin", V.bin_index(F.lit(0.0), F.col("edges")))
+
+
+def _binned(spark: SparkSession, d: str) -> DataFrame:
+    return stats.bin_values(li_long(spark, d), _edges(spark))
+
+
+@query(f"with {BINNED} select row_id, fid, bin from bi")
+def binned_long(spark, d):
+    return _binned(spark, d).select("row_id", "fid", "bin")
+
+
+@query(f"with {BINNED} select fid, bin, count(*) as n, min(value) as low, max(value) as high from bi group by fid, bin")
+def bin_lookup(spark, d):
+    return _binned(spark, d).groupBy("fid", "bin").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query("with k as (select row_number() over (order by l_orderkey, l_linenumber) - 1 as i, l_quantity from lineitem) select i % 4 as rank, count(*) as n, round(sum(l_quantity), 4) as total from k group by 1")
+def shard_modulo(spark, d):
+    ordered = table(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber")
+    rows = readers.numbered(ordered)
+    every = [readers.shard(rows, r, 4).agg(F.lit(r).cast("bigint").alias("rank"), F.count("*").alias("n"), r4(F.sum("l_quantity"), "total")) for r in range(4)]
+    return every[0].union(every[1]).union(every[2]).union(every[3])
+
+
+@query("with k as (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as i, count(*) over () as n from orders) select o_orderkey from k where i <= ceil(n * 0.3)")
+def instance_sample_topn(spark, d):
+    orders = table(spark, d, "orders")
+    n = -(-orders.count() * 3 // 10)
+    return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n).select("o_orderkey")
+
+
+@query("select (l_orderkey * 31 + l_partkey * 17) % 5 as fold, count(*) as n, round(avg(l_quantity), 4) as mean from lineitem group by 1")
+def kfold_assign(spark, d):
+    r = ratings(spark, d).withColumn("fold", F.pmod(F.col("u") * 31 + F.col("v") * 17, F.lit(5)))
+    return r.groupBy("fold").agg(F.count("*").alias("n"), r4(F.avg("r"), "mean"))
+
+
+@query("select count(*) as n from (select distinct c_custkey from customer where c_acctbal > 0 intersect select distinct o_custkey from orders) union all select count(*) from (select distinct c_custkey from customer except select distinct o_custkey from orders)")
+def train_valid_disjoint(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    both = c.where("c_acctbal > 0").select("c_custkey").intersect(o).agg(F.count("*").alias("n"))
+    return both.union(c.select("c_custkey").subtract(o).agg(F.count("*")))
+
+
+# Vectors -------------------------------------------------------------------------------------
+
+WE = "list_transform(generate_series(1, 64), lambda i: ((i % 7) - 3) / 8.0e0)"
+WV = [((i % 7) - 3) / 8 for i in range(1, 65)]
+
+
+@query(f"with {EM} select vec_id as row_id, round(list_sum(list_transform(generate_series(1, 64), lambda i: e[i] * (((i % 7) - 3) / 8.0e0))), 4) as dot from em")
+def dense_dot(spark, d):
+    return em(spark, d).select("row_id", r4(V.dot("features", V.literal(WV)), "dot"))
+
+
+@query(f"with {EL} select vec_id as row_id, round(sum(value * (((fid + 1) % 7) - 3) / 8.0e0), 4) as dot from el where value > 0 and fid % 2 = 0 group by vec_id")
+def sparse_dot(spark, d):
+    w = spark.createDataFrame([(i, v) for i, v in enumerate(WV) if i % 2 == 0], "fid int, value double")
+    return sparse.dot(em_long(spark, d).where("value > 0"), w, ["row_id"]).select("row_id", r4(F.col("dot"), "dot"))
+
+
+@query(f"with {EL} select vec_id as row_id, round(sum(value * value * ((((fid + 1) % 7) - 3) / 8.0e0) * ((((fid + 1) % 7) - 3) / 8.0e0)), 4) as dot_square from el group by vec_id")
+def dot_square(spark, d):
+    return em(spark, d).select("row_id", r4(V.dot_square("features", V.literal(WV)), "dot_square"))
+
+
+@query(f"with {EL}, a as (select vec_id, fid, value from el where value > 0), b as (select vec_id, fid, value from el where value < 0.1) select vec_id as row_id, round(sum((coalesce(a.value, 0) - coalesce(b.value, 0)) * (coalesce(a.value, 0) - coalesce(b.value, 0))), 4) as dist from a full join b using (vec_id, fid) group by vec_id")
+def sparse_full_outer_distance(spark, d):
+    e = em_long(spark, d).select("row_id", "fid", "value")
+    return sparse.squared_distance(e.where("value > 0"), e.where("value < 0.1"), "row_id").select("row_id", r4(F.col("dist"), "dist"))
+
+
+@query(f"with {EL} select vec_id as row_id, round(sum(value + 0.5e0 * (((fid + 1) % 7) - 3) / 8.0e0), 4) as total, round(sum(case when value > 0 then value + 0.5e0 * (((fid + 1) % 7) - 3) / 8.0e0 else 0 end), 4) as kept from el group by vec_id")
+def axpy_update(spark, d):
+    e = em_long(spark, d).select("row_id", "fid", "value")
+    w = e.select("row_id", "fid", F.get(V.literal(WV), F.col("fid")).alias("value"))
+    whole = sparse.axpy(e, 0.5, w, ["row_id"]).groupBy("row_id").agg(r4(F.sum("value"), "total"))
+    kept = sparse.axpy_within(e.where("value > 0"), 0.5, w, ["row_id"]).groupBy("row_id").agg(r4(F.sum("value"), "kept"))
+    return whole.join(kept, "row_id", "left").fillna(0.0, ["kept"])
+
+
+@query(f"with {EL} select vec_id as row_id, round(sum(value * (((fid + 1) % 7) - 3) / 8.0e0), 4) as total, round(sum(case when fid % 2 = 0 then value * (((fid + 1) % 7) - 3) / 8.0e0 else value end), 4) as touched from el group by vec_id")
+def hadamard(spark, d):
+    whole = em(spark, d).select("row_id", r4(V.total(V.hadamard("features", V.literal(WV))), "total"))
+    e = em_long(spark, d).select("row_id", "fid", "value")
+    w = e.where("fid % 2 = 0").select("row_id", "fid", F.get(V.literal(WV), F.col("fid")).alias("value"))
+    touched = sparse.hadamard(e, w, ["row_id"]).groupBy("row_id").agg(r4(F.sum("value"), "touched"))
+    return whole.join(touched, "row_id")
+
+
+@query(f"with {EM} select vec_id as row_id, (list_position(e, list_max(e)) - 1)::int as top, round(list_reverse_sort(e)[3], 4) as third, len(list_distinct(list_transform(e, lambda x: round(x, 1))))::int as kinds, len(list_filter(e, lambda x: x > 0))::int as positive from em")
+def argmax_kth_distinct(spark, d):
+    kinds = F.size(V.unique(F.transform("features", lambda x: F.round(x, 1)))).alias("kinds")
+    return em(spark, d).select("row_id", V.argmax("features").alias("top"), r4(V.kth_largest("features", 3), "third"), kinds, V.nnz(F.transform("features", lambda x: F.greatest(x, F.lit(0.0)))).alias("positive"))
+
+
+# Losses and metrics --------------------------------------------------------------------------
+
+SC = LI + f", sc as (select li.*, 2 * y - 1 as s, {LIN} as p from li)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return li(spark, d).select("row_id", "label", (2 * F.col("label") - 1).alias("signed"), linear_score().alias("score"))
+
+
+def _loss(name: str, value: str, grad: str):
+    sql = f"with {SC} select row_id, round({value}, 4) as value, round({grad}, 4) as grad from sc"
+
+    def run(spark, d):
+        loss, y, s = losses.loss(name), F.col("signed"), F.col("score")
+        return _scored(spark, d).select("row_id", r4(loss.value(y, s), "value"), r4(loss.grad(y, s), "grad"))
+
+    run.__name__ = f"loss_{name}"
+    query(sql)(run)
+
+
+_loss("logistic", "ln(1 + exp(-s * p))", "-s / (1 + exp(s * p))")
+_loss("hinge", "greatest(0, 1 - s * p)", "case when s * p < 1 then -s else 0.0e0 end")
+_loss("square", "0.5e0 * (p - s) * (p - s)", "greatest(-20.0e0, least(20.0e0, p)) - s")
+
+
+@query(f"with {SC} select row_id, round(1 / (1 + exp(-p)) - y, 4) as g, round(greatest(1 / (1 + exp(-p)) * (1 - 1 / (1 + exp(-p))), 1e-8), 4) as h from sc")
+def rich_grad_hess(spark, d):
+    loss = losses.rich_loss("logistic")
+    return _scored(spark, d).select("row_id", r4(loss.grad(F.col("label"), F.col("score")), "g"), r4(loss.hess(F.col("label"), F.col("score")), "h"))
+
+
+E10 = EM + ", sm as (select vec_id, label, c, exp(e[c + 1]) / sum(exp(e[c + 1])) over (partition by vec_id) as p, e[c + 1] as s from em, unnest(generate_series(0, 9)) as t(c))"
+
+
+def _em10(spark: SparkSession, d: str) -> DataFrame:
+    return em(spark, d).select("row_id", F.col("label").cast("double").alias("label"), F.slice("features", 1, 10).alias("score"))
+
+
+@query(f"with {E10} select vec_id as row_id, c::int as label, round(p - (c = label)::int, 4) as g, round(greatest(p * (1 - p), 1e-8), 4) as h from sm")
+def rich_grad_hess_multi(spark, d):
+    loss, y, s = losses.rich_loss("logistic"), F.col("label"), F.col("score")
+    both = F.arrays_zip(loss.grads(y, s, 10).alias("g"), loss.hessians(y, s, 10).alias("h"))
+    rows = _em10(spark, d).select("row_id", F.posexplode(both).alias("label", "x"))
+    return rows.select("row_id", "label", r4(F.col("x.g"), "g"), r4(F.col("x.h"), "h"))
+
+
+@query(f"with {E10}, a as (select x.vec_id, x.c as i, y.c as j, case when x.c = y.c then greatest(x.p * (1 - x.p), 1e-8) else -greatest(x.p * y.p, 1e-8) end as v from sm x join sm y on x.vec_id = y.vec_id and y.c <= x.c) select vec_id as row_id, (i * (i + 1) // 2 + j)::int as pos, round(v, 4) as h from a")
+def full_hessian(spark, d):
+    return _em10(spark, d).select("row_id", F.posexplode(losses.full_hessian(F.col("score"))).alias("pos", "v")).select("row_id", "pos", r4(F.col("v"), "h"))
+
+
+@query(f"with {SC}, m as (select y, p, 1 / (1 + exp(-p)) as q from sc) select round(avg((p - y) * (p - y)), 4) as mse, round(avg(case when (p >= 0) <> (y = 1) then 1.0e0 else 0.0e0 end), 4) as error, round(avg(case when (p >= 0) = (y = 1) then 1.0e0 else 0.0e0 end), 4) as precision, round(avg(case when y = 1 then -ln(greatest(q, 1e-4)) else -ln(greatest(1 - q, 1e-4)) end), 4) as log_loss from m")
+def metric_all_01(spark, d):
+    m = metrics.evaluate(_scored(spark, d), list(metrics.BINARY), "binary")
+    return m.select(*[r4(F.col(c), c) for c in m.columns])
+
+
+@query(f"with {SC} select round(avg((p - s) * (p - s)), 4) as mse, round(avg(case when s * p < 0 then 1.0e0 else 0.0e0 end), 4) as error, round(avg(case when s * p >= 0 then 1.0e0 else 0.0e0 end), 4) as precision, round(avg(ln(1 + exp(-s * p))), 4) as log_loss, round(avg(greatest(0, 1 - s * p)), 4) as hinge_loss from sc")
+def metric_all_negy(spark, d):
+    m = metrics.evaluate(_scored(spark, d).drop("label").withColumnRenamed("signed", "label"), list(metrics.SIGNED), "signed")
+    return m.select(*[r4(F.col(c), c) for c in m.columns])
+
+
+@query(f"with {E10}, r as (select vec_id, max(label) as y, sum((s - (c = label)::int) * (s - (c = label)::int)) as mse, max(case when c = label then p end) as p, list_position(list(s order by c), max(s)) - 1 as top from sm group by vec_id) select round(avg(mse), 4) as mse, round(avg((top <> y)::int), 4) as error, round(avg((top = y)::int), 4) as precision, round(avg(-ln(greatest(p, 1e-4))), 4) as cross_entropy from r")
+def metric_multi(spark, d):
+    m = metrics.evaluate(_em10(spark, d), list(metrics.MULTI), "multi")
+    return m.select(*[r4(F.col(c), c) for c in m.columns])
+
+
+# Linear learners -----------------------------------------------------------------------------
+
+
+@query(f"with {SC}, g as (select row_id % 7 as batch, -s / (1 + exp(s * p)) as g, [x0, x1, x2, x3] as x from sc) select batch, (i - 1)::int as fid, round(sum(g * x[i]), 4) as grad from g, unnest(generate_series(1, 4)) as t(i) group by 1, 2")
+def minibatch_gradient(spark, d):
+    loss = losses.loss("logistic")
+    rows = li(spark, d).withColumn("g", loss.grad(2 * F.col("label") - 1, linear_score())).withColumn("batch", F.pmod("row_id", F.lit(7)))
+    sums = rows.groupBy("batch").agg(*[F.sum(F.col("g") * F.get("features", F.lit(i))).alias(f"g{i}") for i in range(4)])
+    long = sums.select("batch", F.posexplode(F.array(*[f"g{i}" for i in range(4)])).alias("fid", "x"))
+    return long.select("batch", "fid", r4(F.col("x"), "grad"))
+
+
+STEP = "greatest(-20.0e0, least(20.0e0, w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + b)) - y"
+
+
+@query(f"with recursive {LI}, ls as (select y, x0 / 50 as x0, x1 / 100000 as x1, x2 * 10 as x2, x3 * 10 as x3 from li), st as (select 0 as epoch, 0.0e0 as w0, 0.0e0 as w1, 0.0e0 as w2, 0.0e0 as w3, 0.0e0 as b union all select n.epoch, n.w0, n.w1, n.w2, n.w3, n.b from (select max(epoch) + 1 as epoch, max(w0) - 0.1e0 * avg(g * x0) as w0, max(w1) - 0.1e0 * avg(g * x1) as w1, max(w2) - 0.1e0 * avg(g * x2) as w2, max(w3) - 0.1e0 * avg(g * x3) as w3, max(b) - 0.1e0 * avg(g) as b from (select st.*, x0, x1, x2, x3, {STEP} as g from st, ls where epoch < 3)) n where n.epoch is not null) select epoch::int as epoch, round(w0, 6) as w0, round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(b, 6) as b from st where epoch > 0")
+def linreg_sgd_epochs(spark, d):
+    rows = readers.from_dense(scaled(spark, d)).cache()
+    out = []
+    model = linear.LinearRegression(num_epoch=1, batch_size=1 << 40)
+    model.weights, model.bias = model.start(4), 0.0
+    for epoch in (1, 2, 3):
+        model.step(rows)
+        out.append((epoch, *[round(float(w), 6) for w in model.weights], round(float(model.bias), 6)))
+    rows.unpersist()
+    return spark.createDataFrame(out, "epoch int, w0 double, w1 double, w2 double, w3 double, b double")
+
+
+def _fit(cls, spark, d, signed=True, **params):
+    rows = readers.from_dense(scaled(spark, d))
+    rows = rows.withColumn("label", 2 * F.col("label") - 1) if signed else rows
+    model = cls(num_epoch=2, batch_size=1 << 40, **params).fit(rows)
+    return model.evaluate(rows)
+
+
+@query()
+def logistic_regression_fit(spark, d):
+    return _fit(linear.LogisticRegression, spark, d)
+
+
+@query()
+def svm_fit(spark, d):
+    return _fit(linear.SupportVectorMachine, spark, d)
+
+
+@query()
+def fm_fit(spark, d):
+    return _fit(linear.FactorizationMachine, spark, d, embedding_dim=4)
+
+
+FMV = [[((i * (f + 2)) % 5 - 2) / 10 for i in range(64)] for f in range(3)]
+FMS = " + ".join(f"0.5e0 * (pow(sum(value * ((fid * {f + 2}) % 5 - 2) / 10.0e0), 2) - sum(pow(value * ((fid * {f + 2}) % 5 - 2) / 10.0e0, 2)))" for f in range(3))
+
+
+@query(f"with {EL} select vec_id as row_id, round(sum(value * (((fid + 1) % 7) - 3) / 8.0e0) + {FMS}, 4) as score from el group by vec_id")
+def fm_score(spark, d):
+    rows = readers.from_dense(em(spark, d))
+    return rows.select("row_id", r4(linear.fm_score("indices", "values", V.literal(WV), [V.literal(v) for v in FMV]), "score"))
+
+
+# Trees ---------------------------------------------------------------------------------------
+
+# gradients at score 0: multiples of a half and a quarter, so that sums are exact
+GH = BINNED + ", gh as (select row_id, y, fid, value, bin, row_id % 3 as node, 0.5e0 - y as g, 0.25e0 as h from bi), hi as (select node, fid, bin, sum(g) as g, sum(h) as h from gh group by node, fid, bin)"
+
+
+def _gh(spark: SparkSession, d: str) -> DataFrame:
+    return _binned(spark, d).select("row_id", "label", "fid", "value", "bin", F.pmod("row_id", F.lit(3)).alias("node"), (0.5 - F.col("label")).alias("g"), F.lit(0.25).alias("h"))
+
+
+@query(f"with {GH} select node, fid, bin, g, h from hi")
+def grad_histogram(spark, d):
+    return trees.histogram(_gh(spark, d))
+
+
+@query(f"with {GH}, se as (select * from gh where value > 0.02), hs as (select node, fid, bin, sum(g) as g, sum(h) as h from se group by node, fid, bin), to_ as (select node, sum(g) / 4 as g, sum(h) / 4 as h from gh group by node), de as (select * from (values (0, 0), (1, 0), (2, 1), (3, 1)) as t(fid, bin)), re as (select hs.node, hs.fid, de.bin, max(to_.g) - sum(hs.g) as g, max(to_.h) - sum(hs.h) as h from hs join to_ using (node) join de using (fid) group by hs.node, hs.fid, de.bin) select node, fid, bin, sum(g) as g, sum(h) as h from (select * from hs union all select * from re) group by node, fid, bin")
+def hist_default_fill(spark, d):
+    gh = _gh(spark, d)
+    totals = gh.where("fid = 0").groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return trees.fill_default(trees.histogram(gh.where("value > 0.02")), totals, _edges(spark))
+
+
+@query(f"with {GH} select fid, bin, sum(g) as g, sum(h) as h from (select fid, bin, g, h from hi union all select fid, bin, -g, -h from hi where node = 0) group by fid, bin")
+def hist_subtract(spark, d):
+    gh = _gh(spark, d)
+    return trees.subtract(trees.histogram(gh.withColumn("node", F.lit(0))), trees.histogram(gh.where("node = 0")))
+
+
+GAIN = GH + ", pf as (select node, fid, bin, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by node, fid) as gt, sum(h) over (partition by node, fid) as ht, max(bin) over (partition by node, fid) as lb from hi window w as (partition by node, fid order by bin rows unbounded preceding)), ga as (select node, fid, bin, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) - 1 as gain from pf where bin < lb and hl > 0 and ht - hl > 0)"
+
+
+def _gains(spark, d):
+    return trees.split_gains(trees.histogram(_gh(spark, d)), reg_lambda=1.0)
+
+
+@query(f"with {GAIN} select node, fid, bin, round(gain, 4) as gain from (select *, row_number() over (partition by node, fid order by gain desc, bin) as k from ga where gain > 0) where k = 1")
+def best_split_feature(spark, d):
+    return trees.best_splits(_gains(spark, d), ["node", "fid"]).select("node", "fid", "bin", r4(F.col("gain"), "gain"))
+
+
+@query(f"with {GAIN} select node, fid, bin, round(gain, 4) as gain from (select *, row_number() over (partition by node order by gain desc, fid, bin) as k from ga where gain > 0) where k = 1")
+def best_split_node(spark, d):
+    return trees.best_splits(_gains(spark, d), ["node"]).select("node", "fid", "bin", r4(F.col("gain"), "gain"))
+
+
+@query(f"with {GH}, t as (select node, bin, sum(g) as g, sum(h) as h from gh where fid = 0 group by node, bin), s as (select *, case when g > 2 then g - 2 when g < -2 then g + 2 else 0 end as t from t) select node, bin, round(t * t / (h + 1), 4) as gain, round(-t / (h + 1), 4) as weight, round(greatest(-0.3e0, least(0.3e0, -t / (h + 1))), 4) as clipped, round(-2 * (g * greatest(-0.3e0, least(0.3e0, -t / (h + 1))) + 0.5e0 * (h + 1) * pow(greatest(-0.3e0, least(0.3e0, -t / (h + 1))), 2) + 2 * abs(greatest(-0.3e0, least(0.3e0, -t / (h + 1))))), 4) as clipped_gain from s")
+def node_gain_leaf_weight(spark, d):
+    t = _gh(spark, d).where("fid = 0").groupBy("node", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    g, h = F.col("g"), F.col("h")
+    return t.select("node", "bin", r4(trees.node_gain(g, h, 1.0, 2.0), "gain"), r4(trees.leaf_weight(g, h, 1.0, 2.0), "weight"), r4(trees.leaf_weight(g, h, 1.0, 2.0, 0.3), "clipped"), r4(trees.node_gain(g, h, 1.0, 2.0, 0.3), "clipped_gain"))
+
+
+@query(f"with {LI} select case when x0 >= 25 then case when nullif(x2, 0) >= 0.05 then 6 else 5 end else case when nullif(x3, 0) >= 0.03 then 4 else 3 end end as node, count(*) as n, round(sum(x1), 2) as price from li group by 1")
+def route_rows(spark, d):
+    x = lambda i: F.get("features", F.lit(i))
+    present = lambda i: F.when(x(i) != 0, x(i))  # noqa: E731  zero entries are absent ones
+    tree = trees.Tree(nodes={0: (0, 25.0, 0, 0.0), 1: (3, 0.03, 0, 0.0), 2: (2, 0.05, 0, 0.0)}, leaves={n: [float(n)] for n in (3, 4, 5, 6)})
+    rows = li(spark, d).withColumn("node", tree.value(present, 0).cast("int"))
+    return rows.groupBy("node").agg(F.count("*").alias("n"), F.round(F.sum(x(1)), 2).alias("price"))
+
+
+@query(f"with {LI} select row_id, round(0.05e0 + 0.1e0 * (case when x0 >= 25 then 1.5e0 else -0.5e0 end) + 0.1e0 * (case when x0 >= 30 then case when x2 >= 0.05 then 2.0e0 else 1.0e0 end else case when x3 >= 0.03 then -1.0e0 else -2.0e0 end end), 4) as score from li")
+def tree_ensemble_score(spark, d):
+    stump = trees.Tree(nodes={0: (0, 25.0, 0, 0.0)}, leaves={1: [-0.5], 2: [1.5]})
+    deep = trees.Tree(nodes={0: (0, 30.0, 0, 0.0), 1: (3, 0.03, 0, 0.0), 2: (2, 0.05, 0, 0.0)}, leaves={3: [-2.0], 4: [-1.0], 5: [1.0], 6: [2.0]})
+    model = trees.GBDT()
+    model.start, model.trees = [0.05], [stump, deep]
+    scored = model.predict_score(readers.from_dense(li(spark, d)))
+    return scored.select("row_id", r4(F.col("score"), "score"))
+
+
+@query(f"with {LI} select row_id, round((case when x0 >= 25 then 1.0e0 else -1.0e0 end + case when x2 >= 0.05 then 1.0e0 else -1.0e0 end + case when x3 >= 0.03 then -1.0e0 else 1.0e0 end) / 3, 4) as score from li")
+def rf_vote(spark, d):
+    model = trees.RandomBoostedForest()
+    model.start = [0.0]
+    model.trees = [trees.Tree({0: (f, t, 0, 0.0)}, {1: [a], 2: [b]}) for f, t, a, b in ((0, 25.0, -0.5, 0.5), (2, 0.05, 0.0, 0.1), (3, 0.03, 0.2, -0.2))]
+    return model.predict_score(readers.from_dense(li(spark, d))).select("row_id", r4(F.col("score"), "score"))
+
+
+@query(f"with {EL}, b as (select vec_id, label, fid, case when value >= 0.1 then 2 when value >= 0 then 1 else 0 end as bin from el) select c::int as class, fid, bin, round(sum(0.1e0 - (label = c)::int), 4) as g, round(count(*) * 0.09e0, 4) as h from b, unnest(generate_series(0, 9)) as t(c) group by 1, 2, 3")
+def multiclass_histogram(spark, d):
+    binned = em_long(spark, d).withColumn("bin", F.when(F.col("value") >= 0.1, 2).when(F.col("value") >= 0, 1).otherwise(0))
+    sums = binned.groupBy("fid", "bin").agg(F.array(*[F.sum(0.1 - (F.col("label") == c).cast("int")) for c in range(10)]).alias("g"), (F.count("*") * 0.09).alias("h"))
+    return sums.select("fid", "bin", r4(F.col("h"), "h"), F.posexplode("g").alias("class", "x")).select("class", "fid", "bin", r4(F.col("x"), "g"), "h")
+
+
+@query()
+def gbdt_fit_predict(spark, d):
+    rows = readers.from_dense(li(spark, d)).cache()
+    out = trees.GBDT(max_depth=3, num_round=2, min_node_ins=50).fit(rows).predict_score(rows)
+    return out
+
+
+@query()
+def random_forest_fit_predict(spark, d):
+    rows = readers.from_dense(li(spark, d)).cache()
+    return trees.RandomBoostedForest(max_depth=2, num_round=2, min_node_ins=50, feat_sp_ratio=0.9).fit(rows).predict_score(rows)
+
+
+# Factorisation -------------------------------------------------------------------------------
+
+
+@query("select count(*) as n, round(avg(l_quantity), 4) as mean, round(stddev_pop(l_quantity), 4) as std from lineitem")
+def mf_stats(spark, d):
+    return mf.rating_stats(ratings(spark, d)).select("n", r4(F.col("mean"), "mean"), r4(F.col("std"), "std"))
+
+
+@query("select 'u' as side, l_orderkey as id, count(*) as omega from lineitem group by 2 union all select 'v', l_partkey, count(*) from lineitem group by 2")
+def mf_degree(spark, d):
+    r = ratings(spark, d)
+    return mf.degrees(r, "u").select(F.lit("u").alias("side"), F.col("u").alias("id"), "omega").union(mf.degrees(r, "v").select(F.lit("v"), "v", "omega"))
+
+
+# Factors by formula; users divisible by 11 and items divisible by 13 are unknown.
+MFP = "rt as (select l_orderkey as u, l_partkey as v, l_quantity as r from lineitem), pr as (select u, v, r, case when u % 11 = 0 or v % 13 = 0 then 25.5e0 else 4 + (u % 5) * (v % 4) + (u % 3) * (v % 7) / 2.0e0 + 0.25e0 * (u % 7) end as pred from rt)"
+
+
+def _factors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r = ratings(spark, d)
+    p = r.select(F.col("u").alias("id")).distinct().where("id % 11 <> 0").select("id", F.array(F.lit(4.0), F.col("id") % 5, (F.col("id") % 3) / 2.0, 0.25 * (F.col("id") % 7)).cast("array<double>").alias("factors"))
+    q = r.select(F.col("v").alias("id")).distinct().where("id % 13 <> 0").select("id", F.array(F.lit(1.0), F.col("id") % 4, F.col("id") % 7, F.lit(1.0)).cast("array<double>").alias("factors"))
+    return p, q
+
+
+@query(f"with {MFP} select u, v, r, pred from pr")
+def mf_score_fallback(spark, d):
+    return mf.predict(ratings(spark, d), *_factors(spark, d), bias=25.5)
+
+
+@query(f"with {MFP} select round(avg((r - pred) * (r - pred)), 4) as mse, round(sqrt(avg((r - pred) * (r - pred))), 4) as rmse, round(avg(abs(r - pred)), 4) as mae, round(avg(r * ln(r / greatest(pred, 1e-10)) - r + pred), 4) as gkl, round(avg(case when r > 0 then ln(1 + exp(-pred)) else ln(1 + exp(pred)) end), 4) as logloss, round(avg(case when (r > 0) = (pred > 0) then 1.0e0 else 0.0e0 end), 4) as accuracy from pr")
+def mf_metrics(spark, d):
+    m = mf.evaluate(mf.predict(ratings(spark, d), *_factors(spark, d), bias=25.5), list(mf.METRICS))
+    return m.select(*[r4(F.col(c), c) for c in m.columns])
+
+
+@query("with f as (select l_orderkey as u, count(*) as omega from lineitem group by 1 having l_orderkey % 11 <> 0) select round(sum(omega * (0.1e0 * (4 + u % 5 + (u % 3) / 2.0e0 + 0.25e0 * (u % 7)) + 0.01e0 * (16 + pow(u % 5, 2) + pow((u % 3) / 2.0e0, 2) + pow(0.25e0 * (u % 7), 2)))), 4) as penalty from f")
+def mf_penalty(spark, d):
+    p, _ = _factors(spark, d)
+    return mf.penalty(p, mf.degrees(ratings(spark, d), "u").withColumnRenamed("u", "id"), 0.1, 0.01).select(r4(F.col("penalty"), "penalty"))
+
+
+@query("select (l_orderkey // 1000) * 100 + l_partkey // 50 as tile, count(*) as n, round(sum(l_quantity), 2) as total from lineitem group by 1")
+def mf_grid_tiles(spark, d):
+    t = ratings(spark, d).withColumn("tile", mf.tile(F.col("u"), F.col("v"), 100, 1000, 50).cast("bigint"))
+    return t.groupBy("tile").agg(F.count("*").alias("n"), F.round(F.sum("r"), 2).alias("total"))
+
+
+@query("with cd as (select c_nationkey as u, c_custkey as v, round(c_acctbal, 0) as pred, case when c_mktsegment = 'BUILDING' then 1 else 0 end as pos from customer), rk as (select *, rank() over (partition by u order by pred) - 1 as below from cd), pr as (select a.u, sum(case when a.pred > b.pred then 1.0e0 when a.pred = b.pred then 0.5e0 else 0.0e0 end) as won from cd a join cd b on a.u = b.u and a.pos = 1 and b.pos = 0 group by a.u), ct as (select u, sum(pos) as np, count(*) as n, sum(case when pos = 1 then below end) as ranks from rk group by u) select u, round(won / (np * (n - np)), 4) as auc, round(1 - ranks / (np * (n - 1))::double, 4) as mpr from ct join pr using (u) where np > 0 and np < n")
+def mf_mpr_auc(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("u"), F.col("c_custkey").alias("v"), F.round("c_acctbal", 0).alias("pred"), "c_mktsegment")
+    m = mf.rank_metrics(c.where("c_mktsegment = 'BUILDING'"), c.select("u", "v", "pred"))
+    return m.select("u", r4(F.col("auc"), "auc"), r4(F.col("mpr"), "mpr"))
+
+
+@query()
+def nmf_fit(spark, d):
+    model = mf.NMF(num_epoch=1).fit(ratings(spark, d).select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "r"))
+    return model.p.select(F.lit("p").alias("side"), "id", "factors").union(model.q.select(F.lit("q"), "id", "factors"))
+
+
+# Topics --------------------------------------------------------------------------------------
+
+
+@query(f"with {TOK} select count(*) as n_tokens, count(distinct doc_id) as n_docs, count(distinct word) as n_words, max(pos) + 1 as longest from tk")
+def corpus_stats(spark, d):
+    return tokens(spark, d).agg(F.count("*").alias("n_tokens"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("word").alias("n_words"), (F.max("pos") + 1).cast("bigint").alias("longest"))
+
+
+@query(f"with {TOK} select word, count(*) as n, count(distinct doc_id) as docs from tk group by word")
+def word_doc_counts(spark, d):
+    per_doc = tokens(spark, d).groupBy("word", "doc_id").agg(F.count("*").alias("c"))
+    return per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+
+
+@query(f"with {TOK}, wc as (select len(word)::int as word_id, count(*) as n from tk group by 1) select word_id, n, coalesce(sum(n) over (order by word_id rows between unbounded preceding and 1 preceding), 0)::bigint as first from wc")
+def corpus_offsets(spark, d):
+    return readers.corpus_index(tokens(spark, d).select(F.length("word").alias("word_id")))
+
+
+TOPIC = TOK + ", tt as (select doc_id, word, (doc_id * 31 + pos * 17) % 10 as topic from tk)"
+
+
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).select("doc_id", F.col("word").alias("word_id"), F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17, F.lit(10)).alias("topic"))
+
+
+@query(f"with {TOPIC} select 'doc' as kind, topic, count(*) as cells, sum(n)::bigint as n from (select doc_id, topic, count(*) as n from tt group by 1, 2) group by topic union all select 'word', topic, count(*), sum(n)::bigint from (select word, topic, count(*) as n from tt group by 1, 2) group by topic")
+def lda_init_counts(spark, d):
+    t = _topics(spark, d)
+    sums = lambda df, kind: df.groupBy("topic").agg(F.count("*").alias("cells"), F.sum("n").alias("n")).select(F.lit(kind).alias("kind"), "topic", "cells", "n")
+    return sums(topics.doc_topic(t), "doc").union(sums(topics.word_topic(t), "word"))
+
+
+@query(f"with {TOPIC}, wk as (select word, topic, count(*) as n from tt group by 1, 2), kk as (select topic, count(*) as n from tt group by 1), vv as (select count(distinct word) as v from tt) select wk.word, wk.topic, round(1000 * (wk.n + 0.001e0) / (kk.n + vv.v * 0.001e0), 4) as weight from wk join kk using (topic), vv")
+def lda_word_topic_weight(spark, d):
+    t = _topics(spark, d)
+    size = t.select(F.countDistinct("word_id").alias("v")).first().v
+    joined = topics.word_topic(t).join(topics.topic_totals(t).withColumnRenamed("n", "k"), "topic")
+    return joined.select(F.col("word_id").alias("word"), "topic", r4(1000 * (F.col("n") + 0.001) / (F.col("k") + size * 0.001), "weight"))
+
+
+@query(f"with {TOPIC} select round(sum(lgamma(n + 0.5e0) - lgamma(0.5e0)), 2) as s from (select doc_id, topic, count(*) as n from tt group by 1, 2)")
+def lda_log_gamma(spark, d):
+    import math
+
+    n = topics.doc_topic(_topics(spark, d)).withColumn("n", F.col("n").cast("double"))
+    return n.agg(F.round(F.sum(topics.log_gamma(F.col("n") + 0.5) - math.lgamma(0.5)), 2).alias("s"))
+
+
+@query()
+def lda_fit(spark, d):
+    """Topics of words by their first two letters: a small vocabulary over whole documents."""
+    code = (F.ascii("word") - 97) * 26 + F.greatest(F.ascii(F.substring("word", 2, 1)) - 97, F.lit(0))
+    corpus = tokens(spark, d).select("doc_id", "pos", code.cast("int").alias("word_id"))
+    model = topics.LDA(num_words=26 * 26, num_topics=5, num_iters=1).fit(corpus)
+    return topics.word_topic(model.tokens)
+
+
+# Distributed state ---------------------------------------------------------------------------
+
+
+def _vector(spark, d, name, value):
+    n = table(spark, d, "part").count()
+    v = state.DistributedVector.zeros(spark, n + 1)
+    return v.push(table(spark, d, "lineitem").select(F.col("l_partkey").alias("idx"), F.col(value).alias("value")))
+
+
+PV = "sz as (select count(*) as n from part), ix as (select unnest(generate_series(0, n)) as idx from sz), qv as (select idx, coalesce(sum(l_quantity), 0) as q, coalesce(sum(l_discount), 0) as t from ix left join lineitem on l_partkey = idx group by idx)"
+
+
+@query(f"with {PV} select idx, round(q, 4) as value from qv")
+def ps_push_pull(spark, d):
+    return _vector(spark, d, "q", "l_quantity").pull().select("idx", r4(F.col("value"), "value"))
+
+
+@query(f"with {PV} select round(sum(q * t), 4) as dot from qv")
+def ps_dot(spark, d):
+    return _vector(spark, d, "q", "l_quantity").dot(_vector(spark, d, "t", "l_discount")).select(r4(F.col("dot"), "dot"))
+
+
+@query(f"with {PV} select idx, round(q + 0.5e0 * t + 1, 4) as value from qv")
+def ps_axpy(spark, d):
+    return _vector(spark, d, "q", "l_quantity").axpy(0.5, _vector(spark, d, "t", "l_discount"), 1.0).pull().select("idx", r4(F.col("value"), "value"))
+
+
+@query(f"with {PV} select round(sqrt(sum((q - t) * (q - t))), 4) as norm2, count(case when t <> 0 then 1 end) as nnz from qv")
+def ps_norm2_nnz(spark, d):
+    q, t = _vector(spark, d, "q", "l_quantity"), _vector(spark, d, "t", "l_discount")
+    return q.minus(t).norm2().select(r4(F.col("norm2"), "norm2")).join(t.nnz())
+
+
+@query("select n_regionkey::bigint as col, round(sum(s_acctbal), 4) as a, count(*)::double as b from supplier join nation on s_nationkey = n_nationkey group by 1")
+def ps_matrix_columns(spark, d):
+    m = state.DistributedMatrix.zeros(spark, 2, 5)
+    joined = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    m = m.push_cols(joined.select(F.col("n_regionkey").cast("bigint").alias("col"), F.array("s_acctbal", F.lit(1.0)).alias("values")))
+    wanted = joined.select(F.col("n_regionkey").cast("bigint").alias("col")).distinct()
+    return m.pull_cols(wanted).select("col", r4(F.get("values", F.lit(0)), "a"), F.get("values", F.lit(1)).alias("b"))
+
+
+# Streaming's batch form ----------------------------------------------------------------------
+
+
+@query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total, round(sum(0.1e0 * value - 0.5e0), 4) as score from events group by 1, 2")
+def event_scoring(spark, d):
+    from ..streaming import scoring
+
+    scored = scoring.score_stream(table(spark, d, "events"), [0.1], -0.5, [F.col("value")])
+    both = scored.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), r4(F.sum("value"), "total"), r4(F.sum("score"), "score"))
+    return both.select("event_type", F.col("window.start").alias("hour"), "n", "total", "score")
