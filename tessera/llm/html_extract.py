@@ -30,7 +30,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _LEFT_OUT = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe map math menu nav noscript object script select style svg template textarea title video".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|recommended|related|reply|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
+_NAMES = re.compile(r"(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:^|(?<=[\s_-]))(?:ad|ads|adv|advert|advertisement|advertising|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|recommended|related|reply|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
+_PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top)[_-]?)?header(?:$|\s)", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SECTIONS = frozenset(("article", "main"))
 
@@ -76,14 +77,15 @@ class _Lines(HTMLParser):
                     break
                 if self.stack[at][0] in _BLOCK:
                     break
-        left_out = self.out or tag in _LEFT_OUT
+        # an article's own header has its title
+        left_out = self.out or tag in _LEFT_OUT and not (tag == "header" and self.region)
         for name, value in attrs:
             if not value:
                 left_out = left_out or name == "hidden"
             elif name == "role":
                 left_out = left_out or value.lower() in _ROLES
             elif name in ("class", "id") and tag not in ("html", "body"):
-                left_out = left_out or bool(_NAMES.search(value))
+                left_out = left_out or bool(_NAMES.search(value)) or not self.region and bool(_PAGE_HEADER.search(value))
             elif name == "aria-hidden":
                 left_out = left_out or value == "true"
         if tag in _SECTIONS:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, host_quality, html_extract, language_id, prefix_join, secret_scan, token_store, url_filter, warc
+from . import bpe, decontaminate, host_quality, html_extract, language_id, oracles, prefix_join, secret_scan, token_store, url_filter, warc
 from .textkit import shared_dir
 
 
@@ -87,4 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
+# Merged bytes, learned languages and models, and markup are beyond SQL: tests hold those queries
+# against brute force, an exact round trip or held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op5_decontamination": oracles.OP5,
+    "op6_prefix_join": oracles.OP6,
+    "op8_url_filter": oracles.op8(URL_RULES, url_filter.BLOCKED_LABELS),
+    "op9_host_quality": oracles.OP9,
+    "op10_warc": oracles.OP10,
+}

@@ -287,6 +287,8 @@ def test_html_extraction(spark):
     frame = "<html><head><title>t</title><script>var a='</p>';</script></head><body><header>Site</header><nav>{s}</nav><div class='cookie-notice'>We use cookies</div>{m}<aside>{s}</aside><section id='comments'><p>Nice post, thank you very much for writing it!</p></section><form><p>Sign up</p></form><footer>(c)</footer>"
     for main in (f"<article><h1>Title</h1>{body}</article>", f"<main><h1>Title</h1>{body}</main>"):
         assert html_extract.extract(frame.format(s=side, m=main)) == want
+    wrapped = "<div class='content has-sidebar'><article><header class='entry-header'><h1>Title</h1></header>" + body + "<div class='post-tags share'>x</div></article></div>"
+    assert html_extract.extract(frame.format(s=side, m=wrapped)) == want
     loose = html_extract.extract(frame.format(s=side, m=f"<div>{body}</div>"))
     assert "Paragraph 3" in loose and "go 3" not in loose and "cookies" not in loose
     assert [html_extract.extract(x) for x in (None, "", "<nav>x</nav>", "<p", "plain")] == ["", "", "", "", "plain"]
