@@ -157,6 +157,9 @@ def extract(html: str | None) -> str:
     """Main text of a page: blocks in page order, one per line."""
     if not html:
         return ""
+    cut = html.rfind("<")
+    if cut > html.rfind(">") and re.match("[A-Za-z/!?]", html[cut + 1 :]):
+        html = html[:cut]  # the page breaks off within a tag
     parser = _Lines()
     parser.feed(html)
     parser.close()

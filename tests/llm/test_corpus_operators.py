@@ -291,7 +291,7 @@ def test_html_extraction(spark):
     assert html_extract.extract(frame.format(s=side, m=wrapped)) == want
     loose = html_extract.extract(frame.format(s=side, m=f"<div>{body}</div>"))
     assert "Paragraph 3" in loose and "go 3" not in loose and "cookies" not in loose
-    assert [html_extract.extract(x) for x in (None, "", "<nav>x</nav>", "<p", "plain")] == ["", "", "", "", "plain"]
+    assert [html_extract.extract(x) for x in (None, "", "<nav>x</nav>", "plain", "text <p cla")] == ["", "", "", "plain", "text"]
     df = spark.createDataFrame([(1, "u", frame.format(s=side, m=f"<article><h1>Title</h1>{body}</article>")), (2, None, None)], "page_id long, url string, html string")
     got = by_id(html_extract.extract_pages(df), "page_id")
     assert got[1].text == want and got[1].n_chars == len(want) and got[2].text == ""
