@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from ..sources import persist
 from ..sources.storage import materialize
-from .params import Params, require
+from .params import Params, frame_of, require
 
 TILE_RATINGS = 200_000
 
@@ -29,6 +29,8 @@ OBJECTIVES: dict[str, Callable] = {
     "kl": lambda r, p: r / max(p, 1e-10) - 1,
     "logistic": lambda r, p: r / (1 + np.exp(r * p)) if r > 0 else -1 / (1 + np.exp(-p)),
     "squared-hinge": lambda r, p: (1 if r > 0 else -1) * max(0.0, 1 - (1 if r > 0 else -1) * p),
+    # pairwise: a positive against a drawn item of its tile; p is the difference of the scores
+    "bpr": lambda r, p: 1 / (1 + np.exp(p)),
     "hinge": lambda r, p: (1 if r > 0 else -1) if (1 if r > 0 else -1) * p < 1 else 0.0,
 }
 
@@ -102,7 +104,7 @@ class NMF:
         self.history: list[tuple] = []
 
     def fit(self, ratings: DataFrame, valid: DataFrame | None = None) -> NMF:
-        p = self.params
+        p, ratings, valid = self.params, frame_of(ratings), frame_of(valid)
         n, mean, std = rating_stats(ratings).first()
         regression = p["objective"] in ("l2", "l1", "kl")
         scale = max(1e-4, std or 0.0) if regression else 1.0
@@ -145,7 +147,7 @@ class NMF:
         return both[0], both[1]
 
     def predict(self, pairs: DataFrame) -> DataFrame:
-        return predict(pairs, self.p, self.q, self.bias, self.params["objective"] not in ("l2", "l1", "kl"))
+        return predict(frame_of(pairs), self.p, self.q, self.bias, self.params["objective"] not in ("l2", "l1", "kl"))
 
     def save_model(self, spark: SparkSession, path: str) -> None:
         persist.save(spark, path, self.name, {**self.params, "bias": self.bias}, {"p": self.p, "q": self.q})
@@ -175,6 +177,9 @@ def _tile_worker(params: dict, scale: float, epoch: int):
         order = np.random.default_rng([params["seed"], epoch]).permutation(len(ratings))
         (_, p, gp), (_, q, gq) = sides
         values = ratings.r.to_numpy(float)
+        if params["objective"] == "bpr":
+            _pairwise(p, q, gp, gq, at, order, np.random.default_rng([params["seed"], epoch, 1]), lr, l2)
+            order = []
         for i in order:
             u, v = at[0][i], at[1][i]
             z = residual(values[i], p[u] @ q[v])
@@ -195,6 +200,20 @@ def _tile_worker(params: dict, scale: float, epoch: int):
     return work
 
 
+def _pairwise(p, q, gp, gq, at, order, rng, lr, l2):
+    """One pass of pairwise steps: the positive's score is raised over that of a drawn item."""
+    drawn = rng.integers(0, len(q), len(at[0]))
+    for i in order:
+        u, v, w = at[0][i], at[1][i], drawn[i]
+        if v == w:
+            continue
+        z = 1 / (1 + np.exp(p[u] @ (q[v] - q[w])))
+        grads = -z * (q[v] - q[w]) + l2 * p[u], -z * p[u] + l2 * q[v], z * p[u] + l2 * q[w]
+        for x, acc, g in ((p[u], gp[u], grads[0]), (q[v], gq[v], grads[1]), (q[w], gq[w], grads[2])):
+            x -= lr / np.sqrt(acc[0]) * g
+            acc[0] += float((g**2).mean())
+
+
 def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0) -> DataFrame:
     """(u, v, w): each positive with a negative item drawn from all but its own."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "u", "v"), F.lit(max(1, items - 1))).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from .params import Params
+from .params import Params, frame_of
 
 BLOCK_BYTES = 64 << 20
 
@@ -80,6 +80,15 @@ def vote(neighbours: DataFrame, num_label: int) -> DataFrame:
     return neighbours.groupBy("query").agg(F.array(*counts).alias("raw")).select("query", V.softmax("raw").alias("score"))
 
 
+def dense(rows: DataFrame) -> DataFrame:
+    """Sparse rows as dense ones of equal length; an absent entry is zero."""
+    if "features" in rows.columns:
+        return rows
+    dim = (rows.agg(F.max(F.array_max("indices"))).first()[0] or 0) + 1
+    m = F.map_from_arrays("indices", "values")
+    return rows.withColumn("__m", m).withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("__m"), i), F.lit(0.0)))).drop("__m")
+
+
 class KNN:
     """Lazy learner: labelled rows come with every call."""
 
@@ -91,6 +100,9 @@ class KNN:
     name = "KNN"
 
     def predict_score(self, labeled: DataFrame, data: DataFrame) -> DataFrame:
+        both = frame_of(labeled).withColumn("__side", F.lit(1)).unionByName(frame_of(data).withColumn("__side", F.lit(0)), allowMissingColumns=True)
+        both = dense(both)
+        labeled, data = (both.where(F.col("__side") == k).drop("__side") for k in (1, 0))
         return vote(nearest(data, labeled, self.params["num_neighbor"]), self.params["num_label"])
 
     def predict_proba(self, labeled: DataFrame, data: DataFrame) -> DataFrame:
@@ -100,5 +112,6 @@ class KNN:
     def evaluate(self, labeled: DataFrame, data: DataFrame, metrics: list[str]) -> DataFrame:
         from ..functions.metrics import evaluate
 
+        data = frame_of(data)
         scored = self.predict_score(labeled, data).join(data.select(F.col("row_id").alias("query"), "label"), "query")
         return evaluate(scored, metrics, "multi")

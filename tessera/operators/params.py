@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,30 @@ def require(ok: bool, message: str) -> None:
         raise ValueError(message)
 
 
+def frame_of(data):
+    """The DataFrame of a data set, or the value itself."""
+    return getattr(data, "frame", data)
+
+
+def parse(text: str, like):
+    """A parameter's text as the type of its default."""
+    if isinstance(like, bool):
+        if text.lower() not in ("true", "false", "1", "0"):
+            raise ValueError(f"not a boolean: {text}")
+        return text.lower() in ("true", "1")
+    if isinstance(like, (list, tuple)):
+        return [parse(x, like[0] if like else "") for x in text.split(",") if x]
+    return type(like)(text)
+
+
+def _takes_frames(f):
+    @wraps(f)
+    def call(self, *data, **named):
+        return f(self, *map(frame_of, data), **{k: frame_of(v) for k, v in named.items()})
+
+    return call
+
+
 class Supervised:
     """fit, predict_score, predict_proba, evaluate, save_model and load_model.
 
@@ -36,6 +62,18 @@ class Supervised:
     regression = False
     signed = False
 
+    def __init_subclass__(cls, **kwargs):
+        super().__init_subclass__(**kwargs)
+        for name in ("fit", "predict_score"):
+            if name in cls.__dict__:
+                setattr(cls, name, _takes_frames(cls.__dict__[name]))
+
+    @classmethod
+    def from_args(cls, args: dict[str, str]):
+        """From texts; names that the learner doesn't know are skipped."""
+        known = cls.defaults()
+        return cls(**{k.lower(): parse(v, known[k.lower()]) for k, v in args.items() if k.lower() in known})
+
     def __init__(self, **values):
         aux = values.pop("aux_args", None) or {}
         values.pop("parallel", None)  # every fit is distributed
@@ -67,6 +105,7 @@ class Supervised:
         return scored.select("row_id", (V.softmax("score") if vector else V.sigmoid("score")).alias("proba"))
 
     def evaluate(self, data: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+        data = frame_of(data)
         names = metrics or [m for m in str(self.params.get("metrics", "")).split(",") if m]
         scored = self.predict_score(data).join(data.select("row_id", "label"), "row_id")
         vector = scored.schema["score"].dataType.typeName() == "array"
