@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,10 +73,22 @@ def bin_values(long: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, ratio: float, seed: int, key: str = "row_id") -> DataFrame:
-    """ceil(ratio * n) rows without replacement, the same ones for any partitioning."""
-    n = df.count()
-    keep = -(-n * ratio // 1)
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(int(keep))
+    """ceil(ratio * n) rows without replacement, the same ones for any partitioning: those with the
+    smallest hashes of their key. Counts per 16-bit hash prefix find the prefix in which the last
+    row lies, and only that prefix's rows are sorted."""
+    h = F.xxhash64(F.lit(seed), key)
+    hashed = df.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned(h, 48))
+    counts = sorted((r["__b"], r["count"]) for r in hashed.groupBy("__b").count().collect())  # 65,536 rows at most
+    keep = math.ceil(ratio * sum(c for _, c in counts))
+    for bucket, c in counts:
+        if keep <= c:
+            break
+        keep -= c
+    else:
+        return df
+    last = hashed.where(F.col("__b") == bucket).select("__h", key).orderBy("__h", key).limit(keep).agg(F.max(F.struct("__h", key)).alias("m")).first().m
+    inside = (F.col("__b") == bucket) & (F.struct("__h", key) <= F.struct(F.lit(last[0]).alias("__h"), F.lit(last[1]).alias(key)))
+    return hashed.where((F.col("__b") < bucket) | inside).drop("__h", "__b")
 
 
 def fold(key: Column, k: int, seed: int = 0) -> Column:

@@ -21,7 +21,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add consecutive numbers in partition order: sizes of partitions first, then offsets, so that
-    no row moves."""
+    no row moves. For scans and what follows them row by row, whose partitions are the same in
+    every run; a sort draws its ranges anew."""
     tagged = df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     sizes = {r["__p"]: r["count"] for r in tagged.groupBy("__p").count().collect()}  # one row per partition
     offsets, at = {}, 0

@@ -94,6 +94,13 @@ def test_labels_are_checked(spark, toy):
         trees.RandomBoostedForest(multi_tree=True)
 
 
+def test_sample_is_exact_and_stable(spark):
+    df = spark.range(1000).withColumnRenamed("id", "row_id")
+    some = {r.row_id for r in stats.sample_rows(df, 0.3001, 5).collect()}
+    assert len(some) == 301 and some == {r.row_id for r in stats.sample_rows(df.repartition(7), 0.3001, 5).collect()}
+    assert stats.sample_rows(df, 1.0, 5).count() == 1000 and stats.sample_rows(df.limit(0), 0.5, 5).count() == 0
+
+
 def test_knn_blocks_and_ties(spark):
     points = spark.createDataFrame([(i, i % 2, [float(i // 2), 0.0]) for i in range(40)], "row_id bigint, label int, features array<double>")
     one = neighbors.nearest(points, points, 3).select("query", "neighbour", "rank").collect()
