@@ -11,7 +11,8 @@
 4. Each coarse group is joined by a trie of its ordered sets: a query set goes down level by level,
    the overlap of a path is shared by all sets below it, and a subtree is pruned once the overlap
    so far plus what remains on either side cannot reach the bound. Groups over `block` sets are cut
-   into blocks by size class and hash, and pairs of blocks that sizes allow are joined.
+   into blocks, twice and differently; what is then outside the group's largest component is joined
+   with all of that component, and among itself, in blocks that sizes allow.
 5. Links (a spanning forest per block loses none) become components.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component.
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import Forest, connected
 from .textkit import materialize, mix64, shingle_hashes, texts_of, words_by_row
 
 _PACKET = "part bigint, tag bigint, kind int, blob binary"
@@ -260,7 +261,7 @@ class PrefixTree:
                     inner = start + len(here) if reach == shortest else start
                     todo.append((inner, k, reach, level + 1, len(levels[level]) - 1))
                 start = k
-        self.levels = []
+        self.levels, self.single = [], []
         for nodes in levels:
             if not nodes:
                 continue
@@ -270,20 +271,37 @@ class PrefixTree:
             owners = np.repeat(np.arange(len(nodes)), [len(x[2]) for x in nodes])
             held = np.array([i for x in nodes for i in x[2]], np.int64)
             self.levels.append((parent, np.concatenate([x[1] for x in nodes]), ends, last, np.array([x[3] for x in nodes]), np.array([x[4] for x in nodes]), owners, held))
-
-    def partners(self, query: np.ndarray, size: int, percent: int, mark: np.ndarray) -> np.ndarray:
-        """Sets that link with the query; mark is a zeroed array over all elements."""
+            self.single.append(np.full(len(nodes), -1, np.int64))
+
+    def settle(self, component: np.ndarray) -> None:
+        """Note for every node which single component all its sets are in, or -1."""
+        below: np.ndarray | None = None
+        for k in range(len(self.levels) - 1, -1, -1):
+            parent, _, _, _, _, _, owners, held = self.levels[k]
+            low, high = np.full(len(parent), np.iinfo(np.int64).max), np.full(len(parent), -1, np.int64)
+            np.minimum.at(low, owners, component[held])
+            np.maximum.at(high, owners, component[held])
+            if below is not None:
+                up = self.levels[k + 1][0]
+                np.minimum.at(low, up, below[0])
+                np.maximum.at(high, up, below[1])
+            below = low, high
+            self.single[k] = np.where(low == high, low, -1)
+
+    def partners(self, query: np.ndarray, size: int, percent: int, mark: np.ndarray, own: int = -2) -> np.ndarray:
+        """Sets that link with the query, but for those in subtrees that settle() found to be all of
+        component `own`; mark is a zeroed array over all elements."""
         mark[query] = 1
         found, active, overlap = [], None, None
-        for parent, elements, ends, last, far, least, owners, held in self.levels:
+        for k, (parent, elements, ends, last, far, least, owners, held) in enumerate(self.levels):
             if active is None:
-                nodes = np.arange(len(parent))
-                before = np.zeros(len(parent), np.int64)
+                nodes = np.flatnonzero(self.single[k] != own)
+                before = np.zeros(len(nodes), np.int64)
             else:
                 alive = np.full(active[1], -1, np.int64)
                 alive[active[0]] = overlap
                 before = alive[parent]
-                nodes = np.flatnonzero(before >= 0)
+                nodes = np.flatnonzero((before >= 0) & (self.single[k] != own))
                 before = before[nodes]
             if not len(nodes):
                 break
@@ -309,8 +327,14 @@ class PrefixTree:
         return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def forest(ids: list, sizes: list[int], elements: list[bytes], prefixes: list[int], sides: list[int], percent: int) -> list[tuple]:
-    """A spanning forest of the links among the sets (sides all 0), or between sides 0 and 1."""
+def forest(ids: list, sizes: list[int], elements: list[bytes], prefixes: list[int], sides: list[int], roots: list, percent: int) -> list[tuple]:
+    """A spanning forest of the links among the sets (sides all 0), or between sides 0 and 1, as
+    stars around the smallest id.
+
+    Sets of one root are in one component from the start. Sets that are in one component need no
+    further link: subtrees of the query's own component are passed over, and the search ends when
+    one component is left.
+    """
     raw = [np.frombuffer(e, _ELEMENT) for e in elements]
     cuts = np.cumsum([0] + [len(x) for x in raw])
     hashes, df = (np.concatenate([x[f] for x in raw]).astype(t) for f, t in (("h", np.uint64), ("df", np.uint32)))
@@ -320,24 +344,29 @@ def forest(ids: list, sizes: list[int], elements: list[bytes], prefixes: list[in
     codes = rank[codes]
     sets = [codes[a:b] for a, b in zip(cuts, cuts[1:])]
     size, prefix, side = np.array(sizes, np.int64), np.array(prefixes, np.int64), np.array(sides)
-    two = side.any()
     built = np.flatnonzero(side == 0)
+    asking = np.flatnonzero(side == 1) if side.any() else built
+    if not len(built) or not len(asking):
+        return []
     tree = PrefixTree([sets[i] for i in built], size[built], prefix[built])
-    mark, parent, links = np.zeros(len(kinds), np.int64), list(range(len(sets))), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for q in np.flatnonzero(side == 1) if two else built:
-        for j in built[tree.partners(sets[q], int(size[q]), percent, mark)].tolist():
-            a, b = root(int(q)), root(j)
-            if a != b:
-                parent[a] = b
-                links.append((ids[q], ids[j]))
-    return links
+    mark, joined = np.zeros(len(kinds), np.int64), Forest()
+    first_of: dict = {}
+    for i, r in enumerate(roots):
+        joined.join(i, first_of.setdefault(r, i))
+    left, settled = len(first_of), len(sets)
+    for turn, q in enumerate(asking.tolist()):
+        if left <= 0.9 * settled:
+            tree.settle(np.array([joined.root(i) for i in built.tolist()], np.int64))
+            settled = left
+        for j in built[tree.partners(sets[q], int(size[q]), percent, mark, joined.root(q) if settled < len(sets) else -2)].tolist():
+            left -= joined.join(q, j)
+        if left == 1:
+            break
+    least: dict[int, int] = {}
+    for i in list(joined.up):
+        r = joined.root(i)
+        least[r] = min(ids[i], least.get(r, ids[i]))
+    return [(ids[i], least[joined.root(i)]) for i in list(joined.up) if ids[i] != least[joined.root(i)]]
 
 
 def _join_blocks(percent: int):
@@ -361,28 +390,79 @@ def _join_blocks(percent: int):
     return run
 
 
-def _blocks(sets: DataFrame, coarse: DataFrame, percent: int, block: int) -> DataFrame:
-    """(block, id, n, elements, prefix, side), a row for each block that a set takes part in."""
-    placed = sets.select("id", "n").join(coarse.withColumnsRenamed({"node": "id", "root": "grp"}), "id")
+_ROW = ["block", "id", "n", "elements", "prefix", "side", "root"]
+
+
+def _within(placed: DataFrame, turn: int, block: int) -> DataFrame:
+    """(block, id, side) that cut each group by a hash of the id into runs of about `block` sets; a
+    small group is one run, in the first turn."""
+    some = placed if turn == 0 else placed.where(F.col("members") > block)
+    cut = F.pmod(F.xxhash64(F.lit(turn), "id"), F.ceil(F.col("members") / block))
+    return some.select("id", F.struct("grp", F.lit(turn).cast("bigint").alias("x"), cut.alias("i"), F.lit(0).cast("bigint").alias("j")).alias("block"), F.lit(0).alias("side"), F.col("id").alias("root"))
+
+
+def _against_main(placed: DataFrame, block: int) -> DataFrame:
+    """Blocks for the sets of large groups that are outside their group's largest component: all
+    cuts of that component which sizes allow."""
+    main = placed.where("root = main").groupBy("grp", "cls").agg(F.ceil(F.count("*") / block).alias("cuts"))
+    inside = placed.where("root = main").join(main, ["grp", "cls"])
+    cut = F.pmod(F.xxhash64("id"), F.col("cuts"))
     # sizes of linking sets differ by a factor of at most 100 / percent: by one class or none
-    placed = placed.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
-    counts = placed.groupBy("grp").agg(F.count("*").alias("members"))
+    near = placed.where("root <> main").withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1))).join(main, ["grp", "cls"])
+    near = near.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+    place = lambda c: F.struct("grp", (100 + F.col("cls")).cast("bigint").alias("x"), c.alias("i"), F.lit(-1).cast("bigint").alias("j")).alias("block")
+    return inside.select("id", place(cut), F.lit(0).alias("side"), "root").union(near.select("id", place(F.col("cut")), F.lit(1), "root"))
+
+
+def _among_others(placed: DataFrame, block: int) -> DataFrame:
+    """Blocks that pair all sets of large groups outside the largest components, as sizes allow."""
+    placed = placed.where("root <> main")
     classes = placed.groupBy("grp", "cls").agg(F.ceil(F.count("*") / block).alias("cuts"))
     lower = classes.select("grp", (F.col("cls") + 1).alias("cls"), F.col("cuts").alias("below"))
     upper = classes.select("grp", (F.col("cls") - 1).alias("cls"), F.col("cuts").alias("above"))
-    classes = classes.join(lower, ["grp", "cls"], "left").join(upper, ["grp", "cls"], "left").join(counts, "grp")
-    # small group: one block. Otherwise pairs of cuts within the class and with the next class up.
-    one = "array(named_struct('x', -1L, 'i', 0L, 'j', 0L, 'side', 0))"
-    within = "transform(sequence(0L, cuts - 1), k -> named_struct('x', 2L * cls, 'i', least(k, cut), 'j', greatest(k, cut), 'side', if(k < cut, 1, 0)))"
-    up = "if(above is null, array(), transform(sequence(0L, above - 1), k -> named_struct('x', 2L * cls + 1, 'i', cut, 'j', k, 'side', 0)))"
-    down = "if(below is null, array(), transform(sequence(0L, below - 1), k -> named_struct('x', 2L * cls - 1, 'i', k, 'j', cut, 'side', 1)))"
+    classes = classes.join(lower, ["grp", "cls"], "left").join(upper, ["grp", "cls"], "left")
+    within = "transform(sequence(0L, cuts - 1), k -> named_struct('x', 2000 + 2L * cls, 'i', least(k, cut), 'j', greatest(k, cut), 'side', if(k < cut, 1, 0)))"
+    up = "if(above is null, array(), transform(sequence(0L, above - 1), k -> named_struct('x', 2001 + 2L * cls, 'i', cut, 'j', k, 'side', 0)))"
+    down = "if(below is null, array(), transform(sequence(0L, below - 1), k -> named_struct('x', 1999 + 2L * cls, 'i', k, 'j', cut, 'side', 1)))"
     rows = placed.join(classes, ["grp", "cls"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
-    rows = rows.select("id", "grp", F.expr(f"explode(if(members <= {block}, {one}, concat({within}, {up}, {down})))").alias("p"))
-    rows = rows.select("id", F.struct("grp", "p.x", "p.i", "p.j").alias("block"), "p.side")
-    return rows.join(sets, "id").select("block", "id", "n", "elements", "prefix", "side")
+    rows = rows.select("id", "grp", "root", F.explode(F.expr(f"concat({within}, {up}, {down})")).alias("p"))
+    return rows.select("id", F.struct("grp", "p.x", "p.i", "p.j").alias("block"), "p.side", "root")
+
+
+def _links(places: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    rows = places.join(sets, "id").select(*_ROW)
+    links = rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_join_blocks(percent), "a bigint, b bigint")
+    return materialize(links, "links")
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
+def _join_groups(sets: DataFrame, coarse: DataFrame, percent: int, parts: int, block: int) -> DataFrame:
+    """(node, root): components of the sets' links.
+
+    Two turns of runs within each group link what is alike: small groups whole, and large ones so
+    far that near copies are one component each. What is outside a large group's largest component
+    is then held against all of it and among itself, so a group of copies costs in proportion to
+    its size, and no link is left out.
+    """
+    placed = sets.select("id", "n").join(coarse.withColumnsRenamed({"node": "id", "root": "grp"}), "id")
+    placed = materialize(placed.join(placed.groupBy("grp").agg(F.count("*").alias("members")), "grp"), "placed")
+    places = _within(placed, 0, block)
+    large = placed.where(F.col("members") > block)
+    any_large = bool(large.take(1))
+    roots = connected(_links(places.union(_within(placed, 1, block)) if any_large else places, sets, percent, parts))
+    if not any_large:
+        return roots
+    known = large.join(roots.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = known.groupBy("grp", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("grp").agg(F.max(F.struct("c", "root"))["root"].alias("main"))
+    known = known.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
+    known = materialize(known.join(main, "grp"), "known")
+    if not known.where("root <> main").take(1):
+        return roots
+    more = _links(_against_main(known, block).union(_among_others(known, block)), sets, percent, parts)
+    return connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -398,9 +478,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: s
     least = tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     near = tokens.join(least, "token").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     coarse = materialize(connected(materialize(near, "coarse-edges")), "coarse")
-    rows = _blocks(sets, coarse, percent, block)
-    links = rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_join_blocks(percent), "a bigint, b bigint")
-    roots = connected(materialize(links, "links"))
+    roots = _join_groups(sets, coarse, percent, parts, block)
     named = groups.join(roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.join(materialize(named, "classes"), "digest", "left")
     return out.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("component", id_col)).alias("component_id"))

@@ -95,7 +95,7 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(total + np.uint64(k))
 
 
-def batches_of(texts: list[bytes | None], limit: int = 1 << 22):
+def batches_of(texts: list[bytes | None], limit: int = 1 << 20):
     """Runs of rows of about `limit` bytes; a longer text is a run of its own."""
     start, size = 0, 0
     for i, text in enumerate(texts):
