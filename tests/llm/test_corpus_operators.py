@@ -189,7 +189,7 @@ def test_cross_parse_counts_phrases():
             while end <= len(clean) and clean[at:end] in block:
                 end += 1
             n, at = n + 1, max(end - 1, at + 1)
-        assert abs(count[0, k] - n) <= 1 and sizes[0] == len(clean)
+        assert count[0, k] == n and sizes[0] == len(clean)
 
 
 def test_token_store_round_trip(spark, docs, rows, empty):
