@@ -463,7 +463,11 @@ def _join_groups(sets: DataFrame, coarse: DataFrame, percent: int, parts: int, b
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links)."""
+    """Per row: id, n_shingles, component_id (smallest id reachable by links).
+
+    docs is to be a table (or rows derived one by one from it): its rows are counted in packets,
+    which must come out alike when a task runs again on another executor.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     options = dict(width=width, percent=percent, id_col=id_col, text_col=text_col)
@@ -472,6 +476,8 @@ def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: s
     groups = materialize(groups.where("live or copies > 1"), "groups")
     # equal sets are live together, for they share all
     live = docs.join(groups.where("live").select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+    # packets are numbered by row, so a task that runs again must see its rows in the same order
+    live = live.select(id_col, text_col).sortWithinPartitions(id_col, F.xxhash64(text_col))
     sets = materialize(ordered_sets(live, **options).where("id is not null"), "sets")
     tokens = sets.select("id", "elements", "prefix").mapInArrow(_prefix_elements, "id bigint, token bigint")
     tokens = materialize(tokens, "prefixes")
