@@ -22,8 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; where no language is given, the predicted one is filled in."""
     docs = docs.select(*COLUMNS)
     labelled = docs.where(~language_id.held_out())
-    found = language_id.identify(docs, labelled, carry=COLUMNS[1:]).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    found = language_id.identify(docs, labelled, carry=COLUMNS[1:])
+    found = found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))  # no labels: no languages
+    return found.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
