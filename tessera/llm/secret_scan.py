@@ -77,18 +77,22 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     """Log ratios of all character pairs, row by row, comma-joined. Of the corpus it reads the
     `sample_rows` rows with the smallest hash of their id, at most `sample_chars` characters each."""
     spark: SparkSession = docs.sparkSession
-    n = spark.range(0, 3000, 1, 2)
+    numbers = spark.range(0, 3000, 1, 2)
     digest = F.sha2(F.col("id").cast("string"), 256)
     packed = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     mixed = F.translate(packed, "+/", "xQ")
     random = F.element_at(F.array(F.substring(digest, 1, 40), F.substring(packed, 1, 40), F.substring(mixed, 1, 32), F.upper(F.substring(mixed, 1, 20)), F.lower(F.substring(mixed, 1, 32))), (F.col("id") % 5 + 1).cast("int"))
-    positive = n.select(random.alias("token"), F.lit(True).alias("random"))
+    positive = numbers.select(random.alias("token"), F.lit(True).alias("random"))
     number = F.rpad((F.col("id") * 7919 + 1234567).cast("string"), 16, "4839201756")
     date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") * 7).cast("int")), "yyyy-MM-dd")
     names = F.array(*map(F.lit, ["get_user_name", "maxValueCount", "HTTPRequestHandler", "index.html/path/to/file", "node-version-2", "is_valid_input", "README", "CONFIG_DEFAULT_TIMEOUT", "createElement", "utf-8"]))
     made = F.when(F.col("id") % 3 == 0, number).when(F.col("id") % 3 == 1, F.concat(date, F.lit("-"), number)).otherwise(F.element_at(names, (F.col("id") % 10 + 1).cast("int")))
-    negative = n.select(made.alias("token"), F.lit(False).alias("random"))
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.substring(text_col, 1, sample_chars).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).orderBy("h", "text").limit(sample_rows)
+    negative = numbers.select(made.alias("token"), F.lit(False).alias("random"))
+    n = docs.count()
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 32))
+    # about twice as many rows as are needed, so that what is sorted does not grow with the tasks
+    few = docs.where(F.col(text_col).isNotNull() & (h <= int(min(1.0, 2 * sample_rows / max(1, n)) * (1 << 32))))
+    sample = few.select(F.substring(text_col, 1, sample_chars).alias("text"), h.alias("h")).orderBy("h", "text").limit(sample_rows)
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = sample.select(F.explode(_all(clean, "[A-Za-z0-9+/_=-]{3,60}")).alias("token"), F.lit(False).alias("random"))
     counts = {(r.random, r.pair): r["count"] for r in _pair_counts(positive.union(negative).union(words)).where("pair between 0 and 8835").collect()}
