@@ -30,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .textkit import batches_of, texts_of, type_name
+from .textkit import batches_of, begin, memo, slices, texts_of, type_name
 
-_CHUNKS = 900_000  # entries of the memo from white-space-free chunks to ids
-_PIECES = 600_000
+_CHUNKS = 300_000  # entries of the memo from white-space-free chunks to ids
+_PIECES = 300_000
 assert sys.byteorder == "little" and array("I").itemsize == 4
 # Unicode White_Space, written out so that every regex engine agrees.
 _WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -319,7 +319,7 @@ class ChunkEncoder:
         out: list[bytes] = []
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and passes over the memos are long
-        for lo, hi in batches_of(texts, 1 << 23):
+        for lo, hi in batches_of(texts, 1 << 21):
             rows = [(text or b"").split() for text in texts[lo:hi]]
             seen = set().union(*rows)
             new = seen - self.chunks.keys()
@@ -345,6 +345,14 @@ def encoder_of(path: str) -> ChunkEncoder:
     return ChunkEncoder(table.special, table.encode_pieces)
 
 
+def _forget() -> None:
+    encoder_of.cache_clear()
+    table_of.cache_clear()
+
+
+memo("bpe", _forget)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Per row: id, n_tokens, ids (binary, little-endian u32) and decoded text; with keep_text=False
     their SHA-256 in hex instead, so that no id or text leaves the task."""
@@ -352,10 +360,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     tail = "ids binary, decoded string" if keep_text else "ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
+        begin("bpe")
         encoder = encoder_of(tokenizer)
         tokens = table_of(tokenizer).tokens
         names = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
-        for batch in batches:
+        for batch in slices(batches):
             count, first, second = [], [], []
             for ids in encoder.encode(texts_of(batch.column(1))):
                 decoded = " ".join(names[np.frombuffer(ids, "<u4")].tolist())

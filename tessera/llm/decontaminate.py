@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import texts_of, type_name
+from .textkit import begin, slices, texts_of, type_name
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+").findall  # of lower-cased UTF-8
 
@@ -117,9 +117,10 @@ def _search(sent, width: int, more: bool):
     state: dict = {}
 
     def run(batches):
+        begin("decontaminate")
         if "found" not in state:
             state["found"] = searchers(sent.value, width)
-        for batch in batches:
+        for batch in slices(batches):
             columns = batch.columns
             count, spans, items = [], [], []
             before = zip(columns[-2].to_pylist(), columns[-1].to_pylist()) if more else None

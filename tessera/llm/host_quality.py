@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import materialize, shingle_hashes, texts_of, type_name, words_by_row
+from .textkit import begin, materialize, shingle_hashes, slices, texts_of, type_name, words_by_row
 
 _OUTSIDE_WORDS = bytes([9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])  # white space; bytes that continue a character
 _SYMBOLS = b"#*$%&|<>"
@@ -46,7 +46,8 @@ def figures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        for batch in batches:
+        begin("host_quality")
+        for batch in slices(batches):
             texts = texts_of(batch.column(2))
             rows = np.zeros((len(texts), 5), np.int64)
             for i, words in words_by_row(texts, fold=False):

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import type_name
+from .textkit import begin, type_name
 
 # Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,6 +197,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """Per page: id, url, text, n_chars."""
 
     def run(batches):
+        begin("html_extract")
         for batch in batches:
             texts = [extract(html) for html in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])

@@ -16,6 +16,7 @@ order. Without labelled rows every text is `und`.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textkit import texts_of, type_name
+from .textkit import begin, memo, slices, texts_of, type_name
 
 _DROP = bytes(b for b in range(128) if not chr(b).isalpha())
 _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -125,14 +126,15 @@ class CrossParser:
         live = np.searchsorted(-lengths, -np.arange(width), side="left")  # pieces longer than the position
         state = np.repeat(self.starts[:, None], n, axis=1)
         root = state.copy()
-        count = np.ones((k, n), np.int32)
+        count = np.zeros((k, n), np.int32)
         for at in range(width):
             m = live[at]
             symbol = columns[at, :m]
             to = self.table[state[:, :m] + symbol]
             ends = to < 0
+            # a phrase begins where one has ended, and after a symbol that is in no phrase
+            count[:, :m] += ends | (state[:, :m] == root[:, :m])
             if ends.any():
-                count[:, :m] += ends
                 again = self.table[root[:, :m] + symbol]
                 to = np.where(ends, np.where(again < 0, root[:, :m], again), to)
             state[:, :m] = to
@@ -156,23 +158,30 @@ class CrossParser:
 
 def samples(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 40_000, row_chars: int = 2_000) -> dict[str, bytes]:
     """Per language the first `row_chars` characters of the rows with the smallest hash of their
-    id, up to `sample_chars` in all: at most that many characters a language reach the driver."""
-    rows = sample_chars // 200
-    ranked = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) >= 200)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    # min(struct) keeps a bounded heap per language and task, whatever share of rows one language has
-    ranked = ranked.withColumn("slot", F.pmod("h", F.lit(rows))).groupBy("lang", "slot").agg(F.min(F.struct("h", "text")).alias("row"))
-    ranked = ranked.select("lang", "row.h", "row.text").withColumn("before", F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)))
+    id, up to `sample_chars` in all: about that many characters a language reach the driver."""
+    usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    counts = {r.lang: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # one row a language
+    # of each language about twice as many rows as can be needed, so that what is shuffled does not
+    # grow with the rows
+    share = {lang: min(1.0, 2 * (sample_chars // 100) / n) for lang, n in counts.items()}
+    limit = F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string,double>"), F.col("lang")) * float(1 << 32)
+    ranked = usable.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    ranked = ranked.where(F.pmod("h", F.lit(1 << 32)) <= limit).withColumn("h", F.pmod("h", F.lit(1 << 32)))
+    ranked = ranked.withColumn("before", F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)))
     out: dict[str, bytes] = {}
     for row in ranked.where(F.coalesce("before", F.lit(0)) < sample_chars).orderBy("lang", "h", "text").collect():
         out[row.lang] = out.get(row.lang, b"") + row.text.encode() + b" "
     return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _parser(items: tuple[tuple[str, bytes], ...]) -> CrossParser:
     return CrossParser(dict(items))
 
 
+memo("language_id", _parser.cache_clear)
+
+
 def identify(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
     """Per row: id, carried columns, lang_pred, score."""
     kept = [id_col, *(carry or [])]
@@ -181,8 +190,9 @@ def identify(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", te
     schema = ", ".join(f"`{c}` {type_name(docs, c)}" for c in kept)
 
     def run(batches):
+        begin("language_id")
         parser = _parser(sent.value)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             langs, scores = parser.predict(texts_of(batch.column(read.index(text_col))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .textkit import materialize, mix64, shingle_hashes, texts_of, words_by_row
+from .textkit import begin, materialize, mix64, shingle_hashes, slices, texts_of, words_by_row
 
 _PACKET = "part bigint, tag bigint, kind int, blob binary"
 _ELEMENT = np.dtype([("df", ">u4"), ("h", ">u8")])
@@ -137,8 +137,9 @@ def signatures(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: st
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches):
+        begin("prefix_join")
         ids, sizes, counted, digests, arrays, held = [], [], [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_pylist()
             for i, words in words_by_row(texts_of(batch.column(1))):
                 whole = np.unique(shingle_hashes(words, width))
@@ -176,8 +177,9 @@ def ordered_sets(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches):
+        begin("prefix_join")
         ids, arrays, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_pylist()
             for i, words in words_by_row(texts_of(batch.column(1))):
                 ids.append(keys[i])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def memo(owner: str, clear: Callable[[], None]) -> None:
+    """Tell how to drop an operator's memo."""
+    _MEMOS[owner] = clear
+
+
+def begin(owner: str) -> None:
+    """A task of an operator begins: a worker that served other operators drops their memos."""
+    for other, clear in _MEMOS.items():
+        if other != owner:
+            clear()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few rows, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, null as None."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

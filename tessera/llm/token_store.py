@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ChunkEncoder, byte_letters
-from .textkit import mix64, texts_of, type_name
+from .textkit import begin, memo, mix64, slices, texts_of, type_name
 
 _GAMMA = 2.0  # bits per key on each level
 _MAGIC = b"TSRIDX01"
@@ -166,6 +166,9 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, int]:
     return ChunkEncoder(special, pieces), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
+memo("token_store", library_encoder.cache_clear)
+
+
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
@@ -177,15 +180,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
+        begin("token_store")
         (encoder, vocabulary), shard = library_encoder(tokenizer), TaskContext.get().partitionId()
         unit = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
         end = end_id.to_bytes(unit, "little")
         fs, folder = _open(path)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}"  # an attempt that fails leaves files that no manifest names
         out, ids, counts = None, [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if out is None:
                 fs.create_dir(folder, recursive=True)
                 out = fs.open_output_stream(f"{folder}/{name}.bin")
