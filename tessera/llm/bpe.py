@@ -272,8 +272,9 @@ class ChunkEncoder:
     """Texts to little-endian 32-bit ids. Chunks between ASCII white space are independent, so their
     ids are memoised, in bounded memos. `encode_pieces` maps pre-tokens to their ids."""
 
-    def __init__(self, special: dict[str, int], encode_pieces: Callable[[list[str]], list[bytes]]):
+    def __init__(self, special: dict[str, int], encode_pieces: Callable[[list[str]], list[bytes]], most_chunks: int = _CHUNKS, most_pieces: int = _PIECES):
         self.special, self.encode_pieces = special, encode_pieces
+        self.most_chunks, self.most_pieces = most_chunks, most_pieces
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -303,7 +304,7 @@ class ChunkEncoder:
         raws = list(chunks)
         parts = [self.split(raw.decode()) for raw in raws]
         new = {p for part in parts for p in part if type(p) is str} - self.pieces.keys()
-        if len(self.pieces) + len(new) > _PIECES:
+        if len(self.pieces) + len(new) > self.most_pieces:
             self.pieces.clear()
             new = {p for part in parts for p in part if type(p) is str}
         ordered = list(new)
@@ -323,7 +324,7 @@ class ChunkEncoder:
             rows = [(text or b"").split() for text in texts[lo:hi]]
             seen = set().union(*rows)
             new = seen - self.chunks.keys()
-            if len(self.chunks) + len(new) > _CHUNKS:
+            if len(self.chunks) + len(new) > self.most_chunks:
                 self.chunks.clear()
                 new = seen
             self.learn(new)

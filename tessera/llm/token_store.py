@@ -163,7 +163,7 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, int]:
             out.append(array("I", [t.id for t in model.tokenize(shown)]).tobytes())
         return out
 
-    return ChunkEncoder(special, pieces), tokenizer.get_vocab_size(with_added_tokens=True)
+    return ChunkEncoder(special, pieces, 600_000, 500_000), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
 memo("token_store", library_encoder.cache_clear)
