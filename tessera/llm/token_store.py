@@ -159,7 +159,8 @@ def library_encoder(path: str) -> tuple[ChunkEncoder, int]:
     def pieces(texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(letters)
+            # control characters, ASCII ones too, have stand-ins; a piece holds no space
+            shown = text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(letters)
             out.append(array("I", [t.id for t in model.tokenize(shown)]).tobytes())
         return out
 

@@ -212,6 +212,21 @@ def test_token_store_round_trip(spark, docs, rows, empty):
     assert token_store.read_tokens(spark, path).count() == 0
 
 
+def test_control_characters_have_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(word_bpe())
+    texts = [f"{a}{chr(c)}{b}" for c in [*range(33), *range(127, 161)] for a in ("", "x", "!", "7 ") for b in ("", "y", "?", "[", "\x01\x7f", "é")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = shared_dir(spark, "store")
+    token_store.write_tokens(df, path, word_bpe(), shards=2)
+    stored, encoded = by_id(token_store.read_tokens(spark, path, payload=True)), by_id(bpe.encode_decode(df, word_bpe(), keep_text=True))
+    for i, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoded[i].ids, "<u4").tolist() == ids, text
+        assert np.frombuffer(stored[i].ids, "<u2" if len(stored[i].ids) == 2 * len(ids) + 2 else "<u4").tolist() == [*ids, 1], text
+
+
 def test_token_store_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(3, "a b"), (3, "c"), (None, "d")], "doc_id long, text string")
     path = shared_dir(spark, "store")
