@@ -29,6 +29,7 @@ from .textkit import begin, type_name
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _LEFT_OUT = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe map math menu nav noscript object script select style svg template textarea title video".split())
+_SPACED = frozenset("audio br button canvas embed iframe object select textarea video".split())  # boxes or breaks between words
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _NAMES = re.compile(r"(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:^|(?<=[\s_-]))(?:ad|ads|adv|advert|advertisement|advertising|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|recommended|related|reply|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
 _PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top)[_-]?)?header(?:$|\s)", re.I)
@@ -43,16 +44,19 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = []  # tag, left out, region
         self.out, self.region, self.regions = False, 0, [("page", -1)]
-        self.text: list[str] = []
-        self.tags = 0
+        # kept and left-out text apart: an inline left-out element must not end or join its paragraph
+        self.text: tuple[list[str], list[str]] = ([], [])
+        self.tags = [0, 0]
         self.lines: list[tuple[str, int, int, bool]] = []
 
     def _flush(self):
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.lines.append((text, self.tags, self.region, self.out))
-            self.tags = 0
-        self.text.clear()
+        """End the line; within a left-out element only what is left out."""
+        for out in (True,) if self.out else (False, True):
+            text = " ".join("".join(self.text[out]).split())
+            if text:
+                self.lines.append((text, self.tags[out], self.region, out))
+                self.tags[out] = 0
+            self.text[out].clear()
 
     def _restore(self):
         self.out, self.region = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
@@ -62,21 +66,24 @@ class _Lines(HTMLParser):
         self._restore()
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
-        if tag == "br":
-            self.text.append(" ")
-            return
-        if tag in _BLOCK:
-            self._flush()
+        self.tags[self.out] += 1
         if tag in _VOID:
+            if tag in _BLOCK:
+                self._flush()
+            elif tag in _SPACED:
+                self.text[self.out].append(" ")
             return
         if closes := _CLOSES.get(tag):
             for at in range(len(self.stack) - 1, -1, -1):
                 if self.stack[at][0] in closes:
                     self._pop_to(at)
                     break
-                if self.stack[at][0] in _BLOCK:
+                if self.stack[at][0] in _BLOCK or self.stack[at][0] in _LEFT_OUT:
                     break
+        if tag in _BLOCK:
+            self._flush()
+        elif tag in _SPACED:
+            self.text[self.out].append(" ")
         # an article's own header has its title
         left_out = self.out or tag in _LEFT_OUT and not (tag == "header" and self.region)
         for name, value in attrs:
@@ -104,28 +111,29 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags[self.out] += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text[self.out].append(" ")
             return
-        if tag in _BLOCK or tag in _LEFT_OUT:
+        if tag in _BLOCK:
             self._flush()
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
+                if tag in _BLOCK and self.out and not (at and self.stack[at - 1][1]):
+                    self.out = self.stack[at][1]  # an inline left-out element that is still open ends with its block
+                    self._flush()
                 self._pop_to(at)
                 break
             if self.stack[at][0] in _SECTIONS and tag not in _SECTIONS and tag not in ("body", "html"):
                 break  # a stray end tag closes nothing outside its section
 
     def handle_data(self, data):
-        if not self.out:
-            self.text.append(data)
-        elif not data.isspace():
-            # text that is left out still counts as a line of its place
-            self.text.append(data)
+        # text that is left out still counts as a line of its place
+        self.text[self.out].append(data)
 
     def close(self):
         super().close()
+        self.out = False
         self._flush()
 
 

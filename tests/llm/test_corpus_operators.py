@@ -312,6 +312,21 @@ def test_html_extraction(spark):
     assert got[1].text == want and got[1].n_chars == len(want) and got[2].text == ""
 
 
+def test_inline_left_out_elements_keep_their_paragraph():
+    page = "<article><h1>Title</h1>{}<p>Last</article>".format
+    for inner in ("<script>x()</script>", "<style>p {}</style>", "<button>Go</button>", "<button><p>Go</button>", "<noscript><div>n</div><p>o</p></noscript>", "<svg><title>t</title><path/></svg>", "<select><option>1<option>2</select>", "<iframe>f</iframe>", "<span class='ad'>Buy</span>", "<span hidden>h</span>", "<span class=share><div>Share</div></span>"):
+        assert html_extract.extract(page(f"<p>First half {inner} second half</p>")) == "Title\nFirst half second half\nLast", inner
+        assert html_extract.extract(page(f"<p>text {inner}<p>more")) == "Title\ntext\nmore\nLast", inner
+        assert html_extract.extract(page(f"<div>a {inner}</div><div>{inner} b</div>")) == "Title\na\nb\nLast", inner
+    assert html_extract.extract(page("<p>wo<script>x()</script>rd<p>one<iframe></iframe>two")) == "Title\nword\none two\nLast"
+    for unclosed in ("<span class='ad'>Buy", "<button>Go"):  # ends with its block
+        assert html_extract.extract(page(f"<p>text {unclosed}</p><p>end")) == "Title\ntext\nend\nLast"
+        assert html_extract.extract(f"<article><h1>Title</h1>text {unclosed}</article>") == "Title\ntext"
+        assert html_extract.extract(f"<article><h1>Title</h1>text {unclosed}") == "Title\ntext"
+    assert html_extract.extract(page("<p>more <span class='ad'>Buy<p>end")) == "Title\nmore\nend\nLast"
+    assert html_extract.extract(page("<nav>menu <b>x</b><script>y()</script><p>z</nav>")) == "Title\nLast"
+
+
 def test_clashing_extra_columns(spark, rows):
     data = [(i, t, "b", 1, "x", "y", 2) for i, t in rows[0][:4]]
     df = spark.createDataFrame(data, "doc_id long, text string, base string, n long, lang string, source string, n_words long")
