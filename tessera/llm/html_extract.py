@@ -31,10 +31,16 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _LEFT_OUT = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe map math menu nav noscript object script select style svg template textarea title video".split())
 _SPACED = frozenset("audio br button canvas embed iframe object select textarea video".split())  # boxes or breaks between words
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-_NAMES = re.compile(r"(?<!has[_-])(?<!with[_-])(?<!no[_-])(?<!without[_-])(?:^|(?<=[\s_-]))(?:ad|ads|adv|advert|advertisement|advertising|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|recommended|related|reply|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
+# A class or id is left out as a whole token: a name, alone or with words of the two lists around it.
+# Tags take fewer words, since `tag-x` is also how a page about x is marked.
+_NAME = "ad|ads|adv|advert|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|recommended|related|reply|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget"
+_BEFORE = "article|author|block|blog|bottom|byline|desktop|display|email|entry|fixed|floating|global|google|inline|left|main|mobile|native|page|post|primary|right|secondary|side|site|sticky|sub|text|top|user|video|wp"
+_AFTER = "area|bar|block|body|bottom|box|btn|buttons?|card|close|cloud|column|col|container|content|copy|count|cta|desktop|fixed|follow|form|group|header|heading|icons?|inline|inner|items?|label|large|left|links?|list|main|media|message|mobile|module|more|networks?|outer|overlay|panel|placeholder|posts?|articles|stories|primary|region|right|row|secondary|section|slot|small|text|title|toggle|tools|top|trail|trigger|unit|wrap|wrapper|[0-9]+(?:x[0-9]+)?"
+_NAMES = re.compile(rf"(?:^|\s)(?:(?:(?:{_BEFORE})[_-]+)*(?:{_NAME})(?:[_-]+(?:{_NAME}|{_AFTER}))*|(?:(?:post|entry|article)[_-]+)?tags?|(?:(?:post|entry|article)[_-]+)?tags[_-]+(?:box|cloud|container|links|list|wrap|wrapper)|tag[_-]*cloud|skip[_-]+to[_-]+(?:main[_-]+)?content)(?:$|(?=\s))", re.I)
 _PAGE_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top)[_-]?)?header(?:$|\s)", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SECTIONS = frozenset(("article", "main"))
+_NAMED_ANYHOW = _SECTIONS | {"html", "body"}  # their classes tell what the page is about
 
 
 class _Lines(HTMLParser):
@@ -91,7 +97,7 @@ class _Lines(HTMLParser):
                 left_out = left_out or name == "hidden"
             elif name == "role":
                 left_out = left_out or value.lower() in _ROLES
-            elif name in ("class", "id") and tag not in ("html", "body"):
+            elif name in ("class", "id") and tag not in _NAMED_ANYHOW:
                 left_out = left_out or bool(_NAMES.search(value)) or not self.region and bool(_PAGE_HEADER.search(value))
             elif name == "aria-hidden":
                 left_out = left_out or value == "true"

@@ -327,6 +327,22 @@ def test_inline_left_out_elements_keep_their_paragraph():
     assert html_extract.extract(page("<nav>menu <b>x</b><script>y()</script><p>z</nav>")) == "Title\nLast"
 
 
+def test_classes_leave_out_by_whole_names():
+    kept = ("post type-post category-news tag-politics", "comments-open post", "entry-content social-policy", "post tag-ads", "post tag-2024", "category-cookies", "share-price", "elementor-widget-text-editor", "content-sidebar-wrap", "has-sidebar", "no-comments")
+    out = ("ad", "post share", "cookie-notice", "comment-list", "byline-share", "post-tags", "site-footer", "social-media-links", "widget-3", "ad-300x250", "nav__list", "Related-Posts", "sidebar", "tags", "tag-cloud", "skip-to-content", "wp-block-navigation")
+    page = "<div {}='{}'><p>Some text of the page</p></div>".format
+    for name in kept:
+        for tag in ("article", "main"):
+            assert html_extract.extract(f"<{tag} class='{name}'><p>Text</p></{tag}><p>x") == "Text", name
+        for key in ("class", "id"):
+            assert "Some text" in html_extract.extract(page(key, name)), name
+    for name in out:
+        assert html_extract.extract(f"<article class='{name}' id='{name}'><p>Text</p></article>") == "Text", name
+        assert html_extract.extract(f"<article><p>Text</p><div class='{name}'>x</div></article>") == "Text", name
+        assert "Some text" not in html_extract.extract(page("class", name)), name
+    assert html_extract.extract("<article><p>Text</p></article><div id='comments'><article class='comment'><p>Nice</p></article></div>") == "Text"
+
+
 def test_clashing_extra_columns(spark, rows):
     data = [(i, t, "b", 1, "x", "y", 2) for i, t in rows[0][:4]]
     df = spark.createDataFrame(data, "doc_id long, text string, base string, n long, lang string, source string, n_words long")
