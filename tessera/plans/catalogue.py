@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import losses, metrics, vectors as V
 from ..operators import bayes, factorization as mf, linear, neighbors, sparse, state, stats, topics, trees
-from ..sources import readers
+from ..sources import readers, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -606,11 +606,12 @@ def lda_log_gamma(spark, d):
 
 @query()
 def lda_fit(spark, d):
-    """Topics of words by their first two letters: a small vocabulary over whole documents."""
-    code = (F.ascii("word") - 97) * 26 + F.greatest(F.ascii(F.substring("word", 2, 1)) - 97, F.lit(0))
-    corpus = tokens(spark, d).select("doc_id", "pos", code.cast("int").alias("word_id"))
-    model = topics.LDA(num_words=26 * 26, num_topics=5, num_iters=1).fit(corpus)
-    return topics.word_topic(model.tokens)
+    """Topics of all words, which are numbered in alphabetical order."""
+    words = storage.materialize(readers.ranked(tokens(spark, d).select("word").distinct(), "word", "word_id").withColumn("word_id", F.col("word_id").cast("int")), "words")
+    size = words.count()
+    corpus = tokens(spark, d).join(F.broadcast(words) if size <= 1 << 21 else words, "word").select("doc_id", "pos", "word_id")
+    model = topics.LDA(num_words=max(1, size), num_topics=5, num_iters=1).fit(corpus)
+    return model.table.join(words, "word_id").select("word_id", "word", "topic", "n")
 
 
 # Distributed state ---------------------------------------------------------------------------

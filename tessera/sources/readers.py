@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import materialize
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are not empty, comments or indented, numbered from 0 in file order."""
@@ -112,6 +114,25 @@ def to_sparse_rows(long: DataFrame, key: str = "row_id") -> DataFrame:
     return long.groupBy(key).agg(pairs.alias("p")).select(key, F.col("p.fid").alias("indices"), F.col("p.value").alias("values"))
 
 
+def ranked(df: DataFrame, key: str, name: str = "row_id") -> DataFrame:
+    """Add consecutive numbers from 0 in the order of a key without repeats: sorted ranges of the key
+    are written once, and a range's numbers begin at the sum of the sizes before it."""
+    return running(df.withColumn("__one", F.lit(1).cast("bigint")), key, "__one", name).drop("__one")
+
+
+def running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add the sum of `value` over all smaller keys, of which none repeats, by sums per range."""
+    dealt = materialize(df.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = {r["__p"]: r["s"] for r in dealt.groupBy("__p").agg(F.sum(value).alias("s")).collect()}  # one row per range
+    starts, at = [], 0
+    for p in sorted(sums):
+        starts.append((p, at))
+        at += sums[p]
+    start = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __s bigint"))
+    before = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0))).join(start, "__p").withColumn(name, F.col(name) + F.col("__s")).drop("__p", "__s")
+
+
 def corpus_index(tokens: DataFrame) -> DataFrame:
     """(word_id, n, first): counts per word and where its run starts in word-major order."""
     counts = tokens.groupBy("word_id").agg(F.count("*").alias("n"))

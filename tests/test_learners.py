@@ -189,6 +189,30 @@ def test_lda(spark):
     assert (again.counts == model.counts).all() and again.predict(corpus).count() == corpus.count()
 
 
+def test_lda_joins_a_large_word_table(spark, monkeypatch):
+    corpus = spark.createDataFrame([(d, p, (p * d) % 11 * 10) for d in range(20) for p in range(30 if d else 700)], "doc_id bigint, pos int, word_id int")
+    fit = lambda: topics.LDA(num_words=101, num_topics=3, num_iters=2, alpha=0.5).fit(corpus)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "pos", "word_id", "topic").collect()))
+    model = fit()
+    want, guess = rows(model.tokens), rows(model.predict(corpus))
+    monkeypatch.setattr(topics, "MAX_COUNTS", 100)
+    model = fit()
+    assert model.counts is None and rows(model.tokens) == want and rows(model.predict(corpus)) == guess
+    path = shared_dir(spark, "model")
+    model.save_model(spark, path)
+    assert rows(topics.LDA.load_model(spark, path).predict(corpus)) == guess
+
+
+def test_lda_query_runs_on_words(spark, sf_dir):
+    from tessera.plans.catalogue import QUERIES, tokens
+
+    got = QUERIES["lda_fit"](spark, sf_dir).toPandas()
+    want = {r.word: r["count"] for r in tokens(spark, sf_dir).groupBy("word").count().collect()}
+    assert got.groupby("word").n.sum().to_dict() == want
+    assert dict(zip(got.word, got.word_id)) == {w: i for i, w in enumerate(sorted(want))}
+    assert got.topic.between(0, 4).all() and not got.duplicated(["word", "topic"]).any()
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.svm").write_text("# note\n\n1 1:0.5 3:2\n-1 2:1e-1\n skip 1:1\n+1\n")
     rows = readers.read_libsvm(spark, f"file://{tmp_path}/a.svm").orderBy("row_id").collect()
