@@ -3,9 +3,9 @@
 The standard library's streaming parser sends events; block tags end a line, and each line has its
 text, its number of tags and the region (nearest sectioning element) that it is in. The ratio of
 text to tags per line is smoothed with a Gaussian over neighbouring lines, and two clusters of the
-smoothed ratios give the threshold above which lines are content. Regions in which content lines
-hold the most text are selected: a page's articles (or its main element) with all their lines, or,
-where a page has neither, the runs of lines above the threshold.
+smoothed ratios give the threshold above which lines are content. Tags override it: a page with
+articles (or else a main element) gives all lines of all of them; where a page has neither, the lines
+above the threshold are taken.
 
 Elements that never hold article text (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments, also by their class, id or role) are left out with all they hold.
@@ -196,14 +196,8 @@ def extract(html: str | None) -> str:
 
     for kind in ("article", "main"):
         owner = [-1 if line[3] else top(line[2], kind) for line in lines]
-        held: dict[int, int] = {}
-        for region, line, good in zip(owner, lines, content):
-            if region >= 0:
-                held[region] = held.get(region, 0) + (len(line[0]) if good else 0)
         if any(x >= 0 for x in owner):
-            most = max(held.values())
-            chosen = {r for r, n in held.items() if 4 * n >= most}
-            return "\n".join(line[0] for line, region in zip(lines, owner) if region in chosen)
+            return "\n".join(line[0] for line, region in zip(lines, owner) if region >= 0)
     return "\n".join(line[0] for line, good in zip(lines, content) if good)
 
 

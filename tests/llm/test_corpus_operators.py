@@ -343,6 +343,12 @@ def test_classes_leave_out_by_whole_names():
     assert html_extract.extract("<article><p>Text</p></article><div id='comments'><article class='comment'><p>Nice</p></article></div>") == "Text"
 
 
+def test_short_articles_stay():
+    for tag in ("article", "main"):
+        page = f"<{tag}><p>{'A long text of many words. ' * 40}</{tag}><{tag}><h2>Short</h2><p>One line.</{tag}><p>x"
+        assert html_extract.extract(page).split("\n")[1:] == ["Short", "One line."]
+
+
 def test_clashing_extra_columns(spark, rows):
     data = [(i, t, "b", 1, "x", "y", 2) for i, t in rows[0][:4]]
     df = spark.createDataFrame(data, "doc_id long, text string, base string, n long, lang string, source string, n_words long")
