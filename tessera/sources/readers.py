@@ -136,4 +136,4 @@ def running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 def corpus_index(tokens: DataFrame) -> DataFrame:
     """(word_id, n, first): counts per word and where its run starts in word-major order."""
     counts = tokens.groupBy("word_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("first", F.sum("n").over(Window.orderBy("word_id").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["first"])
+    return running(counts, "word_id", "n", "first")

@@ -213,6 +213,19 @@ def test_lda_query_runs_on_words(spark, sf_dir):
     assert got.topic.between(0, 4).all() and not got.duplicated(["word", "topic"]).any()
 
 
+def test_corpus_index_of_words(spark, sf_dir):
+    from tessera.plans.catalogue import tokens
+
+    found = readers.corpus_index(tokens(spark, sf_dir).select(F.col("word").alias("word_id")))
+    assert "SinglePartition" not in found._jdf.queryExecution().toString()
+    at = 0
+    for r in sorted(found.collect()):
+        assert r.first == at, r
+        at += r.n
+    assert at == tokens(spark, sf_dir).count()
+    assert readers.corpus_index(spark.createDataFrame([], "word_id int")).count() == 0
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.svm").write_text("# note\n\n1 1:0.5 3:2\n-1 2:1e-1\n skip 1:1\n+1\n")
     rows = readers.read_libsvm(spark, f"file://{tmp_path}/a.svm").orderBy("row_id").collect()
