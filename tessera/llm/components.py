@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Tasks first contract the edges they hold to stars around the smallest node. Every step is then an
-aggregate and a join on slim rows, no neighbour list is ever gathered, and each round is written
-to the shared folder, so lost executors cost one round at most.
+aggregate and a join on slim rows, in which nodes with more than a thousandth of the edges are
+broadcast; no neighbour list is ever gathered, and each round is written to the shared folder, so
+lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import materialize
+from .textkit import join_groups, materialize
 
 
 class Forest:
@@ -54,13 +55,14 @@ def _contract(batches):
         yield stars()
 
 
-def _round(e: DataFrame) -> DataFrame:
+def _round(e: DataFrame, edges: int) -> DataFrame:
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-    small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-    return moved.union(small).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    large = join_groups(both, least, "u", "c", 2 * edges, "inner").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    large = materialize(large, "large-star")
+    small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("c"))
+    moved = join_groups(large, small, "hi", "c", edges, "inner").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    return moved.union(small.select("hi", "m")).distinct()
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -74,4 +76,4 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == state or not now[0]:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(e.select("lo", "lo").distinct())
         state = now
-        e = materialize(_round(e), "round")
+        e = materialize(_round(e, now[0]), "round")

@@ -3,7 +3,8 @@
 Rule figures are computed per text and written once. Failures are summed by host (partial sums
 before the shuffle, so a hot host is no more than one row per task), a beta prior is fitted to the
 hosts' rates by moments, and a host whose shrunk rate passes `max_rate` fails all its documents.
-Host verdicts come back by a join on slim rows in which hosts are salted.
+Host verdicts come back by a join on slim rows: hosts with more than a thousandth of all rows are
+broadcast, the others shuffled.
 
 A null text has no words and fails; a null host is a host of its own; repeated rows count as often
 as they occur; an empty table gives an empty result.
@@ -16,11 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import begin, materialize, shingle_hashes, slices, texts_of, type_name, words_by_row
+from .textkit import begin, join_groups, materialize, shingle_hashes, slices, texts_of, type_name, words_by_row
 
 _OUTSIDE_WORDS = bytes([9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])  # white space; bytes that continue a character
 _SYMBOLS = b"#*$%&|<>"
-_SALTS = 32
 
 
 def repeated_words(words: np.ndarray, width: int = 5) -> int:
@@ -78,7 +78,6 @@ def host_rates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Figures of every row with host_rate and kept: neither the rules nor the host's rate fail it."""
     rows = materialize(figures(docs, id_col=id_col, text_col=text_col, host_col=host_col), "figures")
-    rates = host_rates(rows).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("at", F.pmod(F.xxhash64("id", "n_words", "word_chars"), F.lit(_SALTS)).cast("int"))
-    out = salted.join(rates, salted["host"].eqNullSafe(rates["of"]) & (salted["at"] == rates["salt"]), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate)).drop("of", "at", "salt").withColumnRenamed("id", id_col).withColumnRenamed("host", host_col)
+    rates = host_rates(rows).select("host", "n", F.col("rate").alias("host_rate"))
+    out = join_groups(rows, rates, "host", "n").drop("n")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate)).withColumnRenamed("id", id_col).withColumnRenamed("host", host_col)

@@ -7,6 +7,7 @@ Python code runs per word.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RADIX = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
 _RADIX_INV = np.uint64(pow(int(_RADIX), -1, 1 << 64))
@@ -21,9 +23,12 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary root is set only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; where that is unset, a temporary root is set, but only
+    in a session of one process: executors of a cluster share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -36,6 +41,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None, how: str = "left") -> DataFrame:
+    """rows joined with groups, which has one row per value of `key` and in `size` its number of rows.
+
+    A value with more than a thousandth of all rows could fill a task: there are a thousand of those
+    at most, so they are broadcast. The others go through a shuffle, in which no value has more.
+    Null is a value like others. total: the sum of `size`, where it is known; how: left or inner.
+    """
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
+    named = groups.withColumnRenamed(key, "__key").withColumn("__hot", F.col(size) > total / 1000)
+    match = rows[key].eqNullSafe(F.col("__key"))
+    if total <= 1000:
+        return rows.join(named, match, how).drop("__key", "__hot")
+    some = F.broadcast(named.where("__hot"))  # a thousand rows at most
+    rest = rows.join(some.select("__key"), match, "left_anti").join(named.where("not __hot"), match, how)
+    return rows.join(some, match).union(rest).drop("__key", "__hot")
+
+
 _MEMOS: dict[str, Callable[[], None]] = {}
 
 
