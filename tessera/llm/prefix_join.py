@@ -1,6 +1,7 @@
 """N-gram Jaccard join with prefix trees, to connected components.
 
-1. Each text becomes its set of distinct shingle hashes. Equal sets fall together by digest; one
+1. Each text becomes its set of distinct shingle hashes (64 bits; words are not compared again, so two
+   shingles count as one with a chance of 2**-64 a pair). Equal sets fall together by digest; one
    representative stands for them.
 2. Document frequencies are counted exactly, in packed form: tasks send sorted runs of hashes to
    the range of the hash space that counts them, and get back which are shared. A set can only
@@ -16,7 +17,10 @@
 5. Links (a spanning forest per block loses none) become components.
 
 Null texts and texts without words have an empty set, link with nothing and are their own component.
-Repeated rows are exact copies. A null id keeps its row, with a null component. Ids are integers.
+Repeated rows are exact copies. Links are between texts: where one id has several texts, each of them
+has the component of its own text, whose id is the smallest id of any row in it. A null id keeps its
+row, with a null component, and gives its text no part in a link. Ids are whole numbers within 2**62
+of zero. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, connected
-from .textkit import begin, materialize, mix64, shingle_hashes, slices, texts_of, words_by_row
+from .textkit import begin, join_groups, materialize, mix64, shingle_hashes, slices, texts_of, words_by_row
 
 _PACKET = "part bigint, tag bigint, kind int, blob binary"
 _ELEMENT = np.dtype([("df", ">u4"), ("h", ">u8")])
@@ -43,10 +47,10 @@ def _needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _packets(rows: Iterable[tuple[list, np.ndarray, np.ndarray, list[bytes], list[np.ndarray]]], parts: int) -> Iterator[pa.RecordBatch]:
-    """rows: (ids, sizes, counted, digests, arrays to count) of up to 65,000 sets. Yields what the
-    counting tasks need: per part the hashes with the row of each; and a head with the rest."""
-    for k, (ids, sizes, counted, digests, arrays) in enumerate(rows):
+def _packets(rows: Iterable[tuple[list, list, np.ndarray, np.ndarray, list[bytes], list[np.ndarray]]], parts: int) -> Iterator[pa.RecordBatch]:
+    """rows: (ids, text hashes, sizes, counted, digests, arrays to count) of up to 65,000 sets. Yields
+    what the counting tasks need: per part the hashes with the row of each; and a head with the rest."""
+    for k, (ids, marks, sizes, counted, digests, arrays) in enumerate(rows):
         tag = (TaskContext.get().partitionId() << 32) + k
         flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
         row = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays]).astype("<u2")
@@ -57,7 +61,7 @@ def _packets(rows: Iterable[tuple[list, np.ndarray, np.ndarray, list[bytes], lis
         ends = np.append(starts[1:], len(part))
         blobs = [flat[a:b].tobytes() + row[a:b].tobytes() for a, b in zip(starts, ends)]
         valid = np.array([x is not None for x in ids], np.uint8)
-        head = np.array([x or 0 for x in ids], "<i8").tobytes() + valid.tobytes() + np.array(sizes, "<u4").tobytes() + np.array(counted, "<u4").tobytes() + b"".join(digests)
+        head = np.array([x or 0 for x in ids], "<i8").tobytes() + valid.tobytes() + np.array(sizes, "<u4").tobytes() + np.array(counted, "<u4").tobytes() + np.array(marks, "<i8").tobytes() + b"".join(digests)
         columns = [[*found.tolist(), tag % parts], [tag] * (len(found) + 1), [1] * len(found) + [0], [*blobs, head]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], _NAMES)
 
@@ -103,15 +107,16 @@ def _count(full: bool):
     return run
 
 
-def _by_tag(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]]:
-    """(ids, valid, sizes, counted, digests, replies) of each tag, from rows sorted by tag and kind."""
+def _by_tag(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]]:
+    """(ids, valid, sizes, counted, text hashes, digests, replies) of each tag, from rows sorted by tag
+    and kind."""
     tag, head, replies = None, None, []
 
     def unpacked():
-        n = len(head) // 33
-        cut = [0, 8 * n, 9 * n, 13 * n, 17 * n]
-        ids, valid, sizes, counted = (np.frombuffer(head[a:b], t) for a, b, t in zip(cut, cut[1:], ("<i8", "u1", "<u4", "<u4")))
-        return ids, valid.astype(bool), sizes, counted, [head[17 * n + 16 * i : 17 * n + 16 * i + 16] for i in range(n)], replies
+        n = len(head) // 41
+        cut = [0, 8 * n, 9 * n, 13 * n, 17 * n, 25 * n]
+        ids, valid, sizes, counted, marks = (np.frombuffer(head[a:b], t) for a, b, t in zip(cut, cut[1:], ("<i8", "u1", "<u4", "<u4", "<i8")))
+        return ids, valid.astype(bool), sizes, counted, marks, [head[25 * n + 16 * i : 25 * n + 16 * i + 16] for i in range(n)], replies
 
     for batch in batches:
         for t, kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -133,42 +138,43 @@ def _exchange(packets: DataFrame, full: bool, parts: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """(id, n_shingles, digest, live): live where the set may link or has equal sets."""
+    """(id, text_hash, n_shingles, digest, live): live where the set may link or has equal sets."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches):
         begin("prefix_join")
-        ids, sizes, counted, digests, arrays, held = [], [], [], [], [], 0
+        ids, marks, sizes, counted, digests, arrays, held = [], [], [], [], [], [], 0
         for batch in slices(batches):
-            keys = batch.column(0).to_pylist()
+            keys, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, words in words_by_row(texts_of(batch.column(1))):
                 whole = np.unique(shingle_hashes(words, width))
                 half = whole[(whole & np.uint64(1)) == 0]
                 ids.append(keys[i])
+                marks.append(hashes[i])
                 sizes.append(len(whole))
                 counted.append(len(half))
                 digests.append(hashlib.blake2b(whole.tobytes(), digest_size=16).digest())
                 arrays.append(half)
                 held += len(half)
                 if held > 1 << 20 or len(ids) >= 60_000:
-                    yield ids, sizes, counted, digests, arrays
-                    ids, sizes, counted, digests, arrays, held = [], [], [], [], [], 0
+                    yield ids, marks, sizes, counted, digests, arrays
+                    ids, marks, sizes, counted, digests, arrays, held = [], [], [], [], [], [], 0
         if ids:
-            yield ids, sizes, counted, digests, arrays
+            yield ids, marks, sizes, counted, digests, arrays
 
     def settle(batches):
-        for ids, valid, sizes, counted, digests, replies in _by_tag(batches):
+        for ids, valid, sizes, counted, marks, digests, replies in _by_tag(batches):
             shared = np.zeros(len(ids), np.int64)
             for blob in replies:
                 n = len(blob) // 6
                 shared[np.frombuffer(blob, "<u2", n)] += np.frombuffer(blob, "<u4", n, 2 * n)
             sizes = sizes.astype(np.int64)
             live = (sizes > 0) & (counted - shared <= sizes - _needed(sizes, percent)) & valid
-            columns = [pa.array(ids, pa.int64(), mask=~valid), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(live)]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_shingles", "digest", "live"])
+            columns = [pa.array(ids, pa.int64(), mask=~valid), pa.array(marks), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(live)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n_shingles", "digest", "live"])
 
-    packets = docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(lambda b: _packets(rows(b), parts), _PACKET)
-    return _exchange(packets, False, parts).mapInArrow(settle, f"`{id_col}` bigint, n_shingles bigint, digest binary, live boolean")
+    packets = docs.select(F.col(id_col).cast("bigint"), text_col, F.xxhash64(text_col)).mapInArrow(lambda b: _packets(rows(b), parts), _PACKET)
+    return _exchange(packets, False, parts).mapInArrow(settle, "id bigint, text_hash bigint, n_shingles bigint, digest binary, live boolean")
 
 
 def ordered_sets(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -186,13 +192,13 @@ def ordered_sets(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col:
                 arrays.append(np.unique(shingle_hashes(words, width)))
                 held += len(arrays[-1])
                 if held > 1 << 20 or len(ids) >= 60_000:
-                    yield ids, [len(x) for x in arrays], [0] * len(ids), [b"\0" * 16] * len(ids), arrays
+                    yield ids, [0] * len(ids), [len(x) for x in arrays], [0] * len(ids), [b"\0" * 16] * len(ids), arrays
                     ids, arrays, held = [], [], 0
         if ids:
-            yield ids, [len(x) for x in arrays], [0] * len(ids), [b"\0" * 16] * len(ids), arrays
+            yield ids, [0] * len(ids), [len(x) for x in arrays], [0] * len(ids), [b"\0" * 16] * len(ids), arrays
 
     def settle(batches):
-        for ids, _, sizes, _, _, replies in _by_tag(batches):
+        for ids, _, sizes, _, _, _, replies in _by_tag(batches):
             if not replies:
                 continue
             lengths = [len(b) // 14 for b in replies]
@@ -464,29 +470,59 @@ def _join_groups(sets: DataFrame, coarse: DataFrame, percent: int, parts: int, b
     return connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
-def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links).
+def _numbered(groups: DataFrame) -> tuple[DataFrame, bool]:
+    """groups (rep, digest, ...) with `node`, a number of each one's own: rep, which is the smallest id
+    with that text, or a number past all ids where an id stands for several texts. Also whether there
+    is such an id."""
+    often = groups.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1")
+    if not often.take(1):
+        return groups.withColumn("node", F.col("rep")), False
+    first = groups.join(often.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.min("digest").alias("__first"), F.count("*").alias("__c"))
+    past = groups.agg(F.max("rep")).first()[0] + 1
+    own = F.when(F.col("__first").isNull() | (F.col("digest") == F.col("__first")), F.col("rep")).otherwise(F.lit(past) + F.monotonically_increasing_id())
+    return materialize(join_groups(groups, first, "rep", "__c").withColumn("node", own).drop("__first", "__c"), "nodes"), True
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = 256, detail: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable by links). detail: also text_hash
+    (xxhash64 of the text) and component, which is the same for the rows of one component alone
+    (component_id is not, where an id has several texts).
 
     docs is to be a table (or rows derived one by one from it): its rows are counted in packets,
     which must come out alike when a task runs again on another executor.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    options = dict(width=width, percent=percent, id_col=id_col, text_col=text_col)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    options = dict(width=width, percent=percent, id_col="id", text_col="text")
     signed = materialize(signatures(docs, **options), "signatures")
-    groups = signed.where(f"n_shingles > 0 and `{id_col}` is not null").groupBy("digest").agg(F.min(id_col).alias("rep"), F.max("live").alias("live"), F.count("*").alias("copies"))
-    groups = materialize(groups.where("live or copies > 1"), "groups")
-    # equal sets are live together, for they share all
-    live = docs.join(groups.where("live").select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+    able = signed.where("n_shingles > 0 and id is not null")
+    groups = able.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by("text_hash", "id").alias("text_hash"), F.max("live").alias("live"), F.count("*").alias("copies"))
+    groups, shared = _numbered(materialize(groups.where("live or copies > 1"), "groups"))
+    # equal sets are live together, for they share all; of each the text that stands for it is read again
+    wanted = groups.where("live").select(F.col("rep").alias("__id"), F.col("text_hash").alias("__hash"), "node")
+    live = docs.join(wanted, (F.col("id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))).select(F.col("node").alias("id"), "text")
+    if able.groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").take(1):
+        live = live.dropDuplicates(["id"])  # repeated rows
     # packets are numbered by row, so a task that runs again must see its rows in the same order
-    live = live.select(id_col, text_col).sortWithinPartitions(id_col, F.xxhash64(text_col))
+    live = live.sortWithinPartitions("id")
     sets = materialize(ordered_sets(live, **options).where("id is not null"), "sets")
     tokens = sets.select("id", "elements", "prefix").mapInArrow(_prefix_elements, "id bigint, token bigint")
     tokens = materialize(tokens, "prefixes")
-    least = tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    near = tokens.join(least, "token").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    least = tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    near = join_groups(tokens, least, "token", "c", how="inner").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     coarse = materialize(connected(materialize(near, "coarse-edges")), "coarse")
     roots = _join_groups(sets, coarse, percent, parts, block)
-    named = groups.join(roots.withColumnsRenamed({"node": "rep", "root": "component"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(materialize(named, "classes"), "digest", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.coalesce("component", id_col)).alias("component_id"))
+    named = groups.join(roots.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select("digest", "copies", "rep", "component"), "classes")
+    if shared:
+        least = named.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("c"))
+        named = join_groups(named, least, "component", "c").select("digest", "copies", "component", "least")
+    else:
+        named = named.select("digest", "copies", "component", F.col("component").alias("least"))
+    out = join_groups(signed, named, "digest", "copies")
+    whole = F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id")
+    # a text of no group is a component by itself, and so is each text without words
+    own = F.coalesce(F.concat(F.lit("n"), "component"), F.when(F.col("n_shingles") > 0, F.concat(F.lit("d"), F.hex("digest"))), F.concat(F.lit("t"), "text_hash"))
+    more = ["text_hash", own.alias("component")] if detail else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", whole, *more)
