@@ -5,11 +5,17 @@ away from a later merge to its left, which frees the next symbol, and so on, wit
 ranks. `sufficient_lookahead` follows these chains once over the merge list. A token that ends
 that many symbols before the end of what was read can no longer change, so `PieceTransducer`
 emits it and keeps only the rest: memory stays constant for a piece of any length. Cutting at a
-token boundary is exact, because no merge crosses it. Decoding is a state machine over ids that
-holds back only an unfinished UTF-8 sequence.
+token boundary is exact, because no merge crosses it. Every piece (pre-token) goes through a
+transducer; many run side by side, and their merges of short rests are done together.
+
+Texts are taken in slices that end where a piece certainly ends (at white space, or between ASCII
+characters of different classes), so lists of a slice's words are all that is held beside the text.
+Ids go to `TextDecoder` slice by slice, a state machine over the tokens' bytes that holds back only an
+unfinished UTF-8 sequence; digests are updated as ids and text come.
 
 Nulls are empty texts and give no ids; a text of any length is encoded whole; rows are independent,
-so repeated rows and ties give repeated results; an empty table gives an empty result.
+so repeated rows and ids, null ids and ties give repeated results; an empty table gives an empty
+result. Only the named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ import gc
 import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +37,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .textkit import batches_of, begin, memo, slices, texts_of, type_name
+from .textkit import begin, memo, slices, texts_of, type_name
 
 _CHUNKS = 300_000  # entries of the memo from white-space-free chunks to ids
 _PIECES = 300_000
+_SIDE_BY_SIDE = 64  # bytes of a string up to which merges are done in numpy
+_WINDOW = 256  # bytes that a transducer takes at a time
+_SLICE = 1 << 18  # bytes of text that are split at a time
 assert sys.byteorder == "little" and array("I").itemsize == 4
 # Unicode White_Space, written out so that every regex engine agrees.
 _WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -70,6 +80,21 @@ class MergeTable:
         self.width = {i: len(t.removesuffix(self.suffix) if self.suffix else t) for t, i in self.vocab.items()}
         self.lookahead = self.sufficient_lookahead()
         self._keys = self._by_key = self._slots = self._clash = None
+        self._names: dict[str, np.ndarray] = {}
+
+    def names(self, form: str) -> np.ndarray:
+        """Bytes of each token: of its string, or those that it stands for."""
+        if form not in self._names:
+            value = {c: b for b, c in enumerate(self.letters)}
+            out = np.full(max(self.tokens) + 1, b"", object)
+            for i, text in self.tokens.items():
+                if form == "joined" or text in self.special:
+                    out[i] = text.encode()
+                else:
+                    ends = bool(self.suffix) and text.endswith(self.suffix)
+                    out[i] = bytes(value[c] for c in (text.removesuffix(self.suffix) if ends else text)) + b" " * ends
+            self._names[form] = out
+        return self._names[form]
 
     def sufficient_lookahead(self) -> int:
         """Symbols to the right that can still change a token.
@@ -121,24 +146,31 @@ class MergeTable:
 
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of whole pieces. A piece within the lookahead has nothing stable before its end, so the
-        last steps of many transducers run together; a longer piece streams through its own."""
-        out: list[bytes] = [b""] * len(pieces)
-        groups: dict[int, list[tuple[int, bytes]]] = {}
-        for k, piece in enumerate(pieces):
-            data = piece.encode()
-            if len(data) <= 64:
-                groups.setdefault(-(-len(data) // 4) * 4, []).append((k, data))
+        """Ids of whole pieces, each from a transducer of its own."""
+        return transduce(self, [p.encode() for p in pieces])
+
+    def merge_many(self, held: list[tuple[bytes, bool]]) -> list[list[int]]:
+        """Tokens of many byte strings; with True the last byte ends a word. Short ones are merged side
+        by side."""
+        out: list[list[int]] = [[]] * len(held)
+        groups: dict[int, list[int]] = {}
+        for k, (data, _) in enumerate(held):
+            if len(data) <= _SIDE_BY_SIDE:
+                groups.setdefault(-(-len(data) // 4) * 4, []).append(k)
             else:
-                transducer = PieceTransducer(self)
-                out[k] = array("I", transducer.feed(data) + transducer.finish()).tobytes()
+                out[k] = self.merge(self.symbols(*held[k]))
         for width, group in groups.items():
             for at in range(0, len(group), 1 << 14):
                 part = group[at : at + (1 << 14)]
-                symbols, counts = self.finish_many([data for _, data in part], width)
-                flat, ends = symbols[np.arange(width) < counts[:, None]].astype("<u4").tobytes(), np.cumsum(counts) * 4
-                for (k, _), a, b in zip(part, (ends - counts * 4).tolist(), ends.tolist()):
-                    out[k] = flat[a:b]
+                symbols, counts = self._merge_side_by_side([held[k] for k in part], width)
+                for k, row, n in zip(part, symbols.tolist(), counts.tolist()):
+                    out[k] = row[:n]
+        return out
+
+    def symbols(self, data: bytes, ends: bool) -> list[int]:
+        out = [self.first[b] for b in data]
+        if ends and out:
+            out[-1] = self.last[data[-1]]
         return out
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -163,14 +195,15 @@ class MergeTable:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    def finish_many(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merge whole pieces side by side: each round joins the best pair of every piece."""
-        n, none = len(pieces), len(self.made)
-        counts = np.array([len(p) for p in pieces])
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
+    def _merge_side_by_side(self, held: list[tuple[bytes, bool]], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each round joins the best pair of every string."""
+        n, none = len(held), len(self.made)
+        counts = np.array([len(p) for p, _ in held])
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p, _ in held), np.uint8).reshape(n, width)
         first, last, made = np.array(self.first, np.int32), np.array(self.last, np.int32), np.array(self.made, np.int32)
         symbols, column = first[raw], np.arange(width)
-        symbols[np.arange(n), counts - 1] = last[raw[np.arange(n), counts - 1]]
+        ending = np.flatnonzero([ends for _, ends in held])
+        symbols[ending, counts[ending] - 1] = last[raw[ending, counts[ending] - 1]]
         ranks = np.full((n, width), none, np.int32)
         ranks[:, : width - 1] = np.where(column[1:] < counts[:, None], self._ranks(symbols[:, :-1], symbols[:, 1:]), none)
         live = np.arange(n)
@@ -200,67 +233,95 @@ class MergeTable:
 
 
 class PieceTransducer:
-    """Encodes one piece fed in slices of bytes; tokens come out once no later byte can change them."""
+    """Encodes one piece fed in slices of bytes; tokens come out once no later byte can change them.
 
-    def __init__(self, table: MergeTable, window: int = 256):
-        self.table, self.window, self.held = table, window, bytearray()
+    `take` accepts a window of bytes and tells whether there is enough to emit; `rest` is what is to be
+    merged, and `settle` emits of its tokens those that are stable, or at the end all.
+    """
 
-    def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(data), self.window):
-            self.held += data[at : at + self.window]
-            if len(self.held) > self.table.lookahead + self.window:
-                out += self._stable()
-        return out
+    __slots__ = ("table", "window", "held", "ended")
 
-    def _stable(self) -> list[int]:
-        table, first = self.table, self.table.first
-        done, out = 0, []
-        limit = len(self.held) - table.lookahead - 1  # the last byte may yet take the end-of-word form
-        for token in table.merge([first[b] for b in self.held]):
-            if done + table.width[token] > limit:
+    def __init__(self, table: MergeTable, window: int = _WINDOW):
+        self.table, self.window, self.held, self.ended = table, window, bytearray(), False
+
+    def take(self, data: bytes, last: bool) -> bool:
+        self.held += data
+        self.ended = last
+        return last or len(self.held) > self.table.lookahead + self.window
+
+    def rest(self) -> tuple[bytes, bool]:
+        return bytes(self.held), self.ended
+
+    def settle(self, tokens: list[int]) -> list[int]:
+        if self.ended:
+            self.held.clear()
+            return tokens
+        done, n, widths = 0, 0, self.table.width
+        limit = len(self.held) - self.table.lookahead - 1  # the last byte may yet take the end-of-word form
+        for n, token in enumerate(tokens):
+            if done + widths[token] > limit:
                 break
-            done += table.width[token]
-            out.append(token)
+            done += widths[token]
         del self.held[:done]
+        return tokens[:n]
+
+    def feed(self, data: bytes) -> list[int]:
+        out: list[int] = []
+        for at in range(0, len(data), self.window):
+            if self.take(data[at : at + self.window], False):
+                out += self.settle(self.table.merge(self.table.symbols(*self.rest())))
         return out
 
     def finish(self) -> list[int]:
-        if not self.held:
-            return []
-        symbols = [self.table.first[b] for b in self.held]
-        symbols[-1] = self.table.last[self.held[-1]]
-        self.held = bytearray()
-        return self.table.merge(symbols)
+        self.take(b"", True)
+        return self.settle(self.table.merge(self.table.symbols(*self.rest())))
+
+
+def transduce(table: MergeTable, pieces: list[bytes], window: int = _WINDOW) -> list[bytes]:
+    """Ids of each piece, little-endian: all transducers take a window in turn, and those that can emit
+    are merged together."""
+    out = [b""] * len(pieces)
+    live = [(k, PieceTransducer(table, window)) for k in range(len(pieces))]
+    at = 0
+    while live:
+        ready = [(k, t) for k, t in live if t.take(pieces[k][at : at + window], at + window >= len(pieces[k]))]
+        for (k, t), tokens in zip(ready, table.merge_many([t.rest() for _, t in ready])):
+            out[k] += array("I", t.settle(tokens)).tobytes()
+        live = [(k, t) for k, t in live if not t.ended]
+        at += window
+    return out
 
 
 class TextDecoder:
-    """Ids to text, one id at a time.
+    """Ids to text, slice by slice.
 
     `joined` writes token strings with single spaces between, as the library does for files that
-    name no decoder; `bytes` undoes the byte letters, turns word ends into spaces and holds back
-    only the bytes of an unfinished character.
+    name no decoder; `bytes` undoes the byte letters and turns word ends into spaces. Either way tokens
+    are bytes, of which those of an unfinished character are held back.
     """
 
     def __init__(self, table: MergeTable, form: str = "joined"):
-        self.table, self.form, self.begun = table, form, False
-        self.value = {c: b for b, c in enumerate(table.letters)}
+        self.form, self.special, self.begun = form, table.special, False
+        self.names = table.names(form)
+        self.marks = np.array(sorted(table.special.values()), np.int64)
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: int) -> str:
-        text = self.table.tokens[token]
+    def feed(self, ids) -> str:
+        ids = np.asarray(ids, np.int64).reshape(-1)
+        if not len(ids):
+            return ""
         if self.form == "joined":
-            out = f" {text}" if self.begun else text
-            self.begun = True
-            return out
-        if text in self.table.special:
-            return self.utf8.decode(b"", final=True) + text
-        ends = bool(self.table.suffix) and text.endswith(self.table.suffix)
-        raw = bytes(self.value[c] for c in (text.removesuffix(self.table.suffix) if ends else text))
-        return self.utf8.decode(raw + b" " * ends)
+            raw = b" ".join(self.names[ids].tolist())
+            raw, self.begun = b" " + raw if self.begun else raw, True
+            return self.utf8.decode(raw)
+        out, lo = [], 0
+        for k in np.flatnonzero(np.isin(ids, self.marks)).tolist():  # a mark ends what is unfinished
+            out += [self.utf8.decode(b"".join(self.names[ids[lo:k]].tolist()), final=True), self.names[ids[k]].decode()]
+            lo = k + 1
+        return "".join(out) + self.utf8.decode(b"".join(self.names[ids[lo:]].tolist()))
 
     def finish(self) -> str:
-        return "" if self.form == "joined" else self.utf8.decode(b"", final=True)
+        return self.utf8.decode(b"", final=True)
 
 
 def lower(text: str) -> str:
@@ -303,7 +364,7 @@ class ChunkEncoder:
     def learn(self, chunks: set[bytes]) -> None:
         raws = list(chunks)
         parts = [self.split(raw.decode()) for raw in raws]
-        new = {p for part in parts for p in part if type(p) is str} - self.pieces.keys()
+        new = {p for part in parts for p in part if type(p) is str and p not in self.pieces}
         if len(self.pieces) + len(new) > self.most_pieces:
             self.pieces.clear()
             new = {p for part in parts for p in part if type(p) is str}
@@ -317,24 +378,59 @@ class ChunkEncoder:
                 out[raw] = b"".join([known[p] if type(p) is str else p.to_bytes(4, "little") for p in part])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        out: list[bytes] = []
+        """Ids of whole texts."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for k, ids in self.stream(texts):
+            out[k].append(ids)
+        return [b"".join(x) for x in out]
+
+    def stream(self, texts: list[bytes | None]) -> Iterator[tuple[int, bytes]]:
+        """(text, ids of its next slice), text by text; slices of several texts are looked up together."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            for part in slices_of(text or b""):
+                held.append((k, part))
+                size += len(part)
+                if size >= 1 << 20:
+                    yield from self._encode(held)
+                    held, size = [], 0
+        yield from self._encode(held)
+
+    def _encode(self, held: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and passes over the memos are long
-        for lo, hi in batches_of(texts, 1 << 21):
-            rows = [(text or b"").split() for text in texts[lo:hi]]
-            seen = set().union(*rows)
-            new = seen - self.chunks.keys()
-            if len(self.chunks) + len(new) > self.most_chunks:
-                self.chunks.clear()
-                new = seen
-            self.learn(new)
-            ids = self.chunks.__getitem__
-            out += [b"".join(map(ids, row)) for row in rows]
+        rows = [part.split() for _, part in held]
+        seen = set().union(*rows)
+        new = {c for c in seen if c not in self.chunks}
+        if len(self.chunks) + len(new) > self.most_chunks:
+            self.chunks.clear()
+            new = seen
+        self.learn(new)
+        ids = self.chunks.__getitem__
+        out = [(k, b"".join(map(ids, row))) for (k, _), row in zip(held, rows)]
         if collecting:
             gc.enable()
         return out
 
 
+# White space, or between two ASCII characters of different classes, of which neither can be part of a
+# contraction or a special token, nor be changed by what stands beside them.
+_SAFE_END = re.compile(rb"[\t-\r ]|[0-9](?=[0-9A-Za-z!-&(-/:;=?-@\[-`{}~])|[A-Za-z](?=[0-9!-&(-/:;=?-@\[-`{}~])|[!-&(-/:;=?-@\[-`{}~](?=[0-9A-Za-z])")
+
+
+def slices_of(text: bytes, size: int = _SLICE) -> Iterator[bytes]:
+    """A text in slices of about `size` bytes, or more where no place is safe to cut."""
+    at = 0
+    while len(text) - at > size:
+        found = _SAFE_END.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    if at < len(text) or not at:
+        yield text[at:]
+
+
 @lru_cache(2)
 def table_of(path: str) -> MergeTable:
     return MergeTable(path)
@@ -359,21 +455,50 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     their SHA-256 in hex instead, so that no id or text leaves the task."""
     kind = type_name(docs, id_col)
     tail = "ids binary, decoded string" if keep_text else "ids_sha256 string, decoded_sha256 string"
+    names = [id_col, "n_tokens", *(x.split()[0] for x in tail.split(", "))]
+    kinds = (pa.int64(), pa.binary() if keep_text else pa.string(), pa.string())
 
     def run(batches):
         begin("bpe")
-        encoder = encoder_of(tokenizer)
-        tokens = table_of(tokenizer).tokens
-        names = np.array([tokens.get(i, "") for i in range(max(tokens) + 1)], object)
+        encoder, table = encoder_of(tokenizer), table_of(tokenizer)
         for batch in slices(batches):
-            count, first, second = [], [], []
-            for ids in encoder.encode(texts_of(batch.column(1))):
-                decoded = " ".join(names[np.frombuffer(ids, "<u4")].tolist())
-                count.append(len(ids) // 4)
-                first.append(ids if keep_text else hashlib.sha256(ids).hexdigest())
-                second.append(decoded if keep_text else hashlib.sha256(decoded.encode()).hexdigest())
-            kinds = (pa.binary(), pa.string()) if keep_text else (pa.string(), pa.string())
-            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *(x.split()[0] for x in tail.split(", "))])
+            sinks = [_Kept() if keep_text else _Hashed() for _ in range(batch.num_rows)]
+            decoders = [TextDecoder(table) for _ in sinks]
+            for k, ids in encoder.stream(texts_of(batch.column(1))):
+                sinks[k].add(ids, decoders[k].feed(np.frombuffer(ids, "<u4")))
+            for sink, decoder in zip(sinks, decoders):
+                sink.add(b"", decoder.finish())
+            columns = [pa.array(c, t) for c, t in zip(zip(*(x.result() for x in sinks)), kinds)] if sinks else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, {tail}")
+
+
+class _Hashed:
+    """Digests of ids and text as they come."""
+
+    def __init__(self):
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: bytes, text: str) -> None:
+        self.n += len(ids) // 4
+        self.ids.update(ids)
+        self.text.update(text.encode())
+
+    def result(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+class _Kept:
+    """Ids and text themselves."""
+
+    def __init__(self):
+        self.ids, self.text = [], []
+
+    def add(self, ids: bytes, text: str) -> None:
+        self.ids.append(ids)
+        self.text.append(text)
+
+    def result(self) -> tuple:
+        ids = b"".join(self.ids)
+        return len(ids) // 4, ids, "".join(self.text)
