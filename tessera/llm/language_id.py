@@ -1,23 +1,28 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton is built over labelled text of each language. A text is parsed greedily into the
-longest phrases that occur in the language's text; the language that needs the fewest phrases per
-symbol wins. Many segments of texts are parsed side by side: one step moves each of them, in each
-language, by one symbol through a dense transition table.
+longest phrases that occur in the language's text. A phrase costs the bits that name a place in that
+text and the byte after it, log2(256 n) for n bytes, so phrases of languages with little text count
+for less; the language with the fewest bits per symbol wins. Many segments of texts are parsed side
+by side: one step moves each of them, in each language, by one symbol. Automata are packed (a state's
+transitions lie between those of others), which takes some 30 bytes per byte of labelled text, so a
+hundred languages fit in a worker; tasks build them, one per language.
 
 Training text is a bounded sample: per language, `sample_chars` characters of the rows with the
-smallest hash of their id, so that neither row order nor source matters. Everything else covers
-all rows and whole texts (cut into segments of `segment` bytes for the parse, none left out).
+smallest hash of id and text, `row_chars` at most of each row, so that neither row order nor source
+matters. Everything else covers all rows and whole texts, cut into segments of `segment` bytes for the
+parse: none is left out, and a cut adds one phrase in every language.
 
 Null texts and texts without a letter are `und` with score 0. Rows are judged alone, so ties in
-the data and repeated rows give repeated results; ties of languages go to the first in sort
-order. Without labelled rows every text is `und`.
+the data and repeated rows and ids, null ids too, give repeated results; ties of languages go to the
+first in sort order. Without labelled rows every text is `und`; a row without text or language
+teaches nothing; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -45,65 +50,98 @@ def has_letter(text: bytes) -> bool:
     return False
 
 
-class SuffixAutomaton:
-    """Smallest automaton of all substrings of a byte string over `alphabet` symbols."""
-
-    def __init__(self, symbols: list[int], alphabet: int):
-        limit = 2 * len(symbols) + 2
-        step: list[dict[int, int]] = [{}]
-        link, length = [-1], [0]
-        last = 0
-        for c in symbols:
-            here = len(step)
-            step.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in step[p]:
-                step[p][c] = here
-                p = link[p]
-            if p >= 0:
-                q = step[p][c]
-                if length[p] + 1 == length[q]:
-                    link[here] = q
-                else:
-                    twin = len(step)
-                    step.append(dict(step[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and step[p].get(c) == q:
-                        step[p][c] = twin
-                        p = link[p]
-                    link[q] = link[here] = twin
-            last = here
-        assert len(step) <= limit
-        self.table = np.full((len(step), alphabet), -1, np.int32)
-        for state, out in enumerate(step):
-            for c, to in out.items():
-                self.table[state, c] = to
+def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
+    """Transitions of the smallest automaton of all substrings, from state 0."""
+    step: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
+    for c in symbols:
+        here = len(step)
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in step[p]:
+            step[p][c] = here
+            p = link[p]
+        if p >= 0:
+            q = step[p][c]
+            if length[p] + 1 == length[q]:
+                link[here] = q
+            else:
+                twin = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = twin
+                    p = link[p]
+                link[q] = link[here] = twin
+        last = here
+    return step
+
+
+def packed(step: list[dict[int, int]]) -> np.ndarray:
+    """(2, slots) array: state s with place b has its transition by byte c in slot b + c, if row 1 holds
+    b there; row 0 has the next state's place. No two states share a place, and the root's is 0."""
+    transitions = sum(map(len, step))
+    free = bytearray(b"\1") * (2 * transitions + 1024)
+    place, taken = [0] * len(step), {0}
+    for c in step[0]:
+        free[c] = 0
+    # the states with most transitions first, each at the first place where all of them fit
+    low = 0
+    for s in sorted(range(1, len(step)), key=lambda s: -len(step[s])):
+        out = list(step[s])
+        if len(out) < 2:
+            break
+        at, tries = free.find(1, low), 0
+        while (b := at - out[0]) < 0 or b in taken or not all(free[b + c] for c in out):
+            at, tries = free.find(1, at + 1), tries + 1
+        if tries > 100:
+            low += (at - low) // 2  # too full
+        place[s] = b
+        taken.add(b)
+        for c in out:
+            free[b + c] = 0
+    at, end = 255, 0
+    for s, out in enumerate(step):
+        if s and len(out) == 1:
+            (c,) = out
+            at = free.find(1, at + 1)
+            while at - c in taken:
+                at = free.find(1, at + 1)
+            free[at], place[s] = 0, at - c
+            taken.add(at - c)
+    table = np.full((2, max(taken) + 513 + len(step)), -1, np.int32)
+    end = max(taken) + 256
+    for s, out in enumerate(step):
+        if s and not out:
+            place[s], end = end, end + 1  # nothing leads on from here
+    for s, out in enumerate(step):
+        for c, to in out.items():
+            table[:, place[s] + c] = place[to], place[s]
+    return np.ascontiguousarray(table[:, : end + 256])
 
 
 class CrossParser:
-    """Parses texts against the automata of all languages at once."""
+    """Parses texts against the automata of all languages at once; automata: language to (packed
+    automaton, bytes of its text)."""
 
-    def __init__(self, samples: dict[str, bytes], segment: int = 512):
-        self.languages = sorted(samples)
+    def __init__(self, automata: dict[str, tuple[np.ndarray, int]], segment: int = 512):
+        self.languages = sorted(automata)
         self.segment = segment
-        self.blocks = [letters(samples[x]) for x in self.languages]
-        used = sorted(set().union(*map(set, self.blocks)))
-        self.symbol = np.full(256, len(used), np.int32)  # a byte of no training text breaks every phrase
-        self.symbol[used] = np.arange(len(used))
-        self.alphabet = len(used) + 1
-        tables, base, self.roots = [], 0, []
-        for block in self.blocks:
-            table = SuffixAutomaton(self.symbol[np.frombuffer(block, np.uint8)].tolist(), self.alphabet).table
-            tables.append(np.where(table >= 0, table + base, -1))
-            self.roots.append(base)
-            base += len(table)
-        # transitions lead straight to row offsets
-        flat = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
-        self.table = np.where(flat >= 0, flat * self.alphabet, -1).astype(np.int32)
-        self.starts = np.array(self.roots, np.int32) * self.alphabet
+        tables = [automata[x][0] for x in self.languages]
+        ends = np.cumsum([0] + [t.shape[1] for t in tables])
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        joined = [np.where(t >= 0, t + at, -1).astype(kind) for t, at in zip(tables, ends.tolist())]
+        self.next, self.owner = (np.concatenate([t[k] for t in joined]) if joined else np.empty(0, kind) for k in (0, 1))
+        self.starts = ends[:-1].astype(kind)
+        self.bits = np.array([np.log2(256 * max(1, automata[x][1])) for x in self.languages])
+
+    @classmethod
+    def learn(cls, samples: dict[str, bytes], segment: int = 512) -> CrossParser:
+        return cls({lang: learned(text) for lang, text in samples.items()}, segment)
 
     def phrases(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases per text and language, symbols per text); texts as letters() gives them."""
@@ -117,26 +155,30 @@ class CrossParser:
             np.add.at(total, owner[some], self._parse([pieces[k] for k in some]))
         return total, sizes
 
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = state + symbol
+        return np.where(self.owner[at] == state, self.next[at], -1)
+
     def _parse(self, pieces: list[bytes]) -> np.ndarray:
         """pieces from the longest to the shortest."""
         n, k, width = len(pieces), len(self.languages), len(pieces[0])
         lengths = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width) for p in pieces), np.uint8).reshape(n, width)
-        columns = np.ascontiguousarray(self.symbol[raw].T)
+        columns = np.ascontiguousarray(raw.T).astype(self.next.dtype)
         live = np.searchsorted(-lengths, -np.arange(width), side="left")  # pieces longer than the position
-        state = np.repeat(self.starts[:, None], n, axis=1)
-        root = state.copy()
+        root = np.repeat(self.starts[:, None], n, axis=1)
+        state = root.copy()
         count = np.zeros((k, n), np.int32)
         for at in range(width):
             m = live[at]
-            symbol = columns[at, :m]
-            to = self.table[state[:, :m] + symbol]
+            symbol, start = columns[at, :m], root[:, :m]
+            to = self._step(state[:, :m], symbol)
             ends = to < 0
             # a phrase begins where one has ended, and after a symbol that is in no phrase
-            count[:, :m] += ends | (state[:, :m] == root[:, :m])
+            count[:, :m] += ends | (state[:, :m] == start)
             if ends.any():
-                again = self.table[root[:, :m] + symbol]
-                to = np.where(ends, np.where(again < 0, root[:, :m], again), to)
+                again = self._step(start, symbol)
+                to = np.where(ends, np.where(again < 0, start, again), to)
             state[:, :m] = to
         return count.T
 
@@ -146,7 +188,7 @@ class CrossParser:
         for lo in range(0, len(rows), 2000):
             some = rows[lo : lo + 2000]
             count, sizes = self.phrases([letters(texts[i]) for i in some])
-            rate = count / np.maximum(sizes, 1)[:, None]
+            rate = count * self.bits / np.maximum(sizes, 1)[:, None]
             best = rate.argmin(axis=1)
             ordered = np.sort(rate, axis=1)
             # how far the next language is behind, from 0 (level) to 1
@@ -156,42 +198,73 @@ class CrossParser:
         return langs, scores
 
 
-def samples(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 40_000, row_chars: int = 2_000) -> dict[str, bytes]:
-    """Per language the first `row_chars` characters of the rows with the smallest hash of their
-    id, up to `sample_chars` in all: about that many characters a language reach the driver."""
-    usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r.lang: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # one row a language
-    # of each language about twice as many rows as can be needed, so that what is shuffled does not
-    # grow with the rows
-    share = {lang: min(1.0, 2 * (sample_chars // 100) / n) for lang, n in counts.items()}
-    limit = F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string,double>"), F.col("lang")) * float(1 << 32)
-    ranked = usable.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    ranked = ranked.where(F.pmod("h", F.lit(1 << 32)) <= limit).withColumn("h", F.pmod("h", F.lit(1 << 32)))
-    ranked = ranked.withColumn("before", F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)))
-    out: dict[str, bytes] = {}
-    for row in ranked.where(F.coalesce("before", F.lit(0)) < sample_chars).orderBy("lang", "h", "text").collect():
-        out[row.lang] = out.get(row.lang, b"") + row.text.encode() + b" "
-    return out
+def learned(text: bytes) -> tuple[np.ndarray, int]:
+    """Packed automaton of a language's text, and the bytes in it."""
+    clean = letters(text)
+    return packed(suffix_automaton(clean)), len(clean)
+
+
+def samples(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 40_000, row_chars: int = 2_000) -> DataFrame:
+    """(lang, text): per language the first `row_chars` characters of the rows with the smallest hash
+    of id and text, up to `sample_chars` in all."""
+    text = F.substring(text_col, 1, row_chars)
+    usable = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 32)).alias("h"))
+    # characters by the highest bit of the hash: 33 sums a language tell which bits are enough, so that
+    # what is shuffled does not grow with the rows; repeated rows fall together before
+    bit = F.floor(F.log2(F.col("h") + 1)).cast("int")
+    limits, held = {}, {}
+    for lang, k, size in sorted(map(tuple, usable.groupBy("lang", bit).agg(F.sum(F.length("text"))).collect())):
+        if held.get(lang, 0) < sample_chars:
+            held[lang] = held.get(lang, 0) + size
+            limits[lang] = 2 ** (k + 1) - 1
+    limit = F.element_at(F.from_json(F.lit(json.dumps(limits)), "map<string,bigint>"), F.col("lang"))
+    few = usable.where(F.col("h") < limit).groupBy("lang", "h", "text").agg(F.count("*").alias("times"))
+    run = Window.partitionBy("lang").orderBy("h", "text")
+    before = F.coalesce(F.sum(F.length("text") * F.col("times")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # so many of equal rows as there is room for
+    room = F.ceil((F.lit(sample_chars) - F.col("before")) / F.length("text"))
+    kept = few.withColumn("before", before).where(F.col("before") < sample_chars)
+    parts = kept.select("lang", "h", F.repeat(F.concat("text", F.lit(" ")), F.least("times", room).cast("int")).alias("text"))
+    return parts.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+def train(labelled: DataFrame, **options) -> dict[str, tuple[np.ndarray, int]]:
+    """Automata of all languages, built by tasks; what comes to the driver is bounded by languages and
+    `sample_chars`."""
+
+    def run(batches):
+        begin("language_id")
+        for batch in slices(batches, 1):
+            table, size = learned(texts_of(batch.column(1))[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.tobytes()], pa.binary()), pa.array([size], pa.int64())], ["lang", "table", "size"])
+
+    rows = samples(labelled, **options).mapInArrow(run, "lang string, table binary, size bigint").collect()
+    return {r.lang: (np.frombuffer(r.table, np.int32).reshape(2, -1), r.size) for r in rows}
 
 
-@lru_cache(1)
-def _parser(items: tuple[tuple[str, bytes], ...]) -> CrossParser:
-    return CrossParser(dict(items))
+_PARSERS: dict[str, CrossParser] = {}
+memo("language_id", _PARSERS.clear)
 
 
-memo("language_id", _parser.cache_clear)
+def _parser(key: str, automata: dict) -> CrossParser:
+    """The worker's parser for one call of identify()."""
+    if key not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[key] = CrossParser(automata)
+    return _PARSERS[key]
 
 
 def identify(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, **options) -> DataFrame:
     """Per row: id, carried columns, lang_pred, score."""
     kept = [id_col, *(carry or [])]
     read = list(dict.fromkeys([*kept, text_col]))
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples(labelled, id_col=id_col, text_col=text_col, **options).items())))
+    # some 30 bytes per byte of labelled text, of which there are `sample_chars` characters a language
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, train(labelled, id_col=id_col, text_col=text_col, **options)))
     schema = ", ".join(f"`{c}` {type_name(docs, c)}" for c in kept)
 
     def run(batches):
         begin("language_id")
-        parser = _parser(sent.value)
+        parser = _parser(*sent.value)
         for batch in slices(batches, 1024):
             langs, scores = parser.predict(texts_of(batch.column(read.index(text_col))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
