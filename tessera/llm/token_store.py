@@ -1,17 +1,20 @@
 """Token-id output: raw id payloads with a minimal perfect hash index.
 
-`write_tokens` range-partitions documents by id, encodes each with the tokenizers library's BPE
-model, appends the end id and writes per partition
+`write_tokens` range-partitions documents by id and text hash, encodes each with the tokenizers
+library's BPE model, appends the end id and writes per partition
   <shard>.bin  ids of its documents, little-endian, of 16 bits where the vocabulary allows it and
                32 otherwise, in ascending id order;
   <shard>.idx  a minimal perfect hash over the document keys with, per slot, a 32-bit fingerprint,
                the first id's offset and the number of ids, and the keys in file order;
 and a manifest table with one row per shard, which names only files of committed attempts. Lookups
-are constant time: hash, slot, fingerprint, one range read.
+are constant time: hash, slot, fingerprint, one range read. There is a shard for about `shard_bytes` of
+text, and at least one per shuffle partition.
 
 Files go to the shared folder through Arrow file systems, never to a local disk. A null text is an
 empty document (just the end id). Null ids sort first. A repeated id is kept as a further
-occurrence of its key. An empty table gives an empty manifest.
+occurrence of its key; occurrences are in the order of a hash of their text, so they are numbered
+alike in every run, and may lie in several shards. An empty table gives an empty manifest. Only the
+named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -79,8 +82,8 @@ def key_text(doc_id, occurrence: int) -> bytes:
     return (b"\0null" if doc_id is None else str(doc_id).encode()) + (b"" if not occurrence else b"\0%d" % occurrence)
 
 
-def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    whole = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+def _hashes(keys: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.array([xxhash.xxh64_intdigest(k, seed) for k in keys], np.uint64)
     prints = np.array([xxhash.xxh32_intdigest(k, 7) for k in keys], np.uint32)
     return whole, prints
 
@@ -88,8 +91,8 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class ShardIndex:
     """The contents of an .idx file."""
 
-    def __init__(self, hashing: MinimalPerfectHash, prints: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: list[bytes], ids: pa.Array, unit: int):
-        self.hashing, self.prints, self.offsets, self.counts, self.keys, self.ids, self.unit = hashing, prints, offsets, counts, keys, ids, unit
+    def __init__(self, hashing: MinimalPerfectHash, prints: np.ndarray, offsets: np.ndarray, counts: np.ndarray, keys: list[bytes], ids: pa.Array, unit: int, seed: int = 0):
+        self.hashing, self.prints, self.offsets, self.counts, self.keys, self.ids, self.unit, self.seed = hashing, prints, offsets, counts, keys, ids, unit, seed
 
     @classmethod
     def build(cls, ids: list, counts: np.ndarray, kind: pa.DataType, unit: int) -> ShardIndex:
@@ -99,17 +102,20 @@ class ShardIndex:
             occurrence = occurrence + 1 if doc_id == before else 0
             before = doc_id
             keys.append(key_text(doc_id, occurrence))
-        whole, prints = _hashes(keys)
+        seed = 0
+        while len(np.unique((found := _hashes(keys, seed))[0])) != len(keys):
+            seed += 1  # two keys of one hash: another seed tells them apart
+        whole, prints = found
         hashing = MinimalPerfectHash.build(whole)
         slots, offsets = hashing.slots(whole), np.cumsum(counts) - counts
         by_slot = [np.empty(len(keys), x.dtype) for x in (prints, offsets, counts)]
         for held, values in zip(by_slot, (prints, offsets, counts)):
             held[slots] = values
-        return cls(hashing, *by_slot, keys, pa.array(ids, kind), unit)
+        return cls(hashing, *by_slot, keys, pa.array(ids, kind), unit, seed)
 
     def find(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and counts of keys; -1 where the shard has no such key."""
-        whole, prints = _hashes(keys)
+        whole, prints = _hashes(keys, self.seed)
         slots = self.hashing.slots(whole)
         known = (slots >= 0) & (self.prints[slots] == prints) if len(self.prints) else np.zeros(len(keys), bool)
         return np.where(known, self.offsets[slots], -1), np.where(known, self.counts[slots], -1)
@@ -125,7 +131,7 @@ class ShardIndex:
             writer.write_batch(batch)
         levels = [np.packbits(x, bitorder="little").tobytes() for x in self.hashing.levels]
         blobs = [self.prints.astype("<u4").tobytes(), self.offsets.astype("<i8").tobytes(), self.counts.astype("<i8").tobytes(), sink.getvalue().to_pybytes(), *levels]
-        head = json.dumps({"sizes": [len(x) for x in blobs], "bits": [len(x) for x in self.hashing.levels], "unit": self.unit}).encode()
+        head = json.dumps({"sizes": [len(x) for x in blobs], "bits": [len(x) for x in self.hashing.levels], "unit": self.unit, "seed": self.seed}).encode()
         return _MAGIC + len(head).to_bytes(8, "little") + head + b"".join(blobs)
 
     @classmethod
@@ -141,7 +147,7 @@ class ShardIndex:
         with pa.ipc.open_stream(table) as reader:
             rows = reader.read_all()
         bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=m, bitorder="little").astype(bool) for x, m in zip(levels, head["bits"])]
-        return cls(MinimalPerfectHash(bits), np.frombuffer(prints, "<u4"), np.frombuffer(offsets, "<i8"), np.frombuffer(counts, "<i8"), rows["key"].to_pylist(), rows["id"].combine_chunks(), head["unit"])
+        return cls(MinimalPerfectHash(bits), np.frombuffer(prints, "<u4"), np.frombuffer(offsets, "<i8"), np.frombuffer(counts, "<i8"), rows["key"].to_pylist(), rows["id"].combine_chunks(), head["unit"], head["seed"])
 
 
 @lru_cache(2)
@@ -174,11 +180,14 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Write the store below `path`; returns its manifest (shard, file, n_docs, n_ids, first_id, last_id)."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, shard_bytes: int = 1 << 28) -> DataFrame:
+    """Write the store below `path`; returns its manifest: shard, file, n_docs, n_ids, n_null (documents
+    without id), first_id, last_id, n_first and n_last (documents with those ids)."""
     spark = docs.sparkSession
     kind = type_name(docs, id_col)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
 
     def run(batches):
         begin("token_store")
@@ -202,12 +211,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
         index = ShardIndex.build(ids, np.array(counts, np.int64), batch.column(0).type, unit)
         with fs.open_output_stream(f"{folder}/{name}.idx") as out:
             out.write(index.dump())
-        known = [x for x in ids if x is not None]
-        ends = [pa.array([x], batch.column(0).type) for x in ((known[0], known[-1]) if known else (None, None))]
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), pa.array([len(ids)]), pa.array([sum(counts)]), *ends], ["shard", "file", "n_docs", "n_ids", "first_id", "last_id"])
-
-    ordered = docs.select(id_col, text_col).repartitionByRange(shards, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    manifest = ordered.mapInArrow(run, f"shard bigint, file string, n_docs bigint, n_ids bigint, first_id {kind}, last_id {kind}")
+        n_null = ids.count(None)
+        first, last = (ids[n_null], ids[-1]) if n_null < len(ids) else (None, None)
+        figures = [pa.array([x], pa.int64()) for x in (len(ids), sum(counts), n_null)]
+        runs = [pa.array([0 if x is None else ids.count(x)], pa.int64()) for x in (first, last)]
+        ends = [pa.array([x], batch.column(0).type) for x in (first, last)]
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([name]), *figures, *ends, *runs], ["shard", "file", "n_docs", "n_ids", "n_null", "first_id", "last_id", "n_first", "n_last"])
+
+    order = [F.col(id_col).asc_nulls_first(), F.col("__hash").asc()]
+    named = docs.select(id_col, text_col, F.xxhash64(text_col).alias("__hash"))
+    ordered = named.repartitionByRange(shards, *order).sortWithinPartitions(*order).drop("__hash")
+    manifest = ordered.mapInArrow(run, f"shard bigint, file string, n_docs bigint, n_ids bigint, n_null bigint, first_id {kind}, last_id {kind}, n_first bigint, n_last bigint")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
@@ -232,14 +246,29 @@ def read_tokens(spark: SparkSession, path: str, *, id_col: str = "doc_id", paylo
                 if (counts < 0).any():
                     raise ValueError(f"{name}: the index lost a key")
                 with fs.open_input_file(f"{folder}/{name}.bin") as data:
-                    for lo in range(0, len(counts), 1024):
-                        raw = [index.read(data, at, n).tobytes() for at, n in zip(offsets[lo : lo + 1024].tolist(), counts[lo : lo + 1024].tolist())]
-                        columns = [index.ids.slice(lo, 1024), pa.array(base + offsets[lo : lo + 1024]), pa.array(counts[lo : lo + 1024]), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                    for lo, hi in _runs(offsets, counts):
+                        # keys are in file order, so what the index finds for them lies side by side
+                        begun, n = int(offsets[lo]), int(counts[lo:hi].sum())
+                        whole = index.read(data, begun, n).tobytes()
+                        raw = [whole[4 * at : 4 * (at + m)] for at, m in zip((offsets[lo:hi] - begun).tolist(), counts[lo:hi].tolist())]
+                        columns = [index.ids.slice(lo, hi - lo), pa.array(base + offsets[lo:hi]), pa.array(counts[lo:hi]), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns + ([pa.array(raw, pa.binary())] if payload else []), [id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * payload)
 
     return files.mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * payload)
 
 
+def _runs(offsets: np.ndarray, counts: np.ndarray, rows: int = 1024, ids: int = 1 << 20):
+    """Cuts documents into runs that are read at once: side by side in the file, of bounded size."""
+    lo, held = 0, 0
+    for k in range(len(counts)):
+        if k > lo and (k - lo >= rows or held + counts[k] > ids or offsets[k] != offsets[k - 1] + counts[k - 1]):
+            yield lo, k
+            lo, held = k, 0
+        held += int(counts[k])
+    if lo < len(counts):
+        yield lo, len(counts)
+
+
 class TokenStore:
     """Keyed access from one process: the manifest finds the shard, its hash the slot."""
 
@@ -252,7 +281,14 @@ class TokenStore:
         """Ids of a document, or None where the store has no such key."""
         fs, folder = _open(self.path)
         for row in self.shards:
-            if doc_id is not None and (row.first_id is None or not row.first_id <= doc_id <= row.last_id):
+            if doc_id is None:
+                here = row.n_null
+            elif row.first_id is None or not row.first_id <= doc_id <= row.last_id:
+                continue
+            else:  # occurrences of an id in the middle of a shard are all in it
+                here = row.n_first if doc_id == row.first_id else row.n_last if doc_id == row.last_id else row.n_docs
+            if occurrence >= here:
+                occurrence -= here
                 continue
             if row.file not in self.indexes:
                 with fs.open_input_stream(f"{folder}/{row.file}.idx") as f:
@@ -261,4 +297,5 @@ class TokenStore:
             if counts[0] >= 0:
                 with fs.open_input_file(f"{folder}/{row.file}.bin") as data:
                     return self.indexes[row.file].read(data, int(offsets[0]), int(counts[0]))
+            return None
         return None
