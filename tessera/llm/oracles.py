@@ -32,18 +32,23 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m as component_id
 from d left join c using (doc_id) join (select x as doc_id, min(y) as m from r group by x) using (doc_id)
 """
 
-_HOST = r"lower(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1), ''))"
-_PATH = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '')"
+_HOST = rf"translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"
+_PATH = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
 
 
-def op8(rules: list[tuple[str, str]], labels: list[str]) -> str:
+def op8(rules: list[tuple[str, str]], topics: list[str], words: list[str]) -> str:
+    """Hosts whose labels are in the list that topics and words make up are blocked where no rule fits."""
     table = ", ".join(f"('{v}', '{r}', '{r.split('/')[0]}', '/{r.partition('/')[2]}')" for v, r in rules)
-    blocked = " or ".join(f"list_contains(string_split(host, '.'), '{x}')" for x in labels)
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     return f"""
 with u as (select page_id, {_HOST} as host, {_PATH} as path from pages),
 r(verdict, rule, rh, rp) as (values {table}),
-m as (select page_id, max_by(rule, len(rule)) as rule, max_by(verdict, len(rule)) as verdict from u join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
-select page_id, host, path, rule, coalesce(verdict, case when {blocked} then 'block' else 'allow' end) as verdict from u left join m using (page_id)
+m as (select page_id, max_by(rule, len(rule)) as rule, max_by(verdict, len(rule)) as verdict from u join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id),
+t as (select unnest({quoted(topics)}) as a), w as (select unnest({quoted(words)}) as b),
+p as (select unnest([a || '-' || b, b || '-' || a, a || b, b || a]) as x from t, w),
+l as (select distinct x || d as label from p, (select unnest(['', '1', '2', '3', '4']) as d)),
+bad as (select distinct page_id from (select page_id, unnest(string_split(host, '.')) as label from u) join l using (label))
+select page_id, host, path, rule, coalesce(verdict, case when bad.page_id is not null then 'block' else 'allow' end) as verdict from u left join m using (page_id) left join bad using (page_id)
 """
 
 
