@@ -71,9 +71,9 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path)
+    path, pages = shared_dir(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    return warc.lookup(pages, path)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_decontamination": oracles.OP5,
     "op6_prefix_join": oracles.OP6,
-    "op8_url_filter": oracles.op8(URL_RULES, url_filter.BLOCKED_LABELS),
+    "op8_url_filter": oracles.op8(URL_RULES, sorted(url_filter.TOPICS), sorted({*url_filter.TOPICS, *url_filter.MODIFIERS})),
     "op9_host_quality": oracles.OP9,
     "op10_warc": oracles.OP10,
 }
