@@ -86,3 +86,25 @@ def test_edge_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
         assert stage(spark, empty, DIR).count() == 0
+
+
+def test_no_text_is_lost(spark):
+    """Of every component of texts one row stays, also where ids repeat."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (5, c), (9, c), (5, c), (5, b + " q"), (11, "one text of six words here"), (5, "one text of six words there"), (None, a), (5, "few"), (5, "few"), (5, "")]
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, DIR).collect()]
+    assert len(got) == len(set(got))
+    for some in ([(1, a)], [(5, b), (5, b + " q")], [(5, c)], [(11, rows[8][1])], [(5, rows[9][1])], [(5, "few")], [(5, "")], [(None, a)]):
+        assert sum(x in got for x in some) == 1, some
+    assert len(got) == 8
+
+
+def test_languages_that_stay(spark, stages):
+    """The first stage fills in what the operator predicts, which its own tests hold against brute force."""
+    docs = stages[0]
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs, docs.where(~language_id.held_out())).collect()}
+    given = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    for r in stages[1].select("doc_id", "lang").collect():
+        assert r.lang == (given[r.doc_id] or found[r.doc_id])
