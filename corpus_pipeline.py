@@ -2,8 +2,9 @@
 
 Every stage reads what its predecessor wrote and keeps the columns of `documents`, but for the
 last. A null text is an empty one and is rejected with the texts that have no letter; rows with a
-null id pass through; of rows that repeat an id and its text one stays; an empty table gives an
-empty result.
+null id pass through; of rows that repeat an id and its text one stays. Where one id has several
+texts, each is judged by itself: of every component of texts one row stays, so no text is lost whose
+near copies are all gone. An empty table gives an empty result. Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,14 +29,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    docs = docs.select(*COLUMNS)
-    found = prefix_join.near_copies(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("h", F.sha2("text", 256)).dropDuplicates(["doc_id", "h"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    """Of each component of near copies one row with its smallest id stays."""
+    docs = docs.select(*COLUMNS).withColumn("__hash", F.xxhash64("text"))
+    found = prefix_join.near_copies(docs, detail=True)
+    later = found.where("doc_id <> component_id").select("doc_id", "text_hash")
+    often = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    # of several texts of one id in one component the one with the least hash stays
+    heads = found.where("doc_id = component_id").join(often, "doc_id", "left_semi")
+    least = heads.groupBy("doc_id", "component").agg(F.min("text_hash").alias("least"))
+    beside = heads.join(least, ["doc_id", "component"]).where("text_hash <> least").select("doc_id", "text_hash")
+    gone = later.union(beside).distinct().withColumnRenamed("text_hash", "__hash")
+    kept = docs.join(gone, ["doc_id", "__hash"], "left_anti")
+    once = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return kept.join(often, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay."""
     docs = docs.select(*COLUMNS)
     found = secret_scan.scan(docs, secret_scan.train(docs))
-    clean = found.withColumn("text", secret_scan.redact(found))
+    clean = secret_scan.redacted(found)
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
