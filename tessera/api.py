@@ -7,7 +7,7 @@ is distributed anyway.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.bayes import NaiveBayes
@@ -36,6 +36,28 @@ def _csr(matrix) -> tuple:
     return matrix.indices, matrix.indptr, matrix.data
 
 
+def _past(frame: DataFrame, index: Column) -> int:
+    """One more than the largest index; 0 where there is none."""
+    last = frame.agg(F.max(index)).first()[0]
+    return 0 if last is None else last + 1
+
+
+def to_array(frame: DataFrame, column: str, order: str | None = None):
+    """A column as a one-dimensional numpy array, in the order of another column: for results that fit
+    the driver."""
+    rows = frame.orderBy(order).select(column) if order else frame.select(column)
+    return rows.toArrow().column(0).to_numpy()
+
+
+def from_array(values, name: str = "value") -> DataFrame:
+    """A one-dimensional array as (row_id, value)."""
+    if getattr(values, "ndim", 1) != 1:
+        raise TypeError("one dimension is needed")
+    kind = {"i": "bigint", "u": "bigint", "b": "boolean"}.get(getattr(getattr(values, "dtype", None), "kind", "f"), "double")
+    rows = enumerate(values.tolist() if hasattr(values, "tolist") else values)
+    return session().createDataFrame(list(rows), f"row_id bigint, {name} {kind}")
+
+
 class _Data:
     def __init__(self, frame: DataFrame):
         self.frame = frame
@@ -50,7 +72,7 @@ class CSRMatrix(_Data):
         return self.frame.count()
 
     def get_num_cols(self) -> int:
-        return (self.frame.agg(F.max(F.array_max("indices"))).first()[0] or -1) + 1
+        return _past(self.frame, F.array_max("indices"))
 
 
 class Dataset(_Data):
@@ -68,7 +90,7 @@ class Dataset(_Data):
         return self.frame.count()
 
     def get_max_dim(self) -> int:
-        return (self.frame.agg(F.max(F.array_max("indices"))).first()[0] or -1) + 1
+        return _past(self.frame, F.array_max("indices"))
 
 
 class COOMatrix(_Data):
@@ -84,10 +106,10 @@ class COOMatrix(_Data):
         return cls(readers.from_coo(session(), *data))
 
     def get_num_rows(self) -> int:
-        return (self.frame.agg(F.max("u")).first()[0] or -1) + 1
+        return _past(self.frame, F.col("u"))
 
     def get_num_cols(self) -> int:
-        return (self.frame.agg(F.max("v")).first()[0] or -1) + 1
+        return _past(self.frame, F.col("v"))
 
 
 class Corpus(_Data):
@@ -130,6 +152,22 @@ class Cluster:
     def my_rank(self) -> int:
         return 0
 
+    def init_ps(self) -> None:
+        """The session is the cluster."""
+        session()
+
+    def is_scheduler(self) -> bool:
+        return self.role == "scheduler"
+
+    def is_server(self) -> bool:
+        return self.role == "server"
+
+    def is_worker(self) -> bool:
+        return self.role == "worker"
+
+    def finalize_ps(self) -> None:
+        """Nothing runs that would have to end: state is written tables."""
+
     def barrier(self) -> None:
         """An action is a barrier."""
 

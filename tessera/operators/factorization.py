@@ -214,10 +214,16 @@ def _pairwise(p, q, gp, gq, at, order, rng, lr, l2):
             acc[0] += float((g**2).mean())
 
 
-def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0) -> DataFrame:
-    """(u, v, w): each positive with a negative item drawn from all but its own."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "u", "v"), F.lit(max(1, items - 1))).cast("int")
-    return ratings.select("u", "v", F.when(draw >= F.col("v"), draw + 1).otherwise(draw).alias("w"))
+def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0, by: str = "u", draws: int = 8) -> DataFrame:
+    """(u, v, w): each positive with a negative drawn from 0 to items - 1, one that its user (or, with
+    by="v", its item) has no rating with. The first of `draws` candidates that is none of its
+    positives; a row whose candidates are all positives is left out, as there is nothing to rank."""
+    own = "v" if by == "u" else "u"
+    pairs = ratings.select("u", "v").distinct()
+    drawn = pairs.select("u", "v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "u", "v", i), F.lit(max(1, items))))).alias("k", "w"))
+    known = pairs.select(F.col(by).alias("__by"), F.col(own).cast("bigint").alias("__own"))
+    fresh = drawn.join(known, (F.col(by) == F.col("__by")) & (F.col("w") == F.col("__own")), "left_anti")
+    return fresh.groupBy("u", "v").agg(F.min_by("w", "k").alias("w"))
 
 
 def average_models(models: list[DataFrame]) -> DataFrame:

@@ -2,9 +2,10 @@
 factorisation machine.
 
 A batch is scored with the weights at its start and applied once, so a step is one aggregate over
-the batch: gradients are summed per feature with partial sums in every task. Batches follow
-row_id. Weights are a folded constant up to vectors.MAX_LITERAL entries; longer ones are a table
-that the batch's entries are joined with.
+the batch: gradients are summed per feature with partial sums in every task. Batches are of
+`batch_size` rows in the order of row_id; they are written once, in folders of `_FOLDER_ROWS` rows
+or of one batch, of which a step reads one. Weights are a folded constant up to
+vectors.MAX_LITERAL entries; longer ones are a table that the batch's entries are joined with.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import losses, vectors as V
+from ..sources.readers import ranked
 from ..sources.storage import materialize
 from . import stats
 from .params import Supervised, require, rows_of
 
+_FOLDER_ROWS = 1 << 16
 _SGD = {"num_epoch": 10, "batch_size": 1000, "learning_rate": 0.1, "l1_reg": 0.0, "l2_reg": 0.0}
 
 
@@ -32,11 +35,14 @@ def scores(rows: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     return rows.join(sums, "row_id", "left").withColumn("score", F.coalesce("__s", F.lit(0.0)) + float(bias)).drop("__s")
 
 
-def batch_gradient(scored: DataFrame, grad: Column) -> DataFrame:
-    """(fid, g): sums of grad times value; fid -1 has the bias."""
+def batch_gradient(scored: DataFrame, grad: Column, by: list[str] | None = None, loss: Column | None = None) -> DataFrame:
+    """(by, fid, g): sums of grad times value; fid -1 has the bias, -2 the row count and, with a loss,
+    -3 its sum, all from one pass."""
     g = scored.withColumn("__g", grad)
-    entries = F.concat(F.array(F.struct(F.lit(-1).alias("fid"), F.col("__g").alias("g"))), F.zip_with("indices", "values", lambda i, x: F.struct(i.alias("fid"), (x * F.col("__g")).alias("g"))))
-    return g.select(F.explode(entries).alias("e")).groupBy("e.fid").agg(F.sum("e.g").alias("g"))
+    more = [(-1, F.col("__g")), (-2, F.lit(1.0)), *([(-3, loss)] if loss is not None else [])]
+    own = F.array(*[F.struct(F.lit(k).alias("fid"), c.cast("double").alias("g")) for k, c in more])
+    entries = F.concat(own, F.zip_with("indices", "values", lambda i, x: F.struct(i.alias("fid"), (x * F.col("__g")).alias("g"))))
+    return g.select(*(by or []), F.explode(entries).alias("e")).groupBy(*(by or []), "e.fid").agg(F.sum("e.g").alias("g"))
 
 
 class LinearModel(Supervised):
@@ -57,29 +63,36 @@ class LinearModel(Supervised):
     def start(self, dim: int) -> np.ndarray:
         return np.random.default_rng(self["seed"]).normal(0, V.xavier_scale(dim), dim)
 
-    def prepare(self, train: DataFrame) -> tuple[DataFrame, int]:
-        """Rows with their batch; written once."""
+    def prepare(self, train: DataFrame) -> tuple[DataFrame, int, int]:
+        """Rows with their batch and its folder, written once; batches; features."""
         rows = rows_of(train) if self.regression else stats.check_labels(rows_of(train))
-        return materialize(rows.withColumn("batch", F.floor(F.col("row_id") / self["batch_size"])), "batches"), stats.max_dim(rows)
+        size = self["batch_size"]
+        n = train.count()
+        if size >= n:
+            rows = rows.withColumn("batch", F.lit(0).cast("bigint"))
+        else:
+            rows = ranked(rows, "row_id", "__n").withColumn("batch", F.floor(F.col("__n") / size)).drop("__n")
+        folder = F.floor(F.col("batch") / max(1, _FOLDER_ROWS // size)).alias("folder")
+        return materialize(rows.select("*", folder), "batches", ["folder"]), -(-n // size), stats.max_dim(rows)
+
+    def batches(self, rows: DataFrame, n: int):
+        for b in range(n):
+            yield rows.where((F.col("folder") == b // max(1, _FOLDER_ROWS // self["batch_size"])) & (F.col("batch") == b))
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> LinearModel:
-        rows, dim = self.prepare(train)
-        batches = [r.batch for r in rows.select("batch").distinct().orderBy("batch").collect()]
+        rows, n, dim = self.prepare(train)
         self.weights, self.bias = self.start(dim), 0.0
         for epoch in range(self["num_epoch"]):
-            losses_seen = [self.step(rows.where(F.col("batch") == b)) for b in batches]
+            losses_seen = [self.step(batch) for batch in self.batches(rows, n)]
             self.history.append((epoch, "train", "loss", float(np.mean(losses_seen)) if losses_seen else 0.0))
             self._log(epoch, valid)
         return self
 
     def step(self, batch: DataFrame) -> float:
         loss, y, s = losses.loss(self["loss"]), F.col("label"), F.col("score")
-        scored = scores(batch, self.weights, self.bias).withColumn("__l", loss.value(y, s))
-        # the loss and the row count travel as two more entries of the gradient
-        more = scored.agg(F.lit(-2).alias("fid"), F.sum("__l").alias("g")).union(scored.agg(F.lit(-3), F.count("*").cast("double")))
-        found = {r.fid: r.g for r in batch_gradient(scored, loss.grad(y, s)).union(more).collect()}
-        n = found.pop(-3)
-        total, bias = found.pop(-2), found.pop(-1, 0.0)
+        scored = scores(batch, self.weights, self.bias)
+        found = {r.fid: r.g for r in batch_gradient(scored, loss.grad(y, s), loss=loss.value(y, s)).collect()}
+        n, total, bias = found.pop(-2, 1.0), found.pop(-3, 0.0), found.pop(-1, 0.0)
         rate = self["learning_rate"]
         fids = np.array(list(found), int)
         gradient = np.zeros(len(self.weights))
@@ -152,12 +165,25 @@ class FactorizationMachine(LinearModel):
         return np.random.default_rng(self["seed"]).normal(0, V.xavier_scale(dim), (self["embedding_dim"] + 1, dim))
 
     def _scored(self, rows: DataFrame) -> DataFrame:
+        """rows with `score` and `__inner`, the inner product with each factor."""
+        if self.weights.shape[1] > V.MAX_LITERAL:
+            return self._scored_by_join(rows)
         inner = F.array(*[V.sparse_dot("indices", "values", V.literal(v)) for v in self.weights[1:]])
         square = V.literal((self.weights[1:] ** 2).sum(axis=0))
         own = V.total(F.zip_with("indices", "values", lambda i, x: x * x * F.coalesce(F.get(square, i), F.lit(0.0))))
         rows = rows.withColumn("__inner", inner)
         return rows.withColumn("score", V.sparse_dot("indices", "values", V.literal(self.weights[0])) + 0.5 * (V.dot("__inner", "__inner") - own))
 
+    def _scored_by_join(self, rows: DataFrame) -> DataFrame:
+        k = self["embedding_dim"]
+        table = self.parts(rows.sparkSession)["weights"]
+        entries = rows.select("row_id", F.explode(F.arrays_zip("indices", "values")).alias("e")).select("row_id", F.col("e.indices").alias("fid"), F.col("e.values").alias("x"))
+        x, v = F.col("x"), lambda f: F.coalesce(F.get("v", F.lit(f)), F.lit(0.0))
+        sums = entries.join(table, "fid").groupBy("row_id").agg(F.sum(x * F.col("w")).alias("__w"), F.sum(x * x * V.dot("v", "v")).alias("__own"), F.array(*[F.sum(x * v(f)) for f in range(k)]).alias("__inner"))
+        out = rows.join(sums, "row_id", "left").withColumn("__inner", F.coalesce("__inner", F.array_repeat(F.lit(0.0), k)))
+        score = F.coalesce("__w", F.lit(0.0)) + 0.5 * (V.dot("__inner", "__inner") - F.coalesce("__own", F.lit(0.0)))
+        return out.withColumn("score", score).drop("__w", "__own")
+
     def step(self, batch: DataFrame) -> float:
         loss, y, s = losses.loss(self["loss"]), F.col("label"), F.col("score")
         k, rate = self["embedding_dim"], self["learning_rate"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..sources import persist
 from .params import Params, frame_of
 
 BLOCK_BYTES = 64 << 20
@@ -84,7 +85,8 @@ def dense(rows: DataFrame) -> DataFrame:
     """Sparse rows as dense ones of equal length; an absent entry is zero."""
     if "features" in rows.columns:
         return rows
-    dim = (rows.agg(F.max(F.array_max("indices"))).first()[0] or 0) + 1
+    last = rows.agg(F.max(F.array_max("indices"))).first()[0]
+    dim = 1 if last is None else last + 1
     m = F.map_from_arrays("indices", "values")
     return rows.withColumn("__m", m).withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("__m"), i), F.lit(0.0)))).drop("__m")
 
@@ -109,6 +111,15 @@ class KNN:
         """The scores through a second soft-max."""
         return self.predict_score(labeled, data).select("query", V.softmax("score").alias("proba"))
 
+    def save_model(self, spark, path: str) -> None:
+        """There is nothing but the parameters: labelled rows come with every call."""
+        persist.save(spark, path, self.name, dict(self.params), {})
+
+    @classmethod
+    def load_model(cls, spark, path: str) -> KNN:
+        params, _ = persist.load(spark, path, cls.name)
+        return cls(**params)
+
     def evaluate(self, labeled: DataFrame, data: DataFrame, metrics: list[str]) -> DataFrame:
         from ..functions.metrics import evaluate
 

@@ -35,6 +35,11 @@ def axpy_within(y: DataFrame, a: float, x: DataFrame, keys: list[str] | None = N
     return y.join(x.select(*keys, F.col("value").alias("__v")), keys, "left").select(*keys, (F.col("value") + F.lit(a) * F.coalesce("__v", F.lit(0.0))).alias("value"))
 
 
+def axpy_sparse_dense(y: DataFrame, a: float, x: DataFrame) -> DataFrame:
+    """A sparse vector cannot take a dense one: its pattern would change."""
+    raise TypeError("a sparse vector cannot take a dense one; add into a dense vector with axpy")
+
+
 def hadamard(y: DataFrame, x: DataFrame, keys: list[str] | None = None, touched_only: bool = False) -> DataFrame:
     """Entry-wise product; entries of y that x lacks stay, or go with touched_only."""
     keys = [*(keys or []), "fid"]

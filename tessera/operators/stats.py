@@ -16,6 +16,10 @@ def check_labels(df: DataFrame, num_label: int | None = None, label: str = "labe
     labels that are not all -1/1 or 0/1."""
     y = F.col(label)
     good = (y == F.floor(y)) & (y >= 0) & (y < num_label) if num_label else y.isin(-1, 0, 1)
+    if not num_label:
+        ends = df.agg(F.max((y == -1).cast("int")), F.max((y == 0).cast("int"))).first()
+        if ends[0] and ends[1]:
+            raise ValueError("bad label: -1 and 0 in one data set")
     return df.withColumn(label, F.when(good, y).otherwise(F.raise_error(F.concat(F.lit("bad label: "), F.coalesce(y.cast("string"), F.lit("null")))).cast("double")))
 
 
@@ -49,7 +53,10 @@ def candidate_splits(long: DataFrame, num_split: int = 10, exact: bool = True, a
     quantiles = F.percentile("value", F.array(*map(F.lit, fractions))) if exact else F.percentile_approx("value", F.array(*map(F.lit, fractions)), accuracy)
     # a feature's smallest distinct values, one more than the limit, tell whether they are few
     distinct = values.groupBy("fid", "value").agg(F.lit(1)).select("fid", "value")
-    few = distinct.withColumn("k", F.row_number().over(Window.partitionBy("fid").orderBy("value"))).where(F.col("k") <= num_split + 1)
+    # in two steps, so that no task sorts all values of a feature
+    part = F.pmod(F.xxhash64("value"), F.lit(256))
+    some = distinct.withColumn("k", F.row_number().over(Window.partitionBy("fid", part).orderBy("value"))).where(F.col("k") <= num_split + 1)
+    few = some.withColumn("k", F.row_number().over(Window.partitionBy("fid").orderBy("value"))).where(F.col("k") <= num_split + 1)
     few = few.groupBy("fid").agg(F.sort_array(F.collect_list("value")).alias("few"))
     edges = values.groupBy("fid").agg(quantiles.alias("q")).join(few, "fid")
     raw = F.when(F.size("few") <= num_split, F.col("few")).otherwise(V.unique("q"))
@@ -91,6 +98,14 @@ def sample_rows(df: DataFrame, ratio: float, seed: int, key: str = "row_id") ->
     return hashed.where((F.col("__b") < bucket) | inside).drop("__h", "__b")
 
 
+def permuted(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """df (keys without repeats) with `name`: places 0 to n - 1 in an order drawn by the seed, the same
+    for any partitioning."""
+    from ..sources.readers import ranked
+
+    return ranked(df.withColumn("__order", F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k"))), "__order", name).drop("__order")
+
+
 def fold(key: Column, k: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)).cast("int")
 

@@ -194,17 +194,34 @@ def shard_modulo(spark, d):
     return every[0].union(every[1]).union(every[2]).union(every[3])
 
 
-@query("with k as (select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey) as i, count(*) over () as n from orders) select o_orderkey from k where i <= ceil(n * 0.3)")
-def instance_sample_topn(spark, d):
-    orders = table(spark, d, "orders")
-    n = -(-orders.count() * 3 // 10)
-    return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(n).select("o_orderkey")
+@query("select ceil(count(*) * 0.3)::bigint as n, ceil(count(*) * 0.3)::bigint as known, true as same from orders")
+def instance_sample(spark, d):
+    """Rows drawn without replacement: how many, how many of them are keys of the table, and whether other
+    partitions draw the same."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"))
+    some = stats.sample_rows(orders, 0.3, 5)
+    again = stats.sample_rows(orders.repartition(7), 0.3, 5)
+    known = some.join(orders, "row_id", "left_semi").agg(F.countDistinct("row_id").alias("known"))
+    both = some.join(again, "row_id", "left_semi").agg(F.count("*").alias("both"))
+    return some.agg(F.count("*").alias("n")).join(known).join(both).select("n", "known", (F.col("both") == F.col("n")).alias("same"))  # one row each
+
+
+@query("select f::int as fold, count(*) as n, 0::bigint as overlap, true as even from lineitem, (select unnest([0, 1, 2, 3, 4]) as f) group by 1")
+def kfold_parts(spark, d):
+    """Each fold's two parts are the whole table, share no rating, and validation is near a fifth."""
+    rows = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    out = []
+    for k, (train, valid) in enumerate(stats.k_fold(rows, 5, "key")):
+        both = train.join(valid, "key", "left_semi").agg(F.count("*").alias("overlap"))
+        sizes = train.agg(F.count("*").alias("a")).join(valid.agg(F.count("*").alias("b"))).join(both)  # one row each
+        out.append(sizes.select(F.lit(k).alias("fold"), (F.col("a") + F.col("b")).alias("n"), "overlap", F.col("b").between((F.col("a") + F.col("b")) * 0.18, (F.col("a") + F.col("b")) * 0.22).alias("even")))
+    return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
 
 
-@query("select (l_orderkey * 31 + l_partkey * 17) % 5 as fold, count(*) as n, round(avg(l_quantity), 4) as mean from lineitem group by 1")
-def kfold_assign(spark, d):
-    r = ratings(spark, d).withColumn("fold", F.pmod(F.col("u") * 31 + F.col("v") * 17, F.lit(5)))
-    return r.groupBy("fold").agg(F.count("*").alias("n"), r4(F.avg("r"), "mean"))
+@query("select count(*) as n, 0::bigint as low, count(*) - 1 as high, count(*) as places, true as moved from part")
+def random_permutation(spark, d):
+    p = stats.permuted(table(spark, d, "part").select("p_partkey"), "p_partkey", 3)
+    return p.agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.countDistinct("place").alias("places"), (F.sum((F.col("place") != F.col("p_partkey") - 1).cast("int")) > F.count("*") * 0.9).alias("moved"))
 
 
 @query("select count(*) as n from (select distinct c_custkey from customer where c_acctbal > 0 intersect select distinct o_custkey from orders) union all select count(*) from (select distinct c_custkey from customer except select distinct o_custkey from orders)")
@@ -266,6 +283,92 @@ def argmax_kth_distinct(spark, d):
     return em(spark, d).select("row_id", V.argmax("features").alias("top"), r4(V.kth_largest("features", 3), "third"), kinds, V.nnz(F.transform("features", lambda x: F.greatest(x, F.lit(0.0)))).alias("positive"))
 
 
+@query(f"with {EL} select vec_id as row_id, round(sum(pow(value * ((((fid + 1) % 7) - 3) / 8.0e0), 2)), 4) as dot_square from el where fid % 2 = 0 group by vec_id")
+def sparse_dot_square(spark, d):
+    e = em_long(spark, d).select("row_id", "fid", "value")
+    w = e.where("fid % 2 = 0").select("row_id", "fid", F.get(V.literal(WV), F.col("fid")).alias("value"))
+    joined = e.withColumn("fid", F.col("row_id") * 64 + F.col("fid"))  # vectors pair off row by row
+    return sparse.dot_square(joined, w.select((F.col("row_id") * 64 + F.col("fid")).alias("fid"), "value"), ["row_id"]).select("row_id", r4(F.col("dot_square"), "dot_square"))
+
+
+@query(f"with {EL} select vec_id as row_id, fid, round(case when value > 0.1 then value else -1 end, 4) as value from el where fid % 5 = 0")
+def csr_lookup(spark, d):
+    e = em_long(spark, d).select("row_id", "fid", "value")
+    return sparse.lookup(e.where("value > 0.1"), e.where("fid % 5 = 0").select("row_id", "fid"), ["row_id"]).select("row_id", "fid", r4(F.col("value"), "value"))
+
+
+@query(f"with {EM} select vec_id as row_id, round(list_sum(list_transform(generate_series(1, 64), lambda i: e[i] + 0.5e0 * (((i % 7) - 3) / 8.0e0))), 4) as axpy, round(list_sum(e), 4) as total, round(list_product(list_transform(e, lambda x: 1 + x / 10)), 6) as product, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) as norm2, 0.0e0 as cleared from em")
+def dense_vector_ops(spark, d):
+    x = V.literal(WV)
+    return em(spark, d).select("row_id", r4(V.total(V.axpy("features", 0.5, x)), "axpy"), r4(V.total("features"), "total"), F.round(V.product(F.transform("features", lambda v: 1 + v / 10)), 6).alias("product"), r4(V.norm2("features"), "norm2"), V.total(V.clear("features")).alias("cleared"))
+
+
+@query("with s as (select l_returnflag as g, sum(l_discount * l_discount) as a, sum(l_discount * l_tax) as b, sum(l_tax * l_tax) + 1 as c, sum(l_discount * l_quantity) as p, sum(l_tax * l_quantity) as q from lineitem group by 1) select g, round((p * c - b * q) / (a * c - b * b), 4) as x, round((a * q - b * p) / (a * c - b * b), 4) as y from s")
+def spd_solve(spark, d):
+    """Two normal equations for each flag, one small system a row."""
+    x, y, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
+    sums = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(x * x), F.sum(x * y), F.sum(y * y) + 1, F.sum(x * q), F.sum(y * q))
+    out = [(g, *[round(v, 4) for v in V.solve_spd([[a, b], [b, c]], [p, r])]) for g, a, b, c, p, r in sums.collect()]  # one row a flag
+    return spark.createDataFrame(out, "g string, x double, y double")
+
+
+# Sources: each query writes files of its format and reads them back ---------------------------------
+
+
+def _text(df: DataFrame, spark: SparkSession, name: str) -> str:
+    path = storage.shared_dir(spark, name)
+    df.select("value").write.text(path)
+    return path
+
+
+@query("with x as (select case when l_returnflag = 'R' then 1 else -1 end as y, unnest([0, 1, 2, 3]) as fid, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) as v from lineitem) select fid::int as fid, count(*) as n, round(sum(v), 4) as total, round(sum(y * v), 4) as signed, (select count(*) from lineitem) as n_rows from x where v <> 0 group by 1")
+def libsvm_scan(spark, d):
+    """Labels and sparse pairs as text, among comments and blank lines."""
+    values = F.filter(F.transform("features", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] != 0)
+    line = F.concat_ws(" ", F.when(F.col("label") == 1, "1").otherwise("0"), F.array_join(F.transform(values, lambda p: F.concat_ws(":", p["i"] + 1, p["x"])), " "))
+    lines = li(spark, d).select(line.alias("value")).union(spark.createDataFrame([("# note",), ("",), (" indented 1:1",)], "value string"))
+    rows = readers.read_dataset(spark, _text(lines, spark, "libsvm"), "libsvm", neg_y=True)
+    long = readers.to_long(rows, ("row_id", "label"))
+    n = rows.agg(F.count("*").alias("n_rows"), F.countDistinct("row_id").alias("ids")).where("n_rows = ids").select("n_rows")
+    sums = long.groupBy("fid").agg(F.count("*").alias("n"), r4(F.sum("value"), "total"), r4(F.sum(F.col("value") * F.col("label")), "signed"))
+    return sums.join(n)  # one row
+
+
+@query("with x as (select unnest([0, 1]) as fid, unnest([l_quantity, l_tax]) as v from lineitem) select fid::int as fid, count(case when v <> 0 then 1 end) as n, count(case when v = 0 then 1 end) as absent, round(sum(v), 4) as total, (select count(*) from lineitem) // 3 + case when (select count(*) from lineitem) % 3 > 1 then 1 else 0 end as shard from x group by 1")
+def csv_scan(spark, d):
+    """Dense lines in which a zero is an empty field, which is read as NaN; and one rank's share of them."""
+    t = table(spark, d, "lineitem")
+    empty = lambda c: F.when(F.col(c) == 0, "").otherwise(F.col(c).cast("string"))
+    path = _text(t.select(F.concat_ws(",", F.lit("1"), empty("l_quantity"), empty("l_tax")).alias("value")), spark, "csv")
+    rows = readers.read_dataset(spark, path, "csv").select("row_id", F.posexplode("features").alias("fid", "x"))
+    share = readers.read_dataset(spark, path, "csv", rank=1, total=3).agg(F.count("*").alias("shard"))
+    x = F.col("x")
+    sums = rows.groupBy("fid").agg(F.count(F.when(~F.isnan(x), 1)).alias("n"), F.count(F.when(F.isnan(x), 1)).alias("absent"), r4(F.sum(F.when(~F.isnan(x), x)), "total"))
+    return sums.join(share)  # one row
+
+
+@query("select l_partkey::int as v, count(*) as n, round(sum(l_quantity), 4) as total from lineitem group by 1")
+def coo_scan(spark, d):
+    path = _text(ratings(spark, d).select(F.concat_ws(" ", "u", "v", "r").alias("value")), spark, "coo")
+    return readers.read_coo(spark, path).groupBy("v").agg(F.count("*").alias("n"), r4(F.sum("r"), "total"))
+
+
+@query(f"with {TOK}, w as (select doc_id, len(word)::int as word_id from tk) select word_id, count(*) as n, count(distinct doc_id) as docs from w group by 1")
+def corpus_scan(spark, d):
+    """Documents as lines of word numbers, which are word lengths here."""
+    lengths = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), F.length)
+    lines = table(spark, d, "documents").where(F.size(lengths) > 0).select(F.concat_ws("\t", F.col("doc_id"), F.array_join(lengths.cast("array<string>"), " ")).alias("value"))
+    return readers.read_corpus(spark, _text(lines, spark, "corpus")).groupBy("word_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"with {EL} select vec_id as row_id, count(*) as n, round(sum(value * fid), 4) as moment, max(fid)::int as last, (select max(fid) + 1 from el where value > 0.05)::int as dim from el where value > 0.05 group by 1")
+def sparse_round_trip(spark, d):
+    """Long form to sparse rows and back; the number of features."""
+    rows = storage.materialize(readers.to_sparse_rows(em_long(spark, d).where("value > 0.05")), "rows")
+    sums = readers.to_long(rows).groupBy("row_id").agg(F.count("*").alias("n"), r4(F.sum(F.col("value") * F.col("fid")), "moment"), F.max("fid").alias("last"))
+    return sums.withColumn("dim", F.lit(stats.max_dim(rows)))
+
+
 # Losses and metrics --------------------------------------------------------------------------
 
 SC = LI + f", sc as (select li.*, 2 * y - 1 as s, {LIN} as p from li)"
@@ -297,6 +400,12 @@ def rich_grad_hess(spark, d):
     return _scored(spark, d).select("row_id", r4(loss.grad(F.col("label"), F.col("score")), "g"), r4(loss.hess(F.col("label"), F.col("score")), "h"))
 
 
+@query(f"with {SC} select row_id, round(p - y, 4) as g, 1.0e0 as h from sc")
+def rich_square(spark, d):
+    loss = losses.rich_loss("square")
+    return _scored(spark, d).select("row_id", r4(loss.grad(F.col("label"), F.col("score")), "g"), loss.hess(F.col("label"), F.col("score")).alias("h"))
+
+
 E10 = EM + ", sm as (select vec_id, label, c, exp(e[c + 1]) / sum(exp(e[c + 1])) over (partition by vec_id) as p, e[c + 1] as s from em, unnest(generate_series(0, 9)) as t(c))"
 
 
@@ -340,11 +449,9 @@ def metric_multi(spark, d):
 
 @query(f"with {SC}, g as (select row_id % 7 as batch, -s / (1 + exp(s * p)) as g, [x0, x1, x2, x3] as x from sc) select batch, (i - 1)::int as fid, round(sum(g * x[i]), 4) as grad from g, unnest(generate_series(1, 4)) as t(i) group by 1, 2")
 def minibatch_gradient(spark, d):
-    loss = losses.loss("logistic")
-    rows = li(spark, d).withColumn("g", loss.grad(2 * F.col("label") - 1, linear_score())).withColumn("batch", F.pmod("row_id", F.lit(7)))
-    sums = rows.groupBy("batch").agg(*[F.sum(F.col("g") * F.get("features", F.lit(i))).alias(f"g{i}") for i in range(4)])
-    long = sums.select("batch", F.posexplode(F.array(*[f"g{i}" for i in range(4)])).alias("fid", "x"))
-    return long.select("batch", "fid", r4(F.col("x"), "grad"))
+    rows = readers.from_dense(li(spark, d).withColumn("batch", F.pmod("row_id", F.lit(7))).withColumn("__s", linear_score()))
+    found = linear.batch_gradient(rows, losses.loss("logistic").grad(2 * F.col("label") - 1, F.col("__s")), ["batch"])
+    return found.where("fid >= 0").select("batch", "fid", r4(F.col("g"), "grad"))
 
 
 STEP = "greatest(-20.0e0, least(20.0e0, w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + b)) - y"
@@ -363,10 +470,22 @@ def linreg_sgd_epochs(spark, d):
     return spark.createDataFrame(out, "epoch int, w0 double, w1 double, w2 double, w3 double, b double")
 
 
+BSTEP = "greatest(-20.0e0, least(20.0e0, w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + b)) - y"
+
+
+@query(f"with recursive {LI}, ls as (select (row_number() over (order by row_id) - 1) // 1000 as batch, y, x0 / 50 as x0, x1 / 100000 as x1, x2 * 10 as x2, x3 * 10 as x3 from li), nb as (select max(batch) + 1 as n from ls), st as (select 0::bigint as step, 0.0e0 as w0, 0.0e0 as w1, 0.0e0 as w2, 0.0e0 as w3, 0.0e0 as b union all select n.step, n.w0, n.w1, n.w2, n.w3, n.b from (select max(step) + 1 as step, max(w0) - 0.05e0 * avg(g * x0) as w0, max(w1) - 0.05e0 * avg(g * x1) as w1, max(w2) - 0.05e0 * avg(g * x2) as w2, max(w3) - 0.05e0 * avg(g * x3) as w3, max(b) - 0.05e0 * avg(g) as b from (select st.*, x0, x1, x2, x3, {BSTEP} as g from st, ls, nb where batch = step and step < nb.n)) n where n.step is not null) select step as batches, round(w0, 6) as w0, round(w1, 6) as w1, round(w2, 6) as w2, round(w3, 6) as w3, round(b, 6) as b from st where step = (select n from nb)")
+def linreg_minibatches(spark, d):
+    """One epoch in batches of 1,000 rows."""
+    rows = readers.from_dense(scaled(spark, d))
+    model = linear.LinearRegression(num_epoch=1, batch_size=1000, learning_rate=0.05).fit(rows)
+    steps = -(-rows.count() // 1000)
+    return spark.createDataFrame([(steps, *[round(float(w), 6) for w in model.weights], round(float(model.bias), 6))], "batches bigint, w0 double, w1 double, w2 double, w3 double, b double")
+
+
 def _fit(cls, spark, d, signed=True, **params):
     rows = readers.from_dense(scaled(spark, d))
     rows = rows.withColumn("label", 2 * F.col("label") - 1) if signed else rows
-    model = cls(num_epoch=2, batch_size=1 << 40, **params).fit(rows)
+    model = cls(num_epoch=2, batch_size=max(1, -(-rows.count() // 8)), **params).fit(rows)
     return model.evaluate(rows)
 
 
@@ -481,16 +600,51 @@ def multiclass_histogram(spark, d):
     return sums.select("fid", "bin", r4(F.col("h"), "h"), F.posexplode("g").alias("class", "x")).select("class", "fid", "bin", r4(F.col("x"), "g"), "h")
 
 
+def _level(level: int, node: str) -> str:
+    """SQL of a tree's level: histograms of the nodes, prefix sums, the best split of each node."""
+    return (
+        f"h{level} as (select {node} as node, b.fid, bin, sum(g) as g, sum(h) as h from b join n{level} using (row_id) group by 1, 2, 3), "
+        f"p{level} as (select node, fid, bin, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by node, fid) as gt, sum(h) over (partition by node, fid) as ht, max(bin) over (partition by node, fid) as lb from h{level} window w as (partition by node, fid order by bin rows unbounded preceding)), "
+        f"k{level} as (select *, row_number() over (partition by node order by gain desc, fid, bin) as k from (select node, fid, bin, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht as gain from p{level} where bin < lb) where gain > 0), "
+        f"c{level} as (select node, count(*) as n from n{level} group by 1), s{level} as (select k{level}.node, fid, bin from k{level} join c{level} using (node) where k = 1 and n > 50)"
+    )
+
+
+ONE_TREE = (
+    f"with {LONG}, q as (select fid, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as qs, list_sort(list_distinct(list(value))) as ds from lo group by fid), "
+    "e as (select fid, case when len(ds) <= 10 then ds else qs end as e from q), z as (select fid, list_concat(case when e[1] = 0 then [-0.5e0] else [] end, e, case when e[len(e)] = 0 then [0.5e0] else [] end) as e from e), "
+    "st as (select 0.1e0 * (avg(y) - 0.5e0) as s from li), gr as (select row_id, 1 / (1 + exp(-s)) - y as g, greatest(1 / (1 + exp(-s)) * (1 - 1 / (1 + exp(-s))), 1e-8) as h from li, st), "
+    "b as (select lo.row_id, lo.fid, g, h, greatest(0, len(list_filter(z.e, lambda x: x <= value)) - 1) as bin from lo join z using (fid) join gr using (row_id)), "
+    f"n0 as (select row_id, 0 as node from li), {_level(0, 'node')}, "
+    "n1 as (select n0.row_id, case when s0.node is null then 0 else 1 + (b.bin > s0.bin)::int end as node from n0 left join s0 using (node) left join b on b.row_id = n0.row_id and b.fid = s0.fid where s0.node is null or b.fid is not null), "
+    f"{_level(1, 'node')}, "
+    "n2 as (select n1.row_id, case when s1.node is null then n1.node else 2 * n1.node + 1 + (b.bin > s1.bin)::int end as node from n1 left join s1 using (node) left join b on b.row_id = n1.row_id and b.fid = s1.fid where s1.node is null or b.fid is not null), "
+    "lf as (select node, -sum(g) / sum(h) as w from n2 join gr using (row_id) group by 1)"
+)
+
+
+@query(f"{ONE_TREE} select row_id, round(s + 0.1e0 * w, 4) as score from n2 join lf using (node), st")
+def gbdt_one_tree(spark, d):
+    """Splits, leaves and scores of a tree that is fitted from the start."""
+    rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
+    return trees.GBDT(max_depth=2, num_round=1, min_node_ins=50).fit(rows).predict_score(rows).select("row_id", r4(F.col("score"), "score"))
+
+
+@query(f"{ONE_TREE} select row_id, case when w > 0 then 1.0e0 else -1.0e0 end as score from n2 join lf using (node)".replace("select 0.1e0 * (avg(y) - 0.5e0) as s from li", "select 0.0e0 as s"))
+def forest_one_tree(spark, d):
+    rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
+    return trees.RandomBoostedForest(max_depth=2, num_round=1, min_node_ins=50, ins_sp_ratio=1.0, feat_sp_ratio=1.0).fit(rows).predict_score(rows)
+
+
 @query()
 def gbdt_fit_predict(spark, d):
-    rows = readers.from_dense(li(spark, d)).cache()
-    out = trees.GBDT(max_depth=3, num_round=2, min_node_ins=50).fit(rows).predict_score(rows)
-    return out
+    rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
+    return trees.GBDT(max_depth=3, num_round=2, min_node_ins=50).fit(rows).predict_score(rows)
 
 
 @query()
 def random_forest_fit_predict(spark, d):
-    rows = readers.from_dense(li(spark, d)).cache()
+    rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
     return trees.RandomBoostedForest(max_depth=2, num_round=2, min_node_ins=50, feat_sp_ratio=0.9).fit(rows).predict_score(rows)
 
 
@@ -614,6 +768,84 @@ def lda_fit(spark, d):
     return model.table.join(words, "word_id").select("word_id", "word", "topic", "n")
 
 
+# Models on disk ------------------------------------------------------------------------------
+
+
+def _again(model, spark):
+    path = storage.shared_dir(spark, "model")
+    model.save_model(spark, path)
+    return type(model).load_model(spark, path)
+
+
+def _both(model, rows):
+    scores = model.predict_score(rows).select("row_id", F.lit("score").alias("kind"), r4(F.col("score"), "value"))
+    return scores.union(model.predict_proba(rows).select("row_id", F.lit("proba"), r4(F.col("proba"), "value")))
+
+
+@query(f"with {LI} select row_id, 'score' as kind, round({LIN}, 4) as value from li union all select row_id, 'proba', round(1 / (1 + exp(-{LIN})), 4) from li")
+def linear_model_round_trip(spark, d):
+    import numpy as np
+
+    model = linear.LogisticRegression()
+    model.weights, model.bias = np.array(W), -0.2517
+    return _both(_again(model, spark), readers.from_dense(li(spark, d)))
+
+
+@query(f"with {EL} select vec_id as row_id, round(sum(value * (((fid + 1) % 7) - 3) / 8.0e0) + {FMS}, 4) as score from el group by vec_id")
+def fm_model_round_trip(spark, d):
+    import numpy as np
+
+    model = linear.FactorizationMachine(embedding_dim=3)
+    model.weights = np.array([WV, *FMV])
+    model = _again(model, spark)
+    rows = readers.from_dense(em(spark, d))
+    short = model.predict_score(rows)
+    long = model._scored_by_join(rows).select("row_id", F.col("score").alias("joined"))  # as for longer models
+    return short.join(long, "row_id").where("abs(score - joined) < 1e-9").select("row_id", r4(F.col("score"), "score"))
+
+
+@query(f"with {MOMENTS}, s as (select row_id, mo.y::int as label, sum(greatest(-0.5e0 * (value - mean) * (value - mean) / var - 0.5e0 * ln(6.28318e0 * var), ln(1e-8))) + ln(max(prior)) as s from lo join mo using (fid) group by row_id, mo.y) select row_id, (max(case when label = 1 then s end) > max(case when label = 0 then s end)) as positive from s group by 1 having abs(max(case when label = 1 then s end) - max(case when label = 0 then s end)) > 1e-6")
+def nb_model_round_trip(spark, d):
+    rows = readers.from_dense(li(spark, d))
+    model = _again(bayes.NaiveBayes(num_label=2).fit(rows), spark)
+    a, b = (F.log(F.get("score", F.lit(k))) for k in (0, 1))
+    return model.predict_score(rows).where(F.abs(a - b) > 1e-6).select("row_id", (b > a).alias("positive"))
+
+
+@query(f"with {LI} select row_id, 'score' as kind, round(0.05e0 + 0.1e0 * (case when x0 >= 25 then 1.5e0 else -0.5e0 end), 4) as value from li union all select row_id, 'proba', round(1 / (1 + exp(-(0.05e0 + 0.1e0 * (case when x0 >= 25 then 1.5e0 else -0.5e0 end)))), 4) from li")
+def tree_model_round_trip(spark, d):
+    model = trees.GBDT()
+    model.start, model.trees = [0.05], [trees.Tree(nodes={0: (0, 25.0, 0, 0.0)}, leaves={1: [-0.5], 2: [1.5]})]
+    return _both(_again(model, spark), readers.from_dense(li(spark, d)))
+
+
+@query(f"with {MFP} select u, v, pred from pr")
+def mf_model_round_trip(spark, d):
+    model = mf.NMF()
+    model.bias, (model.p, model.q) = 25.5, _factors(spark, d)
+    return _again(model, spark).predict(ratings(spark, d)).select("u", "v", "pred")
+
+
+@query("with f as (select distinct l_partkey as id from lineitem) select id, round((4 + id % 5 + case when id % 2 = 0 then 1 + id % 3 else 0 end) / 2.0e0, 4) as a, round((id % 7 + case when id % 2 = 0 then 2 else 0 end) / 2.0e0, 4) as b from f")
+def mf_average_models(spark, d):
+    ids = ratings(spark, d).select(F.col("v").alias("id")).distinct()
+    one = ids.select("id", F.array(4 + F.col("id") % 5, F.col("id") % 7).cast("array<double>").alias("factors"))
+    two = ids.where("id % 2 = 0").select("id", F.array(1 + F.col("id") % 3, F.lit(2)).cast("array<double>").alias("factors"))
+    return mf.average_models([one, two]).select("id", r4(F.get("factors", F.lit(0)), "a"), r4(F.get("factors", F.lit(1)), "b"))
+
+
+@query("select s as side, count(*) as n, 0::bigint as rated, true as inside from (select distinct l_orderkey, l_partkey from lineitem), (select unnest(['u', 'v']) as s) group by 1")
+def bpr_negatives(spark, d):
+    """A negative for every positive of a user, and of an item: none of them is rated."""
+    r, out = ratings(spark, d), []
+    for by, own in (("u", "v"), ("v", "u")):
+        items = r.agg(F.max(own)).first()[0] + 1
+        drawn = mf.bpr_pairs(r, items, 3, by)
+        rated = drawn.join(r.select(F.col(by), F.col(own).alias("w")).distinct(), [by, "w"], "left_semi").agg(F.count("*").alias("rated"))
+        out.append(drawn.agg(F.lit(by).alias("side"), F.count("*").alias("n"), F.min((F.col("w") >= 0) & (F.col("w") < items)).alias("inside")).join(rated))  # one row
+    return out[0].union(out[1]).select("side", "n", "rated", "inside")
+
+
 # Distributed state ---------------------------------------------------------------------------
 
 
@@ -656,6 +888,22 @@ def ps_matrix_columns(spark, d):
     return m.pull_cols(wanted).select("col", r4(F.get("values", F.lit(0)), "a"), F.get("values", F.lit(1)).alias("b"))
 
 
+@query(f"with {PV} select idx, round(2 * q, 4) as value, least(idx // greatest(1, (n + 1) // 4), 3) as server from qv, sz where idx % 3 = 0")
+def ps_sparse_pull(spark, d):
+    """A vector added to one derived from it, pulled at some indices, with the server that has each."""
+    q = _vector(spark, d, "q", "l_quantity")
+    twice = q.derive().add_to(q).add_to(q)
+    at = twice.pull().where("idx % 3 = 0").select("idx")
+    servers = twice.partitioned(4).select("idx", "server")
+    return twice.pull(at).join(servers, "idx").select("idx", r4(F.col("value"), "value"), "server")
+
+
+@query("select key, sum(value)::bigint as value from (select c_nationkey as key, count(*) as value from customer group by 1 union all select s_nationkey, count(*) from supplier group by 1) group by 1")
+def kv_merge(spark, d):
+    counts = lambda name, key: table(spark, d, name).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("value"))
+    return state.merge_store(counts("customer", "c_nationkey"), counts("supplier", "s_nationkey"))
+
+
 # Streaming's batch form ----------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary root is set only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; where that is unset, a temporary root is set, but only
+    in a session of one process: executors of a cluster share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back (survives lost executors)."""
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back (survives lost executors). by: columns
+    whose values get folders of their own, so that a filter on them reads no other."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,6 +47,33 @@ def test_arrays(spark):
     assert api.NMF(embedding_dim=2, num_epoch=1, objective="bpr", nonnegative=False).fit(ratings).predict(ratings).count() == 2
 
 
+def test_sizes_of_one_column(spark):
+    one = Sparse([0, 0], [0, 1, 2], [1.0, 1.0])
+    assert api.CSRMatrix.from_data(one).get_num_cols() == 1 and api.Dataset.from_data((one, [0, 1])).get_max_dim() == 1
+    assert api.COOMatrix.from_data(([0], [0], [1.0])).get_num_rows() == 1
+    assert api.CSRMatrix.from_data(Sparse([], [0, 0], [])).get_num_cols() == 0
+
+
+def test_arrays_in_and_out(spark, tmp_path):
+    x = np.array([1.5, 2.5, -1.0])
+    assert (api.to_array(api.from_array(x), "value", "row_id") == x).all()
+    assert api.to_array(api.from_array(np.arange(4)), "value", "row_id").dtype.kind == "i"
+    with pytest.raises(TypeError):
+        api.from_array(np.zeros((2, 2)))
+    api.KNN(3, 2).save_model(spark, f"file://{tmp_path}/knn")
+    assert api.KNN.load_model(spark, f"file://{tmp_path}/knn").params == {"num_label": 3, "num_neighbor": 2}
+    cluster = api.Cluster(num_workers=3, role="server")
+    cluster.init_ps(), cluster.start_server("int"), cluster.finalize_ps()
+    assert (cluster.num_workers, cluster.num_servers, cluster.is_server(), cluster.is_worker(), cluster.is_scheduler()) == (3, 1, True, False, False)
+
+
+def test_sparse_takes_no_dense(spark):
+    from tessera.operators import sparse
+
+    with pytest.raises(TypeError):
+        sparse.axpy_sparse_dense(None, 1.0, None)
+
+
 def test_corpus(spark, tmp_path):
     (tmp_path / "c.txt").write_text("0 1 2 1\n1 0 2\n")
     corpus = api.Corpus.from_file(3, f"file://{tmp_path}/c.txt")

@@ -73,6 +73,35 @@ def test_long_weights_are_joined(toy):
     assert all(math.isclose(a.score, b.score, abs_tol=1e-12) for a, b in zip(short, long))
 
 
+def test_batches_are_rows(spark, toy):
+    sparse_ids = toy.withColumn("row_id", F.col("row_id") * 1000 + 7)
+    model = linear.LinearRegression(num_epoch=1, batch_size=64, learning_rate=0.05)
+    rows, n, dim = model.prepare(sparse_ids)
+    assert (n, dim) == (7, 3)
+    assert [b.count() for b in model.batches(rows, n)] == [64] * 6 + [16]
+    model.fit(sparse_ids)
+    x, y = np.zeros((400, 3)), np.array([r.label for r in sorted(toy.collect())])
+    for i, r in enumerate(sorted(toy.collect())):
+        x[i, r.indices] = r["values"]
+    w, b = np.zeros(3), 0.0
+    for lo in range(0, 400, 64):
+        part, goal = x[lo : lo + 64], y[lo : lo + 64]
+        g = np.clip(part @ w + b, -20, 20) - goal
+        w, b = w - 0.05 * part.T @ g / len(goal), b - 0.05 * g.mean()
+    assert np.allclose(model.weights, w) and math.isclose(model.bias, b)
+
+
+def test_factorisation_machine_of_many_features(spark):
+    far = 70_000
+    rows = [(i, float(2 * (i % 2) - 1), [i % 2, far], [1.0, 0.5]) for i in range(60)]
+    data = spark.createDataFrame(rows, "row_id bigint, label double, indices array<int>, values array<double>")
+    model = linear.FactorizationMachine(num_epoch=1, batch_size=60, learning_rate=0.5, embedding_dim=2).fit(data)
+    w, v = model.weights[0], model.weights[1:]
+    for r in model.predict_score(data).collect():
+        k = r.row_id % 2
+        assert math.isclose(r.score, w[k] + 0.5 * w[far] + 0.5 * float(v[:, k] @ v[:, far]), abs_tol=1e-9)
+
+
 def test_naive_bayes(spark, toy):
     model = bayes.NaiveBayes(num_label=2).fit(toy)
     scored = model.predict_score(toy).join(toy.select("row_id", "label"), "row_id")
@@ -88,6 +117,8 @@ def test_naive_bayes(spark, toy):
 def test_labels_are_checked(spark, toy):
     with pytest.raises(Exception, match="bad label"):
         stats.check_labels(toy.withColumn("label", F.lit(7.0)), 2).collect()
+    with pytest.raises(ValueError, match="bad label"):
+        stats.check_labels(toy.withColumn("label", F.col("row_id") % 3 - 1.0))
     with pytest.raises(ValueError):
         linear.LogisticRegression(num_epoch=0)
     with pytest.raises(ValueError):
