@@ -501,6 +501,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: s
     groups, shared = _numbered(materialize(groups.where("live or copies > 1"), "groups"))
     # equal sets are live together, for they share all; of each the text that stands for it is read again
     wanted = groups.where("live").select(F.col("rep").alias("__id"), F.col("text_hash").alias("__hash"), "node")
+    wanted = wanted.hint("merge")  # it grows with the documents: one plan at every size
     live = docs.join(wanted, (F.col("id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))).select(F.col("node").alias("id"), "text")
     if able.groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").take(1):
         live = live.dropDuplicates(["id"])  # repeated rows
