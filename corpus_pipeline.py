@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, language_id, prefix_join, secret_scan
 from tessera.llm.queries import table, word_bpe
-from tessera.llm.textkit import shared_dir
+from tessera.llm.textkit import materialize, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,15 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies one row with its smallest id stays."""
     docs = docs.select(*COLUMNS).withColumn("__hash", F.xxhash64("text"))
-    found = prefix_join.near_copies(docs, detail=True)
-    later = found.where("doc_id <> component_id").select("doc_id", "text_hash")
-    often = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
-    # of several texts of one id in one component the one with the least hash stays
-    heads = found.where("doc_id = component_id").join(often, "doc_id", "left_semi")
-    least = heads.groupBy("doc_id", "component").agg(F.min("text_hash").alias("least"))
-    beside = heads.join(least, ["doc_id", "component"]).where("text_hash <> least").select("doc_id", "text_hash")
-    gone = later.union(beside).distinct().withColumnRenamed("text_hash", "__hash")
+    found = materialize(prefix_join.near_copies(docs, detail=True), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_hash")
+    often = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    repeated = bool(often.take(1))
+    if repeated:  # of several texts of one id in one component the one with the least hash stays
+        heads = found.where("doc_id = component_id").join(often, "doc_id", "left_semi")
+        least = heads.groupBy("doc_id", "component").agg(F.min("text_hash").alias("least"))
+        gone = gone.union(heads.join(least, ["doc_id", "component"]).where("text_hash <> least").select("doc_id", "text_hash"))
+    gone = gone.distinct().withColumnRenamed("text_hash", "__hash").hint("merge")  # it grows with the documents
     kept = docs.join(gone, ["doc_id", "__hash"], "left_anti")
+    if not repeated:
+        return kept.select(*COLUMNS)
     once = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "__hash"])
     return kept.join(often, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
