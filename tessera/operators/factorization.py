@@ -216,14 +216,26 @@ def _pairwise(p, q, gp, gq, at, order, rng, lr, l2):
 
 def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0, by: str = "u", draws: int = 8) -> DataFrame:
     """(u, v, w): each positive with a negative drawn from 0 to items - 1, one that its user (or, with
-    by="v", its item) has no rating with. The first of `draws` candidates that is none of its
-    positives; a row whose candidates are all positives is left out, as there is nothing to rank."""
+    by="v", its item) has no rating with. The first of `draws` candidates that is none of its positives;
+    where all are, the r-th number without a rating, for an r drawn from their count. Only where all
+    numbers are rated there is nothing to rank, and no row."""
     own = "v" if by == "u" else "u"
     pairs = ratings.select("u", "v").distinct()
     drawn = pairs.select("u", "v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "u", "v", i), F.lit(max(1, items))))).alias("k", "w"))
     known = pairs.select(F.col(by).alias("__by"), F.col(own).cast("bigint").alias("__own"))
     fresh = drawn.join(known, (F.col(by) == F.col("__by")) & (F.col("w") == F.col("__own")), "left_anti")
-    return fresh.groupBy("u", "v").agg(F.min_by("w", "k").alias("w"))
+    first = fresh.groupBy("u", "v").agg(F.min_by("w", "k").alias("w"))
+    # a positive with p smaller ones has own - p free numbers below it: one pass over both in this order
+    late = pairs.join(first, ["u", "v"], "left_anti").withColumn("__by", F.col(by))
+    within = known.where(F.col("__own").between(0, items - 1)).join(late.select("__by").distinct(), "__by", "left_semi")
+    place = F.row_number().over(Window.partitionBy("__by").orderBy("__own")) - 1
+    passed = within.select("__by", (F.col("__own") - place).alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("bigint").alias("u"), F.lit(None).cast("bigint").alias("v"))
+    held = within.groupBy("__by").agg(F.count("*").alias("held")).where(F.col("held") < items)
+    asks = late.join(held, "__by").select("__by", F.pmod(F.xxhash64(F.lit(seed), "u", "v", F.lit(draws)), F.lit(items) - F.col("held")).alias("at"), F.lit(1).alias("ask"), F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))
+    so_far = Window.partitionBy("__by").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = passed.union(asks).withColumn("below", F.sum(1 - F.col("ask")).over(so_far)).where("ask = 1")
+    kinds = dict(pairs.dtypes)
+    return first.union(exact.select(F.col("u").cast(kinds["u"]).alias("u"), F.col("v").cast(kinds["v"]).alias("v"), (F.col("at") + F.col("below")).alias("w")))
 
 
 def average_models(models: list[DataFrame]) -> DataFrame:

@@ -312,3 +312,14 @@ def test_streaming(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+@pytest.mark.parametrize("by", ["u", "v"])
+def test_negatives_of_rows_with_few_free_numbers(spark, by):
+    rated = {0: set(range(100)) - {57}, 1: set(range(100)), 2: set(range(0, 100, 2)), 3: {7, 99, 250}}
+    pairs = [(k, x) if by == "u" else (x, k) for k, some in rated.items() for x in sorted(some)]
+    got = factorization.bpr_pairs(spark.createDataFrame(pairs, "u int, v int"), 100, 5, by, draws=1).collect()
+    found = {(r.u, r.v): r.w for r in got}
+    assert len(found) == len(got) and set(found) == {p for p in pairs if p[by == "v"] != 1}
+    assert all(0 <= w < 100 and w not in rated[p[by == "v"]] for p, w in found.items())
+    assert {w for p, w in found.items() if p[by == "v"] == 0} == {57}
