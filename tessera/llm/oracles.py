@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from string import Template
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 _ITEM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -20,18 +22,21 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join hit using (doc_id) left join it using (doc_id)
 """
 
-OP6 = f"""
+_COMPONENTS = f"""
 with recursive d as (select doc_id, regexp_extract_all({_FOLD}, {_WORD}) as w from documents),
-s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from d, unnest(generate_series(1, greatest(1, len(w) - 4))) as t(i) where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i : i + $wide - 1], ' ') as g from d, unnest(generate_series(1, greatest(1, len(w) - $wide + 1))) as t(i) where len(w) > 0),
 c as (select doc_id, count(*) as n from s group by doc_id),
 pairs as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
-l as (select x, y from pairs join c p on p.doc_id = x join c q on q.doc_id = y where 100 * k >= 75 * (p.n + q.n - k)),
+l as (select x, y from pairs join c p on p.doc_id = x join c q on q.doc_id = y where 100 * k >= $percent * (p.n + q.n - k)),
 e as (select x, y from l union all select y, x from l),
 r as (select doc_id as x, doc_id as y from d union select r.x, e.y from r join e on r.y = e.x)
-select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m as component_id
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m as component_id$more
 from d left join c using (doc_id) join (select x as doc_id, min(y) as m from r group by x) using (doc_id)
 """
 
+OP6 = Template(_COMPONENTS).substitute(wide=5, percent=75, more="")
+OP11 = Template(_COMPONENTS).substitute(wide=4, percent=80, more=", d.doc_id = m as kept")
+
 _HOST = rf"translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}')"
 _PATH = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, host_quality, html_extract, language_id, oracles, prefix_join, secret_scan, token_store, url_filter, warc
+from . import bpe, decontaminate, host_quality, html_extract, language_id, minhash, oracles, prefix_join, secret_scan, token_store, url_filter, warc
 from .textkit import shared_dir
 
 
@@ -76,6 +76,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(pages, path)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, pipeline)
+    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, op11_minhash, pipeline)
 }
 
 # Merged bytes, learned languages and models, and markup are beyond SQL: tests hold those queries
@@ -95,4 +99,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": oracles.op8(URL_RULES, sorted(url_filter.TOPICS), sorted({*url_filter.TOPICS, *url_filter.MODIFIERS})),
     "op9_host_quality": oracles.OP9,
     "op10_warc": oracles.OP10,
+    "op11_minhash": oracles.OP11,
 }
