@@ -82,3 +82,27 @@ select page_id, payload_bytes, p.payload_digest, case when page_id > first then
   case when page_id > first then first end as refers_to
 from p left join g on g.payload_digest = p.payload_digest and payload_bytes >= 100
 """
+
+# crc32 by bits: the reversed polynomial is 0xEDB88320
+_CRC = """xor(list_reduce([ord(x) for x in string_split(doc_id::varchar, '')], lambda c, x:
+  list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384), xor(c, x::bigint)), 4294967295::bigint), 4294967295)"""
+
+# a run with period q is a stretch of places from which six words recur q words on, and six more
+OP13 = f"""
+with d as (select doc_id, {_CRC} as h, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents),
+g as (select doc_id, h, w, len(w) as n, h // 10 as g from d),
+a as (select *, case when n > 0 then g % n else 0 end as a from g),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+t as (select doc_id, n, case when h % 10 = 0 and n > 0 then [w[case when i < a then i + 1 else a + (i - a) % p + 1 end] for i in range(n)] else w end as w from p),
+x as (select doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') as s from t, unnest(range(n - 5)) as u(i)),
+y as (select a.doc_id, a.i, b.i - a.i as q from x a join x b on a.doc_id = b.doc_id and a.s = b.s and a.i < b.i),
+z as (select *, i - row_number() over (partition by doc_id, q order by i) as k from y),
+s as (select doc_id, q, min(i) as start, max(i) + 6 + q as stop from z group by doc_id, q, k),
+r as (select doc_id, start, stop - start as length, min(q) as period from s where stop - start >= greatest(12, 2 * q) group by doc_id, start, stop),
+o as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from r group by doc_id),
+b as (select * from r qualify row_number() over (partition by doc_id order by length desc, start, period) = 1),
+c as (select doc_id, list(distinct k) as gone from r, unnest(range(start + period, start + length)) as u(k) group by doc_id)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start, length, period, 1000 * length // period as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
+  sha256(array_to_string(case when gone is null then w else [w[i + 1] for i in range(n) if not list_contains(gone, i)] end, ' ')) as collapsed_sha256
+from t left join o using (doc_id) left join b using (doc_id) left join c using (doc_id)
+"""

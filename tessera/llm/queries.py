@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, host_quality, html_extract, language_id, minhash, oracles, prefix_join, secret_scan, token_store, url_filter, warc
+from . import bpe, decontaminate, host_quality, html_extract, language_id, minhash, oracles, periodic_runs, prefix_join, secret_scan, token_store, url_filter, warc
 from .textkit import shared_dir
 
 
@@ -80,6 +80,27 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """The documents of the periodic-run query: where the crc32 of the id ends in 0, the words from some
+    place on are repetitions of those that follow there."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"), words.alias("w")).withColumn("n", F.size("w"))
+    docs = docs.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    tail = "slice(flatten(array_repeat(slice(w, a + 1, p), int(1 + (n - a) div p))), 1, n - a)"
+    return docs.select("doc_id", F.expr(f"if(h % 10 = 0 and n > 0, array_join(concat(slice(w, 1, a), {tail}), ' '), text)").alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_repetitions(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("x"), r.start.alias("start"), r.period.alias("period"))))
+    found = found.withColumn("best", best).withColumn("length", -F.col("best.x"))
+    shown = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "length", "best.period",
+        F.expr("1000 * length div best.period").alias("exponent_milli"), F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, op11_minhash, pipeline)
+    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, op11_minhash, op13_periodic_runs, pipeline)
 }
 
 # Merged bytes, learned languages and models, and markup are beyond SQL: tests hold those queries
@@ -100,4 +121,5 @@ ORACLES: dict[str, str] = {
     "op9_host_quality": oracles.OP9,
     "op10_warc": oracles.OP10,
     "op11_minhash": oracles.OP11,
+    "op13_periodic_runs": oracles.OP13,
 }
