@@ -83,6 +83,17 @@ select page_id, payload_bytes, p.payload_digest, case when page_id > first then
 from p left join g on g.payload_digest = p.payload_digest and payload_bytes >= 100
 """
 
+OP12 = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id as id, b.label, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where label = own qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over w::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where label <> own and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, id) qualify row_number() over w <= 3
+"""
+
 # crc32 by bits: the reversed polynomial is 0xEDB88320
 _CRC = """xor(list_reduce([ord(x) for x in string_split(doc_id::varchar, '')], lambda c, x:
   list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384), xor(c, x::bigint)), 4294967295::bigint), 4294967295)"""

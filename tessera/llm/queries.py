@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, host_quality, html_extract, language_id, minhash, oracles, periodic_runs, prefix_join, secret_scan, token_store, url_filter, warc
+from . import bpe, decontaminate, host_quality, html_extract, language_id, minhash, oracles, periodic_runs, pivot_negatives, prefix_join, secret_scan, token_store, url_filter, warc
 from .textkit import shared_dir
 
 
@@ -80,6 +80,12 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return pivot_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def with_repetitions(docs: DataFrame) -> DataFrame:
     """The documents of the periodic-run query: where the crc32 of the id ends in 0, the words from some
     place on are repetitions of those that follow there."""
@@ -109,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, op11_minhash, op13_periodic_runs, pipeline)
+    for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_prefix_join, op7_token_store, op8_url_filter, op9_host_quality, op10_warc, op11_minhash, op12_hard_negatives, op13_periodic_runs, pipeline)
 }
 
 # Merged bytes, learned languages and models, and markup are beyond SQL: tests hold those queries
@@ -121,5 +127,6 @@ ORACLES: dict[str, str] = {
     "op9_host_quality": oracles.OP9,
     "op10_warc": oracles.OP10,
     "op11_minhash": oracles.OP11,
+    "op12_hard_negatives": oracles.OP12,
     "op13_periodic_runs": oracles.OP13,
 }
