@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -25,9 +26,9 @@ def shingles(text, width=5):
     return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def components(rows):
+def components(rows, width=5, percent=75):
     """rows (id, text) to {id: smallest id of its component}."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, width) for i, t in rows}
     up = {i: i for i in sets}
 
     def root(x):
@@ -39,7 +40,7 @@ def components(rows):
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = root(a), root(b)
                     up[max(x, y)] = min(x, y)
     return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
@@ -215,3 +216,42 @@ def main_text(page):
         if math.sqrt(kinds[kind]) >= cut and (kind == "article" or math.sqrt(m) >= region):
             taken += [k for k in some if kind == "article" or math.sqrt(smoothed[k]) >= line]
     return "\n".join(parser.lines[k][0] for k in sorted(taken))
+
+
+def runs(words, least=12):
+    """(start, length, period) of all runs, period by period."""
+    best = {}
+    for q in range(1, len(words)):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, 2 * q):
+                best.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted(((a, b - a, q) for (a, b), q in best.items()), key=lambda r: (r[0], r[2]))
+
+
+def repeated_words(doc_id, text):
+    """The words of the periodic-run query."""
+    words, h = WORD.findall(text or ""), zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    return words
+
+
+def hard_negatives(rows, anchors):
+    """rows: (id, label, whole numbers), anchors: ids."""
+    out = []
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    for anchor, label, x in rows:
+        if anchor in anchors:
+            scored = sorted((-dot(x, y), i, l) for i, l, y in rows if i != anchor)
+            for s, positive, _ in [r for r in scored if r[2] == label][:5]:
+                fit = [r for r in scored if r[2] != label and 50 * -s <= 100 * -r[0] <= 95 * -s][:3]
+                out += [(anchor, positive, k + 1, i, -s, -t) for k, (t, i, _) in enumerate(fit)]
+    return sorted(out)
