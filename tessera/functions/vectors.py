@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values shared with the formulas of the learners.
@@ -121,12 +123,43 @@ def one_hot(label: Column | str, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == col(label).cast("int")).cast("double"))
 
 
+def solve_packed(matrices: np.ndarray, rhs: np.ndarray, add: float = 0.0) -> np.ndarray:
+    """Solve many small symmetric positive definite systems at once, by Cholesky factors: rows of row-wise
+    lower triangles, and of right hand sides; `add` goes onto the diagonals. NaN where there is no factor."""
+    n = rhs.shape[1]
+    at = lambda i, j: matrices[:, lower_index(i, j)] + (add if i == j else 0.0)
+    lower: dict[tuple[int, int], np.ndarray] = {}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for i in range(n):
+            for j in range(i + 1):
+                rest = at(i, j) - sum((lower[i, k] * lower[j, k] for k in range(j)), np.zeros(len(rhs)))
+                lower[i, j] = np.sqrt(np.where(rest > 0, rest, np.nan)) if i == j else rest / lower[j, j]
+        y = np.zeros(rhs.shape)
+        for i in range(n):
+            y[:, i] = (rhs[:, i] - sum((lower[i, k] * y[:, k] for k in range(i)), np.zeros(len(rhs)))) / lower[i, i]
+        x = np.zeros(rhs.shape)
+        for i in range(n - 1, -1, -1):
+            x[:, i] = (y[:, i] - sum((lower[k, i] * x[:, k] for k in range(i + 1, n)), np.zeros(len(rhs)))) / lower[i, i]
+    return x
+
+
 def solve_spd(matrix: Sequence[Sequence[float]], rhs: Sequence[float]) -> list[float]:
-    """Solve a small symmetric positive definite system by a Cholesky factor."""
-    import numpy as np
+    """One small system."""
+    packed = [matrix[i][j] for i in range(len(rhs)) for j in range(i + 1)]
+    return solve_packed(np.array([packed], float), np.array([rhs], float))[0].tolist()
+
+
+def solved(df: DataFrame, matrix: str, rhs: str, name: str = "x") -> DataFrame:
+    """df with the solution of each row's system: array columns of a packed lower triangle and of the right
+    hand side."""
+
+    def run(batches):
+        for batch in batches:
+            stacked = [np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, -1) for c in (matrix, rhs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(solve_packed(*stacked)), pa.list_(pa.float64()))], [*batch.schema.names, name])
 
-    lower = np.linalg.cholesky(np.asarray(matrix, float))
-    return np.linalg.solve(lower.T, np.linalg.solve(lower, np.asarray(rhs, float))).tolist()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{schema}, `{name}` array<double>")
 
 
 def lower_index(i: int, j: int) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..sources.storage import materialize
 
 
 def check_labels(df: DataFrame, num_label: int | None = None, label: str = "label") -> DataFrame:
@@ -42,23 +43,87 @@ def class_moments(long: DataFrame, counts: DataFrame) -> DataFrame:
     return sums.join(prior, "label").select("label", "fid", mean.alias("mean"), (F.col("sxx") / F.col("n") - mean * mean).alias("var"), (F.col("n") / F.col("total")).alias("prior"))
 
 
-def candidate_splits(long: DataFrame, num_split: int = 10, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+#: Values that a feature's quantile sketch keeps, about; see `rank_error`.
+SKETCH = 4096
+
+
+def rank_error(size: int = SKETCH) -> float:
+    """The share of all values by which the rank of a sketch's quantile may be off, at 99 %."""
+    return 2.296 / size**0.9723
+
+
+def quantile_summary(long: DataFrame, size: int = SKETCH) -> DataFrame:
+    """(fid, n, low, high, kinds, sketch) of the values that are there: tasks build a summary of bounded
+    size for each feature, and summaries are merged, here and in `merge_summaries`. NaN and null are
+    passed over."""
+    values = long.where("value is not null and not isnan(value)")
+    return values.groupBy("fid").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.hll_sketch_agg(F.xxhash64("value")).alias("kinds"), F.kll_sketch_agg_double("value", F.lit(size)).alias("sketch"))
+
+
+def merge_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per feature of the summaries of several scans."""
+    return summaries.groupBy("fid").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.hll_union_agg("kinds").alias("kinds"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def summary_quantiles(summary: DataFrame, fractions: list[float]) -> DataFrame:
+    """(fid, q): the sketches' values at some fractions; the ends are exact."""
+    return summary.select("fid", _values(fractions).alias("q"))
+
+
+def _values(fractions: list[float]) -> Column:
+    inner = [min(1.0, max(0.0, f)) for f in fractions]
+    found = F.kll_sketch_get_quantile_double(F.col("sketch"), F.array(*map(F.lit, inner)))
+    return F.array(*[F.col("low") if f == 0 else F.col("high") if f == 1 else F.get(found, F.lit(i)) for i, f in enumerate(inner)])
+
+
+def exact_quantiles(long: DataFrame, summary: DataFrame, fractions: list[float], size: int = SKETCH) -> DataFrame:
+    """(fid, q): interpolated quantiles, exact. The sketch says between which values a quantile lies; the
+    values below are counted, and only those between are sorted. Where the sketch was wrong, all are."""
+    values = long.where("value is not null and not isnan(value)").select("fid", "value")
+    some = 3 * rank_error(size)
+    around = [_values([f + side * some for f in fractions]).alias(name) for side, name in ((-1, "lo"), (1, "hi"))]
+    want = summary.select("fid", "n", "low", "high", F.posexplode(F.arrays_zip(F.array(*map(F.lit, fractions)).alias("f"), *around)).alias("k", "x"))
+    want = want.select("fid", "k", "low", "high", "x.lo", "x.hi", (F.col("x.f") * (F.col("n") - 1)).alias("at"))
+    want = materialize(want, "brackets")  # a row for each feature and fraction
+    out = _between(values, want)
+    wrong = out.where("wrong").select("fid", "k")
+    if wrong.take(1):
+        again = want.join(wrong, ["fid", "k"]).withColumn("lo", F.col("low")).withColumn("hi", F.col("high"))
+        out = out.where("not wrong").unionByName(_between(values, again))
+    return out.groupBy("fid").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))  # one entry a fraction
+
+
+def _between(values: DataFrame, want: DataFrame) -> DataFrame:
+    """(fid, k, q, wrong): the wanted order statistics, among the values between lo and hi."""
+    brackets = want.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi", "at"))).alias("b"))
+    # where each value lies: -1 below a bracket, 0 inside, nothing above
+    met = values.join(brackets, "fid").select("fid", "value", F.explode(F.filter("b", lambda x: F.col("value") <= x["hi"])).alias("x"))
+    inside = met.select("fid", "x.k", "x.at", F.when(F.col("value") >= F.col("x.lo"), F.col("value")).alias("value")).groupBy("fid", "k", "at", "value").agg(F.count("*").alias("c"))
+    run = Window.partitionBy("fid", "k").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = inside.withColumn("until", F.sum("c").over(run))
+    first = lambda rank: F.min(F.when(F.col("until") > rank, F.struct("until", "value")))
+    found = counted.groupBy("fid", "k", "at").agg(first(F.floor("at")).alias("a"), first(F.ceil("at")).alias("b"))
+    a, b, low = F.col("a.value"), F.col("b.value"), F.floor("at")
+    q = F.when(a == b, a).otherwise((low + 1 - F.col("at")) * a + (F.col("at") - low) * b)
+    return found.select("fid", "k", q.alias("q"), (a.isNull() | b.isNull()).alias("wrong"))
+
+
+def candidate_splits(long: DataFrame, num_split: int = 10, exact: bool = True, size: int = SKETCH) -> DataFrame:
     """(fid, edges, default_bin): all distinct values of a feature if no more than num_split, else
     its i/num_split quantiles; edges around a lone or outer zero give zero a bin of its own.
 
-    exact=False takes a quantile sketch, whose size does not grow with the rows.
+    All come from one quantile summary per feature. exact=False takes the sketch's own quantiles, off
+    by `rank_error`; else one more scan finds the exact ones.
     """
     fractions = [i / num_split for i in range(num_split)]
-    values = long.where("value is not null and not isnan(value)")
-    quantiles = F.percentile("value", F.array(*map(F.lit, fractions))) if exact else F.percentile_approx("value", F.array(*map(F.lit, fractions)), accuracy)
-    # a feature's smallest distinct values, one more than the limit, tell whether they are few
-    distinct = values.groupBy("fid", "value").agg(F.lit(1)).select("fid", "value")
-    # in two steps, so that no task sorts all values of a feature
-    part = F.pmod(F.xxhash64("value"), F.lit(256))
-    some = distinct.withColumn("k", F.row_number().over(Window.partitionBy("fid", part).orderBy("value"))).where(F.col("k") <= num_split + 1)
-    few = some.withColumn("k", F.row_number().over(Window.partitionBy("fid").orderBy("value"))).where(F.col("k") <= num_split + 1)
-    few = few.groupBy("fid").agg(F.sort_array(F.collect_list("value")).alias("few"))
-    edges = values.groupBy("fid").agg(quantiles.alias("q")).join(few, "fid")
+    summary = materialize(quantile_summary(long, size), "summary")
+    quantiles = exact_quantiles(long, summary, fractions, size) if exact else summary_quantiles(summary, fractions)
+    # the summary tells which features may have few values; only those are listed
+    few = summary.where(F.hll_sketch_estimate("kinds") <= 2 * num_split + 8).select("fid")
+    distinct = long.where("value is not null and not isnan(value)").join(few, "fid", "left_semi").groupBy("fid", "value").agg(F.lit(1)).select("fid", "value")
+    ranked = distinct.withColumn("k", F.row_number().over(Window.partitionBy("fid").orderBy("value"))).where(F.col("k") <= num_split + 1)
+    listed = ranked.groupBy("fid").agg(F.sort_array(F.collect_list("value")).alias("few"))
+    edges = quantiles.join(listed, "fid", "left")
     raw = F.when(F.size("few") <= num_split, F.col("few")).otherwise(V.unique("q"))
     return edges.select("fid", raw.alias("raw")).select("fid", zero_aware("raw").alias("edges")).withColumn("default_bin", V.bin_index(F.lit(0.0), F.col("edges")))
 
@@ -79,23 +144,54 @@ def bin_values(long: DataFrame, splits: DataFrame) -> DataFrame:
     return long.join(splits, "fid").withColumn("bin", F.when(v.isNull() | F.isnan(v), F.col("default_bin")).otherwise(V.bin_index(v, F.col("edges")))).drop("edges", "default_bin")
 
 
-def sample_rows(df: DataFrame, ratio: float, seed: int, key: str = "row_id") -> DataFrame:
-    """ceil(ratio * n) rows without replacement, the same ones for any partitioning: those with the
-    smallest hashes of their key. Counts per 16-bit hash prefix find the prefix in which the last
-    row lies, and only that prefix's rows are sorted."""
+#: Features up to which edges go into a plan as constants.
+FEW_FEATURES = 4096
+
+
+def bin_rows(rows: DataFrame, splits: DataFrame, keep: list[str]) -> DataFrame:
+    """Sparse rows (indices, values, and what is to be kept) with `fids` and `bins`: the entries whose bin
+    is not the default one of their feature, which stands for absent entries, null and NaN. Up to
+    FEW_FEATURES features every row is binned by itself; beyond, entries meet their edges in a join."""
+    zipped = F.arrays_zip(F.col("indices").alias("fid"), F.col("values").alias("value"))
+    known = (splits.agg(F.max("fid")).first()[0] or 0) < FEW_FEATURES
+    if known:
+        table = {r.fid: (r.edges, r.default_bin) for r in splits.collect()}  # FEW_FEATURES at most
+        wide = range(max(table, default=-1) + 1)
+        edges = F.from_json(F.lit("[" + ",".join(str(list(table[f][0])) if f in table else "[]" for f in wide) + "]"), "array<array<double>>")
+        default = V.literal([table[f][1] if f in table else -1 for f in wide]).cast("array<int>")
+        found = F.transform(zipped, lambda e: F.struct(e["fid"].alias("fid"), F.get(default, e["fid"]).alias("usual"), V.bin_index(e["value"], F.get(edges, e["fid"])).alias("bin"), e["value"].alias("value")))
+        some = F.filter(found, lambda e: (e["usual"] >= 0) & e["value"].isNotNull() & ~F.isnan(e["value"]) & (e["bin"] != e["usual"]))
+        return rows.withColumn("__e", some).select(*keep, F.col("__e.fid").alias("fids"), F.col("__e.bin").alias("bins"))
+    numbered = materialize(rows.withColumn("__n", F.monotonically_increasing_id()), "numbered")
+    long = numbered.select("__n", F.explode(zipped).alias("e")).select("__n", "e.fid", "e.value").where("value is not null and not isnan(value)")
+    long = long.join(splits, "fid").withColumn("bin", V.bin_index(F.col("value"), F.col("edges"))).where("bin <> default_bin")
+    entries = long.groupBy("__n").agg(F.sort_array(F.collect_list(F.struct("fid", "bin"))).alias("__e"))  # one row's entries
+    empty = F.array().cast("array<int>")
+    return numbered.join(entries, "__n", "left").select(*keep, F.coalesce("__e.fid", empty).alias("fids"), F.coalesce("__e.bin", empty).alias("bins"))
+
+
+def drawn(df: DataFrame, ratio: float, seed: int, key: str = "row_id") -> Column:
+    """Whether a row is among ceil(ratio * n) that are drawn without replacement, the same ones for any
+    partitioning: those with the smallest hashes of their key. Counts per 16-bit hash prefix find the
+    prefix in which the last row lies, and only that prefix's rows are sorted."""
     h = F.xxhash64(F.lit(seed), key)
-    hashed = df.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned(h, 48))
-    counts = sorted((r["__b"], r["count"]) for r in hashed.groupBy("__b").count().collect())  # 65,536 rows at most
+    prefix = F.shiftrightunsigned(h, 48)
+    counts = sorted((r["b"], r["count"]) for r in df.groupBy(prefix.alias("b")).count().collect())  # 65,536 rows at most
     keep = math.ceil(ratio * sum(c for _, c in counts))
     for bucket, c in counts:
         if keep <= c:
             break
         keep -= c
     else:
-        return df
-    last = hashed.where(F.col("__b") == bucket).select("__h", key).orderBy("__h", key).limit(keep).agg(F.max(F.struct("__h", key)).alias("m")).first().m
-    inside = (F.col("__b") == bucket) & (F.struct("__h", key) <= F.struct(F.lit(last[0]).alias("__h"), F.lit(last[1]).alias(key)))
-    return hashed.where((F.col("__b") < bucket) | inside).drop("__h", "__b")
+        return F.lit(True)
+    last = df.where(prefix == bucket).select(h.alias("h"), key).orderBy("h", key).limit(keep).agg(F.max(F.struct("h", key)).alias("m")).first().m
+    inside = (prefix == bucket) & (F.struct(h.alias("h"), F.col(key)) <= F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).alias(key)))
+    return (prefix < bucket) | inside
+
+
+def sample_rows(df: DataFrame, ratio: float, seed: int, key: str = "row_id") -> DataFrame:
+    """The rows that are `drawn`."""
+    return df.where(drawn(df, ratio, seed, key))
 
 
 def permuted(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:

@@ -308,8 +308,8 @@ def spd_solve(spark, d):
     """Two normal equations for each flag, one small system a row."""
     x, y, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")
     sums = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(x * x), F.sum(x * y), F.sum(y * y) + 1, F.sum(x * q), F.sum(y * q))
-    out = [(g, *[round(v, 4) for v in V.solve_spd([[a, b], [b, c]], [p, r])]) for g, a, b, c, p, r in sums.collect()]  # one row a flag
-    return spark.createDataFrame(out, "g string, x double, y double")
+    rows = sums.toDF("g", "a", "b", "c", "p", "q").select("g", F.array("a", "b", "c").alias("m"), F.array("p", "q").alias("r"))
+    return V.solved(rows, "m", "r").select("g", r4(F.get("x", F.lit(0)), "x"), r4(F.get("x", F.lit(1)), "y"))
 
 
 # Sources: each query writes files of its format and reads them back ---------------------------------
@@ -627,13 +627,13 @@ ONE_TREE = (
 def gbdt_one_tree(spark, d):
     """Splits, leaves and scores of a tree that is fitted from the start."""
     rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
-    return trees.GBDT(max_depth=2, num_round=1, min_node_ins=50).fit(rows).predict_score(rows).select("row_id", r4(F.col("score"), "score"))
+    return trees.GBDT(max_depth=2, num_round=1, min_node_ins=50, exact_splits=True).fit(rows).predict_score(rows).select("row_id", r4(F.col("score"), "score"))
 
 
 @query(f"{ONE_TREE} select row_id, case when w > 0 then 1.0e0 else -1.0e0 end as score from n2 join lf using (node)".replace("select 0.1e0 * (avg(y) - 0.5e0) as s from li", "select 0.0e0 as s"))
 def forest_one_tree(spark, d):
     rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
-    return trees.RandomBoostedForest(max_depth=2, num_round=1, min_node_ins=50, ins_sp_ratio=1.0, feat_sp_ratio=1.0).fit(rows).predict_score(rows)
+    return trees.RandomBoostedForest(max_depth=2, num_round=1, min_node_ins=50, ins_sp_ratio=1.0, feat_sp_ratio=1.0, exact_splits=True).fit(rows).predict_score(rows)
 
 
 @query()
