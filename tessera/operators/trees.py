@@ -45,9 +45,9 @@ def leaf_weight(g: Column, h: Column, reg_lambda: float = 0.0, reg_alpha: float
     return F.when(h > min_child_weight, w).otherwise(F.lit(0.0))
 
 
-def histogram(binned: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """binned (node, fid, bin, g, h) to sums per node, feature and bin."""
-    return binned.groupBy(*(by or ["node"]), "fid", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+def histogram(binned: DataFrame, by: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """binned (node, fid, bin, g, h, or others that are named) to sums per node, feature and bin."""
+    return binned.groupBy(*(["node"] if by is None else by), "fid", "bin").agg(*[F.sum(x).alias(x) for x in names or ["g", "h"]])
 
 
 def fill_default(hist: DataFrame, totals: DataFrame, splits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ ratings, DOC the documents as tokens. Every query runs over its whole tables. SQ
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -596,7 +597,9 @@ def rf_vote(spark, d):
 @query(f"with {EL}, b as (select vec_id, label, fid, case when value >= 0.1 then 2 when value >= 0 then 1 else 0 end as bin from el) select c::int as class, fid, bin, round(sum(0.1e0 - (label = c)::int), 4) as g, round(count(*) * 0.09e0, 4) as h from b, unnest(generate_series(0, 9)) as t(c) group by 1, 2, 3")
 def multiclass_histogram(spark, d):
     binned = em_long(spark, d).withColumn("bin", F.when(F.col("value") >= 0.1, 2).when(F.col("value") >= 0, 1).otherwise(0))
-    sums = binned.groupBy("fid", "bin").agg(F.array(*[F.sum(0.1 - (F.col("label") == c).cast("int")) for c in range(10)]).alias("g"), (F.count("*") * 0.09).alias("h"))
+    names = [f"g{c}" for c in range(10)]
+    binned = binned.select("fid", "bin", F.lit(0.09).alias("h"), *[(0.1 - (F.col("label") == c).cast("int")).alias(names[c]) for c in range(10)])
+    sums = trees.histogram(binned, [], ["h", *names]).withColumn("g", F.array(*names))
     return sums.select("fid", "bin", r4(F.col("h"), "h"), F.posexplode("g").alias("class", "x")).select("class", "fid", "bin", r4(F.col("x"), "g"), "h")
 
 
@@ -623,6 +626,14 @@ ONE_TREE = (
 )
 
 
+def _once(sql: str) -> str:
+    """Each part is computed once."""
+    return re.sub(r"(?<!window )\b(\w+) as \(", r"\1 as materialized (", sql)
+
+
+ONE_TREE = _once(ONE_TREE)
+
+
 @query(f"{ONE_TREE} select row_id, round(s + 0.1e0 * w, 4) as score from n2 join lf using (node), st")
 def gbdt_one_tree(spark, d):
     """Splits, leaves and scores of a tree that is fitted from the start."""
@@ -636,6 +647,164 @@ def forest_one_tree(spark, d):
     return trees.RandomBoostedForest(max_depth=2, num_round=1, min_node_ins=50, ins_sp_ratio=1.0, feat_sp_ratio=1.0, exact_splits=True).fit(rows).predict_score(rows)
 
 
+# Every other row is for validation; three rounds of trees of depth two on the others.
+def _three_rounds() -> str:
+    edges = (
+        f"with {LONG}, tr as (select row_id, (row_id // 10) % 2 = 0 as train from li), q as (select fid, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as qs, list_sort(list_distinct(list(value))) as ds from lo join tr using (row_id) where train group by fid), "
+        "e as (select fid, case when len(ds) <= 10 then ds else qs end as e from q), z as (select fid, list_concat(case when e[1] = 0 then [-0.5e0] else [] end, e, case when e[len(e)] = 0 then [0.5e0] else [] end) as e from e), "
+        "bb as (select lo.row_id, lo.fid, train, greatest(0, len(list_filter(z.e, lambda x: x <= value)) - 1) as bin from lo join z using (fid) join tr using (row_id)), "
+        "f0 as (select li.row_id, y, train, 0.1e0 * (a - 0.5e0) as s from li join tr using (row_id), (select avg(y) as a from li join tr using (row_id) where train))"
+    )
+    for r in range(3):
+        edges += f", gr{r} as (select row_id, 1 / (1 + exp(-s)) - y as g, greatest(1 / (1 + exp(-s)) * (1 - 1 / (1 + exp(-s))), 1e-8) as h from f{r} where train), b{r} as (select row_id, fid, bin, g, h from bb join gr{r} using (row_id)), m{r}0 as (select row_id, 0 as node, train from tr)"
+        for level in (0, 1):
+            edges += (
+                f", h{r}{level} as (select node, fid, bin, sum(g) as g, sum(h) as h from b{r} join m{r}{level} using (row_id) group by 1, 2, 3), "
+                f"p{r}{level} as (select node, fid, bin, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by node, fid) as gt, sum(h) over (partition by node, fid) as ht, max(bin) over (partition by node, fid) as lb from h{r}{level} window w as (partition by node, fid order by bin rows unbounded preceding)), "
+                f"k{r}{level} as (select *, row_number() over (partition by node order by gain desc, fid, bin) as k from (select node, fid, bin, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht as gain from p{r}{level} where bin < lb) where gain > 0), "
+                f"s{r}{level} as (select k.node, fid, bin from k{r}{level} k join (select node, count(*) as n from m{r}{level} where train group by 1) c using (node) where k = 1 and n > 50), "
+                f"m{r}{level + 1} as (select m.row_id, case when s.node is null then m.node else 2 * m.node + 1 + (bb.bin > s.bin)::int end as node, m.train from m{r}{level} m left join s{r}{level} s using (node) left join bb on bb.row_id = m.row_id and bb.fid = s.fid)"
+            )
+        edges += f", w{r} as (select node, -sum(g) / sum(h) as w from m{r}2 join gr{r} using (row_id) group by 1), f{r + 1} as (select f.row_id, y, f.train, s + 0.1e0 * w as s from f{r} f join m{r}2 m using (row_id) join w{r} using (node))"
+    return _once(edges)
+
+
+ROUNDS = _three_rounds()
+
+
+def _rounds(spark, d) -> tuple[trees.GBDT, DataFrame]:
+    rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
+    train = (F.floor(F.col("row_id") / 10) % 2) == 0
+    return trees.GBDT(max_depth=2, num_round=3, min_node_ins=50, exact_splits=True).fit(rows.where(train), rows.where(~train)), rows
+
+
+@query(f"{ROUNDS} select row_id, round(s, 4) as score from f3")
+def gbdt_three_rounds(spark, d):
+    model, rows = _rounds(spark, d)
+    return model.predict_score(rows).select("row_id", r4(F.col("score"), "score"))
+
+
+@query(f"{ROUNDS}, s as (select 0 as round, * from f1 union all select 1, * from f2 union all select 2, * from f3), m as (select round, case when train then 'train' else 'valid' end as split, avg(case when y = 1 then -ln(greatest(1 / (1 + exp(-s)), 1e-4)) else -ln(greatest(1 - 1 / (1 + exp(-s)), 1e-4)) end) as log_loss, avg(case when (s >= 0) = (y = 1) then 1.0e0 else 0.0e0 end) as precision from s group by 1, 2) select round, split, 'log_loss' as metric, round(log_loss, 4) as value from m union all select round, split, 'precision', round(precision, 4) from m")
+def gbdt_round_metrics(spark, d):
+    """Metrics of the training and the validation rows after each round."""
+    model, _ = _rounds(spark, d)
+    return spark.createDataFrame([(r, s, m, float(v)) for r, s, m, v in model.history], "round int, split string, metric string, value double").withColumn("value", r4(F.col("value"), "value"))
+
+
+@query(f"{ONE_TREE}, lw as (select case when s0.node is null then 0 else 1 + (b.bin > s0.bin)::int end as leaf, -sum(b.g) / sum(b.h) as w from n0 left join s0 using (node) left join b on b.row_id = n0.row_id and b.fid = s0.fid group by 1) select 3 as nodes, leaf::int as leaf, round(w, 4) as weight from lw")
+def gbdt_node_budget(spark, d):
+    """With at most five nodes growth stops at three: a split needs room for one node more than its two."""
+    rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
+    tree = trees.GBDT(max_depth=3, max_node_num=5, num_round=1, min_node_ins=50, exact_splits=True).fit(rows).trees[0]
+    return spark.createDataFrame([(len(tree.ids()), n, float(w[0])) for n, w in tree.leaves.items()], "nodes int, leaf int, weight double").withColumn("weight", r4(F.col("weight"), "weight"))
+
+
+@query(f"with {LONG}, q as (select fid, count(*) as n, min(value) as low, max(value) as high, quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from lo group by fid) select fid, i - 1 as k, n, low, high, round(q[i], 4) as exact, true as near from q, unnest(generate_series(1, 10)) as t(i)")
+def quantile_summary(spark, d):
+    """Summaries of four scans, merged: what they count, the exact quantiles that they lead to, and whether
+    the ranks of their own quantiles are within four times the stated error."""
+    long = li_long(spark, d).select("row_id", "fid", "value")
+    parts = [stats.quantile_summary(long.where(F.pmod("row_id", F.lit(4)) == i)) for i in range(4)]
+    merged = storage.materialize(stats.merge_summaries(parts[0].union(parts[1]).union(parts[2]).union(parts[3])), "summaries")
+    fractions = [i / 10 for i in range(10)]
+    own = merged.select("fid", "n", "low", "high").join(stats.summary_quantiles(merged, fractions), "fid").select("fid", "n", "low", "high", F.posexplode("q").alias("k", "own"))
+    # ranks of a value: from the share of smaller ones to that of smaller and equal ones
+    met = long.join(own.groupBy("fid").agg(F.collect_list(F.struct("k", "own")).alias("o")), "fid").select("fid", "value", F.explode("o").alias("o"))  # ten a feature
+    ranks = met.groupBy("fid", F.col("o.k").alias("k")).agg(F.avg((F.col("value") < F.col("o.own")).cast("double")).alias("a"), F.avg((F.col("value") <= F.col("o.own")).cast("double")).alias("b"))
+    exact = stats.exact_quantiles(long, merged, fractions).select("fid", F.posexplode("q").alias("k", "exact"))
+    near = F.greatest(F.col("a") - F.col("k") / 10, F.col("k") / 10 - F.col("b")) <= 4 * stats.rank_error()
+    return own.join(ranks, ["fid", "k"]).join(exact, ["fid", "k"]).select("fid", F.col("k").cast("bigint").alias("k"), "n", "low", "high", r4(F.col("exact"), "exact"), near.alias("near"))
+
+
+# Words as features: the value is how often a document has the word.
+WORDS = TOK + ", wi as (select word, row_number() over (order by word) - 1 as fid from (select distinct word from tk)), wl as (select doc_id, fid, count(*)::double as value from tk join wi using (word) group by 1, 2), wq as (select fid, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as qs, list_sort(list_distinct(list(value))) as ds from wl group by fid), we as (select fid, case when len(ds) <= 10 then ds else qs end as e from wq), wz as (select fid, case when len(e) = 1 then [e[1] - 0.5, e[1]] else e end as e from we), wb as (select doc_id, fid, greatest(0, len(list_filter(e, lambda x: x <= value)) - 1)::int as bin from wl join wz using (fid))"
+
+
+def _word_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(row_id, label, indices, values): all documents, labelled as English or not, by their words' counts."""
+    tok = tokens(spark, d)
+    words = storage.materialize(readers.ranked(tok.select("word").distinct(), "word", "fid").withColumn("fid", F.col("fid").cast("int")), "words")
+    long = tok.groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("value")).join(words, "word")
+    rows = readers.to_sparse_rows(long.select(F.col("doc_id").alias("row_id"), "fid", "value"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce((F.col("lang") == "en").cast("double"), F.lit(0.0)).alias("label"))
+    rows = docs.join(rows, "row_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return storage.materialize(rows.select("row_id", "label", empty("indices", "array<int>"), empty("values", "array<double>")), "rows")
+
+
+@query(f"with {WORDS} select fid::int as fid, bin, count(*) as n from wb where bin <> 0 group by 1, 2")
+def sparse_bins(spark, d):
+    """Rows of (feature, bin) pairs without the default bins, which the counts of other documents fall in."""
+    rows = _word_rows(spark, d)
+    splits = storage.materialize(stats.candidate_splits(readers.to_long(rows), 10), "splits")
+    binned = stats.bin_rows(rows, splits, ["row_id"]).select(F.explode(F.arrays_zip("fids", "bins")).alias("e"))
+    return binned.groupBy(F.col("e.fids").alias("fid"), F.col("e.bins").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {WORDS}, y as (select doc_id, case when lang = 'en' then 1.0e0 else 0.0e0 end as y from documents), t as (select -sum(y) as g, count(*)::double as h from y), x as (select fid, bin, -sum(y) as g, count(*)::double as h from wb join y using (doc_id) where bin <> 0 group by 1, 2), x0 as (select fid, 0 as bin, max(t.g) - sum(x.g) as g, max(t.h) - sum(x.h) as h from x, t group by 1 having max(t.h) > sum(x.h)), p as (select fid, bin, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by fid) as gt, sum(h) over (partition by fid) as ht, max(bin) over (partition by fid) as lb from (select * from x union all select * from x0) window w as (partition by fid order by bin rows unbounded preceding)), k as (select *, gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht as gain from p where bin < lb) select fid::int as fid, word, bin::int as bin, e[bin + 2] as threshold, round(gain, 4) as gain, round(-gl / hl, 4) as left_weight, round(-(gt - gl) / (ht - hl), 4) as right_weight from k join wi using (fid) join wz using (fid) where gain > 0 order by k.gain desc, fid, bin limit 1")
+def gbdt_word_split(spark, d):
+    """The first split of a fit on sparse rows with a feature for every word."""
+    rows = _word_rows(spark, d)
+    model = trees.GBDT(is_regression=True, max_depth=2, max_node_num=4, num_round=1, min_node_ins=50, exact_splits=True).fit(rows)
+    tree = model.trees[0]
+    if not tree.nodes:
+        return spark.createDataFrame([], "fid int, word string, bin int, threshold double, gain double, left_weight double, right_weight double")
+    fid, threshold, b, gain = tree.nodes[0]
+    words = readers.ranked(tokens(spark, d).select("word").distinct(), "word", "fid").where(F.col("fid") == fid)
+    return words.select(F.lit(fid).alias("fid"), "word", F.lit(b).alias("bin"), F.lit(threshold).alias("threshold"), r4(F.lit(gain), "gain"), r4(F.lit(tree.leaves[1][0]), "left_weight"), r4(F.lit(tree.leaves[2][0]), "right_weight"))
+
+
+# Three classes (label modulo 3) at scores that are the first three entries; a side's gain by Cramer's rule.
+def _cramer(s: str) -> tuple[str, list[str]]:
+    a, b, d, c, e, f = (f"{s}h{i}{' + 1' if i in (0, 2, 5) else ''}" for i in range(6))
+    x, y, z = (f"{s}g{i}" for i in range(3))
+    det = f"(({a}) * (({d}) * ({f}) - {e} * {e}) - {b} * ({b} * ({f}) - {e} * {c}) + {c} * ({b} * {e} - ({d}) * {c}))"
+    first = f"({x} * (({d}) * ({f}) - {e} * {e}) - {b} * ({y} * ({f}) - {e} * {z}) + {c} * ({y} * {e} - ({d}) * {z})) / {det}"
+    second = f"(({a}) * ({y} * ({f}) - {z} * {e}) - {x} * ({b} * ({f}) - {e} * {c}) + {c} * ({b} * {z} - {y} * {c})) / {det}"
+    third = f"(({a}) * (({d}) * {z} - {e} * {y}) - {b} * ({b} * {z} - {y} * {c}) + {x} * ({b} * {e} - ({d}) * {c})) / {det}"
+    return f"({x} * {first} + {y} * {second} + {z} * {third}) / 3", [first, second, third]
+
+
+P3 = EM + ", s3 as (select vec_id, e, label % 3 as y, exp(e[1]) + exp(e[2]) + exp(e[3]) as t from em), p3 as (select vec_id, e, y, exp(e[1]) / t as p0, exp(e[2]) / t as p1, exp(e[3]) / t as p2 from s3), d3 as (select vec_id, e, p0 - (y = 0)::int as g0, p1 - (y = 1)::int as g1, p2 - (y = 2)::int as g2, greatest(p0 * (1 - p0), 1e-8) as h0, -greatest(p1 * p0, 1e-8) as h1, greatest(p1 * (1 - p1), 1e-8) as h2, -greatest(p2 * p0, 1e-8) as h3, -greatest(p2 * p1, 1e-8) as h4, greatest(p2 * (1 - p2), 1e-8) as h5 from p3)"
+S9 = [f"g{i}" for i in range(3)] + [f"h{i}" for i in range(6)]
+FULL = P3 + ", l3 as (select (i - 1)::int as fid, case when e[i] >= 0.1 then 2 when e[i] >= 0 then 1 else 0 end as bin, " + ", ".join(S9) + " from d3, unnest(generate_series(1, 64)) as t(i)), q3 as (select fid, bin, " + ", ".join(f"sum({x}) as {x}" for x in S9) + " from l3 group by 1, 2), c3 as (select fid, bin, max(bin) over (partition by fid) as lb, " + ", ".join(f"sum({x}) over w as l{x}, sum({x}) over (partition by fid) as t{x}" for x in S9) + " from q3 window w as (partition by fid order by bin rows unbounded preceding)), r3 as (select *, " + ", ".join(f"t{x} - l{x} as r{x}" for x in S9) + " from c3 where bin < lb)"
+
+
+@query(f"with {FULL} select fid, bin, round({_cramer('l')[0]} + {_cramer('r')[0]} - ({_cramer('t')[0]}) - 1, 4) as gain, " + ", ".join(f"round(-({w}), 4) as w{i}" for i, w in enumerate(_cramer("l")[1])) + " from r3")
+def full_hessian_splits(spark, d):
+    """Gains of all splits, and the weights of their left sides, with the whole second derivative of three
+    classes: a Cholesky factor each."""
+    rows = em(spark, d).withColumn("y", (F.col("label") % 3).cast("double")).withColumn("s", F.slice("features", 1, 3))
+    both = rows.select(losses.rich_loss("logistic").grads(F.col("y"), F.col("s"), 3).alias("g"), losses.full_hessian(F.col("s")).alias("h"), F.posexplode("features").alias("fid", "v"))
+    bins = F.when(F.col("v") >= 0.1, 2).when(F.col("v") >= 0, 1).otherwise(0).alias("bin")
+    hist = trees.histogram(both.select(F.lit(0).alias("node"), "fid", bins, *[F.get("g", F.lit(i)).alias(f"g{i}") for i in range(3)], *[F.get("h", F.lit(i)).alias(f"h{i}") for i in range(6)]), names=S9)
+    sums = trees.full_gains(trees.prefix_sums(hist, S9), 3, 1.0)
+    h = [F.col(f"l_h{i}") + (1.0 if i in (0, 2, 5) else 0.0) for i in range(6)]
+    found = V.solved(sums.select("fid", "bin", "gain", F.array(*h).alias("m"), F.array(*[-F.col(f"l_g{i}") for i in range(3)]).alias("r")), "m", "r")
+    return found.select("fid", "bin", r4(F.col("gain"), "gain"), *[r4(F.get("x", F.lit(i)), f"w{i}") for i in range(3)])
+
+
+# A forest by formula: 50 trees of depth 8, whose 255 splits and 256 leaves each follow from their numbers.
+FOREST = LI + ", w0 as (select row_id, [x0, x1, x2, x3] as x, t, 0 as node from li, unnest(generate_series(0, 49)) as u(t)), " + ", ".join(
+    f"w{k + 1} as (select row_id, x, t, 2 * node + 1 + (x[(t * 7 + node * 3) % 4 + 1] >= ((t * 13 + node * 5) % 17 + 0.5e0) * [3.0e0, 6000.0e0, 0.006e0, 0.005e0][(t * 7 + node * 3) % 4 + 1])::int as node from w{k})" for k in range(8)
+)
+
+
+def _formula_forest() -> list[trees.Tree]:
+    scale, out = [3.0, 6000.0, 0.006, 0.005], []
+    for t in range(50):
+        nodes = {n: ((t * 7 + n * 3) % 4, ((t * 13 + n * 5) % 17 + 0.5) * scale[(t * 7 + n * 3) % 4], 0, 0.0) for n in range(255)}
+        out.append(trees.Tree(nodes, {n: [((t * 11 + n * 7) % 23 - 11) / 8] for n in range(255, 511)}))
+    return out
+
+
+@query(f"with {FOREST} select row_id, round(0.05e0 + 0.1e0 * sum(((t * 11 + node * 7) % 23 - 11) / 8.0e0), 4) as score from w8 group by row_id")
+def deep_forest_score(spark, d):
+    model = trees.GBDT()
+    model.start, model.trees = [0.05], _formula_forest()
+    return model.predict_score(readers.from_dense(li(spark, d))).select("row_id", r4(F.col("score"), "score"))
+
+
 @query()
 def gbdt_fit_predict(spark, d):
     rows = storage.materialize(readers.from_dense(li(spark, d)), "rows")
