@@ -897,6 +897,13 @@ def corpus_offsets(spark, d):
     return readers.corpus_index(tokens(spark, d).select(F.length("word").alias("word_id")))
 
 
+@query(f"with {TOK} select doc_id, pos::int as pos, row_number() over (order by doc_id, pos) - 1 as doc_at, row_number() over (order by word, doc_id, pos) - 1 as word_at from tk")
+def corpus_cross_maps(spark, d):
+    """Where each token stands by document and by word."""
+    found = readers.word_major(tokens(spark, d).withColumnRenamed("word", "word_id"))
+    return found.select("doc_id", "pos", "doc_at", "word_at")
+
+
 TOPIC = TOK + ", tt as (select doc_id, word, (doc_id * 31 + pos * 17) % 10 as topic from tk)"
 
 

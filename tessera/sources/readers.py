@@ -137,3 +137,19 @@ def corpus_index(tokens: DataFrame) -> DataFrame:
     """(word_id, n, first): counts per word and where its run starts in word-major order."""
     counts = tokens.groupBy("word_id").agg(F.count("*").alias("n"))
     return running(counts, "word_id", "n", "first")
+
+
+def word_major(tokens: DataFrame, seed: int | None = None) -> DataFrame:
+    """(doc_id, pos, word_id, doc_at, word_at): where each token stands in document-major and in word-major
+    order, both from 0; pos counts a document's tokens from 0. A word's tokens follow by document and
+    place or, with a seed, in an order drawn by it. Only counts per word and document are sorted
+    as a whole, by ranges."""
+    runs = tokens.groupBy("word_id", "doc_id").agg(F.collect_list("pos").alias("p"))  # of one document
+    drawn = lambda *c: F.lit(0).cast("bigint") if seed is None else F.xxhash64(F.lit(seed), *c)
+    places = F.transform("p", lambda x: F.struct(drawn("doc_id", x).alias("h"), x.alias("pos")))
+    runs = runs.withColumn("p", F.transform(F.array_sort(places), lambda x: x["pos"]))
+    runs = runs.select("word_id", "doc_id", "p", F.size("p").cast("bigint").alias("n"), F.struct("word_id", drawn("doc_id").alias("h"), "doc_id").alias("key"))
+    sizes = running(tokens.groupBy("doc_id").agg(F.count("*").alias("size")), "doc_id", "size", "first").select("doc_id", "first")
+    placed = running(runs, "key", "n", "start").drop("key").join(sizes, "doc_id")
+    out = placed.select("doc_id", "word_id", "first", "start", F.posexplode("p").alias("i", "pos"))
+    return out.select("doc_id", "pos", "word_id", (F.col("first") + F.col("pos")).alias("doc_at"), (F.col("start") + F.col("i")).alias("word_at"))
