@@ -185,7 +185,7 @@ class Forest:
             fids += features
             threshold += [tree.nodes[n][1] if n in tree.nodes else np.inf for n in ids]  # nothing goes right of a leaf
             weights += [(list(tree.leaves.get(n, [])) + [0.0] * width)[:width] for n in ids]
-        kinds, place = np.unique(np.array(fids, np.int64), return_inverse=True)
+        kinds, place = np.unique(np.array(fids or [-1], np.int64), return_inverse=True)
         return cls(np.array(root, np.int64), np.array(left, np.int64), place, np.array(threshold, float), np.array(weights, float).reshape(-1, width), kinds, max((t.depth() for t in trees), default=0))
 
     def leaves(self, offsets: np.ndarray, indices: np.ndarray, values: np.ndarray) -> np.ndarray:
