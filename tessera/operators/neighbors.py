@@ -1,12 +1,13 @@
-"""k nearest neighbours: exact, with the labelled rows in blocks of a bounded size.
+"""k nearest neighbours: exact, with both sides in blocks of a bounded size.
 
-Each block goes to all executors, which keep the k best per query (numpy, a few thousand rows at a
-time); the blocks' winners meet in one window of k rows per query and block.
+Queries and labelled rows are dealt into blocks, and every pair of blocks is a group of a shuffle: nothing goes
+through the driver. A group finds candidates with a matrix product, takes their distances exactly, and
+keeps the k best of each query; these meet in one window, k rows per query and labelled block.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from ..functions import vectors as V
 from ..sources import persist
 from .params import Params, frame_of
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -29,49 +30,89 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(lengths), -1)
 
 
+def best_of_block(points: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, row place, squared distance) of each query's k nearest rows, with all ties at the last
+    place. same: pairs (query, row) that are not to be taken."""
+    norms = (rows**2).sum(axis=1)
+    m = min(k, len(rows))
+    found = []
+    step = max(1, (1 << 22) // max(1, len(rows)))
+    for lo in range(0, len(points), step):
+        part = points[lo : lo + step]
+        near = norms[None, :] - 2 * (part @ rows.T) + (part**2).sum(axis=1)[:, None]
+        if same is not None:
+            near[same[lo : lo + step]] = np.inf
+        slack = 1e-9 * (norms.max(initial=0.0) + (part**2).sum(axis=1)) + 1e-12  # far beyond the product's rounding
+        q, r = np.nonzero(near <= (np.partition(near, m - 1, axis=1)[:, m - 1] + slack)[:, None])
+        good = np.isfinite(near[q, r])
+        q, r = q[good], r[good]
+        dist = np.zeros(len(q))
+        for j in range(rows.shape[1]):
+            dist += (part[q, j] - rows[r, j]) ** 2
+        order = np.lexsort((dist, q))
+        q, r, dist = q[order], r[order], dist[order]
+        first = np.searchsorted(q, q)
+        last = np.minimum(first + m, np.searchsorted(q, q, side="right")) - 1
+        keep = dist <= dist[last]
+        found.append((lo + q[keep], r[keep], dist[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _groups(batches) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """(labelled rows, queries) of each pair of blocks, from rows sorted by i, j and side."""
+    key, held = None, []
+
+    def sides():
+        rows = pa.Table.from_batches(held).combine_chunks()
+        cut = int(np.searchsorted(rows.column("side").to_numpy(), 1))
+        return rows.slice(0, cut).combine_chunks(), rows.slice(cut).combine_chunks()
+
+    for batch in batches:
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+        for lo, hi in zip(starts, [*starts[1:], len(keys)]):
+            if tuple(keys[lo]) != key:
+                if held:
+                    yield sides()
+                key, held = tuple(keys[lo]), []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield sides()
+
+
+def _search(k: int, skip_self: bool):
+    def run(batches):
+        for rows, asked in _groups(batches):
+            if rows.num_rows and asked.num_rows:
+                part = lambda t, name: t.column(name).chunk(0)
+                ids, keys = part(rows, "id").to_numpy(), part(asked, "id").to_numpy()
+                same = keys[:, None] == ids[None, :] if skip_self else None
+                q, r, dist = best_of_block(_matrix(part(asked, "f")), _matrix(part(rows, "f")), k, same)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(ids[r]), part(rows, "label").take(pa.array(r)), pa.array(dist)], ["query", "neighbour", "label", "dist"])
+
+    return run
+
+
 def nearest(queries: DataFrame, labelled: DataFrame, k: int, *, query_id: str = "row_id", row_id: str = "row_id", features: str = "features", label: str = "label", skip_self: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query, neighbour, label, dist, rank): the k labelled rows of least squared distance, the
     smaller id first on ties."""
-    spark = queries.sparkSession
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, dim = labelled.agg(F.count("*"), F.coalesce(F.max(F.size(features)), F.lit(1))).first()
     if n <= k:
         raise ValueError("there must be more labelled rows than neighbours")
-    blocks = -(-n * dim * 8 // block_bytes)
-    slim = labelled.select(F.col(row_id).cast("bigint").alias("b"), F.col(label).cast("int").alias("l"), F.col(features).alias("f"))
-    asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(features).alias("f"))
-
-    def search(sent):
-        def run(batches):
-            ids, labels, rows = sent.value
-            for batch in batches:
-                keys, points = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                step = max(1, (1 << 22) // max(1, rows.size))
-                for lo in range(0, len(points), step):
-                    part = points[lo : lo + step]
-                    dist = np.zeros((len(part), len(rows)))
-                    for j in range(rows.shape[1]):
-                        dist += (part[:, j, None] - rows[None, :, j]) ** 2
-                    if skip_self:
-                        dist[keys[lo : lo + step, None] == ids[None, :]] = np.inf
-                    m = min(k, len(rows))
-                    cut = np.partition(dist, m - 1, axis=1)[:, m - 1]
-                    q, r = np.nonzero(dist <= cut[:, None])  # all ties at the cut; the window decides
-                    good = np.isfinite(dist[q, r])
-                    q, r = q[good], r[good]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + q]), pa.array(ids[r]), pa.array(labels[r]), pa.array(dist[q, r])], ["query", "neighbour", "label", "dist"])
-
-        return run
-
-    found = []
-    for i in range(max(1, blocks)):
-        block = slim if blocks <= 1 else slim.where(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i)
-        table = block.toArrow()
-        if not table.num_rows:
-            continue
-        f = table.column("f").combine_chunks()
-        sent = spark.sparkContext.broadcast((table.column("b").to_numpy(), table.column("l").to_numpy().astype(np.int32), _matrix(f.chunk(0) if isinstance(f, pa.ChunkedArray) else f)))
-        found.append(asked.mapInArrow(search(sent), "query bigint, neighbour bigint, label int, dist double"))
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("dist", "neighbour")))
+    asked = queries.count()
+    held = max(1, block_bytes // (8 * max(1, dim)))  # rows of a block
+    cuts = -(-n // held)
+    turns = max(-(-asked // held), min(parts, -(-asked // 256)), 1)  # enough groups for all cores
+    until = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = labelled.select(F.col(row_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), F.col(features).alias("f"))
+    rows = rows.select(until(turns).alias("i"), place("id", cuts).alias("j"), F.lit(0).alias("side"), "id", "label", "f")
+    points = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(features).alias("f"))
+    points = points.select(place("id", turns).alias("i"), until(cuts).alias("j"), F.lit(1).alias("side"), "id", F.lit(None).cast("int").alias("label"), "f")
+    groups = rows.union(points).repartition(max(parts, turns * cuts), "i", "j").sortWithinPartitions("i", "j", "side")
+    found = groups.mapInArrow(_search(k, skip_self), "query bigint, neighbour bigint, label int, dist double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("dist", "neighbour")))
     return ranked.where(F.col("rank") <= k)
 
 
