@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from ..sources import persist
 from ..sources.storage import materialize
+from .neighbors import block_groups
 from .params import Params, frame_of, require
 
 TILE_RATINGS = 200_000
@@ -87,6 +89,70 @@ def rank_metrics(positives: DataFrame, scored: DataFrame, by: str = "u", item: s
     return rows.select(by, (F.col("won") / (F.col("n_pos") * (F.col("n") - F.col("n_pos")))).alias("auc"), (1 - F.col("ranks") / (F.col("n_pos") * (F.col("n") - 1))).alias("mpr"))
 
 
+#: Rows of a block, and a row's positives that are taken together.
+RANK_ROWS, RANK_POSITIVES = 4096, 4096
+
+
+def _lost(batches):
+    """(id, le) of each row with some of its positives: over the items of a block, the sum of how many of these
+    are not above the item's prediction."""
+    for items, rows in block_groups(batches):
+        if items.num_rows and rows.num_rows:
+            q = np.array(items.column("f").to_pylist(), float)
+            ids, counts = rows.column("id"), []
+            for lo in range(0, rows.num_rows, 256):
+                part = rows.slice(lo, 256)
+                p = np.array(part.column("f").to_pylist(), float)
+                score = np.zeros((len(p), len(q)))
+                for k in range(p.shape[1]):  # in the order of the predictions of the positives
+                    score += p[:, k, None] * q[None, :, k]
+                counts += [int(np.searchsorted(np.array(own), s, side="right").sum()) for own, s in zip(part.column("preds").to_pylist(), score)]
+            yield pa.RecordBatch.from_arrays([ids.chunk(0), pa.array(counts, pa.int64())], ["id", "le"])
+
+
+def item_ranks(ratings: DataFrame, p: DataFrame, q: DataFrame, bias: float, by: str = "u") -> DataFrame:
+    """(id, n_pos, n_neg, lost, auc) of each user (by="u") or item (by="v") that has positive ratings, held against
+    all of the other side without one: lost counts the pairs in which the positive is not above. Ids
+    without factors are predicted as `bias`.
+
+    Both sides' factors meet in blocks of a shuffle, in which sorted positives are searched for the predictions,
+    so no pair is listed; many positives of one row go in pieces.
+    """
+    own, other = (p, q) if by == "u" else (q, p)
+    across = "v" if by == "u" else "u"
+    positive = ratings.where("r > 0").select(F.col(by).alias("a"), F.col(across).alias("b")).distinct()
+    every = ratings.select(F.col(across).alias("id")).union(other.select("id")).distinct().count()
+    unknown = every - other.count()
+    left, right = own.select(F.col("id").alias("a"), F.col("factors").alias("f")), other.select(F.col("id").alias("b"), F.col("factors").alias("__o"))
+    scored = positive.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce(V.dot("f", "__o"), F.lit(float(bias))).alias("pred"))
+    scored = materialize(scored, "positives")
+    until = Window.partitionBy("a").orderBy("pred").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = scored.withColumn("own", F.count("*").over(until)).groupBy("a").agg(F.count("*").alias("n_pos"), F.sum("own").alias("own"), F.sum((F.col("pred") <= bias).cast("bigint")).alias("at_bias"))
+    sums = materialize(sums, "sums")
+    pieces = F.ceil(F.col("n_pos") / RANK_POSITIVES)
+    parts = scored.join(sums.select("a", pieces.alias("pieces")), "a").groupBy("a", F.pmod(F.xxhash64("b"), "pieces").alias("piece")).agg(F.sort_array(F.collect_list("pred")).alias("preds"))  # a piece's
+    rows = materialize(parts.join(left, "a"), "rows")
+    cuts, turns = max(1, -(-other.count() // RANK_ROWS)), max(1, -(-rows.count() // RANK_ROWS))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    none = F.lit(None).cast("array<double>")
+    items = right.select(copies(turns).alias("i"), place(cuts, "b").alias("j"), F.lit(0).alias("side"), F.col("b").cast("bigint").alias("id"), F.col("__o").alias("f"), none.alias("preds"))
+    asked = rows.select(place(turns, "a", "piece").alias("i"), copies(cuts).alias("j"), F.lit(1).alias("side"), F.col("a").cast("bigint").alias("id"), "f", "preds")
+    groups = items.union(asked).repartition(turns * cuts, "i", "j").sortWithinPartitions("i", "j", "side")
+    met = groups.mapInArrow(_lost, "id bigint, le bigint").groupBy("id").agg(F.sum("le").alias("le"))
+    joined = sums.join(met, F.col("a") == F.col("id"), "left")
+    n_neg = F.lit(every) - F.col("n_pos")
+    # a row without factors has ties alone
+    lost = F.when(F.col("known").isNull(), F.col("n_pos") * n_neg).otherwise(F.coalesce("le", F.lit(0)) + F.lit(unknown) * F.col("at_bias") - F.col("own"))
+    joined = joined.join(own.select(F.col("id").alias("known")), F.col("a") == F.col("known"), "left").withColumn("n_neg", n_neg).withColumn("lost", lost).where("n_neg > 0")
+    return joined.select(F.col("a").alias("id"), "n_pos", "n_neg", "lost", (1 - F.col("lost") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
+def rank_summary(ranks: DataFrame) -> DataFrame:
+    """(mpr, auc): the lost pairs' shares over all positives, and the mean of the rows' AUC."""
+    return ranks.agg((F.sum(F.col("lost") / F.col("n_neg")) / F.sum("n_pos")).alias("mpr"), F.avg("auc").alias("auc"))
+
+
 def tile(u: Column, v: Column, groups: int, seg_u: int, seg_v: int) -> Column:
     """Number of the grid tile of a rating when ids are cut into runs."""
     return (F.floor(u / seg_u) * groups + F.floor(v / seg_v)).cast("int")
@@ -149,6 +215,10 @@ class NMF:
     def predict(self, pairs: DataFrame) -> DataFrame:
         return predict(frame_of(pairs), self.p, self.q, self.bias, self.params["objective"] not in ("l2", "l1", "kl"))
 
+    def rank_metrics(self, ratings: DataFrame, by: str = "u") -> DataFrame:
+        """(mpr, auc) of the positive ratings against everything without one, by user or by item."""
+        return rank_summary(item_ranks(frame_of(ratings), self.p, self.q, self.bias, by))
+
     def save_model(self, spark: SparkSession, path: str) -> None:
         persist.save(spark, path, self.name, {**self.params, "bias": self.bias}, {"p": self.p, "q": self.q})
 

@@ -58,7 +58,7 @@ def best_of_block(points: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
-def _groups(batches) -> Iterator[tuple[pa.Table, pa.Table]]:
+def block_groups(batches) -> Iterator[tuple[pa.Table, pa.Table]]:
     """(labelled rows, queries) of each pair of blocks, from rows sorted by i, j and side."""
     key, held = None, []
 
@@ -82,7 +82,7 @@ def _groups(batches) -> Iterator[tuple[pa.Table, pa.Table]]:
 
 def _search(k: int, skip_self: bool):
     def run(batches):
-        for rows, asked in _groups(batches):
+        for rows, asked in block_groups(batches):
             if rows.num_rows and asked.num_rows:
                 part = lambda t, name: t.column(name).chunk(0)
                 ids, keys = part(rows, "id").to_numpy(), part(asked, "id").to_numpy()

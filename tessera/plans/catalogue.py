@@ -872,6 +872,33 @@ def mf_mpr_auc(spark, d):
     return m.select("u", r4(F.col("auc"), "auc"), r4(F.col("mpr"), "mpr"))
 
 
+# Quantities above 25 are positives; every user meets every item, of which predictions take few values.
+_PRED = "case when u % 11 = 0 or v % 13 = 0 then 25.5e0 else 4 + (u % 5) * (v % 4) + (u % 3) * (v % 7) / 2.0e0 + 0.25e0 * (u % 7) end"
+
+
+def _ranks(a: str, b: str) -> str:
+    return (
+        f"select {a} as id, n_pos, n - n_pos as n_neg, lost::bigint as lost, round(1 - lost / (n_pos * (n - n_pos))::double, 4) as auc from "
+        f"(select p.{a}, max(n_pos) as n_pos, sum(case when p.pred <= x.pred then c else 0 end) as lost from p{a} p join x{a} x using ({a}) group by 1) "
+        f"join (select {a}, count(*) as n_pos2 from pos group by 1) using ({a}), (select count(*) as n from {b}s) where n > n_pos"
+    )
+
+
+RANKS = (
+    f"rt as (select l_orderkey as u, l_partkey as v, l_quantity as r from lineitem), us as materialized (select distinct u from rt), vs as materialized (select distinct v from rt), pos as materialized (select distinct u, v from rt where r > 25), "
+    f"ax as (select us.u as u, vs.v as v, pos.u is not null as pos from us cross join vs left join pos on pos.u = us.u and pos.v = vs.v), al as (select u, v, pos, {_PRED} as pred from ax), "
+    + ", ".join(f"x{a} as materialized (select {a}, pred, count(*) as c from al where not pos group by 1, 2), p{a} as materialized (select {a}, pred, count(*) over (partition by {a}) as n_pos from (select u, v, {_PRED} as pred from pos))" for a in "uv")
+)
+
+
+@query(f"with {RANKS} select 'u' as side, * from ({_ranks('u', 'v')}) union all select 'v', * from ({_ranks('v', 'u')})")
+def mf_item_ranks(spark, d):
+    """Positives of each user against all items without one, and of each item against all users."""
+    r = ratings(spark, d).withColumn("r", F.col("r") - 25)
+    sides = [mf.item_ranks(r, *_factors(spark, d), 25.5, by).select(F.lit(by).alias("side"), "id", "n_pos", "n_neg", "lost", r4(F.col("auc"), "auc")) for by in ("u", "v")]
+    return sides[0].union(sides[1])
+
+
 @query()
 def nmf_fit(spark, d):
     model = mf.NMF(num_epoch=1).fit(ratings(spark, d).select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "r"))
