@@ -1,8 +1,12 @@
-"""Matrix factorisation by stochastic gradients over disjoint tiles, its statistics and metrics.
+"""Matrix factorisation by stochastic gradients, its statistics and metrics.
 
 Users and items are dealt into B groups each; in sub-step s the tiles (i, (i + s) mod B) share no
 factor row, so each runs alone in one task with the factors of its users and items. B follows the
 number of ratings, so a tile's size is bounded.
+
+With `workers`, and in pairwise fits, an epoch is one step instead: every worker has a share of the
+ratings, or of triples with a drawn negative, and a local model of the rows that these need; rows that
+several workers hold become the mean of theirs.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from .neighbors import block_groups
 from .params import Params, frame_of, require
 
 TILE_RATINGS = 200_000
+FACTORS = "kind int, id bigint, f array<double>, slow double, fast double"
 
 # Residual of a rating r and prediction p: minus the loss's derivative by p.
 OBJECTIVES: dict[str, Callable] = {
@@ -31,7 +36,7 @@ OBJECTIVES: dict[str, Callable] = {
     "kl": lambda r, p: r / max(p, 1e-10) - 1,
     "logistic": lambda r, p: r / (1 + np.exp(r * p)) if r > 0 else -1 / (1 + np.exp(-p)),
     "squared-hinge": lambda r, p: (1 if r > 0 else -1) * max(0.0, 1 - (1 if r > 0 else -1) * p),
-    # pairwise: a positive against a drawn item of its tile; p is the difference of the scores
+    # pairwise: a positive against a drawn one; p is the difference of the scores
     "bpr": lambda r, p: 1 / (1 + np.exp(p)),
     "hinge": lambda r, p: (1 if r > 0 else -1) if (1 if r > 0 else -1) * p < 1 else 0.0,
 }
@@ -163,10 +168,15 @@ class NMF:
 
     name = "NMF"
 
-    def __init__(self, embedding_dim: int = 8, num_epoch: int = 10, learning_rate: float = 0.1, l1_reg: float = 0.0, l2_reg: float = 0.0, parallel: bool = False, objective: str = "l2", nonnegative: bool = True, seed: int = 0):
+    def __init__(self, embedding_dim: int = 8, num_epoch: int = 10, learning_rate: float = 0.1, l1_reg: float = 0.0, l2_reg: float = 0.0, parallel: bool = False, objective: str = "l2", nonnegative: bool = True, seed: int = 0, workers: int = 0, by: str = "u"):
+        """workers: how many local models an epoch averages, none for disjoint tiles (a pairwise fit has at least one,
+        and as many as its size asks for); by: whose negatives a pairwise fit draws, a user's items ("u") or
+        an item's users ("v")."""
         require(embedding_dim > 0 and num_epoch > 0 and learning_rate > 0, "dimension, epochs and rate must be positive")
         require(objective in OBJECTIVES, f"no such objective: {objective}")
-        self.params = Params(embedding_dim=embedding_dim, num_epoch=num_epoch, learning_rate=learning_rate, l1_reg=l1_reg, l2_reg=l2_reg, objective=objective, nonnegative=nonnegative, seed=seed)
+        require(l1_reg >= 0 and l2_reg >= 0 and workers >= 0, "regularisation and workers must not be negative")
+        require(by in ("u", "v") and (by == "u" or objective == "bpr"), "by is u, or v in a pairwise fit")
+        self.params = Params(embedding_dim=embedding_dim, num_epoch=num_epoch, learning_rate=learning_rate, l1_reg=l1_reg, l2_reg=l2_reg, objective=objective, nonnegative=nonnegative, seed=seed, workers=workers, by=by)
         self.history: list[tuple] = []
 
     def fit(self, ratings: DataFrame, valid: DataFrame | None = None) -> NMF:
@@ -179,13 +189,23 @@ class NMF:
         group = lambda c: F.pmod(F.xxhash64(F.lit(p["seed"]), c), F.lit(groups)).cast("int")
         data = materialize(ratings.select("u", "v", (F.col("r") / scale).alias("r"), group("u").alias("gu"), group("v").alias("gv")), "ratings")
         p_side, q_side = self._init(data, "u", "gu"), self._init(data, "v", "gv")
+        pairwise = p["objective"] == "bpr"
+        workers = max(p["workers"], -(-(n or 0) // TILE_RATINGS), 1) if pairwise else p["workers"]
+        if pairwise:  # every number may be drawn
+            last = ratings.agg(F.max("v" if p["by"] == "u" else "u")).first()[0]
+            every = ratings.sparkSession.range(0 if last is None else last + 1)
+            p_side, q_side = (p_side, self._init(every.select(F.col("id").alias("v"), F.lit(0).alias("gv")), "v", "gv")) if p["by"] == "u" else (self._init(every.select(F.col("id").alias("u"), F.lit(0).alias("gu")), "u", "gu"), q_side)
         for epoch in range(p["num_epoch"]):
-            for s in range(groups):
+            if workers:
+                p_side, q_side = self._averaged(data, p_side, q_side, workers, scale, epoch)
+            for s in range(0 if workers else groups):
                 p_side, q_side = self._sub_step(data, p_side, q_side, groups, s, scale, epoch)
             self.p = p_side.select("id", F.transform("f", lambda x: x * float(np.sqrt(scale))).alias("factors"))
             self.q = q_side.select("id", F.transform("f", lambda x: x * float(np.sqrt(scale))).alias("factors"))
             for split, part in (("train", ratings), ("valid", valid)):
-                if part is not None:
+                if pairwise and part is not None:
+                    self.history.append((epoch, split, "auc", self.rank_metrics(part, p["by"]).first().auc))
+                elif part is not None:
                     row = evaluate(self.predict(part), ["rmse"]).first()
                     self.history.append((epoch, split, "rmse", row.rmse))
         return self
@@ -201,17 +221,50 @@ class NMF:
         rows = data.where(F.pmod(F.col("gv") - F.col("gu"), F.lit(groups)) == s)
         empty = F.lit(None)
         tagged = [
-            p_side.select(F.col("grp").alias("tile"), F.lit(0).alias("kind"), F.col("id").alias("a"), empty.cast("int").alias("b"), empty.cast("double").alias("r"), "f", "slow", "fast"),
-            q_side.select(F.pmod(F.col("grp") - s, F.lit(groups)).alias("tile"), F.lit(1), "id", empty.cast("int"), empty.cast("double"), "f", "slow", "fast"),
-            rows.select(F.col("gu").alias("tile"), F.lit(2), "u", "v", "r", empty.cast("array<double>"), empty.cast("double"), empty.cast("double")),
+            p_side.select(F.col("grp").alias("tile"), F.lit(0).alias("kind"), F.col("id").cast("bigint").alias("a"), empty.cast("bigint").alias("b"), empty.cast("double").alias("r"), "f", "slow", "fast"),
+            q_side.select(F.pmod(F.col("grp") - s, F.lit(groups)).alias("tile"), F.lit(1), F.col("id").cast("bigint"), empty.cast("bigint"), empty.cast("double"), "f", "slow", "fast"),
+            rows.select(F.col("gu").alias("tile"), F.lit(2), F.col("u").cast("bigint"), F.col("v").cast("bigint"), "r", empty.cast("array<double>"), empty.cast("double"), empty.cast("double")),
         ]
         work = _tile_worker(dict(self.params), scale, epoch)
-        out = tagged[0].union(tagged[1]).union(tagged[2]).groupBy("tile").applyInPandas(work, "kind int, id int, f array<double>, slow double, fast double")
+        out = tagged[0].union(tagged[1]).union(tagged[2]).groupBy("tile").applyInPandas(work, FACTORS)
         out = materialize(out, "factors")
         seed, spread = self.params["seed"], F.lit(groups)
         both = [out.where(F.col("kind") == k).select("id", F.pmod(F.xxhash64(F.lit(seed), "id"), spread).cast("int").alias("grp"), "f", "slow", "fast") for k in (0, 1)]
         return both[0], both[1]
 
+    def _averaged(self, data, p_side, q_side, workers, scale, epoch):
+        """One epoch in local models: each worker's share of the ratings, or of triples, meets the factor rows that
+        these need; what several workers hold becomes the mean. A frequent user is dealt to several."""
+        p, by = self.params, self.params["by"]
+        across, seed = "v" if by == "u" else "u", self.params["seed"]
+        if p["objective"] == "bpr":
+            positive = data.where("r > 0")
+            last = data.agg(F.max(across)).first()[0]
+            rows = bpr_pairs(positive, 0 if last is None else int(last) + 1, seed * 7919 + epoch, by, rated=data).withColumn("r", F.lit(None).cast("double"))
+        else:
+            rows = data.select("u", "v", F.lit(None).cast("bigint").alias("w"), "r")
+        rows = materialize(rows.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.col("w").cast("bigint").alias("w"), "r"), "shares")
+        often = rows.groupBy(by).agg(F.ceil(F.count("*") / TILE_RATINGS).alias("pieces")).where("pieces > 1")
+        rows = rows.join(often, by, "left").withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), by, F.pmod(F.xxhash64(across), F.coalesce("pieces", F.lit(1)))), F.lit(workers)).cast("int")).drop("pieces")
+        users = rows.select("rank", F.col("u").alias("id"))
+        items = rows.select("rank", F.col("v").alias("id"))
+        drawn = rows.where("w is not null").select("rank", F.col("w").alias("id"))
+        users, items = (users, items.union(drawn)) if by == "u" else (users.union(drawn), items)
+        none = lambda kind: F.lit(None).cast(kind)
+        held = [need.distinct().join(side.withColumn("id", F.col("id").cast("bigint")), "id").select("rank", F.lit(kind).alias("kind"), F.col("id").alias("a"), none("bigint").alias("b"), none("bigint").alias("w"), none("double").alias("r"), "f", "slow", "fast") for kind, need, side in ((0, users, p_side), (1, items, q_side))]
+        asked = rows.select("rank", F.lit(2).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), "w", "r", none("array<double>").alias("f"), none("double").alias("slow"), none("double").alias("fast"))
+        work = _tile_worker(dict(p), scale, epoch)
+        local = materialize(held[0].union(held[1]).union(asked).groupBy("rank").applyInPandas(work, FACTORS), "local")
+        sides = []
+        for kind, side in ((0, p_side), (1, q_side)):
+            own = local.where(F.col("kind") == kind)
+            mean = own.select("id", F.posexplode("f").alias("k", "x")).groupBy("id", "k").agg(F.avg("x").alias("x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("s"))  # one row's dimensions
+            pace = own.groupBy("id").agg(F.avg("slow").alias("slow"), F.avg("fast").alias("fast"))
+            new = mean.join(pace, "id").select("id", F.lit(0).alias("grp"), F.col("s.x").alias("f"), "slow", "fast")
+            rest = side.withColumn("id", F.col("id").cast("bigint")).join(new.select("id"), "id", "left_anti").select("id", "grp", "f", "slow", "fast")
+            sides.append(materialize(new.union(rest), "averaged"))
+        return sides[0], sides[1]
+
     def predict(self, pairs: DataFrame) -> DataFrame:
         return predict(frame_of(pairs), self.p, self.q, self.bias, self.params["objective"] not in ("l2", "l1", "kl"))
 
@@ -242,13 +295,14 @@ def _tile_worker(params: dict, scale: float, epoch: int):
             rows = pdf[pdf.kind == kind].sort_values("a")
             f = np.array(rows.f.tolist(), float).reshape(len(rows), k)
             sides.append((rows.a.to_numpy(int), f, rows[["slow", "fast"]].to_numpy(float).copy()))
-        ratings = pdf[pdf.kind == 2].sort_values(["a", "b"])
+        ratings = pdf[pdf.kind == 2].sort_values(["a", "b", "r"] + (["w"] if "w" in pdf else []))
         at = [np.searchsorted(sides[i][0], ratings[c].to_numpy(int)) for i, c in ((0, "a"), (1, "b"))]
         order = np.random.default_rng([params["seed"], epoch]).permutation(len(ratings))
         (_, p, gp), (_, q, gq) = sides
         values = ratings.r.to_numpy(float)
         if params["objective"] == "bpr":
-            _pairwise(p, q, gp, gq, at, order, np.random.default_rng([params["seed"], epoch, 1]), lr, l2)
+            drawn = np.searchsorted(sides[0 if params["by"] == "v" else 1][0], ratings.w.to_numpy(int))
+            _pairwise(*((p, q, gp, gq, at[0], at[1]) if params["by"] == "u" else (q, p, gq, gp, at[1], at[0])), drawn, order, lr, l2, params["nonnegative"])
             order = []
         for i in order:
             u, v = at[0][i], at[1][i]
@@ -270,29 +324,29 @@ def _tile_worker(params: dict, scale: float, epoch: int):
     return work
 
 
-def _pairwise(p, q, gp, gq, at, order, rng, lr, l2):
-    """One pass of pairwise steps: the positive's score is raised over that of a drawn item."""
-    drawn = rng.integers(0, len(q), len(at[0]))
+def _pairwise(own, other, g_own, g_other, who, good, bad, order, lr, l2, nonnegative):
+    """One pass of pairwise steps: the positive's score is raised over that of the drawn one. own: the side that
+    ranks (users, or items), other: the side that is ranked."""
     for i in order:
-        u, v, w = at[0][i], at[1][i], drawn[i]
-        if v == w:
-            continue
-        z = 1 / (1 + np.exp(p[u] @ (q[v] - q[w])))
-        grads = -z * (q[v] - q[w]) + l2 * p[u], -z * p[u] + l2 * q[v], z * p[u] + l2 * q[w]
-        for x, acc, g in ((p[u], gp[u], grads[0]), (q[v], gq[v], grads[1]), (q[w], gq[w], grads[2])):
+        u, v, w = who[i], good[i], bad[i]
+        z = 1 / (1 + np.exp(own[u] @ (other[v] - other[w])))
+        grads = -z * (other[v] - other[w]) + l2 * own[u], -z * own[u] + l2 * other[v], z * own[u] + l2 * other[w]
+        for x, acc, g in ((own[u], g_own[u], grads[0]), (other[v], g_other[v], grads[1]), (other[w], g_other[w], grads[2])):
             x -= lr / np.sqrt(acc[0]) * g
+            if nonnegative:
+                np.maximum(x, 0, out=x)
             acc[0] += float((g**2).mean())
 
 
-def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0, by: str = "u", draws: int = 8) -> DataFrame:
+def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0, by: str = "u", draws: int = 8, rated: DataFrame | None = None) -> DataFrame:
     """(u, v, w): each positive with a negative drawn from 0 to items - 1, one that its user (or, with
-    by="v", its item) has no rating with. The first of `draws` candidates that is none of its positives;
+    by="v", its item) has no rating with; rated: all ratings, if `ratings` are not all. The first of `draws` candidates that is none of its positives;
     where all are, the r-th number without a rating, for an r drawn from their count. Only where all
     numbers are rated there is nothing to rank, and no row."""
     own = "v" if by == "u" else "u"
     pairs = ratings.select("u", "v").distinct()
     drawn = pairs.select("u", "v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "u", "v", i), F.lit(max(1, items))))).alias("k", "w"))
-    known = pairs.select(F.col(by).alias("__by"), F.col(own).cast("bigint").alias("__own"))
+    known = (ratings if rated is None else rated).select(F.col(by).alias("__by"), F.col(own).cast("bigint").alias("__own")).distinct()
     fresh = drawn.join(known, (F.col(by) == F.col("__by")) & (F.col("w") == F.col("__own")), "left_anti")
     first = fresh.groupBy("u", "v").agg(F.min_by("w", "k").alias("w"))
     # a positive with p smaller ones has own - p free numbers below it: one pass over both in this order
