@@ -117,13 +117,14 @@ def candidate_splits(long: DataFrame, num_split: int = 10, exact: bool = True, s
     """
     fractions = [i / num_split for i in range(num_split)]
     summary = materialize(quantile_summary(long, size), "summary")
-    quantiles = exact_quantiles(long, summary, fractions, size) if exact else summary_quantiles(summary, fractions)
-    # the summary tells which features may have few values; only those are listed
-    few = summary.where(F.hll_sketch_estimate("kinds") <= 2 * num_split + 8).select("fid")
+    # the summary tells which features may have few values, and only those are listed; or many, with quantiles
+    kinds = F.hll_sketch_estimate("kinds")
+    many, few = summary.where(kinds > num_split / 2), summary.where(kinds <= 2 * num_split + 8).select("fid")
+    quantiles = exact_quantiles(long, many, fractions, size) if exact else summary_quantiles(many, fractions)
     distinct = long.where("value is not null and not isnan(value)").join(few, "fid", "left_semi").groupBy("fid", "value").agg(F.lit(1)).select("fid", "value")
     ranked = distinct.withColumn("k", F.row_number().over(Window.partitionBy("fid").orderBy("value"))).where(F.col("k") <= num_split + 1)
     listed = ranked.groupBy("fid").agg(F.sort_array(F.collect_list("value")).alias("few"))
-    edges = quantiles.join(listed, "fid", "left")
+    edges = quantiles.join(listed, "fid", "full")
     raw = F.when(F.size("few") <= num_split, F.col("few")).otherwise(V.unique("q"))
     return edges.select("fid", raw.alias("raw")).select("fid", zero_aware("raw").alias("edges")).withColumn("default_bin", V.bin_index(F.lit(0.0), F.col("edges")))
 

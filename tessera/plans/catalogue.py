@@ -7,10 +7,11 @@ ratings, DOC the documents as tokens. Every query runs over its whole tables. SQ
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -720,16 +721,25 @@ def quantile_summary(spark, d):
 WORDS = TOK + ", wi as (select word, row_number() over (order by word) - 1 as fid from (select distinct word from tk)), wl as (select doc_id, fid, count(*)::double as value from tk join wi using (word) group by 1, 2), wq as (select fid, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as qs, list_sort(list_distinct(list(value))) as ds from wl group by fid), we as (select fid, case when len(ds) <= 10 then ds else qs end as e from wq), wz as (select fid, case when len(e) = 1 then [e[1] - 0.5, e[1]] else e end as e from we), wb as (select doc_id, fid, greatest(0, len(list_filter(e, lambda x: x <= value)) - 1)::int as bin from wl join wz using (fid))"
 
 
+def _counted(batches):
+    """(row_id, label, word, value) of rows with lists of words: how often each has a word."""
+    for batch in batches:
+        counts = [Counter(w) for w in batch.column(2).to_pylist()]
+        place = pa.array([i for i, c in enumerate(counts) for _ in c], pa.int64())
+        words, values = pa.array([w for c in counts for w in c], pa.string()), pa.array([float(n) for c in counts for n in c.values()], pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), words, values], ["row_id", "label", "word", "value"])
+
+
 def _word_rows(spark: SparkSession, d: str) -> DataFrame:
     """(row_id, label, indices, values): all documents, labelled as English or not, by their words' counts."""
-    tok = tokens(spark, d)
-    words = storage.materialize(readers.ranked(tok.select("word").distinct(), "word", "fid").withColumn("fid", F.col("fid").cast("int")), "words")
-    long = tok.groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("value")).join(words, "word")
-    rows = readers.to_sparse_rows(long.select(F.col("doc_id").alias("row_id"), "fid", "value"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce((F.col("lang") == "en").cast("double"), F.lit(0.0)).alias("label"))
-    rows = docs.join(rows, "row_id", "left")
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return storage.materialize(rows.select("row_id", "label", empty("indices", "array<int>"), empty("values", "array<double>")), "rows")
+    words = storage.materialize(readers.ranked(tokens(spark, d).select("word").distinct(), "word", "fid").withColumn("fid", F.col("fid").cast("int")), "words")
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.coalesce((F.col("lang") == "en").cast("double"), F.lit(0.0)).alias("label"), F.coalesce(found, F.array().cast("array<string>")).alias("w"))
+    long = docs.mapInArrow(_counted, "row_id bigint, label double, word string, value double").join(words, "word")  # counted where they are read
+    pairs = long.groupBy("row_id", "label").agg(F.array_sort(F.collect_list(F.struct("fid", "value"))).alias("p"))  # a document's words
+    rows = pairs.select("row_id", "label", F.col("p.fid").alias("indices"), F.col("p.value").alias("values"))
+    none = docs.where("size(w) = 0").select("row_id", "label", F.array().cast("array<int>"), F.array().cast("array<double>"))
+    return storage.materialize(rows.union(none), "rows")
 
 
 @query(f"with {WORDS} select fid::int as fid, bin, count(*) as n from wb where bin <> 0 group by 1, 2")
@@ -901,7 +911,7 @@ def mf_item_ranks(spark, d):
 
 @query()
 def nmf_fit(spark, d):
-    model = mf.NMF(num_epoch=1).fit(ratings(spark, d).select(F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "r"))
+    model = mf.NMF(num_epoch=1).fit(ratings(spark, d))
     return model.p.select(F.lit("p").alias("side"), "id", "factors").union(model.q.select(F.lit("q"), "id", "factors"))
 
 
