@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,24 @@ def log_scores(long: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys, model["label"]).agg((F.sum(entry) + F.log(F.first("prior"))).alias("log_score"))
 
 
+def row_log_scores(rows: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, scores): log_scores of sparse rows as an array of (label, log_score), a row by itself. The model
+    is a constant of the plan: no more than vectors.MAX_LITERAL moments."""
+    moments = model.select("label", "fid", "mean", "var", "prior").collect()  # bounded, as above
+    if len(moments) > V.MAX_LITERAL:
+        raise ValueError(f"{len(moments)} moments are too many for a constant; use log_scores")
+    dim, out = 1 + max((m.fid for m in moments), default=-1), []
+    for label in sorted({m.label for m in moments}):
+        own = {m.fid: m for m in moments if m.label == label}
+        mean, var = ([float(getattr(own[f], c)) if f in own else 0.0 for f in range(dim)] for c in ("mean", "var"))
+        mean, var = V.literal(mean), V.literal(var)  # a variance of 0 leaves the entry out
+        at = lambda t, i: F.get(t, i)
+        entry = lambda i, x: F.when(at(var, i) >= V.EPSILON, F.greatest(V.log_gaussian(x, at(mean, i), at(var, i)), F.log(F.lit(V.EPSILON)))).otherwise(F.lit(0.0))
+        score = V.total(F.zip_with("indices", "values", entry)) + math.log(next(iter(own.values())).prior)
+        out.append(F.struct(F.lit(label).alias("label"), score.alias("log_score")))
+    return rows.select(*keep, F.array(*out).alias("scores"))
+
+
 class NaiveBayes(Supervised):
     name = "NaiveBayes"
 
@@ -43,7 +63,11 @@ class NaiveBayes(Supervised):
     def predict_score(self, data: DataFrame) -> DataFrame:
         """Scores are unnormalised: prior times likelihood, always one per class."""
         k = self["num_label"]
-        scores = log_scores(to_long(data), self.model, ["row_id"])
+        if self.model.count() <= V.MAX_LITERAL:
+            found = row_log_scores(data, self.model, ["row_id", "indices"])
+            scores = found.where(F.size("indices") > 0).select("row_id", F.explode("scores").alias("s")).select("row_id", "s.label", "s.log_score")
+        else:
+            scores = log_scores(to_long(data), self.model, ["row_id"])
         wide = scores.groupBy("row_id").agg(*[F.max(F.when(F.col("label") == c, F.col("log_score"))).alias(f"s{c}") for c in range(k)])
         priors = {r.label: r.prior for r in self.priors.collect()}  # one row each class
         filled = [F.exp(F.coalesce(F.col(f"s{c}"), F.log(F.lit(float(priors.get(c, 0.0)))), F.lit(float("-inf")))) for c in range(k)]

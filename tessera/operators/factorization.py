@@ -72,6 +72,33 @@ def evaluate(scored: DataFrame, names: list[str]) -> DataFrame:
     return scored.agg(*[METRICS[n](F.col("r"), F.col("pred")).alias(n) for n in names])
 
 
+ERRORS: dict[str, Callable[[Column, Column], Column]] = {
+    "l2": lambda r, p: (r - p) * (r - p),
+    "l1": lambda r, p: F.abs(r - p),
+    "kl": lambda r, p: r * F.log(r / p) - r + p,
+    "logistic": lambda r, p: F.log1p(F.exp(F.when(r > 0, -p).otherwise(p))),
+    # right decisions
+    "squared-hinge": lambda r, p: F.when(F.when(r > 0, p > 0).otherwise(p < 0), 1.0).otherwise(0.0),
+    "hinge": lambda r, p: F.when(F.when(r > 0, p > 0).otherwise(p < 0), 1.0).otherwise(0.0),
+}
+
+
+def error_sums(scored: DataFrame, objectives: list[str]) -> DataFrame:
+    """(objective, error): each pointwise objective's sum over (r, pred), in one pass."""
+    sums = [F.struct(F.lit(n).alias("objective"), F.coalesce(F.sum(ERRORS[n](F.col("r"), F.col("pred"))), F.lit(0.0)).alias("error")) for n in objectives]
+    return scored.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s")).select("s.objective", "s.error")
+
+
+def pairwise_error(triples: DataFrame, p: DataFrame, q: DataFrame, bias: float, by: str = "u") -> DataFrame:
+    """One row: the sum over (u, v, w) of log(1 + exp(the drawn one's score minus the positive's)); w is an item,
+    or with by="v" a user."""
+    good = predict(triples, p, q, bias).withColumnRenamed("pred", "good")
+    other, asked = ("v", "u") if by == "u" else ("u", "v")
+    drawn = good.select(F.col(asked), F.col("w").alias(other), "good")
+    bad = predict(drawn, p, q, bias)
+    return bad.agg(F.coalesce(F.sum(F.log1p(F.exp(F.col("pred") - F.col("good")))), F.lit(0.0)).alias("error"))
+
+
 def penalty(factors: DataFrame, omega: DataFrame, l1: float, l2: float) -> DataFrame:
     """Sum over rows of degree times (l1 |f| + l2 |f|^2)."""
     size = l1 * V.total(F.transform("factors", F.abs)) + l2 * V.dot("factors", "factors")

@@ -153,6 +153,14 @@ def nb_log_score(spark, d):
     return scores.select("row_id", F.col("label").cast("int").alias("label"), r4(F.col("log_score"), "log_score"))
 
 
+@query(f"with {MOMENTS}, nr as (select row_number() over () as k, x0, x1, x2, x3 from li), nl as (select k, 0 as fid, x0 as value from nr union all select k, 1, x1 from nr union all select k, 2, x2 from nr union all select k, 3, x3 from nr), ns as (select k, mo.y::int as label, sum(greatest(-0.5e0 * (value - mean) * (value - mean) / var - 0.5e0 * ln(6.28318e0 * var), ln(1e-8))) + ln(max(prior)) as s from nl join mo using (fid) group by 1, 2) select label, count(*) as n, round(avg(s), 4) as mean, round(min(s), 4) as low, round(max(s), 4) as high from ns group by 1")
+def nb_row_scores(spark, d):
+    """Scores of rows by themselves, with the model as a constant."""
+    rows = bayes.row_log_scores(readers.from_dense(li(spark, d)), _moments(spark, d), ["row_id"])
+    s = F.col("s.log_score")
+    return rows.select(F.explode("scores").alias("s")).groupBy(F.col("s.label").cast("int").alias("label")).agg(F.count("*").alias("n"), r4(F.avg(s), "mean"), r4(F.min(s), "low"), r4(F.max(s), "high"))
+
+
 @query("with x as (select l_returnflag, l_linestatus, l_quantity from lineitem) select l_returnflag, l_linestatus, count(*) as n, round(avg(l_quantity), 4) as mean, round(var_pop(l_quantity), 4) as var from x group by cube (l_returnflag, l_linestatus)")
 def moments_cube(spark, d):
     return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), r4(F.avg("l_quantity"), "mean"), r4(F.var_pop("l_quantity"), "var"))
@@ -842,6 +850,8 @@ def mf_degree(spark, d):
 
 
 # Factors by formula; users divisible by 11 and items divisible by 13 are unknown.
+# Predictions from the factors below.
+_PRED = "case when u % 11 = 0 or v % 13 = 0 then 25.5e0 else 4 + (u % 5) * (v % 4) + (u % 3) * (v % 7) / 2.0e0 + 0.25e0 * (u % 7) end"
 MFP = "rt as (select l_orderkey as u, l_partkey as v, l_quantity as r from lineitem), pr as (select u, v, r, case when u % 11 = 0 or v % 13 = 0 then 25.5e0 else 4 + (u % 5) * (v % 4) + (u % 3) * (v % 7) / 2.0e0 + 0.25e0 * (u % 7) end as pred from rt)"
 
 
@@ -863,6 +873,26 @@ def mf_metrics(spark, d):
     return m.select(*[r4(F.col(c), c) for c in m.columns])
 
 
+# Shifted by 20, so that predictions and ratings have both signs; the pair's other item or user by formula.
+SHIFTED = MFP + f", sh as (select u, v, r - 20 as r, pred - 20 as pred from pr), iv as (select u, v, pred, (v * 7 + u) % 200 as w from pr), iu as (select u, v, pred, (u * 7 + v) % 1500 as w from pr)"
+
+
+@query(
+    f"with {SHIFTED}, e as (select 'l2' as objective, sum((r - pred) * (r - pred)) as error from sh union all select 'l1', sum(abs(r - pred)) from sh union all select 'kl', sum(r * ln(r / pred) - r + pred) from pr union all select 'logistic', sum(ln(1 + exp(case when r > 0 then -pred else pred end))) from sh "
+    "union all select 'hinge', sum((case when r > 0 then pred > 0 else pred < 0 end)::int)::double from sh union all select 'squared-hinge', sum((case when r > 0 then pred > 0 else pred < 0 end)::int)::double from sh "
+    f"union all select 'pairs of a row', sum(ln(1 + exp(x.bad - x.pred))) from (select pred, case when known is null then 25.5e0 else {_PRED} end as bad from (select iv.pred, iv.u as u, iv.w as v, k.v as known from iv left join (select distinct v from pr) k on k.v = iv.w)) x union all select 'pairs of a column', sum(ln(1 + exp(x.bad - x.pred))) from (select pred, case when known is null then 25.5e0 else {_PRED} end as bad from (select iu.pred, iu.w as u, iu.v as v, k.u as known from iu left join (select distinct u from pr) k on k.u = iu.w)) x) select objective, round(error, 2) as error from e"
+)
+def mf_error_sums(spark, d):
+    """Error sums of every objective; pairs have one that is made by formula."""
+    (p, q), r = _factors(spark, d), ratings(spark, d)
+    scored = mf.predict(r, p, q, 25.5)
+    shifted = scored.withColumn("r", F.col("r") - 20).withColumn("pred", F.col("pred") - 20)
+    out = mf.error_sums(shifted, ["l2", "l1", "logistic", "hinge", "squared-hinge"]).union(mf.error_sums(scored, ["kl"]))
+    for name, by, w in (("pairs of a row", "u", (F.col("v") * 7 + F.col("u")) % 200), ("pairs of a column", "v", (F.col("u") * 7 + F.col("v")) % 1500)):
+        out = out.union(mf.pairwise_error(r.withColumn("w", w), p, q, 25.5, by).select(F.lit(name), "error"))
+    return out.select("objective", F.round("error", 2).alias("error"))
+
+
 @query("with f as (select l_orderkey as u, count(*) as omega from lineitem group by 1 having l_orderkey % 11 <> 0) select round(sum(omega * (0.1e0 * (4 + u % 5 + (u % 3) / 2.0e0 + 0.25e0 * (u % 7)) + 0.01e0 * (16 + pow(u % 5, 2) + pow((u % 3) / 2.0e0, 2) + pow(0.25e0 * (u % 7), 2)))), 4) as penalty from f")
 def mf_penalty(spark, d):
     p, _ = _factors(spark, d)
@@ -883,8 +913,6 @@ def mf_mpr_auc(spark, d):
 
 
 # Quantities above 25 are positives; every user meets every item, of which predictions take few values.
-_PRED = "case when u % 11 = 0 or v % 13 = 0 then 25.5e0 else 4 + (u % 5) * (v % 4) + (u % 3) * (v % 7) / 2.0e0 + 0.25e0 * (u % 7) end"
-
 
 def _ranks(a: str, b: str) -> str:
     return (
