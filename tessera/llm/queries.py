@@ -91,7 +91,7 @@ def with_repetitions(docs: DataFrame) -> DataFrame:
     place on are repetitions of those that follow there."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"), words.alias("w")).withColumn("n", F.size("w"))
-    docs = docs.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("int(g % n)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    docs = docs.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("int(g % greatest(n, 1))")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
     tail = "slice(flatten(array_repeat(slice(w, a + 1, p), int(1 + (n - a) div p))), 1, n - a)"
     return docs.select("doc_id", F.expr(f"if(h % 10 = 0 and n > 0, array_join(concat(slice(w, 1, a), {tail}), ' '), text)").alias("text"))
 

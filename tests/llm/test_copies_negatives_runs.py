@@ -156,7 +156,7 @@ def test_hard_negatives_odd_rows(spark):
     assert mined(df.limit(0), anchor) == [] and mined(df, F.lit(False)) == [] and mined(df, F.lit(None).cast("boolean")) == []
     wide = [(i, [float(np.float32(1e6 * x)) for x in v] + [0.0] * (i % 3), l) for i, v, l in rows]  # other lengths, large numbers
     assert mined(spark.createDataFrame(wide, VECTORS), anchor) == plain(wide, set(range(0, 60, 5)))
-    assert all(len(r) == 6 for r in mined(spark.createDataFrame([(i, [3e38 * np.sign(x) for x in v], l) for i, v, l in rows], VECTORS), anchor))
+    assert all(len(r) == 6 for r in mined(spark.createDataFrame([(i, [float(3e38 * np.sign(x)) for x in v], l) for i, v, l in rows], VECTORS), anchor))
 
 
 def test_brackets_hold_and_prune():
