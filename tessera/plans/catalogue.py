@@ -732,10 +732,12 @@ WORDS = TOK + ", wi as (select word, row_number() over (order by word) - 1 as fi
 def _counted(batches):
     """(row_id, label, word, value) of rows with lists of words: how often each has a word."""
     for batch in batches:
-        counts = [Counter(w) for w in batch.column(2).to_pylist()]
-        place = pa.array([i for i, c in enumerate(counts) for _ in c], pa.int64())
-        words, values = pa.array([w for c in counts for w in c], pa.string()), pa.array([float(n) for c in counts for n in c.values()], pa.float64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), words, values], ["row_id", "label", "word", "value"])
+        for lo in range(0, batch.num_rows, 256):  # so few lists of words are Python objects at a time
+            part = batch.slice(lo, 256)
+            counts = [Counter(w) for w in part.column(2).to_pylist()]
+            place = pa.array([i for i, c in enumerate(counts) for _ in c], pa.int64())
+            words, values = pa.array([w for c in counts for w in c], pa.string()), pa.array([float(n) for c in counts for n in c.values()], pa.float64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(place), part.column(1).take(place), words, values], ["row_id", "label", "word", "value"])
 
 
 def _word_rows(spark: SparkSession, d: str) -> DataFrame:
