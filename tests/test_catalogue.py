@@ -11,7 +11,7 @@ from tessera.plans import catalogue
 
 
 # These join rows by row_id, of which the smallest tables repeat some.
-UNIQUE_ROWS = {"gbdt_one_tree", "forest_one_tree", "nb_model_round_trip"}
+UNIQUE_ROWS = {"gbdt_one_tree", "forest_one_tree", "gbdt_three_rounds", "gbdt_round_metrics", "gbdt_node_budget", "deep_forest_score", "nb_model_round_trip"}
 
 
 def views(folder):
