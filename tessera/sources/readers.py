@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,6 +141,37 @@ def corpus_index(tokens: DataFrame) -> DataFrame:
     return running(counts, "word_id", "n", "first")
 
 
+def _runs(batches):
+    """(doc_id, first, word_id, p): the places of each word of a document, from (doc_id, words, first)."""
+    for batch in batches:
+        words = batch.column(1)
+        coded, sizes = words.flatten().dictionary_encode(), np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) > 0))) if len(key) else np.empty(0, np.int64)
+        rows = pa.array(doc[order[starts]])
+        places = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(pos[order].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), coded.dictionary.take(coded.indices.take(pa.array(order[starts]))), places], ["doc_id", "first", "word_id", "p"])
+
+
+def _placed(runs: DataFrame) -> DataFrame:
+    """Runs with `key`, `first` and the places in order to a row for each token."""
+    placed = running(runs.withColumn("n", F.size("p").cast("bigint")), "key", "n", "start")
+    out = placed.select("doc_id", "word_id", "first", "start", F.posexplode("p").alias("i", "pos"))
+    return out.select("doc_id", "pos", "word_id", (F.col("first") + F.col("pos")).alias("doc_at"), (F.col("start") + F.col("i")).alias("word_at"))
+
+
+def word_major_documents(docs: DataFrame) -> DataFrame:
+    """word_major of documents (doc_id, words): their words are grouped where they are read."""
+    docs = docs.where("size(words) > 0")
+    sizes = running(docs.select("doc_id", F.size("words").cast("bigint").alias("size")), "doc_id", "size", "first").select("doc_id", "first")
+    kinds = dict(docs.dtypes)
+    runs = docs.join(sizes, "doc_id").select("doc_id", "words", "first").mapInArrow(_runs, f"doc_id {kinds['doc_id']}, first bigint, word_id {kinds['words'][6:-1]}, p array<int>")
+    return _placed(runs.withColumn("key", F.struct("word_id", "doc_id")))
+
+
 def word_major(tokens: DataFrame, seed: int | None = None) -> DataFrame:
     """(doc_id, pos, word_id, doc_at, word_at): where each token stands in document-major and in word-major
     order, both from 0; pos counts a document's tokens from 0. A word's tokens follow by document and
@@ -148,8 +181,5 @@ def word_major(tokens: DataFrame, seed: int | None = None) -> DataFrame:
     drawn = lambda *c: F.lit(0).cast("bigint") if seed is None else F.xxhash64(F.lit(seed), *c)
     places = F.transform("p", lambda x: F.struct(drawn("doc_id", x).alias("h"), x.alias("pos")))
     runs = runs.withColumn("p", F.transform(F.array_sort(places), lambda x: x["pos"]))
-    runs = runs.select("word_id", "doc_id", "p", F.size("p").cast("bigint").alias("n"), F.struct("word_id", drawn("doc_id").alias("h"), "doc_id").alias("key"))
     sizes = running(tokens.groupBy("doc_id").agg(F.count("*").alias("size")), "doc_id", "size", "first").select("doc_id", "first")
-    placed = running(runs, "key", "n", "start").drop("key").join(sizes, "doc_id")
-    out = placed.select("doc_id", "word_id", "first", "start", F.posexplode("p").alias("i", "pos"))
-    return out.select("doc_id", "pos", "word_id", (F.col("first") + F.col("pos")).alias("doc_at"), (F.col("start") + F.col("i")).alias("word_at"))
+    return _placed(runs.join(sizes, "doc_id").withColumn("key", F.struct("word_id", drawn("doc_id").alias("h"), "doc_id")))
