@@ -213,7 +213,7 @@ class NMF:
         scale = max(1e-4, std or 0.0) if regression else 1.0
         self.bias = float(mean or 0.0) if regression else 0.0
         groups = max(1, int(np.ceil(np.sqrt((n or 0) / TILE_RATINGS))))
-        group = lambda c: F.pmod(F.xxhash64(F.lit(p["seed"]), c), F.lit(groups)).cast("int")
+        group = lambda c: F.pmod(F.xxhash64(F.lit(p["seed"]), F.col(c).cast("bigint")), F.lit(groups)).cast("int")
         data = materialize(ratings.select("u", "v", (F.col("r") / scale).alias("r"), group("u").alias("gu"), group("v").alias("gv")), "ratings")
         p_side, q_side = self._init(data, "u", "gu"), self._init(data, "v", "gv")
         pairwise = p["objective"] == "bpr"
