@@ -226,3 +226,14 @@ def test_few_and_many_values(spark):
     got = {r.fid: r.edges for r in stats.candidate_splits(spark.createDataFrame(rows, "fid int, value double"), 10).collect()}
     assert got[1] == [0.5, 1.0] and all(got[k] == [float(v) for v in range(1, k + 1)] for k in range(2, 11))
     assert all(np.allclose(got[k], np.unique(np.quantile(np.repeat(np.arange(1, k + 1), 3), [i / 10 for i in range(10)]))) for k in range(11, 31))
+
+
+def test_values_meet_their_edges_where_they_are(spark):
+    """No shuffle by feature and no broadcast of the values, whatever sizes are estimated."""
+    long = spark.range(5000).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("fid"), (F.col("id") % 10).cast("double").alias("value"))
+    splits = spark.createDataFrame([(0, [0.0, 3.0, 6.0], 0), (1, [0.0, 5.0], 0)], "fid int, edges array<double>, default_bin int")
+    binned = stats.bin_values(long, splits)
+    plan = binned._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning" not in plan
+    got = {(r.fid, r.value, r.bin) for r in binned.collect()}
+    assert got == {(int(v) % 2, float(v), sum(v >= e for e in ([0, 3, 6], [0, 5])[int(v) % 2]) - 1) for v in range(10)}
