@@ -3,24 +3,29 @@ factorisation machine.
 
 A batch is scored with the weights at its start and applied once, so a step is one aggregate over
 the batch: gradients are summed per feature with partial sums in every task. Batches are of
-`batch_size` rows in the order of row_id; they are written once, in folders of `_FOLDER_ROWS` rows
-or of one batch, of which a step reads one. Weights are a folded constant up to
+`batch_size` rows in the order of row_id; they are written once, in sorted ranges with a folder each, of
+which a step reads those with its rows. Weights are a folded constant up to
 vectors.MAX_LITERAL entries; longer ones are a table that the batch's entries are joined with.
+
+A linear regression's step needs no more of a batch than its moments, which one aggregate takes of all
+batches at once; where a prediction might be cut off, the batch itself is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import losses, vectors as V
-from ..sources.readers import ranked
+from ..sources.readers import ranges, start_of
 from ..sources.storage import materialize
 from . import stats
 from .params import Supervised, require, rows_of
 
-_FOLDER_ROWS = 1 << 16
 _SGD = {"num_epoch": 10, "batch_size": 1000, "learning_rate": 0.1, "l1_reg": 0.0, "l2_reg": 0.0}
 
 
@@ -45,6 +50,34 @@ def batch_gradient(scored: DataFrame, grad: Column, by: list[str] | None = None,
     return g.select(*(by or []), F.explode(entries).alias("e")).groupBy(*(by or []), "e.fid").agg(F.sum("e.g").alias("g"))
 
 
+#: Features up to which the moments of batches are taken.
+MOMENT_DIM = 64
+
+
+def batch_moments(rows: DataFrame, dim: int) -> DataFrame:
+    """(batch, m, top) by batch: the matrix of the sums of products of the features, one and the label, row by row,
+    and the features' and the one's largest sizes. Each Arrow batch gives the sums of its own rows."""
+    side = dim + 2
+
+    def run(batches):
+        for batch in batches:
+            number, label, indices, values = (batch.column(i) for i in range(4))
+            if not batch.num_rows:
+                continue
+            sizes = np.nan_to_num(indices.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            x = np.zeros((batch.num_rows, side))
+            np.add.at(x, (np.repeat(np.arange(len(x)), sizes), indices.flatten().to_numpy(zero_copy_only=False).astype(np.int64)), values.flatten().to_numpy(zero_copy_only=False))
+            x[:, dim], x[:, dim + 1] = 1.0, label.to_numpy(zero_copy_only=False)
+            kinds, at = np.unique(number.to_numpy(), return_inverse=True)
+            own = [x[at == k] for k in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([(a.T @ a).ravel().tolist() for a in own]), pa.array([np.abs(a[:, :-1]).max(axis=0).tolist() for a in own])], ["batch", "m", "top"])
+
+    found = rows.select("batch", "label", "indices", "values").mapInArrow(run, "batch bigint, m array<double>, top array<double>")
+    m = F.array(*[F.sum(F.get("m", F.lit(i))) for i in range(side * side)])
+    top = F.array(*[F.max(F.get("top", F.lit(i))) for i in range(dim + 1)])
+    return materialize(found.groupBy("batch").agg(m.alias("m"), top.alias("top")), "moments").orderBy("batch")
+
+
 class LinearModel(Supervised):
     loss_name = "logistic"
     signed = True
@@ -64,46 +97,63 @@ class LinearModel(Supervised):
         return np.random.default_rng(self["seed"]).normal(0, V.xavier_scale(dim), dim)
 
     def prepare(self, train: DataFrame) -> tuple[DataFrame, int, int]:
-        """Rows with their batch and its folder, written once; batches; features."""
+        """Rows with their batch, written once; batches; features."""
         rows = rows_of(train) if self.regression else stats.check_labels(rows_of(train))
-        size = self["batch_size"]
-        n = train.count()
+        size, n = self["batch_size"], train.count()
         if size >= n:
-            rows = rows.withColumn("batch", F.lit(0).cast("bigint"))
+            self._starts = None
+            rows = materialize(rows.withColumn("batch", F.lit(0).cast("bigint")), "batches")
         else:
-            rows = ranked(rows, "row_id", "__n").withColumn("batch", F.floor(F.col("__n") / size)).drop("__n")
-        folder = F.floor(F.col("batch") / max(1, _FOLDER_ROWS // size)).alias("folder")
-        return materialize(rows.select("*", folder), "batches", ["folder"]), -(-n // size), stats.max_dim(rows)
+            rows, self._starts = ranges(rows, "row_id", n, folders=True)
+            rows = rows.withColumn("batch", F.floor((start_of(self._starts) + F.col("__i")) / size))
+        return rows, -(-n // size), stats.max_dim(rows)
+
+    def batch(self, rows: DataFrame, b: int) -> DataFrame:
+        if self._starts is None:
+            return rows
+        lo, hi, starts = b * self["batch_size"], (b + 1) * self["batch_size"], self._starts
+        held = [p for p in range(len(starts) - 1) if starts[p] < hi and starts[p + 1] > lo]
+        if len(held) == 1:  # pages of the range's file
+            rows = rows.where(F.col("__i").between(lo - starts[held[0]], hi - 1 - starts[held[0]]))
+        return rows.where(F.col("__p").isin(held) & (F.col("batch") == b))
 
     def batches(self, rows: DataFrame, n: int):
         for b in range(n):
-            yield rows.where((F.col("folder") == b // max(1, _FOLDER_ROWS // self["batch_size"])) & (F.col("batch") == b))
+            yield self.batch(rows, b)
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> LinearModel:
         rows, n, dim = self.prepare(train)
         self.weights, self.bias = self.start(dim), 0.0
         for epoch in range(self["num_epoch"]):
-            losses_seen = [self.step(batch) for batch in self.batches(rows, n)]
+            losses_seen = list(self.epoch(rows, n))
             self.history.append((epoch, "train", "loss", float(np.mean(losses_seen)) if losses_seen else 0.0))
             self._log(epoch, valid)
         return self
 
+    def epoch(self, rows: DataFrame, n: int) -> Iterator[float]:
+        """The steps of an epoch; gives each batch's mean loss."""
+        return (self.step(batch) for batch in self.batches(rows, n))
+
     def step(self, batch: DataFrame) -> float:
         loss, y, s = losses.loss(self["loss"]), F.col("label"), F.col("score")
         scored = scores(batch, self.weights, self.bias)
         found = {r.fid: r.g for r in batch_gradient(scored, loss.grad(y, s), loss=loss.value(y, s)).collect()}
         n, total, bias = found.pop(-2, 1.0), found.pop(-3, 0.0), found.pop(-1, 0.0)
-        rate = self["learning_rate"]
         fids = np.array(list(found), int)
         gradient = np.zeros(len(self.weights))
         gradient[fids] = list(found.values())
+        self.update(gradient, bias, n)
+        return total / n
+
+    def update(self, gradient: np.ndarray, bias: float, n: float) -> None:
+        """A step, by the sums over n rows."""
+        rate = self["learning_rate"]
         self.weights -= rate / n * gradient
         if self["l2_reg"]:
             self.weights -= rate * self["l2_reg"] * self.weights
         if self["l1_reg"]:
             self.weights = np.sign(self.weights) * np.maximum(np.abs(self.weights) - rate * self["l1_reg"], 0)
         self.bias -= rate / n * bias
-        return total / n
 
     def predict_score(self, data: DataFrame) -> DataFrame:
         return scores(data, self.weights, self.bias).select("row_id", "score")
@@ -135,6 +185,24 @@ class LinearRegression(LinearModel):
     def start(self, dim: int) -> np.ndarray:
         return np.zeros(dim)
 
+    def epoch(self, rows: DataFrame, n: int) -> Iterator[float]:
+        dim = len(self.weights)
+        if n < 2 or self["loss"] != "square" or dim > MOMENT_DIM or self["batch_size"] < 4 * (dim + 2) ** 2:
+            return super().epoch(rows, n)
+        return self._by_moments(rows, dim)
+
+    def _by_moments(self, rows: DataFrame, dim: int) -> Iterator[float]:
+        for r in batch_moments(rows, dim).toLocalIterator():  # one row a batch, by batch
+            m, top = np.array(r.m).reshape(dim + 2, dim + 2), np.array(r.top)
+            w = np.append(self.weights, self.bias)
+            if not np.abs(w) @ top < 20:  # some prediction may be cut off
+                yield self.step(self.batch(rows, r.batch))
+                continue
+            xx, xy, count = m[:-1, :-1], m[:-1, -1], m[-2, -2]
+            gradient = xx @ w - xy
+            yield float(0.5 * (w @ xx @ w - 2 * w @ xy + m[-1, -1]) / count)
+            self.update(gradient[:-1], gradient[-1], count)
+
 
 def _square_with(v: Column):
     return lambda i, x: F.pow(x * F.coalesce(F.get(v, i), F.lit(0.0)), 2)

@@ -323,3 +323,36 @@ def test_negatives_of_rows_with_few_free_numbers(spark, by):
     assert len(found) == len(got) and set(found) == {p for p in pairs if p[by == "v"] != 1}
     assert all(0 <= w < 100 and w not in rated[p[by == "v"]] for p, w in found.items())
     assert {w for p, w in found.items() if p[by == "v"] == 0} == {57}
+
+
+def test_batches_of_a_regression_take_no_job_each(spark, monkeypatch):
+    """One aggregate gives what all steps need; batches whose predictions may be cut off are read."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(1230, 3)), rng.normal(size=1230)
+    rows = [(5 * i, float(b), [0, 1, 2], [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row_id bigint, label double, indices array<int>, values array<double>").repartition(5).cache()
+    for scale, reads in ((1.0, 0), (400.0, 12)):  # large steps are cut off
+        w, b, seen, read = np.zeros(3), 0.0, [], []
+        for lo in range(0, 1230, 110):
+            part, goal = x[lo : lo + 110], y[lo : lo + 110]
+            seen.append(0.5 * ((part @ w + b - goal) ** 2).mean())
+            g = np.clip(part @ w + b, -20, 20) - goal
+            w, b = w - 0.05 * scale * part.T @ g / len(goal), b - 0.05 * scale * g.mean()
+        step = linear.LinearRegression.step
+        monkeypatch.setattr(linear.LinearRegression, "step", lambda self, batch: read.append(1) or step(self, batch))
+        model = linear.LinearRegression(num_epoch=1, batch_size=110, learning_rate=0.05 * scale).fit(df)
+        monkeypatch.setattr(linear.LinearRegression, "step", step)
+        assert np.allclose(model.weights, w) and math.isclose(model.bias, b, rel_tol=1e-6)
+        assert math.isclose(model.history[0][3], np.mean(seen), rel_tol=1e-6)
+        assert len(read) <= reads and (scale == 1 or read)
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    """Numbers follow the key, and no range has much more rows than it may."""
+    monkeypatch.setattr(readers, "RANGE_ROWS", 50)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
+    got = readers.ranked(df, "k", "n").orderBy("k").collect()
+    assert [r.n for r in got] == list(range(1000))
+    dealt, starts = readers.ranges(df, "k", 1000)
+    assert len(starts) >= 20 and max(b - a for a, b in zip(starts, starts[1:])) < 200 and starts[-1] == 1000
+    assert readers.ranked(df.limit(0), "k", "n").count() == 0
