@@ -126,11 +126,11 @@ RANK_ROWS, RANK_POSITIVES = 4096, 4096
 
 
 def _lost(batches):
-    """(id, le) of each row with some of its positives: over the items of a block, the sum of how many of these
-    are not above the item's prediction."""
+    """(id, le) of each row with some of its positives: over the classes of items of a block, the sum of how many of
+    these are not above the items' prediction, times the items (their `id`)."""
     for items, rows in block_groups(batches):
         if items.num_rows and rows.num_rows:
-            q = np.array(items.column("f").to_pylist(), float)
+            q, many = np.array(items.column("f").to_pylist(), float), items.column("id").to_numpy()
             ids, counts = rows.column("id"), []
             for lo in range(0, rows.num_rows, 256):
                 part = rows.slice(lo, 256)
@@ -138,7 +138,7 @@ def _lost(batches):
                 score = np.zeros((len(p), len(q)))
                 for k in range(p.shape[1]):  # in the order of the predictions of the positives
                     score += p[:, k, None] * q[None, :, k]
-                counts += [int(np.searchsorted(np.array(own), s, side="right").sum()) for own, s in zip(part.column("preds").to_pylist(), score)]
+                counts += [int(np.searchsorted(np.array(own), s, side="right") @ many) for own, s in zip(part.column("preds").to_pylist(), score)]
             yield pa.RecordBatch.from_arrays([ids.chunk(0), pa.array(counts, pa.int64())], ["id", "le"])
 
 
@@ -148,7 +148,8 @@ def item_ranks(ratings: DataFrame, p: DataFrame, q: DataFrame, bias: float, by:
     without factors are predicted as `bias`.
 
     Both sides' factors meet in blocks of a shuffle, in which sorted positives are searched for the predictions,
-    so no pair is listed; many positives of one row go in pieces.
+    so no pair is listed; many positives of one row go in pieces. Those of the other side with equal
+    factors meet the rows once, as a class with its size.
     """
     own, other = (p, q) if by == "u" else (q, p)
     across = "v" if by == "u" else "u"
@@ -164,11 +165,12 @@ def item_ranks(ratings: DataFrame, p: DataFrame, q: DataFrame, bias: float, by:
     pieces = F.ceil(F.col("n_pos") / RANK_POSITIVES)
     parts = scored.join(sums.select("a", pieces.alias("pieces")), "a").groupBy("a", F.pmod(F.xxhash64("b"), "pieces").alias("piece")).agg(F.sort_array(F.collect_list("pred")).alias("preds"))  # a piece's
     rows = materialize(parts.join(left, "a"), "rows")
-    cuts, turns = max(1, -(-other.count() // RANK_ROWS)), max(1, -(-rows.count() // RANK_ROWS))
+    classes = materialize(right.groupBy("__o").agg(F.count("*").alias("many")), "classes")
+    cuts, turns = max(1, -(-classes.count() // RANK_ROWS)), max(1, -(-rows.count() // RANK_ROWS))
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     none = F.lit(None).cast("array<double>")
-    items = right.select(copies(turns).alias("i"), place(cuts, "b").alias("j"), F.lit(0).alias("side"), F.col("b").cast("bigint").alias("id"), F.col("__o").alias("f"), none.alias("preds"))
+    items = classes.select(copies(turns).alias("i"), place(cuts, "__o").alias("j"), F.lit(0).alias("side"), F.col("many").alias("id"), F.col("__o").alias("f"), none.alias("preds"))
     asked = rows.select(place(turns, "a", "piece").alias("i"), copies(cuts).alias("j"), F.lit(1).alias("side"), F.col("a").cast("bigint").alias("id"), "f", "preds")
     groups = items.union(asked).repartition(turns * cuts, "i", "j").sortWithinPartitions("i", "j", "side")
     met = groups.mapInArrow(_lost, "id bigint, le bigint").groupBy("id").agg(F.sum("le").alias("le"))

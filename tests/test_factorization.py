@@ -107,3 +107,20 @@ def test_long_ids(spark):
         model = mf.NMF(embedding_dim=2, num_epoch=1, workers=workers).fit(ratings)
         assert {r.id for r in model.p.collect()} == {far + u for u in range(8)}
         assert model.predict(ratings).where("pred is null").count() == 0
+
+
+def test_equal_factors_meet_the_rows_once(spark, monkeypatch):
+    """As many rows are asked for as there are classes of equal factors, not as there are items."""
+    df = spark.createDataFrame([(u, v, 1.0) for u in range(6) for v in range(u, 40, 7)], RATINGS)
+    p, q = (spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(n)], SIDE) for n in (6, 300))
+    plain, seen = mf.materialize, {}
+
+    def kept(table, name, *more):
+        seen[name] = table.count()
+        return plain(table, name, *more)
+
+    monkeypatch.setattr(mf, "materialize", kept)
+    got = {r.id: (r.n_pos, r.n_neg, r.lost) for r in mf.item_ranks(df, p, q, 0.5).collect()}
+    sides = [{i: [float(i % 3), 1.0] for i in range(n)} for n in (6, 300)]
+    assert got == plain_ranks([tuple(r) for r in df.collect()], *sides, 0.5, "u")
+    assert seen["classes"] == 3
