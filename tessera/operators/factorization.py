@@ -374,12 +374,21 @@ def bpr_pairs(ratings: DataFrame, items: int, seed: int = 0, by: str = "u", draw
     numbers are rated there is nothing to rank, and no row."""
     own = "v" if by == "u" else "u"
     pairs = ratings.select("u", "v").distinct()
-    drawn = pairs.select("u", "v", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "u", "v", i), F.lit(max(1, items))))).alias("k", "w"))
     known = (ratings if rated is None else rated).select(F.col(by).alias("__by"), F.col(own).cast("bigint").alias("__own")).distinct()
-    fresh = drawn.join(known, (F.col(by) == F.col("__by")) & (F.col("w") == F.col("__own")), "left_anti")
-    first = fresh.groupBy("u", "v").agg(F.min_by("w", "k").alias("w"))
+    rest, found = pairs, []
+    for i in range(draws):  # each round has only those whose candidates were all rated
+        drawn = rest.select("u", "v", F.pmod(F.xxhash64(F.lit(seed), "u", "v", F.lit(i)), F.lit(max(1, items))).alias("w"))
+        met = drawn.join(known.withColumn("__rated", F.lit(True)), (F.col(by) == F.col("__by")) & (F.col("w") == F.col("__own")), "left")
+        met = materialize(met.select("u", "v", "w", F.coalesce("__rated", F.lit(False)).alias("rated")), "draws")
+        found.append(met.where("not rated").select("u", "v", "w"))
+        rest = met.where("rated").select("u", "v")
+        if not rest.take(1):
+            break
+    first = found[0]
+    for more in found[1:]:
+        first = first.union(more)
+    late = rest.withColumn("__by", F.col(by))
     # a positive with p smaller ones has own - p free numbers below it: one pass over both in this order
-    late = pairs.join(first, ["u", "v"], "left_anti").withColumn("__by", F.col(by))
     within = known.where(F.col("__own").between(0, items - 1)).join(late.select("__by").distinct(), "__by", "left_semi")
     place = F.row_number().over(Window.partitionBy("__by").orderBy("__own")) - 1
     passed = within.select("__by", (F.col("__own") - place).alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("bigint").alias("u"), F.lit(None).cast("bigint").alias("v"))

@@ -124,3 +124,19 @@ def test_equal_factors_meet_the_rows_once(spark, monkeypatch):
     sides = [{i: [float(i % 3), 1.0] for i in range(n)} for n in (6, 300)]
     assert got == plain_ranks([tuple(r) for r in df.collect()], *sides, 0.5, "u")
     assert seen["classes"] == 3
+
+
+@pytest.mark.parametrize("by", ["u", "v"])
+def test_negatives_are_the_first_draws(spark, by):
+    """The first of the candidates that is not rated, with what is drawn again in proportion to what was rated."""
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (500, 2))})
+    df = spark.createDataFrame(pairs, "u int, v int")
+    cast = [F.pmod(F.xxhash64(F.lit(9), "u", "v", F.lit(i)), F.lit(40)).alias(f"c{i}") for i in range(8)]
+    candidates = {(r.u, r.v): r[2:] for r in df.select("u", "v", *cast).collect()}
+    got = {(r.u, r.v): r.w for r in mf.bpr_pairs(df, 40, 9, by).collect()}
+    free = lambda p, w: ((p[0], w) if by == "u" else (w, p[1])) not in candidates
+    firsts = {p: next((w for w in c if free(p, w)), None) for p, c in candidates.items()}
+    assert set(got) == set(pairs) and all(got[p] == w for p, w in firsts.items() if w is not None) and all(free(p, w) for p, w in got.items())
+    plan = mf.bpr_pairs(df, 40, 9, by)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(sequence" not in plan and "posexplode" not in plan
