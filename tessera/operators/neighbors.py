@@ -30,9 +30,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(lengths), -1)
 
 
-def best_of_block(points: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of_block(points: np.ndarray, rows: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, row place, squared distance) of each query's k nearest rows, with all ties at the last
-    place. same: pairs (query, row) that are not to be taken."""
+    place. same: the ids of queries and rows, of which equal ones are not to be taken. All pairs are seen
+    some millions at a time."""
     norms = (rows**2).sum(axis=1)
     m = min(k, len(rows))
     found = []
@@ -41,7 +42,7 @@ def best_of_block(points: np.ndarray, rows: np.ndarray, k: int, same: np.ndarray
         part = points[lo : lo + step]
         near = norms[None, :] - 2 * (part @ rows.T) + (part**2).sum(axis=1)[:, None]
         if same is not None:
-            near[same[lo : lo + step]] = np.inf
+            near[same[0][lo : lo + step, None] == same[1][None, :]] = np.inf
         slack = 1e-9 * (norms.max(initial=0.0) + (part**2).sum(axis=1)) + 1e-12  # far beyond the product's rounding
         q, r = np.nonzero(near <= (np.partition(near, m - 1, axis=1)[:, m - 1] + slack)[:, None])
         good = np.isfinite(near[q, r])
@@ -86,7 +87,7 @@ def _search(k: int, skip_self: bool):
             if rows.num_rows and asked.num_rows:
                 part = lambda t, name: t.column(name).chunk(0)
                 ids, keys = part(rows, "id").to_numpy(), part(asked, "id").to_numpy()
-                same = keys[:, None] == ids[None, :] if skip_self else None
+                same = (keys, ids) if skip_self else None
                 q, r, dist = best_of_block(_matrix(part(asked, "f")), _matrix(part(rows, "f")), k, same)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[q]), pa.array(ids[r]), part(rows, "label").take(pa.array(r)), pa.array(dist)], ["query", "neighbour", "label", "dist"])
 
@@ -103,7 +104,10 @@ def nearest(queries: DataFrame, labelled: DataFrame, k: int, *, query_id: str =
     asked = queries.count()
     held = max(1, block_bytes // (8 * max(1, dim)))  # rows of a block
     cuts = -(-n // held)
-    turns = max(-(-asked // held), min(parts, -(-asked // 256)), 1)  # enough groups for all cores
+    # enough groups for all cores, with few copies of both sides: neither is cut much finer than the other
+    groups = max(1, min(parts, -(-asked // 256)))
+    cuts = max(cuts, min(int(groups**0.5), -(-n // 256)))
+    turns = max(-(-asked // held), -(-groups // cuts), 1)
     until = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     rows = labelled.select(F.col(row_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("label"), F.col(features).alias("f"))

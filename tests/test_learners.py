@@ -356,3 +356,19 @@ def test_ranges_are_bounded(spark, monkeypatch):
     dealt, starts = readers.ranges(df, "k", 1000)
     assert len(starts) >= 20 and max(b - a for a, b in zip(starts, starts[1:])) < 200 and starts[-1] == 1000
     assert readers.ranked(df.limit(0), "k", "n").count() == 0
+
+
+def test_knn_blocks_copy_both_sides_few_times(spark):
+    """Both sides are cut alike, and a block's search takes ids, not a matrix of all its pairs."""
+    import re
+
+    points = spark.range(6000).select(F.col("id").alias("row_id"), F.lit(0).alias("label"), F.array(F.col("id").cast("double")).alias("features"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        plan = neighbors.nearest(points, points, 2, skip_self=True)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert set(re.findall(r"sequence\((?:cast\()?0[^,]*, (?:cast\()?(\d+)", plan)) == {"3"}
+    x, ids = np.arange(30_000.0)[:, None], np.arange(30_000)
+    q, r, _ = neighbors.best_of_block(x[:300], x, 1, (ids[:300], ids))
+    assert set(zip(q.tolist(), r.tolist())) == {(a, b) for a in range(300) for b in (a - 1, a + 1) if b >= 0}
