@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import stats, trees
+from tessera.sources.storage import materialize
 
 ROWS = "row_id bigint, label double, indices array<int>, values array<double>"
 
@@ -237,3 +238,26 @@ def test_values_meet_their_edges_where_they_are(spark):
     assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning" not in plan
     got = {(r.fid, r.value, r.bin) for r in binned.collect()}
     assert got == {(int(v) % 2, float(v), sum(v >= e for e in ([0, 3, 6], [0, 5])[int(v) % 2]) - 1) for v in range(10)}
+
+
+def test_exact_quantiles_count_the_values_once(spark, monkeypatch):
+    """Values outside of the brackets are not listed for each bracket: one table holds their counts."""
+    tables = {}
+    monkeypatch.setattr(stats, "materialize", lambda df, name: tables.setdefault(name, materialize(df, name)))
+    long = spark.range(20000).select(F.lit(0).alias("fid"), ((F.col("id") * 7919) % 20000).cast("double").alias("value"))
+    for fractions in ([i / 10 for i in range(10)], [i / 20 for i in range(20)]):
+        tables.clear()
+        got = stats.exact_quantiles(long, stats.quantile_summary(long), fractions).first().q
+        assert np.allclose(got, [f * 19999 for f in fractions])
+        assert tables["between"].agg(F.sum("c")).first()[0] == 20000 and tables["between"].count() < 8000
+
+
+def test_values_meet_brackets_in_a_broadcast_whatever_is_estimated(spark, sf_dir):
+    from tessera.plans.catalogue import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["quantile_summary"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "strategy=broadcast" in plan
