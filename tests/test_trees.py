@@ -261,3 +261,28 @@ def test_values_meet_brackets_in_a_broadcast_whatever_is_estimated(spark, sf_dir
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "strategy=broadcast" in plan
+
+
+def test_small_trees_are_walked_by_conditions_as_large_ones_by_a_table(spark, monkeypatch):
+    tree = trees.Tree({0: (3, 1.0, 1, 0.0), 1: (5, 1.0, 0, 0.0), 4: (3, 1.0, 0, 0.0)}, {}, {0: 0, 1: 2, 4: 1})
+    rows = spark.createDataFrame([([], []), ([3], [2]), ([3, 5], [1, 0]), ([5], [0]), ([3, 5], [0, 1])], "fids array<int>, bins array<int>")
+    by_conditions = tree.walk()
+    monkeypatch.setattr(trees, "FEW_NODES", 0)
+    both = rows.select(by_conditions.alias("a"), tree.walk().alias("b")).collect()
+    assert "transform" not in str(by_conditions) and [r.a for r in both] == [r.b for r in both]
+    assert "aggregate" not in str(by_conditions)
+
+
+def test_rows_with_odd_entries_are_read_binned_and_scored(spark):
+    from tessera.sources import readers
+
+    nan, dense = float("nan"), "row_id bigint, features array<double>"
+    got = {r.row_id: (r.indices, r["values"]) for r in readers.from_dense(spark.createDataFrame([(0, [1.0, nan, None, 2.0]), (1, []), (2, None), (3, [0.0])], dense)).collect()}
+    assert got == {0: ([0, 3], [1.0, 2.0]), 1: ([], []), 2: (None, None), 3: ([0], [0.0])}
+    rows = spark.createDataFrame([(0, [0, 1], [1.0, 5.0]), (1, [1, 0], [nan, 9.0]), (2, [0, 1, 7], [None, 2.0]), (3, [], []), (4, [7], [1.0])], "row_id bigint, indices array<int>, values array<double>")
+    splits = spark.createDataFrame([(0, [0.0, 1.0, 3.0], 0), (1, [-1.0, 0.0, 2.0], 1)], "fid int, edges array<double>, default_bin int")
+    binned = {r.row_id: (r.fids, r.bins) for r in stats.bin_rows(rows, splits, ["row_id"]).collect()}
+    assert binned == {0: ([0, 1], [1, 2]), 1: ([0], [2]), 2: ([1], [2]), 3: ([], []), 4: ([], [])}
+    tree = trees.Tree({0: (1, 2.0, 1, 0.0)}, {1: [-1.0], 2: [1.0]})
+    scores = {r.row_id: r.score for r in trees.score_rows(rows, [tree], 1, lambda w: w.sum(axis=1)).collect()}
+    assert scores == {0: 1.0, 1: -1.0, 2: 1.0, 3: -1.0, 4: -1.0}
