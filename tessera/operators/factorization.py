@@ -1,8 +1,9 @@
 """Matrix factorisation by stochastic gradients, its statistics and metrics.
 
 Users and items are dealt into B groups each; in sub-step s the tiles (i, (i + s) mod B) share no
-factor row, so each runs alone in one task with the factors of its users and items. B follows the
-number of ratings, so a tile's size is bounded.
+factor row, so each runs alone in one task with the factors that its ratings need. B follows the number
+of ratings, so a tile's size is bounded. A factor row goes from a tile to the next one that has a rating of
+it, so no more rows are moved than there are ratings on both sides.
 
 With `workers`, and in pairwise fits, an epoch is one step instead: every worker has a share of the
 ratings, or of triples with a drawn negative, and a local model of the rows that these need; rows that
@@ -22,12 +23,14 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..sources import persist
-from ..sources.storage import materialize
+from ..sources.storage import Routed, materialize
 from .neighbors import block_groups
 from .params import Params, frame_of, require
 
 TILE_RATINGS = 200_000
 FACTORS = "kind int, id bigint, f array<double>, slow double, fast double"
+#: Bits of a word in a set of sub-steps.
+WORD = 62
 
 # Residual of a rating r and prediction p: minus the loss's derivative by p.
 OBJECTIVES: dict[str, Callable] = {
@@ -216,10 +219,14 @@ class NMF:
         self.bias = float(mean or 0.0) if regression else 0.0
         groups = max(1, int(np.ceil(np.sqrt((n or 0) / TILE_RATINGS))))
         group = lambda c: F.pmod(F.xxhash64(F.lit(p["seed"]), F.col(c).cast("bigint")), F.lit(groups)).cast("int")
-        data = materialize(ratings.select("u", "v", (F.col("r") / scale).alias("r"), group("u").alias("gu"), group("v").alias("gv")), "ratings")
-        p_side, q_side = self._init(data, "u", "gu"), self._init(data, "v", "gv")
+        data = ratings.select("u", "v", "r", group("u").alias("gu"), group("v").alias("gv"))
         pairwise = p["objective"] == "bpr"
         workers = max(p["workers"], -(-(n or 0) // TILE_RATINGS), 1) if pairwise else p["workers"]
+        if workers:
+            data = materialize(data.withColumn("r", F.col("r") / scale), "ratings")
+            p_side, q_side = self._init(data, "u", "gu"), self._init(data, "v", "gv")
+        else:
+            tiles, factors = self._deal(data, groups, scale, group)
         if pairwise:  # every number may be drawn
             last = ratings.agg(F.max("v" if p["by"] == "u" else "u")).first()[0]
             every = ratings.sparkSession.range(0 if last is None else last + 1)
@@ -227,8 +234,10 @@ class NMF:
         for epoch in range(p["num_epoch"]):
             if workers:
                 p_side, q_side = self._averaged(data, p_side, q_side, workers, scale, epoch)
-            for s in range(0 if workers else groups):
-                p_side, q_side = self._sub_step(data, p_side, q_side, groups, s, scale, epoch)
+            else:
+                for s in range(groups):
+                    self._sub_step(tiles, factors, groups, s, scale, epoch)
+                p_side, q_side = (factors.since((epoch + 1) * groups).where(F.col("kind") == kind) for kind in (0, 1))
             self.p = p_side.select("id", F.transform("f", lambda x: x * float(np.sqrt(scale))).alias("factors"))
             self.q = q_side.select("id", F.transform("f", lambda x: x * float(np.sqrt(scale))).alias("factors"))
             for split, part in (("train", ratings), ("valid", valid)):
@@ -237,29 +246,52 @@ class NMF:
                 elif part is not None:
                     row = evaluate(self.predict(part), ["rmse"]).first()
                     self.history.append((epoch, split, "rmse", row.rmse))
+        if not workers:
+            tiles.close()
+            factors.close()
         return self
 
-    def _init(self, data: DataFrame, side: str, group: str) -> DataFrame:
+    def _unit(self, side: str) -> Column:
         k = self.params["embedding_dim"]
         # a number of the row's own for each dimension: the same factors for any partitioning
-        unit = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.xxhash64(F.lit(self.params["seed"]), F.lit(side), F.col(side), i), F.lit(1 << 30)) / float(1 << 30) * float(np.sqrt(1 / k)))
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.xxhash64(F.lit(self.params["seed"]), F.lit(side), F.col(side), i), F.lit(1 << 30)) / float(1 << 30) * float(np.sqrt(1 / k)))
+
+    def _init(self, data: DataFrame, side: str, group: str) -> DataFrame:
         ids = data.select(side, group).distinct()
-        return ids.select(F.col(side).alias("id"), F.col(group).alias("grp"), unit.alias("f"), F.lit(1.0).alias("slow"), F.lit(1.0).alias("fast"))
-
-    def _sub_step(self, data, p_side, q_side, groups, s, scale, epoch):
-        rows = data.where(F.pmod(F.col("gv") - F.col("gu"), F.lit(groups)) == s)
-        empty = F.lit(None)
-        tagged = [
-            p_side.select(F.col("grp").alias("tile"), F.lit(0).alias("kind"), F.col("id").cast("bigint").alias("a"), empty.cast("bigint").alias("b"), empty.cast("double").alias("r"), "f", "slow", "fast"),
-            q_side.select(F.pmod(F.col("grp") - s, F.lit(groups)).alias("tile"), F.lit(1), F.col("id").cast("bigint"), empty.cast("bigint"), empty.cast("double"), "f", "slow", "fast"),
-            rows.select(F.col("gu").alias("tile"), F.lit(2), F.col("u").cast("bigint"), F.col("v").cast("bigint"), "r", empty.cast("array<double>"), empty.cast("double"), empty.cast("double")),
-        ]
+        return ids.select(F.col(side).alias("id"), F.col(group).alias("grp"), self._unit(side).alias("f"), F.lit(1.0).alias("slow"), F.lit(1.0).alias("fast"))
+
+    def _deal(self, data: DataFrame, groups: int, scale: float, group: Callable) -> tuple[Routed, Routed]:
+        """The ratings by sub-step and tile, and the factor rows, each in the tile of its first rating. `steps` is the
+        set of sub-steps that have ratings of a row, as bits."""
+        spark, step = data.sparkSession, F.pmod(F.col("gv") - F.col("gu"), F.lit(groups))
+        tiles, factors = Routed(spark, "tiles", "tile", groups), Routed(spark, "factors", "tile", groups)
+        dealt = data.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), "r").repartition(group("v") - group("u"), group("u"))
+        tiles.send(dealt.select("u", "v", (F.col("r") / scale).alias("r"), group("u").alias("tile"), F.pmod(group("v") - group("u"), F.lit(groups)).alias("turn")))
+        bit = F.get(F.array(*[F.lit(1 << i).cast("bigint") for i in range(WORD)]), (step % WORD).cast("int"))
+        words = [F.bit_or(F.when(F.floor(step / WORD) == w, bit).otherwise(F.lit(0).cast("bigint"))) for w in range(-(-groups // WORD))]
+        # the first sub-step is the lowest bit
+        lowest = F.coalesce(*[F.when(F.get("steps", F.lit(i)) != 0, F.log2(F.get("steps", F.lit(i)).bitwiseAND(-F.get("steps", F.lit(i)))).cast("int") + i * WORD) for i in range(len(words))])
+        for kind, side, own in ((0, "u", group("u")), (1, "v", F.pmod(group("v") - F.col("turn"), F.lit(groups)))):
+            rows = data.groupBy(side).agg(F.array(*words).alias("steps")).withColumn("turn", lowest)
+            factors.send(rows.select(F.lit(kind).alias("kind"), F.col(side).cast("bigint").alias("id"), self._unit(side).alias("f"), F.lit(1.0).alias("slow"), F.lit(1.0).alias("fast"), "steps", own.alias("tile"), "turn"))
+        return tiles, factors
+
+    def _sub_step(self, tiles: Routed, factors: Routed, groups: int, s: int, scale: float, epoch: int) -> None:
         work = _tile_worker(dict(self.params), scale, epoch)
-        out = tagged[0].union(tagged[1]).union(tagged[2]).groupBy("tile").applyInPandas(work, FACTORS)
-        out = materialize(out, "factors")
-        seed, spread = self.params["seed"], F.lit(groups)
-        both = [out.where(F.col("kind") == k).select("id", F.pmod(F.xxhash64(F.lit(seed), "id"), spread).cast("int").alias("grp"), "f", "slow", "fast") for k in (0, 1)]
-        return both[0], both[1]
+
+        def run(held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            held = held.sort_values(["kind", "id"])
+            known = held[["kind", "id", "f", "slow", "fast"]].rename(columns={"id": "a"})
+            asked = pd.DataFrame({"kind": 2, "a": rows.u, "b": rows.v, "r": rows.r})
+            out = work(pd.concat([known, asked], ignore_index=True))  # in the order of `held`
+            words, turn = np.stack(held.steps.to_list()), np.full(len(held), -1)
+            for t in [*range(s + 1, groups), *range(s + 1)]:  # the next one, in this epoch or the one to come
+                turn[(turn < 0) & ((words[:, t // WORD] >> (t % WORD)) & 1 == 1)] = (epoch + (t <= s)) * groups + t
+            here, items = int(held.tile.iloc[0]), out.kind.to_numpy() == 1
+            return out.assign(steps=list(words), tile=np.where(items, (here + s - turn) % groups, here), turn=turn)
+
+        held, rows = factors.at(epoch * groups + s), tiles.at(s)
+        factors.send(held.groupBy("tile").cogroup(rows.groupBy("tile")).applyInPandas(run, f"{FACTORS}, steps array<bigint>, tile int, turn int"))
 
     def _averaged(self, data, p_side, q_side, workers, scale, epoch):
         """One epoch in local models: each worker's share of the ratings, or of triples, meets the factor rows that

@@ -140,3 +140,37 @@ def test_negatives_are_the_first_draws(spark, by):
     assert set(got) == set(pairs) and all(got[p] == w for p, w in firsts.items() if w is not None) and all(free(p, w) for p, w in got.items())
     plan = mf.bpr_pairs(df, 40, 9, by)._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(sequence" not in plan and "posexplode" not in plan
+
+
+def test_factor_rows_go_only_where_ratings_need_them(spark, monkeypatch):
+    """Two epochs over many tiles: the factors are those of tiles that hold all rows of their groups, and a row is
+    sent once for each sub-step that has ratings of it."""
+    rng = np.random.default_rng(5)
+    data = [(u, v, float(1 + (u * v) % 5)) for u in range(60) for v in range(40) if rng.random() < 0.1]
+    ratings, sent = spark.createDataFrame(data, RATINGS), []
+    monkeypatch.setattr(mf, "TILE_RATINGS", 5)
+    monkeypatch.setattr(mf, "WORD", 4)
+    send = mf.Routed.send
+    monkeypatch.setattr(mf.Routed, "send", lambda table, df: (sent.append(table), send(table, df))[1])
+    model = mf.NMF(embedding_dim=3, num_epoch=2, seed=4).fit(ratings)
+    groups = int(np.ceil(np.sqrt(len(data) / 5)))
+    scale = float(np.std([r for *_, r in data]))
+    place = {i: g for i, g in spark.range(60).select("id", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(groups)).cast("int")).collect()}
+    sides = [model._init(ratings.withColumn("g", F.lit(0)), c, "g").toPandas().assign(kind=k).drop(columns="grp") for k, c in enumerate("uv")]
+    state = pd.concat(sides, ignore_index=True)
+    for epoch in range(2):
+        for s in range(groups):
+            done = []
+            for tile in range(groups):
+                held = state[[place[i] == (tile if k == 0 else (tile + s) % groups) for k, i in zip(state.kind, state.id)]]
+                asked = pd.DataFrame([(2, u, v, r / scale) for u, v, r in data if place[u] == tile and place[v] == (tile + s) % groups], columns=["kind", "a", "b", "r"])
+                if len(held):
+                    done.append(mf._tile_worker(dict(model.params), scale, epoch)(pd.concat([held.rename(columns={"id": "a"}), asked], ignore_index=True)))
+            state = pd.concat(done, ignore_index=True)
+    for kind, got in ((0, model.p), (1, model.q)):
+        got, want = {r.id: r.factors for r in got.collect()}, state[state.kind == kind]
+        assert set(got) == set(want.id)
+        assert all(np.allclose(got[i], np.array(f) * math.sqrt(scale)) for i, f in zip(want.id, want.f))
+    factors = sent[-1].since(0).count()  # all that were ever sent
+    steps = {(side, x, (place[v] - place[u]) % groups) for u, v, _ in data for side, x in (("u", u), ("v", v))}
+    assert groups > 4 and factors == len({x[:2] for x in steps}) + 2 * len(steps)
