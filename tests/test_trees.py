@@ -286,3 +286,15 @@ def test_rows_with_odd_entries_are_read_binned_and_scored(spark):
     tree = trees.Tree({0: (1, 2.0, 1, 0.0)}, {1: [-1.0], 2: [1.0]})
     scores = {r.row_id: r.score for r in trees.score_rows(rows, [tree], 1, lambda w: w.sum(axis=1)).collect()}
     assert scores == {0: 1.0, 1: -1.0, 2: 1.0, 3: -1.0, 4: -1.0}
+
+
+def test_many_features_are_counted_and_few_have_sketches(spark, monkeypatch):
+    rng, tables = np.random.default_rng(4), {}
+    monkeypatch.setattr(stats, "materialize", lambda df, name: tables.setdefault(name, materialize(df, name)))
+    rows = [(f, float(v)) for f in range(300) for v in rng.integers(1, 4 + f % 20, 30)] + [(300, float(v)) for v in rng.normal(size=500)] + [(301, None), (5, float("nan"))]
+    got = {r.fid: r.edges for r in stats.candidate_splits(spark.createDataFrame(rows, "fid int, value double"), 10, size=100).collect()}
+    assert set(got) == set(range(301)) and {r.fid for r in tables["summary"].collect()} == {300}
+    for f, edges in got.items():
+        values = np.array([v for g, v in rows if g == f and v == v])
+        kinds = np.unique(values)
+        assert np.allclose(edges, kinds if len(kinds) <= 10 else np.unique(np.quantile(values, [i / 10 for i in range(10)])))
