@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -244,6 +245,25 @@ def test_lda_query_runs_on_words(spark, sf_dir):
     assert got.topic.between(0, 4).all() and not got.duplicated(["word", "topic"]).any()
 
 
+def test_lda_query_takes_all_iterations(spark, sf_dir, monkeypatch):
+    """The estimator's own number of iterations; tables of turns that have passed are gone."""
+    from tessera.plans.catalogue import QUERIES
+
+    seen, fit = [], topics.LDA.fit
+
+    def shortly(model, corpus):
+        seen.append(model.params["num_iters"])
+        model.params["num_iters"] = 3
+        found = fit(model, corpus)
+        seen.append(sorted(os.listdir(model.turns.path.removeprefix("file://"))))
+        assert len(model.history) == 3 and math.isclose(model.history[-1][-1], model.log_likelihood(model.tokens), rel_tol=1e-9)
+        return found
+
+    monkeypatch.setattr(topics.LDA, "fit", shortly)
+    assert QUERIES["lda_fit"](spark, sf_dir).count() > 0
+    assert seen == [topics.LDA(num_words=1).params["num_iters"], ["2"]] and seen[0] == 100
+
+
 def test_corpus_index_of_words(spark, sf_dir):
     from tessera.plans.catalogue import tokens
 
