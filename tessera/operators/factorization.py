@@ -32,16 +32,16 @@ FACTORS = "kind int, id bigint, f array<double>, slow double, fast double"
 #: Bits of a word in a set of sub-steps.
 WORD = 62
 
-# Residual of a rating r and prediction p: minus the loss's derivative by p.
+# Residual of ratings r and predictions p: minus the loss's derivative by p.
 OBJECTIVES: dict[str, Callable] = {
     "l2": lambda r, p: r - p,
     "l1": lambda r, p: np.sign(r - p),
-    "kl": lambda r, p: r / max(p, 1e-10) - 1,
-    "logistic": lambda r, p: r / (1 + np.exp(r * p)) if r > 0 else -1 / (1 + np.exp(-p)),
-    "squared-hinge": lambda r, p: (1 if r > 0 else -1) * max(0.0, 1 - (1 if r > 0 else -1) * p),
+    "kl": lambda r, p: r / np.maximum(p, 1e-10) - 1,
+    "logistic": lambda r, p: np.where(r > 0, r / (1 + np.exp(r * p)), -1 / (1 + np.exp(-p))),
+    "squared-hinge": lambda r, p: np.where(r > 0, 1, -1) * np.maximum(0.0, 1 - np.where(r > 0, 1, -1) * p),
     # pairwise: a positive against a drawn one; p is the difference of the scores
     "bpr": lambda r, p: 1 / (1 + np.exp(p)),
-    "hinge": lambda r, p: (1 if r > 0 else -1) if (1 if r > 0 else -1) * p < 1 else 0.0,
+    "hinge": lambda r, p: np.where(np.where(r > 0, 1, -1) * p < 1, np.where(r > 0, 1.0, -1.0), 0.0),
 }
 
 
@@ -345,6 +345,19 @@ class NMF:
         return model
 
 
+def _waves(u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """Places of ratings (rows u and v of the two sides) in waves: a rating comes in the first wave after those of all
+    earlier ratings that share a row with it. So no two of a wave do, and steps wave by wave are those one by one."""
+    next_u, next_v = [0] * (int(u.max(initial=-1)) + 1), [0] * (int(v.max(initial=-1)) + 1)
+    waves = []
+    for a, b in zip(u.tolist(), v.tolist()):
+        wave = max(next_u[a], next_v[b])
+        next_u[a] = next_v[b] = wave + 1
+        waves.append(wave)
+    waves = np.array(waves, np.int64)
+    return np.split(np.argsort(waves, kind="stable"), np.cumsum(np.bincount(waves))[:-1])
+
+
 def _tile_worker(params: dict, scale: float, epoch: int):
     residual, lr, k = OBJECTIVES[params["objective"]], params["learning_rate"], params["embedding_dim"]
     l1, l2 = params["l1_reg"] / scale**1.5, params["l2_reg"] / scale
@@ -365,20 +378,22 @@ def _tile_worker(params: dict, scale: float, epoch: int):
             drawn = np.searchsorted(sides[0 if params["by"] == "v" else 1][0], ratings.w.to_numpy(int))
             _pairwise(*((p, q, gp, gq, at[0], at[1]) if params["by"] == "u" else (q, p, gq, gp, at[1], at[0])), drawn, order, lr, l2, params["nonnegative"])
             order = []
-        for i in order:
+        for wave in _waves(at[0][order], at[1][order]) if len(order) else []:
+            i = order[wave]
             u, v = at[0][i], at[1][i]
-            z = residual(values[i], p[u] @ q[v])
-            grads = (-z * q[v] + l2 * p[u], -z * p[u] + l2 * q[v])
-            for x, acc, g in ((p[u], gp[u], grads[0]), (q[v], gq[v], grads[1])):
+            pu, qv = p[u], q[v]
+            with np.errstate(over="ignore"):
+                z = residual(values[i], np.einsum("ij,ij->i", pu, qv))[:, None]
+            for rows, x, f, acc, g in ((u, pu, p, gp, -z * qv + l2 * pu), (v, qv, q, gq, -z * pu + l2 * qv)):
                 for part, slot in ((slice(0, slow_dims), 0), (slice(slow_dims, k), 1)):
                     if part.start >= k or (slot == 1 and epoch == 0 and not l1):
                         continue
-                    eta = lr / np.sqrt(acc[slot])
-                    step = x[part] - eta * g[part]
+                    eta = (lr / np.sqrt(acc[rows, slot]))[:, None]
+                    step = x[:, part] - eta * g[:, part]
                     if l1:
                         step = np.sign(step) * np.maximum(np.abs(step) - l1 * eta, 0)
-                    x[part] = np.maximum(step, 0) if params["nonnegative"] else step
-                    acc[slot] += float((g[part] ** 2).mean())
+                    f[rows, part] = np.maximum(step, 0) if params["nonnegative"] else step
+                    acc[rows, slot] += (g[:, part] ** 2).mean(axis=1)
         out = [pd.DataFrame({"kind": kind, "id": ids, "f": list(f), "slow": acc[:, 0], "fast": acc[:, 1]}) for kind, (ids, f, acc) in enumerate(sides)]
         return pd.concat(out)
 

@@ -174,3 +174,52 @@ def test_factor_rows_go_only_where_ratings_need_them(spark, monkeypatch):
     factors = sent[-1].since(0).count()  # all that were ever sent
     steps = {(side, x, (place[v] - place[u]) % groups) for u, v, _ in data for side, x in (("u", u), ("v", v))}
     assert groups > 4 and factors == len({x[:2] for x in steps}) + 2 * len(steps)
+
+
+@pytest.mark.parametrize("objective", ["l2", "l1", "kl", "logistic", "squared-hinge", "hinge"])
+@pytest.mark.parametrize("l1", [0.0, 0.05])
+def test_waves_take_the_steps_of_ratings_one_by_one(objective, l1):
+    rng, k, scale, lr, l2 = np.random.default_rng(8), 10, 2.0, 0.1, 0.02
+    n, sizes = 400, (15, 40)
+    ids = [np.arange(m) * 3 for m in sizes]
+    factors = [rng.random((m, k)) for m in sizes]
+    pairs = pd.DataFrame({"kind": 2, "a": ids[0][np.minimum(rng.geometric(0.2, n) - 1, 14)], "b": ids[1][rng.integers(0, 40, n)], "r": rng.integers(1, 6, n) - 3.0 * ("l" not in objective)})
+    rows = pd.concat([pd.DataFrame({"kind": i, "a": ids[i], "f": list(factors[i]), "slow": 1.0, "fast": 1.0}) for i in (0, 1)] + [pairs], ignore_index=True)
+    params = dict(mf.NMF(embedding_dim=k, objective=objective, l1_reg=l1, l2_reg=l2 * scale, nonnegative=objective == "l2", learning_rate=lr).params)
+    got = mf._tile_worker(params, scale, 1)(rows)
+    one = {  # the scalar residuals
+        "l2": lambda r, p: r - p,
+        "l1": lambda r, p: np.sign(r - p),
+        "kl": lambda r, p: r / max(p, 1e-10) - 1,
+        "logistic": lambda r, p: r / (1 + np.exp(r * p)) if r > 0 else -1 / (1 + np.exp(-p)),
+        "squared-hinge": lambda r, p: (1 if r > 0 else -1) * max(0.0, 1 - (1 if r > 0 else -1) * p),
+        "hinge": lambda r, p: (1 if r > 0 else -1) if (1 if r > 0 else -1) * p < 1 else 0.0,
+    }[objective]
+    pairs = pairs.sort_values(["a", "b", "r"]).reset_index(drop=True)
+    accs = [np.ones((m, 2)) for m in sizes]
+    for i in np.random.default_rng([0, 1]).permutation(n):
+        at = pairs.a[i] // 3, pairs.b[i] // 3
+        own = [factors[0][at[0]].copy(), factors[1][at[1]].copy()]
+        z = one(pairs.r[i], own[0] @ own[1])
+        for side in (0, 1):
+            g = -z * own[1 - side] + l2 * own[side]
+            for part, slot in ((slice(0, 8), 0), (slice(8, k), 1)):
+                eta = lr / np.sqrt(accs[side][at[side], slot])
+                step = own[side][part] - eta * g[part]
+                if l1:
+                    step = np.sign(step) * np.maximum(np.abs(step) - l1 / scale**1.5 * eta, 0)
+                factors[side][at[side], part] = np.maximum(step, 0) if objective == "l2" else step
+                accs[side][at[side], slot] += (g[part] ** 2).mean()
+    for side in (0, 1):
+        out = got[got.kind == side]
+        assert list(out.id) == list(ids[side]) and np.allclose(np.array(out.f.tolist()), factors[side], rtol=1e-9, atol=1e-9)
+        assert np.allclose(out[["slow", "fast"]].to_numpy(), accs[side], rtol=1e-9)
+
+
+def test_waves_share_no_row_and_are_few():
+    rng = np.random.default_rng(9)
+    u, v = rng.integers(0, 3000, 5000), rng.integers(0, 2000, 5000)
+    waves = mf._waves(u, v)
+    assert sorted(np.concatenate(waves)) == list(range(5000)) and len(waves) < 60
+    assert all(len(set(u[w])) == len(w) == len(set(v[w])) for w in waves)
+    assert mf._waves(u[:0], v[:0]) == [] or not sum(map(len, mf._waves(u[:0], v[:0])))
