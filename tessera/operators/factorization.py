@@ -19,6 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
@@ -277,21 +279,32 @@ class NMF:
         return tiles, factors
 
     def _sub_step(self, tiles: Routed, factors: Routed, groups: int, s: int, scale: float, epoch: int) -> None:
-        work = _tile_worker(dict(self.params), scale, epoch)
-
-        def run(held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            held = held.sort_values(["kind", "id"])
-            known = held[["kind", "id", "f", "slow", "fast"]].rename(columns={"id": "a"})
-            asked = pd.DataFrame({"kind": 2, "a": rows.u, "b": rows.v, "r": rows.r})
-            out = work(pd.concat([known, asked], ignore_index=True))  # in the order of `held`
-            words, turn = np.stack(held.steps.to_list()), np.full(len(held), -1)
+        params = dict(self.params)
+        schema = StructType.fromDDL(f"{FACTORS}, steps array<bigint>, tile int, turn int")
+        arrow = to_arrow_schema(schema)
+
+        def run(held: pa.Table, rows: pa.Table) -> pa.Table:
+            flat = lambda c, kind, width: held[c].combine_chunks().flatten().to_numpy().astype(kind).reshape(len(held), width)
+            held = held.sort_by([("kind", "ascending"), ("id", "ascending")])
+            if not len(held):
+                return arrow.empty_table()
+            kind, ids, words = held["kind"].to_numpy(), held["id"].to_numpy(), flat("steps", np.int64, -1)
+            f, paces = flat("f", float, params["embedding_dim"]), np.column_stack([held["slow"].to_numpy(), held["fast"].to_numpy()])
+            cut = int(np.searchsorted(kind, 1))
+            u, v, r = (rows[c].to_numpy() for c in ("u", "v", "r"))
+            order = np.lexsort((r, v, u))
+            u, v, r = u[order], v[order], r[order].astype(float)
+            _rating_steps(params, scale, epoch, (np.searchsorted(ids[:cut], u), np.searchsorted(ids[cut:], v)), r, [(f[:cut], paces[:cut]), (f[cut:], paces[cut:])])
+            turn = np.full(len(held), -1)
             for t in [*range(s + 1, groups), *range(s + 1)]:  # the next one, in this epoch or the one to come
                 turn[(turn < 0) & ((words[:, t // WORD] >> (t % WORD)) & 1 == 1)] = (epoch + (t <= s)) * groups + t
-            here, items = int(held.tile.iloc[0]), out.kind.to_numpy() == 1
-            return out.assign(steps=list(words), tile=np.where(items, (here + s - turn) % groups, here), turn=turn)
+            here = held["tile"][0].as_py()
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            out = {"kind": kind, "id": ids, "f": lists(f), "slow": paces[:, 0], "fast": paces[:, 1], "steps": lists(words), "tile": np.where(kind == 1, (here + s - turn) % groups, here), "turn": turn}
+            return pa.table([pa.array(out[c.name]).cast(c.type) for c in arrow], schema=arrow)
 
         held, rows = factors.at(epoch * groups + s), tiles.at(s)
-        factors.send(held.groupBy("tile").cogroup(rows.groupBy("tile")).applyInPandas(run, f"{FACTORS}, steps array<bigint>, tile int, turn int"))
+        factors.send(held.groupBy("tile").cogroup(rows.groupBy("tile")).applyInArrow(run, schema))
 
     def _averaged(self, data, p_side, q_side, workers, scale, epoch):
         """One epoch in local models: each worker's share of the ratings, or of triples, meets the factor rows that
@@ -358,10 +371,34 @@ def _waves(u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
     return np.split(np.argsort(waves, kind="stable"), np.cumsum(np.bincount(waves))[:-1])
 
 
-def _tile_worker(params: dict, scale: float, epoch: int):
+def _rating_steps(params: dict, scale: float, epoch: int, at: tuple[np.ndarray, np.ndarray], values: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Steps of ratings of rows `at` of the two sides (factors, sums of squares), which are changed. The ratings come in
+    ascending rows and values."""
     residual, lr, k = OBJECTIVES[params["objective"]], params["learning_rate"], params["embedding_dim"]
     l1, l2 = params["l1_reg"] / scale**1.5, params["l2_reg"] / scale
     slow_dims = min(8, k)
+    order = np.random.default_rng([params["seed"], epoch]).permutation(len(values))
+    (p, gp), (q, gq) = sides
+    for wave in _waves(at[0][order], at[1][order]) if len(order) else []:
+        i = order[wave]
+        u, v = at[0][i], at[1][i]
+        pu, qv = p[u], q[v]
+        with np.errstate(over="ignore"):
+            z = residual(values[i], np.einsum("ij,ij->i", pu, qv))[:, None]
+        for rows, x, f, acc, g in ((u, pu, p, gp, -z * qv + l2 * pu), (v, qv, q, gq, -z * pu + l2 * qv)):
+            for part, slot in ((slice(0, slow_dims), 0), (slice(slow_dims, k), 1)):
+                if part.start >= k or (slot == 1 and epoch == 0 and not l1):
+                    continue
+                eta = (lr / np.sqrt(acc[rows, slot]))[:, None]
+                step = x[:, part] - eta * g[:, part]
+                if l1:
+                    step = np.sign(step) * np.maximum(np.abs(step) - l1 * eta, 0)
+                f[rows, part] = np.maximum(step, 0) if params["nonnegative"] else step
+                acc[rows, slot] += (g[:, part] ** 2).mean(axis=1)
+
+
+def _tile_worker(params: dict, scale: float, epoch: int):
+    lr, k, l2 = params["learning_rate"], params["embedding_dim"], params["l2_reg"] / scale
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
@@ -371,29 +408,14 @@ def _tile_worker(params: dict, scale: float, epoch: int):
             sides.append((rows.a.to_numpy(int), f, rows[["slow", "fast"]].to_numpy(float).copy()))
         ratings = pdf[pdf.kind == 2].sort_values(["a", "b", "r"] + (["w"] if "w" in pdf else []))
         at = [np.searchsorted(sides[i][0], ratings[c].to_numpy(int)) for i, c in ((0, "a"), (1, "b"))]
-        order = np.random.default_rng([params["seed"], epoch]).permutation(len(ratings))
         (_, p, gp), (_, q, gq) = sides
         values = ratings.r.to_numpy(float)
         if params["objective"] == "bpr":
             drawn = np.searchsorted(sides[0 if params["by"] == "v" else 1][0], ratings.w.to_numpy(int))
+            order = np.random.default_rng([params["seed"], epoch]).permutation(len(ratings))
             _pairwise(*((p, q, gp, gq, at[0], at[1]) if params["by"] == "u" else (q, p, gq, gp, at[1], at[0])), drawn, order, lr, l2, params["nonnegative"])
-            order = []
-        for wave in _waves(at[0][order], at[1][order]) if len(order) else []:
-            i = order[wave]
-            u, v = at[0][i], at[1][i]
-            pu, qv = p[u], q[v]
-            with np.errstate(over="ignore"):
-                z = residual(values[i], np.einsum("ij,ij->i", pu, qv))[:, None]
-            for rows, x, f, acc, g in ((u, pu, p, gp, -z * qv + l2 * pu), (v, qv, q, gq, -z * pu + l2 * qv)):
-                for part, slot in ((slice(0, slow_dims), 0), (slice(slow_dims, k), 1)):
-                    if part.start >= k or (slot == 1 and epoch == 0 and not l1):
-                        continue
-                    eta = (lr / np.sqrt(acc[rows, slot]))[:, None]
-                    step = x[:, part] - eta * g[:, part]
-                    if l1:
-                        step = np.sign(step) * np.maximum(np.abs(step) - l1 * eta, 0)
-                    f[rows, part] = np.maximum(step, 0) if params["nonnegative"] else step
-                    acc[rows, slot] += (g[:, part] ** 2).mean(axis=1)
+        else:
+            _rating_steps(params, scale, epoch, at, values, [(p, gp), (q, gq)])
         out = [pd.DataFrame({"kind": kind, "id": ids, "f": list(f), "slow": acc[:, 0], "fast": acc[:, 1]}) for kind, (ids, f, acc) in enumerate(sides)]
         return pd.concat(out)
 
